@@ -1,0 +1,147 @@
+"""Small image helpers used inside the batch scorer: bytes to pixels, pixels to score."""
+
+from __future__ import annotations
+
+import io
+import re
+from typing import Any
+
+import numpy as np
+
+try:
+    from PIL import Image
+except ImportError:  # only needed for compressed formats
+    Image = None
+
+# Input side, and the parameter names and shapes of the network
+# (three 3x3 convolutions, each with a ReLU and a 2x2 max pool, then two dense layers).
+SIDE = 128
+PARAMETERS = {
+    "net.0.weight": (16, 3, 3, 3),
+    "net.0.bias": (16,),
+    "net.3.weight": (32, 16, 3, 3),
+    "net.3.bias": (32,),
+    "net.6.weight": (64, 32, 3, 3),
+    "net.6.bias": (64,),
+    "net.10.weight": (128, 16384),
+    "net.10.bias": (128,),
+    "net.12.weight": (1, 128),
+    "net.12.bias": (1,),
+}
+
+_PPM = re.compile(rb"P6\s+(\d+)\s+(\d+)\s+255\s")
+_UNIT = (np.arange(256) / 255.0).astype(np.float32)
+
+
+def pixels(data: bytes) -> np.ndarray:
+    """Image bytes to a SIDE x SIDE x 3 array of bytes.
+
+    Takes raw RGB of the exact size, binary PPM of any size and, where Pillow is
+    installed, whatever Pillow opens.
+    """
+    if len(data) == SIDE * SIDE * 3:
+        return np.frombuffer(data, np.uint8).reshape(SIDE, SIDE, 3)
+    header = _PPM.match(data)
+    if header:
+        width, height = int(header[1]), int(header[2])
+        body = np.frombuffer(data, np.uint8, offset=header.end())
+        image = body[: width * height * 3].reshape(height, width, 3)
+    elif Image is not None:
+        image = np.asarray(Image.open(io.BytesIO(data)).convert("RGB"))
+    else:
+        raise ValueError("unknown image format")
+    return resize(image)
+
+
+def resize(image: np.ndarray) -> np.ndarray:
+    """Bicubic resize to SIDE x SIDE, widened when shrinking so every pixel counts."""
+    for axis in (1, 0):
+        if image.shape[axis] != SIDE:
+            weights = _cubic_weights(image.shape[axis])
+            image = np.moveaxis(np.tensordot(weights, image, axes=(1, axis)), 0, axis)
+            image = np.clip(np.floor(image + 0.5), 0, 255).astype(np.uint8)
+    return np.ascontiguousarray(image)
+
+
+def _cubic_weights(length: int) -> np.ndarray:
+    scale = length / SIDE
+    stretch = max(scale, 1.0)
+    centre = (np.arange(SIDE)[:, None] + 0.5) * scale
+    x = np.abs((np.arange(length)[None, :] + 0.5 - centre) / stretch)
+    near = 1.5 * x**3 - 2.5 * x**2 + 1.0
+    far = -0.5 * x**3 + 2.5 * x**2 - 4.0 * x + 2.0
+    weights = np.where(x < 1, near, np.where(x < 2, far, 0.0))
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
+def seeded_parameters(seed: int = 7) -> dict[str, np.ndarray]:
+    """Random parameters of the right shapes, the same for the same seed."""
+    rng = np.random.default_rng(seed)
+    made = {}
+    for name, shape in PARAMETERS.items():
+        spread = np.sqrt(2.0 / np.prod(shape[1:])) if len(shape) > 1 else 0.0
+        made[name] = (rng.standard_normal(shape) * spread).astype(np.float32)
+    return made
+
+
+def load_parameters(path: str) -> dict[str, np.ndarray]:
+    """Trained parameters from an .npz file, or from a PyTorch file where torch is installed."""
+    if path.endswith(".npz"):
+        with np.load(path) as archive:
+            return {name: archive[name] for name in archive.files}
+    import torch
+
+    state = torch.load(path, map_location="cpu", weights_only=True)
+    return {name: tensor.numpy() for name, tensor in state.items()}
+
+
+def network(parameters: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Check the shapes and lay the parameters out for channels-last matrix products."""
+    for name, shape in PARAMETERS.items():
+        found = parameters[name].shape if name in parameters else None
+        if found != shape:
+            raise ValueError(f"parameter {name}: expected shape {shape}, found {found}")
+    model = {name: np.asarray(parameters[name], np.float32) for name in PARAMETERS}
+    for name in ("net.0.weight", "net.3.weight", "net.6.weight"):
+        outputs = model[name].shape[0]
+        model[name] = np.ascontiguousarray(model[name].transpose(2, 3, 1, 0).reshape(-1, outputs))
+    # The first dense layer reads channel-major features; ours are channel-minor.
+    dense = model["net.10.weight"].reshape(128, 64, SIDE // 8, SIDE // 8)
+    model["net.10.weight"] = np.ascontiguousarray(dense.transpose(2, 3, 1, 0).reshape(-1, 128))
+    model["net.12.weight"] = np.ascontiguousarray(model["net.12.weight"].T)
+    return model
+
+
+def forward(model: Any, images: np.ndarray, rows: int = 32) -> np.ndarray:
+    """Scores of a stack of pixel arrays.
+
+    Every pass has the same number of rows (padded with zeros), so a score does not
+    depend on which rows happen to share its batch.
+    """
+    scores = []
+    for start in range(0, len(images), rows):
+        part = images[start : start + rows]
+        padded = np.zeros((rows, *part.shape[1:]), np.uint8)
+        padded[: len(part)] = part
+        scores.append(_pass(model, _UNIT[padded])[: len(part)])
+    return np.concatenate(scores)
+
+
+def _pass(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    for layer in ("net.0", "net.3", "net.6"):
+        x = _convolve_and_pool(x, model[f"{layer}.weight"], model[f"{layer}.bias"])
+    x = x.reshape(len(x), -1) @ model["net.10.weight"] + model["net.10.bias"]
+    x = np.maximum(x, 0) @ model["net.12.weight"] + model["net.12.bias"]
+    return 1.0 / (1.0 + np.exp(-x[:, 0].astype(np.float64)))
+
+
+def _convolve_and_pool(x: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    count, side, _, channels = x.shape
+    padded = np.pad(x, ((0, 0), (1, 1), (1, 1), (0, 0)))
+    patches = np.empty((count, side, side, 9 * channels), np.float32)
+    for tap in range(9):
+        row, column = divmod(tap, 3)
+        patches[..., tap * channels : (tap + 1) * channels] = padded[:, row : row + side, column : column + side]
+    x = (patches.reshape(-1, 9 * channels) @ weight).reshape(count, side // 2, 2, side // 2, 2, -1)
+    # Bias and ReLU keep order, so pooling first gives the same values on a quarter of the data.
+    return np.maximum(x.max(axis=(2, 4)) + bias, 0)

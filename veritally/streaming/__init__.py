@@ -1,0 +1 @@
+"""Empty on purpose: the surveyed workload is batch only (no streams, state or watermarks)."""
