@@ -1,0 +1,127 @@
+import base64
+
+import numpy as np
+import pytest
+from conftest import rows
+
+from veritally import register_sql, score
+from veritally.functions import images
+from veritally.operators.scoring import cnn_scorer, decode_images, seeded_cnn_scorer
+
+
+def ppm(image):
+    height, width, _ = image.shape
+    return b"P6\n%d %d\n255\n" % (width, height) + image.tobytes()
+
+
+def photo(seed, height=128, width=128):
+    return np.random.default_rng(seed).integers(0, 256, (height, width, 3), dtype=np.uint8)
+
+
+def by_definition(parameters, image):
+    """The network in its textbook form, in double precision, one image at a time."""
+    x = np.float32(image.transpose(2, 0, 1) / 255.0).astype(np.float64)
+    for layer in ("net.0", "net.3", "net.6"):
+        weight, bias = parameters[f"{layer}.weight"], parameters[f"{layer}.bias"]
+        windows = np.lib.stride_tricks.sliding_window_view(np.pad(x, ((0, 0), (1, 1), (1, 1))), (3, 3), axis=(1, 2))
+        x = np.einsum("cyxij,ocij->oyx", windows, weight.astype(np.float64)) + bias[:, None, None]
+        x = np.maximum(x, 0)
+        x = x.reshape(len(x), x.shape[1] // 2, 2, x.shape[2] // 2, 2).max(axis=(2, 4))
+    x = np.maximum(parameters["net.10.weight"].astype(np.float64) @ x.ravel() + parameters["net.10.bias"], 0)
+    x = parameters["net.12.weight"].astype(np.float64) @ x + parameters["net.12.bias"]
+    return float(1 / (1 + np.exp(-x[0])))
+
+
+@pytest.fixture(scope="module")
+def parameters():
+    return images.seeded_parameters(3)
+
+
+def test_network_equals_its_definition(parameters):
+    pictures = [photo(i) for i in range(3)]
+    stack = np.stack([images.pixels(p.tobytes()) for p in pictures])
+    got = images.forward(images.network(parameters), stack)
+    assert got == pytest.approx([by_definition(parameters, p) for p in pictures], abs=1e-5)
+
+
+def test_a_score_does_not_depend_on_its_batch(parameters):
+    model = images.network(parameters)
+    stack = np.stack([images.pixels(photo(i).tobytes()) for i in range(5)])
+    together = images.forward(model, stack)
+    assert all(images.forward(model, stack[i : i + 1])[0] == together[i] for i in range(5))
+
+
+def test_parameters_of_the_wrong_shape_are_refused(parameters):
+    with pytest.raises(ValueError, match="net.3.bias"):
+        images.network({**parameters, "net.3.bias": np.zeros(7)})
+    with pytest.raises(ValueError, match="net.0.weight"):
+        images.network({k: v for k, v in parameters.items() if k != "net.0.weight"})
+
+
+def test_pixels_of_raw_and_ppm_images_agree():
+    picture = photo(1)
+    assert (images.pixels(picture.tobytes()) == images.pixels(ppm(picture))).all()
+    assert (images.rgb(ppm(picture)) == picture).all()
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (64, 64), (30, 200), (300, 500)])
+def test_resizing_keeps_flat_colours_and_the_size(shape):
+    flat = np.full((*shape, 3), (10, 200, 77), dtype=np.uint8)
+    assert (images.rgb(ppm(flat)) == np.array([10, 200, 77])).all()
+
+
+def test_resizing_reads_the_whole_image():
+    picture = np.zeros((512, 512, 3), np.uint8)
+    picture[-40:, -40:] = 255
+    small = images.rgb(ppm(picture))
+    assert small[-5, -5].min() > 240 and small[:100, :100].max() == 0
+
+
+def test_bad_images():
+    with pytest.raises(ValueError):
+        images.pixels(b"P6\n10 10\n255\nshort")
+    with pytest.raises(Exception):
+        images.pixels(b"not an image")
+
+
+@pytest.fixture
+def payloads(spark):
+    pictures = [ppm(photo(i, 40 + i, 60)) for i in range(6)]
+    data = [(i, base64.b64encode(p).decode()) for i, p in enumerate(pictures)]
+    data += [(6, "%%%"), (7, base64.b64encode(b"no image").decode()), (8, None), (9, "")]
+    return spark.createDataFrame(data, "id int, image string")
+
+
+def test_scoring_images(spark, payloads, parameters, tmp_path):
+    path = str(tmp_path / "weights.npz")
+    np.savez(path, **parameters)
+    scorer = cnn_scorer(path)
+    expected = {i: by_definition(parameters, images.rgb(ppm(photo(i, 40 + i, 60)))) for i in range(6)}
+    for partitions in (1, 4):
+        result = {r["id"]: r for r in score(payloads.repartition(partitions), "image", scorer).collect()}
+        for i in range(6):
+            assert result[i]["score"] == pytest.approx(expected[i], abs=1e-5)
+            assert result[i]["pred"] == (result[i]["score"] > 0.5) and result[i]["score_error"] is None
+        for i in range(6, 10):
+            assert result[i]["score"] is None and result[i]["pred"] is False and result[i]["score_error"]
+
+
+def test_scoring_decoded_pixels_equals_scoring_payloads(payloads):
+    scorer = seeded_cnn_scorer()
+    decoded = decode_images(payloads, "image")
+    assert {r["id"]: r["decode_error"] is None for r in decoded.collect()} == {i: i < 6 for i in range(10)}
+    columns = ["id", "score", "pred"]
+    direct = score(payloads, "image", scorer).select(columns)
+    staged = score(decoded, "pixels", scorer, keep=["id"]).select(columns)
+    assert sorted(map(str, rows(direct))) == sorted(map(str, rows(staged)))
+
+
+def test_images_in_sql(spark, payloads):
+    register_sql(spark, "is_suspect", seeded_cnn_scorer())
+    by_sql = rows(spark.sql("SELECT id, is_suspect(image) FROM {t}", t=payloads))
+    assert sorted(by_sql) == sorted(rows(score(payloads, "image", seeded_cnn_scorer()).select("id", "pred")))
+
+
+def test_weights_that_cannot_be_read_fail_on_the_driver(payloads, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        score(payloads, "image", cnn_scorer(str(tmp_path / "none.npz")))

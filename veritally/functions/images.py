@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -29,20 +30,21 @@ PARAMETERS = {
     "net.12.bias": (1,),
 }
 
+CONVOLUTIONS = ("net.0", "net.3", "net.6")
+
 _PPM = re.compile(rb"P6\s+(\d+)\s+(\d+)\s+255\s")
 _UNIT = (np.arange(256) / 255.0).astype(np.float32)
 
 
 def pixels(data: bytes) -> np.ndarray:
-    """Image bytes to a SIDE x SIDE x 3 array of bytes.
+    """Image bytes to a 3 x SIDE x SIDE array of bytes.
 
     Takes raw RGB of the exact size, binary PPM of any size and, where Pillow is
-    installed, whatever Pillow opens.
+    installed, whatever Pillow opens. All of these hold the channels of a pixel together.
     """
     if len(data) == SIDE * SIDE * 3:
-        return np.frombuffer(data, np.uint8).reshape(SIDE, SIDE, 3)
-    header = _PPM.match(data)
-    if header:
+        image = np.frombuffer(data, np.uint8).reshape(SIDE, SIDE, 3)
+    elif header := _PPM.match(data):
         width, height = int(header[1]), int(header[2])
         body = np.frombuffer(data, np.uint8, offset=header.end())
         image = body[: width * height * 3].reshape(height, width, 3)
@@ -50,19 +52,29 @@ def pixels(data: bytes) -> np.ndarray:
         image = np.asarray(Image.open(io.BytesIO(data)).convert("RGB"))
     else:
         raise ValueError("unknown image format")
-    return resize(image)
+    return resize(np.ascontiguousarray(image.transpose(2, 0, 1)))
+
+
+def rgb(data: bytes) -> np.ndarray:
+    """Like `pixels`, with the channels of a pixel together: raw RGB, which `pixels` reads back."""
+    return pixels(data).transpose(1, 2, 0)
 
 
 def resize(image: np.ndarray) -> np.ndarray:
     """Bicubic resize to SIDE x SIDE, widened when shrinking so every pixel counts."""
-    for axis in (1, 0):
-        if image.shape[axis] != SIDE:
-            weights = _cubic_weights(image.shape[axis])
-            image = np.moveaxis(np.tensordot(weights, image, axes=(1, axis)), 0, axis)
-            image = np.clip(np.floor(image + 0.5), 0, 255).astype(np.uint8)
-    return np.ascontiguousarray(image)
+    _, height, width = image.shape
+    if width != SIDE:
+        image = _rounded(image.astype(np.float32) @ _cubic_weights(width).T)
+    if height != SIDE:
+        image = _rounded(_cubic_weights(height) @ image.astype(np.float32))
+    return image
+
 
+def _rounded(values: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(values + 0.5), 0, 255).astype(np.uint8)
 
+
+@lru_cache(maxsize=64)
 def _cubic_weights(length: int) -> np.ndarray:
     scale = length / SIDE
     stretch = max(scale, 1.0)
@@ -71,10 +83,10 @@ def _cubic_weights(length: int) -> np.ndarray:
     near = 1.5 * x**3 - 2.5 * x**2 + 1.0
     far = -0.5 * x**3 + 2.5 * x**2 - 4.0 * x + 2.0
     weights = np.where(x < 1, near, np.where(x < 2, far, 0.0))
-    return weights / weights.sum(axis=1, keepdims=True)
+    return (weights / weights.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def seeded_parameters(seed: int = 7) -> dict[str, np.ndarray]:
+def seeded_parameters(seed: int) -> dict[str, np.ndarray]:
     """Random parameters of the right shapes, the same for the same seed."""
     rng = np.random.default_rng(seed)
     made = {}
@@ -96,19 +108,18 @@ def load_parameters(path: str) -> dict[str, np.ndarray]:
 
 
 def network(parameters: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Check the shapes and lay the parameters out for channels-last matrix products."""
+    """Check the shapes and lay the weights out for matrix products."""
     for name, shape in PARAMETERS.items():
         found = parameters[name].shape if name in parameters else None
         if found != shape:
             raise ValueError(f"parameter {name}: expected shape {shape}, found {found}")
     model = {name: np.asarray(parameters[name], np.float32) for name in PARAMETERS}
-    for name in ("net.0.weight", "net.3.weight", "net.6.weight"):
-        outputs = model[name].shape[0]
-        model[name] = np.ascontiguousarray(model[name].transpose(2, 3, 1, 0).reshape(-1, outputs))
-    # The first dense layer reads channel-major features; ours are channel-minor.
-    dense = model["net.10.weight"].reshape(128, 64, SIDE // 8, SIDE // 8)
-    model["net.10.weight"] = np.ascontiguousarray(dense.transpose(2, 3, 1, 0).reshape(-1, 128))
-    model["net.12.weight"] = np.ascontiguousarray(model["net.12.weight"].T)
+    for layer in CONVOLUTIONS:
+        weight = model[f"{layer}.weight"]
+        model[f"{layer}.weight"] = weight.reshape(len(weight), -1)
+        model[f"{layer}.bias"] = model[f"{layer}.bias"][:, None, None]
+    for layer in ("net.10", "net.12"):
+        model[f"{layer}.weight"] = np.ascontiguousarray(model[f"{layer}.weight"].T)
     return model
 
 
@@ -121,27 +132,27 @@ def forward(model: Any, images: np.ndarray, rows: int = 32) -> np.ndarray:
     scores = []
     for start in range(0, len(images), rows):
         part = images[start : start + rows]
-        padded = np.zeros((rows, *part.shape[1:]), np.uint8)
-        padded[: len(part)] = part
-        scores.append(_pass(model, _UNIT[padded])[: len(part)])
+        features = np.zeros((rows, model["net.10.weight"].shape[0]), np.float32)
+        for row, image in enumerate(part):  # one image fits the processor's cache, a stack does not
+            x = _UNIT[image]
+            for layer in CONVOLUTIONS:
+                x = _convolve_and_pool(x, model[f"{layer}.weight"], model[f"{layer}.bias"])
+            features[row] = x.ravel()
+        hidden = np.maximum(features @ model["net.10.weight"] + model["net.10.bias"], 0)
+        output = hidden @ model["net.12.weight"] + model["net.12.bias"]
+        scores.append(1.0 / (1.0 + np.exp(-output[: len(part), 0].astype(np.float64))))
     return np.concatenate(scores)
 
 
-def _pass(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    for layer in ("net.0", "net.3", "net.6"):
-        x = _convolve_and_pool(x, model[f"{layer}.weight"], model[f"{layer}.bias"])
-    x = x.reshape(len(x), -1) @ model["net.10.weight"] + model["net.10.bias"]
-    x = np.maximum(x, 0) @ model["net.12.weight"] + model["net.12.bias"]
-    return 1.0 / (1.0 + np.exp(-x[:, 0].astype(np.float64)))
-
-
 def _convolve_and_pool(x: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    count, side, _, channels = x.shape
-    padded = np.pad(x, ((0, 0), (1, 1), (1, 1), (0, 0)))
-    patches = np.empty((count, side, side, 9 * channels), np.float32)
+    channels, side, _ = x.shape
+    padded = np.pad(x, ((0, 0), (1, 1), (1, 1)))
+    patches = np.empty((channels, 9, side, side), np.float32)
     for tap in range(9):
         row, column = divmod(tap, 3)
-        patches[..., tap * channels : (tap + 1) * channels] = padded[:, row : row + side, column : column + side]
-    x = (patches.reshape(-1, 9 * channels) @ weight).reshape(count, side // 2, 2, side // 2, 2, -1)
+        patches[:, tap] = padded[:, row : row + side, column : column + side]
+    x = (weight @ patches.reshape(channels * 9, -1)).reshape(-1, side, side)
     # Bias and ReLU keep order, so pooling first gives the same values on a quarter of the data.
-    return np.maximum(x.max(axis=(2, 4)) + bias, 0)
+    x = np.maximum(x[:, ::2], x[:, 1::2])
+    x = np.maximum(x[..., ::2], x[..., 1::2])
+    return np.maximum(x + bias, 0)

@@ -38,7 +38,8 @@ def restrict_to_keys(df: DataFrame, keys: DataFrame) -> DataFrame:
     whole and the caller's own join does the restricting.
     """
     columns = keys.columns
-    distinct = keys.dropna().distinct()
+    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+    distinct = keys.where(present).distinct()
     size = distinct.agg(key_size(distinct)).first()[0]
     if size > broadcast_limit(df):
         return df

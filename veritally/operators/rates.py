@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +27,15 @@ def score_summary(
     )
 
 
+def summary_by_scale(
+    summary: DataFrame, factors: Iterable[int], counts: Sequence[str], scale: str = "factor"
+) -> DataFrame:
+    """A one-row summary at every scale: n copies of each row make every count n times as
+    large and leave rates as they are, so the table is read, and scored, once."""
+    scaled = summary.select("*", F.explode(F.array(*[F.lit(f) for f in factors])).alias(scale))
+    return scaled.withColumns({name: F.col(name) * F.col(scale) for name in counts})
+
+
 def label_summary(
     labels: DataFrame,
     flag: str,

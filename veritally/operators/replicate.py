@@ -26,6 +26,15 @@ def replicate(df: DataFrame, copies: int, tag: str | None = "dup_batch") -> Data
     return numbered if tag else numbered.drop(name)
 
 
+def replicate_each(
+    df: DataFrame, factors: Iterable[int] = FACTORS, scale: str = "factor", tag: str = "dup_batch"
+) -> DataFrame:
+    """The whole family of scales in one table and one scan: for every factor, that many
+    copies of every row."""
+    per_factor = df.select("*", F.explode(F.array(*[F.lit(f) for f in factors])).alias(scale))
+    return per_factor.select("*", F.explode(F.sequence(F.lit(0), F.col(scale) - 1)).alias(tag))
+
+
 def union_by_name(tables: Iterable[DataFrame]) -> DataFrame:
     """Bag union of tables with the same columns in any order."""
     first, *others = tables

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
@@ -93,16 +93,21 @@ def _dot(weights: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 LINEAR = ModelScorer("linear", "1", load=_linear_weights, decode=_vector, forward=_dot, rows_per_pass=4096)
 
 
-def cnn_scorer(weights: str | None = None, *, seed: int = 7, version: str = "1") -> ModelScorer:
-    """Image scorer with trained weights from a file, or seeded ones where no path is given."""
+def cnn_scorer(weights: str, *, name: str = "cnn", version: str = "1") -> ModelScorer:
+    """Image scorer with trained weights from a file the driver can read."""
+    return _image_scorer(name, version, lambda: images.load_parameters(weights))
 
-    def load() -> dict[str, np.ndarray]:
-        return images.network(images.load_parameters(weights) if weights else images.seeded_parameters(seed))
 
+def seeded_cnn_scorer(seed: int = 9) -> ModelScorer:
+    """The same network with random weights, for trial runs without a trained model."""
+    return _image_scorer("cnn_seeded", str(seed), lambda: images.seeded_parameters(seed))
+
+
+def _image_scorer(name: str, version: str, parameters: Callable[[], dict[str, np.ndarray]]) -> ModelScorer:
     return ModelScorer(
-        name="cnn",
+        name=name,
         version=version,
-        load=load,
+        load=lambda: images.network(parameters()),
         decode=images.pixels,
         forward=images.forward,
         threshold=0.5,
@@ -128,7 +133,7 @@ def get_scorer(scorer: str | Scorer) -> Scorer:
     return _SCORERS[scorer]
 
 
-for _scorer in (LINES, LINEAR, cnn_scorer()):
+for _scorer in (LINES, LINEAR, seeded_cnn_scorer()):
     register_scorer(_scorer)
 
 # --- model distribution ---------------------------------------------------------------
@@ -146,8 +151,11 @@ def _model_handle(spark: SparkSession, scorer: ModelScorer) -> Broadcast | None:
     return _broadcasts[key]
 
 
-def model_udf(spark: SparkSession, scorer: ModelScorer, on_missing_model: str = "fail"):
-    """Batch UDF payload -> struct<score, error>. The model is read once per task."""
+def _batch_function(spark: SparkSession, scorer: ModelScorer, on_missing_model: str):
+    """Batches of payloads to batches of (score, error), as it runs on a worker.
+
+    The model is read once per task. Without one, the default is to fail here, on the driver.
+    """
     if on_missing_model not in ("fail", "false"):
         raise ValueError("on_missing_model is 'fail' or 'false'")
     ship_package(spark)
@@ -156,22 +164,27 @@ def model_udf(spark: SparkSession, scorer: ModelScorer, on_missing_model: str =
     except Exception:
         if on_missing_model == "fail":
             raise
-
-        @F.pandas_udf(RESULT)
-        def without_model(payloads: pd.Series) -> pd.DataFrame:
-            return batches.unscored_batch(payloads)
-
-        return without_model
+        return lambda series: map(batches.unscored_batch, series)
 
     load, decode, forward, rows = scorer.load, scorer.decode, scorer.forward, scorer.rows_per_pass
 
-    @F.pandas_udf(RESULT)
-    def with_model(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def scored(series):
         model = handle.value if handle is not None else load()
         for payloads in series:
             yield batches.score_batch(payloads, model, decode, forward, rows)
 
-    return with_model
+    return scored
+
+
+def model_udf(spark: SparkSession, scorer: ModelScorer, on_missing_model: str = "fail"):
+    """Batch UDF payload -> struct<score, error>."""
+    scored = _batch_function(spark, scorer, on_missing_model)
+
+    @F.pandas_udf(RESULT)
+    def score_and_error(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from scored(series)
+
+    return score_and_error
 
 
 # --- the operator ---------------------------------------------------------------------
@@ -238,19 +251,24 @@ def _wanted_partitions(df: DataFrame) -> int | None:
     return 2 * cores if df.rdd.getNumPartitions() < cores else None
 
 
-def decode_images(df: DataFrame, payload: str, keep: Sequence[str] | None = None) -> DataFrame:
-    """Preprocessing job: image payload to a `pixels` column (bytes, 128 x 128 x 3, or NULL)
-    and `decode_error`. Written once, it spares later scoring runs the decoding; bytes take
-    a quarter of the room of the floats the network works on."""
+def decode_images(
+    df: DataFrame, payload: str, keep: Sequence[str] | None = None, *, spread: bool = False
+) -> DataFrame:
+    """Preprocessing job: image payload to a `pixels` column (RGB bytes, 128 x 128 x 3, or
+    NULL) and `decode_error`. Written once, it spares later scoring runs the decoding; bytes
+    take a quarter of the room of the floats the network works on."""
     ship_package(df.sparkSession)
     keep = [c for c in df.columns if c != payload] if keep is None else list(keep)
+    partitions = _wanted_partitions(df) if spread else None
     df = df.select(*keep, F.col(payload).alias("_payload"))
+    if partitions:
+        df = df.repartition(partitions)
     if isinstance(df.schema["_payload"].dataType, T.StringType):
         df = df.withColumn("_payload", payload_bytes("_payload"))
 
     @F.pandas_udf("pixels binary, error string")
     def to_pixels(payloads: pd.Series) -> pd.DataFrame:
-        return batches.decode_batch(payloads, images.pixels)
+        return batches.decode_batch(payloads, images.rgb)
 
     result = to_pixels(F.col("_payload")).alias("_result")
     return df.select(*keep, result).select(
@@ -262,30 +280,31 @@ def decode_images(df: DataFrame, payload: str, keep: Sequence[str] | None = None
 
 
 def register_sql(
-    spark: SparkSession, name: str, scorer: str | Scorer = "lines", *, threshold: float | None = None
+    spark: SparkSession,
+    name: str,
+    scorer: str | Scorer = "lines",
+    *,
+    threshold: float | None = None,
+    on_missing_model: str = "fail",
 ) -> None:
     """Make `name(payload)` callable from SQL: a boolean, false where there is no score."""
     scorer = get_scorer(scorer)
-    if threshold is not None:
-        scorer = replace(scorer, threshold=threshold)
+    cut = float(scorer.threshold if threshold is None else threshold)
     if isinstance(scorer, SqlScorer):
         body = scorer.score_sql.format(x="payload")
         spark.sql(
             f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(payload {scorer.input_type}) RETURNS BOOLEAN "
-            f"RETURN coalesce({body} > {scorer.threshold}D, false)"
+            f"RETURN coalesce({body} > {cut!r}D, false)"
         )
         return
-    ship_package(spark)
-    handle = _model_handle(spark, scorer)
-    load, decode, forward, rows = scorer.load, scorer.decode, scorer.forward, scorer.rows_per_pass
-    cut, base64_text = scorer.threshold, scorer.base64_text
+    scored = _batch_function(spark, scorer, on_missing_model)
+    base64_text = scorer.base64_text
 
     @F.pandas_udf("boolean")
     def flag(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = handle.value if handle is not None else load()
-        for payloads in series:
-            if base64_text:
-                payloads = payloads.map(batches.base64_bytes)
-            yield batches.score_batch(payloads, model, decode, forward, rows)["score"] > cut
+        if base64_text:
+            series = (payloads.map(batches.base64_bytes) for payloads in series)
+        for result in scored(series):
+            yield result["score"] > cut
 
     spark.udf.register(name, flag)

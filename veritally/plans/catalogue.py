@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritally.functions.columns import count_true, label_flag, payload_bytes, rate_pct
-from veritally.operators.rates import label_summary, rate_by, score_summary, top_groups
-from veritally.operators.replicate import FACTORS, replicate, scale_family, union_by_name
+from veritally.operators.rates import label_summary, rate_by, score_summary, summary_by_scale, top_groups
+from veritally.operators.replicate import FACTORS, replicate, replicate_each, union_by_name
 from veritally.operators.scoring import decode_images, register_sql, score
 from veritally.plans import sql
 from veritally.session import shared_folder
@@ -154,12 +154,12 @@ def q_linear_rate_by_label(spark, sf_dir):
 
 
 def q_image_score(spark, sf_dir):
-    scored = score(document_images(spark, sf_dir), "image", "cnn", spread=True)
+    scored = score(document_images(spark, sf_dir), "image", "cnn_seeded", spread=True)
     return scored.withColumn("score", F.round("score", 5))
 
 
 def q_image_pixels(spark, sf_dir):
-    decoded = decode_images(document_images(spark, sf_dir), "image")
+    decoded = decode_images(document_images(spark, sf_dir), "image", spread=True)
     return decoded.select("doc_id", F.octet_length("pixels").alias("n_bytes"), "decode_error")
 
 
@@ -185,22 +185,20 @@ def q_union_by_name(spark, sf_dir):
 
 
 def q_score_summary_scales(spark, sf_dir):
-    """The first question at every scale factor; the scored rows are replicated, not rescored."""
-    family = scale_family({"scored": scored_documents(spark, sf_dir).select("pred")})
-    summaries = [
-        score_summary(family[name]).withColumn("factor", F.lit(factor))
-        for factor, name in zip(FACTORS, family, strict=True)
-    ]
-    return union_by_name(summaries)
+    """The first question at every scale factor, from one scan and one scoring."""
+    summary = score_summary(scored_documents(spark, sf_dir))
+    return summary_by_scale(summary, FACTORS, ["total", "predicted"])
 
 
 def q_label_summary_scales(spark, sf_dir):
-    family = scale_family({"labels": labels(spark, sf_dir)})
-    summaries = [
-        label_summary(family[name], "flag").withColumn("factor", F.lit(factor))
-        for factor, name in zip(FACTORS, family, strict=True)
-    ]
-    return union_by_name(summaries)
+    summary = label_summary(labels(spark, sf_dir), "flag")
+    return summary_by_scale(summary, FACTORS, ["total", "positive", "negative"])
+
+
+def q_scale_family_counts(spark, sf_dir):
+    """All scales of the label table, row by row."""
+    copies = replicate_each(labels(spark, sf_dir).select("flag"))
+    return copies.groupBy("factor", "flag").agg(F.count(F.lit(1)).alias("total"))
 
 
 def _scaled(spark, sf_dir, by, factor, on, **options):
@@ -379,6 +377,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT CAST(factor AS INTEGER) AS factor, {_LABELS}
             FROM labels JOIN f ON TRUE JOIN (SELECT unnest(range(100)) AS c) ON c < factor
             GROUP BY factor""",
+        "scale_family_counts": f"""WITH f AS (SELECT unnest([{factors}]) AS factor)
+            SELECT CAST(factor AS INTEGER) AS factor, toxic = 1 AS flag, COUNT(*) AS total
+            FROM labels JOIN f ON TRUE JOIN (SELECT unnest(range(100)) AS c) ON c < factor
+            GROUP BY factor, toxic = 1""",
         "rate_scaled_faithful": _scaled_sql(aligned=False),
         "rate_scaled_rows": _scaled_sql(aligned=False),
         "rate_scaled_aligned": _scaled_sql(aligned=True),

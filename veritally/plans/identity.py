@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from veritally.functions.columns import label_flag
 from veritally.operators.rates import label_summary, rate_by, score_summary
 from veritally.operators.replicate import replicate
-from veritally.operators.scoring import Scorer, cnn_scorer, score
+from veritally.operators.scoring import Scorer, score
+from veritally.sources.store import ScoreStore
 from veritally.sources.tables import read_csv
 
 
@@ -32,14 +33,22 @@ class IdentityTables:
         image_path: str,
         label_path: str,
         attribute_path: str,
+        scorer: str | Scorer,
         *,
-        scorer: str | Scorer | None = None,
+        store: ScoreStore | None = None,
         **options,
     ) -> IdentityTables:
-        """Read the three CSV files and add the score column (base64 images in `imageData`)."""
+        """Read the three CSV files and add the score column (base64 images in `imageData`).
+
+        With a store the scores are computed once, new images apart, and every query reads
+        them as an ordinary column; without one, every query that needs them scores again.
+        """
         images = read_csv(spark, image_path).select("name", "imageData")
         labels = read_csv(spark, label_path).withColumn("isfraud", label_flag("isfraud"))
-        scored = score(images, "imageData", scorer or cnn_scorer(), spread=True, **options)
+        if store is None:
+            scored = score(images, "imageData", scorer, spread=True, **options)
+        else:
+            scored = store.append_new(images, "name", "imageData", scorer, spread=True, **options)
         return cls(scored, labels, read_csv(spark, attribute_path))
 
     def scaled(self, factor: int) -> IdentityTables:

@@ -39,7 +39,7 @@ class ScoreStore:
 
     def write(self, df: DataFrame, key: str, payload: str, scorer: str | Scorer = "lines", **options) -> DataFrame:
         """Score every row of `df`, replacing what this scorer version had stored."""
-        self._save(score(df, payload, scorer, keep=[key], **options), scorer, "overwrite")
+        self._save(score(df, payload, scorer, keep=[key], **options), scorer, "overwrite", empty=df.isEmpty())
         return self.read(scorer)
 
     def append_new(
@@ -71,7 +71,19 @@ class ScoreStore:
             self._save(score(new_rows, payload, scorer, keep=[key], **options), scorer, "append")
         return self.read(scorer)
 
-    def _save(self, scored: DataFrame, scorer: str | Scorer, mode: str) -> None:
+    def _save(self, scored: DataFrame, scorer: str | Scorer, mode: str, empty: bool = False) -> None:
+        if empty:
+            scored.write.mode(mode).parquet(self.path(scorer))
+            return
+        scorer = get_scorer(scorer)
         # A scan of wide payloads has many splits and leaves little from each: regroup the
-        # narrow result into files of the advisory size.
-        scored.hint("rebalance").write.mode(mode).parquet(self.path(scorer))
+        # narrow result into files of the advisory size. Overwriting partition by partition
+        # keeps the old scores until the new ones are complete.
+        (
+            scored.hint("rebalance")
+            .withColumns({"scorer": F.lit(scorer.name), "version": F.lit(scorer.version)})
+            .write.mode(mode)
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("scorer", "version")
+            .parquet(self.root)
+        )
