@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veritally import get_scorer, rate_by, register_scorer, register_sql, replicate, score, score_summary
 from veritally.functions.columns import label_flag, payload_bytes
 from veritally.operators import scoring
-from veritally.operators.scoring import ModelScorer, SqlScorer
+from veritally.operators.scoring import ModelScorer, SqlScorer, partitions_for
 
 
 def length_scorer(counter=None, threshold=2.0, rows_per_pass=2, name="length", load=lambda: 1.0):
@@ -135,11 +135,10 @@ def test_scores_do_not_depend_on_partitions(spark):
 def test_spreading_keeps_all_rows(spark, tmp_path):
     spark.range(100).select("id", F.lit("abc").alias("payload")).coalesce(1).write.parquet(str(tmp_path / "one"))
     df = spark.read.parquet(str(tmp_path / "one"))
-    spread = score(df, "payload", length_scorer(), spread=True)
+    spread = score(df, "payload", length_scorer(), partitions=partitions_for(df))
     assert "RoundRobinPartitioning" in plan(spread)
     assert spread.where("pred").count() == 100
-    many = spark.range(0, 100, 1, 64).select("id", F.lit("abc").alias("payload"))
-    assert "RoundRobinPartitioning" not in plan(score(many, "payload", length_scorer(), spread=True))
+    assert partitions_for(spark.range(0, 100, 1, 64)) is None
 
 
 def test_registry(payloads):

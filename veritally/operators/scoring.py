@@ -68,7 +68,8 @@ Scorer = SqlScorer | ModelScorer
 LINES = SqlScorer(
     name="lines",
     version="1",
-    score_sql="CAST(120 * (length({x}) - length(replace({x}, chr(10), ''))) - length({x}) AS DOUBLE)",
+    # A newline is one byte, and byte lengths need no pass over the text.
+    score_sql="CAST(120 * (octet_length({x}) - octet_length(replace({x}, chr(10), ''))) - length({x}) AS DOUBLE)",
     input_type="STRING",
 )
 
@@ -199,7 +200,7 @@ def score(
     threshold: float | None = None,
     on_missing_model: str = "fail",
     only_keys: DataFrame | None = None,
-    spread: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Score every row once: `keep` columns (default: all but the payload) plus
     `score` (double), `pred` (score strictly above the threshold, never NULL) and
@@ -207,12 +208,10 @@ def score(
 
     only_keys   rows whose key is absent from this table are not needed by the caller, and
                 are left out before scoring where the table is small enough to broadcast
-    spread      for a `df` read straight from files: where it has fewer splits than there are
-                cores, spread the rows first, as model time and not bytes is the load
+    partitions  spread the rows over this many partitions first; see `partitions_for`
     """
     scorer = get_scorer(scorer)
     keep = [c for c in df.columns if c != payload] if keep is None else list(keep)
-    partitions = _wanted_partitions(df) if spread else None
     df = df.select(*keep, F.col(payload).alias("_payload"))
     if only_keys is not None:
         df = restrict_to_keys(df, only_keys)
@@ -244,22 +243,25 @@ def _sql_result(scorer: SqlScorer) -> Column:
     return F.struct(value.alias("score"), error.alias("error"))
 
 
-def _wanted_partitions(df: DataFrame) -> int | None:
-    """Number to spread to, or None where there are splits enough. Only an input of fewer
-    splits than cores is shuffled, so what moves is at most one split per core."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return 2 * cores if df.rdd.getNumPartitions() < cores else None
+def partitions_for(scan: DataFrame) -> int | None:
+    """How far to spread the rows of a file scan before a model scores them, or None.
+
+    Model time, not bytes, is the load, so a scan of fewer splits than there are cores is
+    spread over all of them; what moves is then at most one split per core. A larger scan is
+    left alone. `scan` must be a plain scan: its splits are counted without running it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return 2 * cores if scan.rdd.getNumPartitions() < cores else None
 
 
 def decode_images(
-    df: DataFrame, payload: str, keep: Sequence[str] | None = None, *, spread: bool = False
+    df: DataFrame, payload: str, keep: Sequence[str] | None = None, *, partitions: int | None = None
 ) -> DataFrame:
     """Preprocessing job: image payload to a `pixels` column (RGB bytes, 128 x 128 x 3, or
     NULL) and `decode_error`. Written once, it spares later scoring runs the decoding; bytes
     take a quarter of the room of the floats the network works on."""
     ship_package(df.sparkSession)
     keep = [c for c in df.columns if c != payload] if keep is None else list(keep)
-    partitions = _wanted_partitions(df) if spread else None
     df = df.select(*keep, F.col(payload).alias("_payload"))
     if partitions:
         df = df.repartition(partitions)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from veritally.functions.columns import count_true, label_flag, payload_bytes, rate_pct
 from veritally.operators.rates import label_summary, rate_by, score_summary, summary_by_scale, top_groups
 from veritally.operators.replicate import FACTORS, replicate, replicate_each, union_by_name
-from veritally.operators.scoring import decode_images, register_sql, score
+from veritally.operators.scoring import decode_images, partitions_for, register_sql, score
 from veritally.plans import sql
 from veritally.session import shared_folder
 from veritally.sources.store import ScoreStore
@@ -42,7 +42,8 @@ def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "embeddings"), "embedding", "linear", keep=["vec_id"], spread=True)
+    vectors = table(spark, sf_dir, "embeddings")
+    return score(vectors, "embedding", "linear", keep=["vec_id"], partitions=partitions_for(vectors))
 
 
 def text_as_image(text: Column) -> Column:
@@ -154,12 +155,14 @@ def q_linear_rate_by_label(spark, sf_dir):
 
 
 def q_image_score(spark, sf_dir):
-    scored = score(document_images(spark, sf_dir), "image", "cnn_seeded", spread=True)
+    pictures = document_images(spark, sf_dir)
+    scored = score(pictures, "image", "cnn_seeded", partitions=partitions_for(pictures))
     return scored.withColumn("score", F.round("score", 5))
 
 
 def q_image_pixels(spark, sf_dir):
-    decoded = decode_images(document_images(spark, sf_dir), "image", spread=True)
+    pictures = document_images(spark, sf_dir)
+    decoded = decode_images(pictures, "image", partitions=partitions_for(pictures))
     return decoded.select("doc_id", F.octet_length("pixels").alias("n_bytes"), "decode_error")
 
 

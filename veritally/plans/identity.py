@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from veritally.functions.columns import label_flag
 from veritally.operators.rates import label_summary, rate_by, score_summary
 from veritally.operators.replicate import replicate
-from veritally.operators.scoring import Scorer, score
+from veritally.operators.scoring import Scorer, partitions_for, score
 from veritally.sources.store import ScoreStore
 from veritally.sources.tables import read_csv
 
@@ -45,10 +45,11 @@ class IdentityTables:
         """
         images = read_csv(spark, image_path).select("name", "imageData")
         labels = read_csv(spark, label_path).withColumn("isfraud", label_flag("isfraud"))
+        options.setdefault("partitions", partitions_for(images))
         if store is None:
-            scored = score(images, "imageData", scorer, spread=True, **options)
+            scored = score(images, "imageData", scorer, **options)
         else:
-            scored = store.append_new(images, "name", "imageData", scorer, spread=True, **options)
+            scored = store.append_new(images, "name", "imageData", scorer, **options)
         return cls(scored, labels, read_csv(spark, attribute_path))
 
     def scaled(self, factor: int) -> IdentityTables:

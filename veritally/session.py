@@ -6,7 +6,7 @@ import os
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the scoring jobs are tuned for. Shuffle partitions are left to the
 # cluster's own setting; AQE merges what is too small and splits what is too large.
@@ -43,6 +43,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _fallback_dirs.setdefault(context.applicationId, tempfile.mkdtemp(prefix="veritally-"))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Compute now and keep the result in the shared folder, where a lost executor leaves it."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers (once per application)."""
     context = spark.sparkContext

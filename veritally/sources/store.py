@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from veritally.operators.joins import broadcast_limit, key_size, same_key
 from veritally.operators.scoring import Scorer, get_scorer, score
+from veritally.session import checkpointed
 
 
 class ScoreStore:
@@ -52,24 +53,29 @@ class ScoreStore:
         """
         if not self.exists(scorer):
             return self.write(df, key, payload, scorer, **options)
+        new_keys, size = self._new_keys(df, key, scorer)
+        if size:
+            side = F.broadcast(new_keys) if size <= broadcast_limit(df) else new_keys
+            new_rows = df.join(side, same_key(df, side, [key]), "left_semi")
+            self._save(score(new_rows, payload, scorer, keep=[key], **options), scorer, "append")
+        return self.read(scorer)
+
+    def _new_keys(self, df: DataFrame, key: str, scorer: str | Scorer) -> tuple[DataFrame, int]:
+        """Keys of `df` that are not stored, and the room they take; only keys are read and
+        shuffled here, one row each, and the result is kept for the two jobs that use it."""
         rows = F.count(F.lit(1))
         stored = self.read(scorer).groupBy(key).agg(rows.alias("_stored"))
         present = df.groupBy(key).agg(rows.alias("_present"))
-        # Only keys are read and shuffled here, one row each.
         status = present.join(stored, same_key(present, stored, [key]), "left").select(
             present[key], "_present", "_stored"
         )
-        new_keys = status.where(F.col("_stored").isNull()).select(key)
-        changed = F.count_if(F.col("_stored") != F.col("_present"))
-        conflicts = status.agg(changed).first()[0]
-        if conflicts:
-            raise ValueError(f"{conflicts} stored keys have another number of rows now; write() the table again")
-        size = new_keys.agg(key_size(new_keys)).first()[0]
-        if size:
-            side = F.broadcast(new_keys) if size <= broadcast_limit(df) else new_keys
-            new_rows = df.join(side, same_key(df, side, [key]), "left_semi")
-            self._save(score(new_rows, payload, scorer, keep=[key], **options), scorer, "append")
-        return self.read(scorer)
+        changed = status.where(F.col("_stored").isNull() | (F.col("_stored") != F.col("_present")))
+        changed = checkpointed(changed.select(key, F.col("_stored").isNotNull().alias("_conflict")))
+        new_keys = changed.where(~F.col("_conflict")).select(key)
+        totals = changed.agg(F.count_if("_conflict"), key_size(changed.select(key))).first()
+        if totals[0]:
+            raise ValueError(f"{totals[0]} stored keys have another number of rows now; write() the table again")
+        return new_keys, totals[1]
 
     def _save(self, scored: DataFrame, scorer: str | Scorer, mode: str, empty: bool = False) -> None:
         if empty:
