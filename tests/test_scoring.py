@@ -1,4 +1,5 @@
 import base64
+import random
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ from conftest import plan, rows
 from pyspark.sql import functions as F
 
 from veritally import get_scorer, rate_by, register_scorer, register_sql, replicate, score, score_summary
+from veritally.functions.batches import base64_bytes
 from veritally.functions.columns import label_flag, payload_bytes
 from veritally.operators import scoring
 from veritally.operators.scoring import ModelScorer, SqlScorer, partitions_for
@@ -118,10 +120,24 @@ def test_the_model_is_called_on_batches_and_once_per_query(spark, payloads):
     assert counter.value == 3
 
 
-def test_a_large_model_is_loaded_by_the_workers(payloads, monkeypatch):
+def test_a_large_model_is_loaded_once_per_worker(spark, payloads, monkeypatch):
     monkeypatch.setattr(scoring, "MAX_BROADCAST_MODEL", 0)
-    result = score(payloads, "payload", length_scorer(load=lambda: 10.0))
-    assert {n: s for n, s, _, _ in rows(result)}["b"] == 40.0
+    loads = spark.sparkContext.accumulator(0)
+
+    def load():
+        loads.add(1)
+        return 10.0
+
+    scorer = length_scorer(load=load)
+    for _ in range(3):
+        result = score(payloads.repartition(8), "payload", scorer)
+        assert {n: s for n, s, _, _ in rows(result)}["b"] == 40.0
+    assert 2 <= loads.value <= 1 + 8  # the driver, and each worker that got rows
+
+
+def test_a_kept_column_must_not_clash(payloads):
+    with pytest.raises(ValueError, match="score"):
+        score(payloads.withColumn("score", F.lit(1)), "payload", "lines")
 
 
 def test_scores_do_not_depend_on_partitions(spark):
@@ -204,7 +220,12 @@ def test_base64_payloads(spark):
     df = spark.createDataFrame([(t,) for t in texts], "p string")
     decoded = [None if r[0] is None else bytes(r[0]) for r in rows(df.select(payload_bytes("p")))]
     assert decoded == [b"xx", None, b"\x69\xb7", None, None]
-    from veritally.functions.batches import base64_bytes
 
-    assert [base64_bytes(t) for t in texts] == decoded
-    assert base64_bytes(base64.b64encode(b"\0\1\2\3").decode()) == b"\0\1\2\3"
+
+def test_workers_and_plans_decode_alike(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("AQz9+/==%- \t\n", k=rng.randint(0, 9))) for _ in range(5000)]
+    texts += [base64.b64encode(rng.randbytes(n)).decode() for n in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "p string")
+    decoded = rows(df.select("p", payload_bytes("p")))
+    assert [(t, base64_bytes(t)) for t in texts] == [(t, None if b is None else bytes(b)) for t, b in decoded]

@@ -13,6 +13,19 @@ NO_PAYLOAD = "no payload"
 NO_MODEL = "no model"
 NO_SCORE = "no finite score"
 
+WHITE_SPACE = " \t\r\n"
+
+
+_models: dict[str, Any] = {}
+
+
+def loaded_once(name: str, load: Callable[[], Any]) -> Any:
+    """A model this worker process keeps between tasks; only the latest one is kept."""
+    if name not in _models:
+        _models.clear()
+        _models[name] = load()
+    return _models[name]
+
 
 def score_batch(
     payloads: pd.Series,
@@ -81,11 +94,20 @@ def decode_batch(payloads: pd.Series, decode: Callable[[Any], np.ndarray]) -> pd
 
 
 def base64_bytes(payload: str | bytes | None) -> bytes | None:
-    """Same rule as the column expression: None for text that is missing, empty or not base64."""
+    """Same rule as the column expression: None for text that is missing, empty or not base64.
+
+    White space may stand anywhere but inside the padding; padding may be left out, but not
+    be wrong.
+    """
     if payload is None or isinstance(payload, bytes):
         return payload or None
+    digits, mark, rest = payload.strip(WHITE_SPACE).partition("=")
+    text = "".join(digits.split()) + mark + rest
+    if not mark:
+        text += "=" * (-len(text) % 4)
+    if len(text) % 4:
+        return None
     try:
-        text = payload.rstrip("=")
-        return base64.b64decode(text + "=" * (-len(text) % 4), validate=True) or None
+        return base64.b64decode(text, validate=True) or None
     except ValueError:
         return None

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veritally.functions.batches import WHITE_SPACE
+
 
 def label_flag(label: Column | str) -> Column:
     """Label text to boolean. Text that is no boolean becomes NULL, not an error."""
@@ -25,5 +27,5 @@ def rate_pct(part: Column, whole: Column) -> Column:
 def payload_bytes(payload: Column | str) -> Column:
     """Base64 text to bytes. NULL for text that is NULL, empty or not base64."""
     column = F.col(payload) if isinstance(payload, str) else payload
-    decoded = F.try_to_binary(column, F.lit("base64"))
+    decoded = F.try_to_binary(F.btrim(column, F.lit(WHITE_SPACE)), F.lit("base64"))
     return F.when(F.octet_length(decoded) > 0, decoded)

@@ -8,6 +8,7 @@ of model calls is the number of payload rows, whatever the joins multiply.
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -24,7 +25,8 @@ from veritally.functions.columns import payload_bytes
 from veritally.operators.joins import restrict_to_keys
 from veritally.session import ship_package
 
-# Models up to this size travel as a broadcast; a larger one is loaded by each worker.
+# Models up to this size travel as a broadcast; a larger one is loaded by each worker, from
+# wherever the scorer's `load` finds it.
 MAX_BROADCAST_MODEL = 256 << 20
 
 RESULT = "score double, error string"
@@ -45,7 +47,7 @@ class SqlScorer:
 class ModelScorer:
     """A score computed by a model on batches of rows.
 
-    load           called once on the driver, gives the model
+    load           gives the model; called on the driver, and by the workers for a large model
     decode         one payload to one array; what it raises is that row's error
     forward        (model, stacked arrays) to one score per row
     rows_per_pass  rows stacked for one forward pass
@@ -139,23 +141,24 @@ for _scorer in (LINES, LINEAR, seeded_cnn_scorer()):
 
 # --- model distribution ---------------------------------------------------------------
 
-_broadcasts: dict[tuple[str, Scorer], Broadcast | None] = {}
+_handles: dict[tuple[str, Scorer], Broadcast | str] = {}
 
 
-def _model_handle(spark: SparkSession, scorer: ModelScorer) -> Broadcast | None:
-    """The broadcast model, or None where it is too large and workers load it themselves."""
+def _model_handle(spark: SparkSession, scorer: ModelScorer) -> Broadcast | str:
+    """The broadcast model or, where it is too large, a name its workers keep it under."""
     key = (spark.sparkContext.applicationId, scorer)
-    if key not in _broadcasts:
+    if key not in _handles:
         model = scorer.load()
         size = len(pickle.dumps(model, protocol=pickle.HIGHEST_PROTOCOL))
-        _broadcasts[key] = spark.sparkContext.broadcast(model) if size <= MAX_BROADCAST_MODEL else None
-    return _broadcasts[key]
+        fits = size <= MAX_BROADCAST_MODEL
+        _handles[key] = spark.sparkContext.broadcast(model) if fits else uuid.uuid4().hex
+    return _handles[key]
 
 
 def _batch_function(spark: SparkSession, scorer: ModelScorer, on_missing_model: str):
     """Batches of payloads to batches of (score, error), as it runs on a worker.
 
-    The model is read once per task. Without one, the default is to fail here, on the driver.
+    Without a model, the default is to fail here, on the driver.
     """
     if on_missing_model not in ("fail", "false"):
         raise ValueError("on_missing_model is 'fail' or 'false'")
@@ -170,7 +173,7 @@ def _batch_function(spark: SparkSession, scorer: ModelScorer, on_missing_model:
     load, decode, forward, rows = scorer.load, scorer.decode, scorer.forward, scorer.rows_per_pass
 
     def scored(series):
-        model = handle.value if handle is not None else load()
+        model = batches.loaded_once(handle, load) if isinstance(handle, str) else handle.value
         for payloads in series:
             yield batches.score_batch(payloads, model, decode, forward, rows)
 
@@ -212,6 +215,8 @@ def score(
     """
     scorer = get_scorer(scorer)
     keep = [c for c in df.columns if c != payload] if keep is None else list(keep)
+    if clash := {"score", "pred", "score_error"}.intersection(keep):
+        raise ValueError(f"columns {sorted(clash)} would be there twice; name others in `keep`")
     df = df.select(*keep, F.col(payload).alias("_payload"))
     if only_keys is not None:
         df = restrict_to_keys(df, only_keys)

@@ -40,7 +40,9 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _fallback_dirs.setdefault(context.applicationId, tempfile.mkdtemp(prefix="veritally-"))
+    if context.applicationId not in _fallback_dirs:
+        _fallback_dirs[context.applicationId] = tempfile.mkdtemp(prefix="veritally-")
+    return _fallback_dirs[context.applicationId]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
