@@ -82,6 +82,20 @@ def test_versions_are_kept_apart_and_rewritten_alone(spark, store, payloads):
     assert store.read("lines").count() == 1
 
 
+def test_a_failed_rewrite_keeps_the_old_scores(spark, store, payloads):
+    counter = spark.sparkContext.accumulator(0)
+    store.write(payloads, "id", "t", counting_scorer(counter))
+
+    def exhausted(model, lengths):
+        raise MemoryError("too much")
+
+    sound = counting_scorer(counter)
+    broken = ModelScorer("counting", "1", load=sound.load, decode=sound.decode, forward=exhausted)
+    with pytest.raises(Exception, match="too much"):
+        store.write(payloads.limit(1), "id", "t", broken)
+    assert store.read(sound).count() == 4
+
+
 def test_an_empty_table(store, payloads):
     store.write(payloads, "id", "t", "lines")
     assert store.write(payloads.limit(0), "id", "t", "lines").count() == 0

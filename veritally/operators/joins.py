@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Room one row takes in a hash table besides its values.
@@ -20,15 +20,10 @@ def broadcast_limit(df: DataFrame) -> int:
     return int(number) * _UNITS.get(text[len(number) :] or "b", 1)
 
 
-def key_size(keys: DataFrame):
+def key_size(columns: Sequence[str]) -> Column:
     """Aggregate: bytes the rows of a key table take in a hash table."""
-    values = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in keys.columns]
-    return F.coalesce(F.sum(reduce(lambda a, b: a + b, values) + F.lit(ROW_OVERHEAD)), F.lit(0))
-
-
-def same_key(left: DataFrame, right: DataFrame, columns):
-    """Join condition that also pairs NULL with NULL (bookkeeping, not query semantics)."""
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
+    values = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in columns]
+    return F.coalesce(F.sum(sum(values, F.lit(ROW_OVERHEAD))), F.lit(0))
 
 
 def restrict_to_keys(df: DataFrame, keys: DataFrame) -> DataFrame:
@@ -38,9 +33,8 @@ def restrict_to_keys(df: DataFrame, keys: DataFrame) -> DataFrame:
     whole and the caller's own join does the restricting.
     """
     columns = keys.columns
-    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
-    distinct = keys.where(present).distinct()
-    size = distinct.agg(key_size(distinct)).first()[0]
+    distinct = keys.where(" AND ".join(f"`{c}` IS NOT NULL" for c in columns)).distinct()
+    size = distinct.agg(key_size(columns)).first()[0]
     if size > broadcast_limit(df):
         return df
     return df.join(F.broadcast(distinct), columns, "left_semi")

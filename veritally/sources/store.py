@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.operators.joins import broadcast_limit, key_size, same_key
+from veritally.operators.joins import broadcast_limit, key_size
 from veritally.operators.scoring import Scorer, get_scorer, score
 from veritally.session import checkpointed
 
@@ -56,7 +56,7 @@ class ScoreStore:
         new_keys, size = self._new_keys(df, key, scorer)
         if size:
             side = F.broadcast(new_keys) if size <= broadcast_limit(df) else new_keys
-            new_rows = df.join(side, same_key(df, side, [key]), "left_semi")
+            new_rows = df.join(side, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
             self._save(score(new_rows, payload, scorer, keep=[key], **options), scorer, "append")
         return self.read(scorer)
 
@@ -64,15 +64,14 @@ class ScoreStore:
         """Keys of `df` that are not stored, and the room they take; only keys are read and
         shuffled here, one row each, and the result is kept for the two jobs that use it."""
         rows = F.count(F.lit(1))
-        stored = self.read(scorer).groupBy(key).agg(rows.alias("_stored"))
-        present = df.groupBy(key).agg(rows.alias("_present"))
-        status = present.join(stored, same_key(present, stored, [key]), "left").select(
-            present[key], "_present", "_stored"
-        )
+        stored = self.read(scorer).groupBy(F.col(key).alias("_stored_key")).agg(rows.alias("_stored"))
+        present = df.groupBy(F.col(key).alias("_key")).agg(rows.alias("_present"))
+        # A NULL key is stored like any other, so here it matches itself.
+        status = present.join(stored, F.col("_key").eqNullSafe(F.col("_stored_key")), "left")
         changed = status.where(F.col("_stored").isNull() | (F.col("_stored") != F.col("_present")))
-        changed = checkpointed(changed.select(key, F.col("_stored").isNotNull().alias("_conflict")))
-        new_keys = changed.where(~F.col("_conflict")).select(key)
-        totals = changed.agg(F.count_if("_conflict"), key_size(changed.select(key))).first()
+        changed = checkpointed(changed.select("_key", F.col("_stored").isNotNull().alias("_conflict")))
+        new_keys = changed.where(~F.col("_conflict")).select("_key")
+        totals = changed.agg(F.count_if("_conflict"), key_size(["_key"])).first()
         if totals[0]:
             raise ValueError(f"{totals[0]} stored keys have another number of rows now; write() the table again")
         return new_keys, totals[1]
