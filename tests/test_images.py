@@ -1,4 +1,6 @@
 import base64
+import sys
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -125,3 +127,33 @@ def test_images_in_sql(spark, payloads):
 def test_weights_that_cannot_be_read_fail_on_the_driver(payloads, tmp_path):
     with pytest.raises(FileNotFoundError):
         score(payloads, "image", cnn_scorer(str(tmp_path / "none.npz")))
+
+
+def test_formats_pillow_opens(monkeypatch):
+    """Pillow is not at hand here: a stand-in shows that its result is resized like any other."""
+
+    class Pillow:
+        @staticmethod
+        def open(stream):
+            assert stream.read() == b"compressed"
+            return Pillow
+
+        @staticmethod
+        def convert(mode):
+            return photo(3, 64, 32) if mode == "RGB" else None
+
+    monkeypatch.setattr(images, "Image", Pillow)
+    assert (images.pixels(b"compressed") == images.pixels(ppm(photo(3, 64, 32)))).all()
+
+
+def test_weights_saved_by_torch(monkeypatch, parameters):
+    class Tensor:
+        def __init__(self, values):
+            self.numpy = lambda: values
+
+    def load(path, **options):
+        return {name: Tensor(values) for name, values in parameters.items()}
+
+    monkeypatch.setitem(sys.modules, "torch", SimpleNamespace(load=load))
+    loaded = images.load_parameters("weights.pt")
+    assert all((loaded[name] == parameters[name]).all() for name in parameters)

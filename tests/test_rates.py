@@ -1,3 +1,5 @@
+import random
+
 import pandas as pd
 import pytest
 from conftest import rows
@@ -131,3 +133,27 @@ def test_score_after_join_equals_score_first(spark, tables):
         first = img.select("name", F.coalesce(F.length("payload") > 2, F.lit(False)).alias("pred"))
         early = rate_by(first, lbl, meta, "ethnicity", on="id", scored_on="name", top=None)
         assert sorted(map(str, rows(late))) == sorted(map(str, rows(early.drop("rate_pct"))))
+
+
+def test_random_tables_against_nested_loops(spark):
+    """Many-to-many keys, NULL keys, NULL groups and NULL flags."""
+    rng = random.Random(7)
+    keys = [None, 0, 1, 2, 3]
+    for _ in range(6):
+        scored = [(rng.choice(keys), rng.choice([True, False, None])) for _ in range(rng.randint(0, 12))]
+        labels = [(rng.choice(keys),) for _ in range(rng.randint(0, 8))]
+        attributes = [(rng.choice(keys), rng.choice(["x", "y", None])) for _ in range(rng.randint(0, 8))]
+        groups = {}
+        for key, flag in scored:
+            for (label_key,) in labels:
+                for attribute_key, group in attributes:
+                    if key is not None and key == label_key == attribute_key:
+                        total, hits = groups.get(group, (0, 0))
+                        groups[group] = (total + 1, hits + (flag is True))
+        result = rate_by(
+            spark.createDataFrame(scored, "id int, pred boolean"),
+            spark.createDataFrame(labels, "id int"),
+            spark.createDataFrame(attributes, "id int, g string"),
+            "g",
+        )
+        assert {g: (total, hits) for g, total, hits, _ in rows(result)} == groups

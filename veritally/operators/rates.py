@@ -125,7 +125,9 @@ def _sums_of_counts(scored: DataFrame, labels: DataFrame, attributes: DataFrame,
     rows = F.count(F.lit(1))
     per_key = scored.groupBy(*keys).agg(rows.alias("_rows"), count_true(F.col("_flag")).alias("_hits"))
     per_label = labels.groupBy(*keys).agg(rows.alias("_labels"))
-    # One key has at most as many rows here as there are groups in the result.
+    # One key has at most as many rows here as there are groups in the result. That takes a
+    # second shuffle of narrow rows (by key and group, then by key); without it, all attribute
+    # rows of a hot key would meet in one task.
     per_attribute = attributes.groupBy(*keys, "_by").agg(rows.alias("_copies"))
     joined = per_key.join(per_label, keys).join(per_attribute, keys)
     times = F.col("_labels") * F.col("_copies")

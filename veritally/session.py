@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # Payloads are wide (an image is ~50 KB): bound a batch by bytes, not only by rows.
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
+    # The default of 4096 rows would hold 200 MB of images in every task that reads them.
+    "spark.sql.parquet.columnarReaderBatchSize": "256",
 }
 
 _shipped: set[str] = set()

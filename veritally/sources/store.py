@@ -15,7 +15,8 @@ class ScoreStore:
     """Parquet below `root`, one folder per scorer name and version.
 
     One row per payload row: the key, score, pred and score_error. The payload is not
-    stored. `root` must be a folder every executor can reach.
+    stored. `root` must be a folder every executor can reach. One writer at a time per scorer
+    version; readers need not wait.
     """
 
     def __init__(self, spark: SparkSession, root: str):
