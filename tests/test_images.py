@@ -124,6 +124,16 @@ def test_images_in_sql(spark, payloads):
     assert sorted(by_sql) == sorted(rows(score(payloads, "image", seeded_cnn_scorer()).select("id", "pred")))
 
 
+def test_other_weights_are_another_version(parameters, tmp_path):
+    path = str(tmp_path / "weights.npz")
+    np.savez(path, **parameters)
+    first = cnn_scorer(path).version
+    assert cnn_scorer(path).version == first
+    np.savez(path, **images.seeded_parameters(4))
+    assert cnn_scorer(path).version != first
+    assert cnn_scorer(path, version="2024-05").version == "2024-05"
+
+
 def test_weights_that_cannot_be_read_fail_on_the_driver(payloads, tmp_path):
     with pytest.raises(FileNotFoundError):
         score(payloads, "image", cnn_scorer(str(tmp_path / "none.npz")))

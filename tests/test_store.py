@@ -58,8 +58,12 @@ def test_only_new_keys_are_scored(spark, store, payloads):
 def test_new_keys_beyond_the_broadcast_limit(spark, store, payloads, no_broadcast):
     scorer = counting_scorer(spark.sparkContext.accumulator(0))
     store.append_new(payloads.where("id = 'a'"), "id", "t", scorer)
+    seen = []
+    save = store._save
+    store._save = lambda scored, *rest: (seen.append(plan(scored)), save(scored, *rest))
     stored = store.append_new(payloads, "id", "t", scorer)
     assert sorted(map(str, rows(stored))) == sorted(map(str, rows(score(payloads, "t", scorer))))
+    assert "ShuffledHashJoin" in seen[0] and "Sort" not in seen[0].replace("SortMerge", "")
 
 
 def test_a_stored_key_with_new_rows_is_refused(spark, store, payloads):

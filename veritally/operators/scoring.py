@@ -7,6 +7,7 @@ of model calls is the number of payload rows, whatever the joins multiply.
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -96,8 +97,18 @@ def _dot(weights: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 LINEAR = ModelScorer("linear", "1", load=_linear_weights, decode=_vector, forward=_dot, rows_per_pass=4096)
 
 
-def cnn_scorer(weights: str, *, name: str = "cnn", version: str = "1") -> ModelScorer:
-    """Image scorer with trained weights from a file the driver can read."""
+def cnn_scorer(weights: str, *, name: str = "cnn", version: str | None = None) -> ModelScorer:
+    """Image scorer with trained weights from a file the driver can read.
+
+    Its version comes from the file's content by default, so scores stored for other weights
+    are never taken for its own.
+    """
+    if version is None:
+        try:
+            with open(weights, "rb") as file:
+                version = hashlib.file_digest(file, "sha256").hexdigest()[:16]
+        except FileNotFoundError:
+            version = "missing"  # loading the model decides what that means
     return _image_scorer(name, version, lambda: images.load_parameters(weights))
 
 

@@ -56,7 +56,9 @@ class ScoreStore:
             return self.write(df, key, payload, scorer, **options)
         new_keys, size = self._new_keys(df, key, scorer)
         if size:
-            side = F.broadcast(new_keys) if size <= broadcast_limit(df) else new_keys
+            # Too many keys to broadcast: hash them per partition, so that the wide payload
+            # is shuffled but not sorted, and a hot key's payload may still be split.
+            side = new_keys.hint("broadcast" if size <= broadcast_limit(df) else "shuffle_hash")
             new_rows = df.join(side, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
             self._save(score(new_rows, payload, scorer, keep=[key], **options), scorer, "append")
         return self.read(scorer)
