@@ -83,6 +83,20 @@ def test_stored_scores_serve_every_question(spark, files, tmp_path):
         assert rows(result) == rows(getattr(direct, question)())
 
 
+def test_all_questions_at_several_scales(spark, files, tmp_path):
+    """Counts grow with the factor, or its cube where three tables meet; rates stay."""
+    store = ScoreStore(spark, str(tmp_path / "scores"))
+    report = IdentityTables.from_csv(spark, *files, seeded_cnn_scorer(), store=store)
+    base = {name: rows(df) for name, df in report.questions().items()}
+    for factor in (1, 5):
+        for name, df in report.scaled(factor).questions().items():
+            first = 1 if name.startswith(("fraud_pattern", "fraud_rate")) else 0
+            times = factor**3 if first else factor
+            assert rows(df) == [
+                (*row[:first], *(count * times for count in row[first:-1]), row[-1]) for row in base[name]
+            ]
+
+
 def test_views(spark, files):
     IdentityTables.from_csv(spark, *files, seeded_cnn_scorer()).scaled(2).views("_2x")
     assert spark.sql("SELECT count(*) FROM idlabel_2x WHERE dup_batch = 1").first()[0] == 9

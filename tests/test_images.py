@@ -16,6 +16,10 @@ def ppm(image):
     return b"P6\n%d %d\n255\n" % (width, height) + image.tobytes()
 
 
+def rgb(data):
+    return images.pixels(data).transpose(1, 2, 0)
+
+
 def photo(seed, height=128, width=128):
     return np.random.default_rng(seed).integers(0, 256, (height, width, 3), dtype=np.uint8)
 
@@ -63,19 +67,27 @@ def test_parameters_of_the_wrong_shape_are_refused(parameters):
 def test_pixels_of_raw_and_ppm_images_agree():
     picture = photo(1)
     assert (images.pixels(picture.tobytes()) == images.pixels(ppm(picture))).all()
-    assert (images.rgb(ppm(picture)) == picture).all()
+    assert (rgb(ppm(picture)) == picture).all()
+    assert images.ppm(picture.tobytes()) == images.ppm(ppm(picture)) == ppm(picture)
+
+
+def test_a_compressed_image_of_the_raw_size_is_not_taken_for_raw(monkeypatch):
+    monkeypatch.setattr(images, "Image", None)
+    for start in images.SIGNATURES:
+        with pytest.raises(ValueError, match="unknown"):
+            images.pixels(start.ljust(128 * 128 * 3, b"x"))
 
 
 @pytest.mark.parametrize("shape", [(1, 1), (64, 64), (30, 200), (300, 500)])
 def test_resizing_keeps_flat_colours_and_the_size(shape):
     flat = np.full((*shape, 3), (10, 200, 77), dtype=np.uint8)
-    assert (images.rgb(ppm(flat)) == np.array([10, 200, 77])).all()
+    assert (rgb(ppm(flat)) == np.array([10, 200, 77])).all()
 
 
 def test_resizing_reads_the_whole_image():
     picture = np.zeros((512, 512, 3), np.uint8)
     picture[-40:, -40:] = 255
-    small = images.rgb(ppm(picture))
+    small = rgb(ppm(picture))
     assert small[-5, -5].min() > 240 and small[:100, :100].max() == 0
 
 
@@ -98,7 +110,7 @@ def test_scoring_images(spark, payloads, parameters, tmp_path):
     path = str(tmp_path / "weights.npz")
     np.savez(path, **parameters)
     scorer = cnn_scorer(path)
-    expected = {i: by_definition(parameters, images.rgb(ppm(photo(i, 40 + i, 60)))) for i in range(6)}
+    expected = {i: by_definition(parameters, rgb(ppm(photo(i, 40 + i, 60)))) for i in range(6)}
     for partitions in (1, 4):
         result = {r["id"]: r for r in score(payloads.repartition(partitions), "image", scorer).collect()}
         for i in range(6):

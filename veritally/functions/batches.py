@@ -76,14 +76,14 @@ def unscored_batch(payloads: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"score": np.full(len(payloads), np.nan), "error": [NO_MODEL] * len(payloads)})
 
 
-def decode_batch(payloads: pd.Series, decode: Callable[[Any], np.ndarray]) -> pd.DataFrame:
-    """Decoded payloads as bytes, with the reason where that fails."""
+def decode_batch(payloads: pd.Series, decode: Callable[[Any], bytes]) -> pd.DataFrame:
+    """Decoded payloads, with the reason where that fails."""
     decoded, errors = [], []
     for value in payloads:
         result, error = None, NO_PAYLOAD if value is None else None
         if value is not None:
             try:
-                result = decode(value).tobytes()
+                result = decode(value)
             except MemoryError:
                 raise
             except Exception as problem:

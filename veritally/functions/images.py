@@ -30,6 +30,9 @@ PARAMETERS = {
     "net.12.bias": (1,),
 }
 
+# How compressed images begin (PNG, JPEG, GIF, WebP, BMP, TIFF).
+SIGNATURES = (b"\x89PNG", b"\xff\xd8\xff", b"GIF8", b"RIFF", b"BM", b"II*\0", b"MM\0*")
+
 CONVOLUTIONS = ("net.0", "net.3", "net.6")
 
 _PPM = re.compile(rb"P6\s+(\d+)\s+(\d+)\s+255\s")
@@ -39,15 +42,15 @@ _UNIT = (np.arange(256) / 255.0).astype(np.float32)
 def pixels(data: bytes) -> np.ndarray:
     """Image bytes to a 3 x SIDE x SIDE array of bytes.
 
-    Takes raw RGB of the exact size, binary PPM of any size and, where Pillow is
-    installed, whatever Pillow opens. All of these hold the channels of a pixel together.
+    Takes binary PPM of any size, raw RGB of the exact size and, where Pillow is installed,
+    whatever Pillow opens. All of these hold the channels of a pixel together.
     """
-    if len(data) == SIDE * SIDE * 3:
-        image = np.frombuffer(data, np.uint8).reshape(SIDE, SIDE, 3)
-    elif header := _PPM.match(data):
+    if header := _PPM.match(data):
         width, height = int(header[1]), int(header[2])
         body = np.frombuffer(data, np.uint8, offset=header.end())
         image = body[: width * height * 3].reshape(height, width, 3)
+    elif len(data) == SIDE * SIDE * 3 and not data.startswith(SIGNATURES):
+        image = np.frombuffer(data, np.uint8).reshape(SIDE, SIDE, 3)
     elif Image is not None:
         image = np.asarray(Image.open(io.BytesIO(data)).convert("RGB"))
     else:
@@ -55,9 +58,9 @@ def pixels(data: bytes) -> np.ndarray:
     return resize(np.ascontiguousarray(image.transpose(2, 0, 1)))
 
 
-def rgb(data: bytes) -> np.ndarray:
-    """Like `pixels`, with the channels of a pixel together: raw RGB, which `pixels` reads back."""
-    return pixels(data).transpose(1, 2, 0)
+def ppm(data: bytes) -> bytes:
+    """Any image `pixels` takes, as a PPM of SIDE x SIDE, which says itself what it is."""
+    return b"P6\n%d %d\n255\n" % (SIDE, SIDE) + pixels(data).transpose(1, 2, 0).tobytes()
 
 
 def resize(image: np.ndarray) -> np.ndarray:

@@ -273,9 +273,9 @@ def partitions_for(scan: DataFrame) -> int | None:
 def decode_images(
     df: DataFrame, payload: str, keep: Sequence[str] | None = None, *, partitions: int | None = None
 ) -> DataFrame:
-    """Preprocessing job: image payload to a `pixels` column (RGB bytes, 128 x 128 x 3, or
-    NULL) and `decode_error`. Written once, it spares later scoring runs the decoding; bytes
-    take a quarter of the room of the floats the network works on."""
+    """Preprocessing job: image payload to a `pixels` column (uncompressed PPM of 128 x 128,
+    or NULL) and `decode_error`. Written once, it spares later scoring runs decoding and
+    resizing; bytes take a quarter of the room of the floats the network works on."""
     ship_package(df.sparkSession)
     keep = [c for c in df.columns if c != payload] if keep is None else list(keep)
     df = df.select(*keep, F.col(payload).alias("_payload"))
@@ -286,7 +286,7 @@ def decode_images(
 
     @F.pandas_udf("pixels binary, error string")
     def to_pixels(payloads: pd.Series) -> pd.DataFrame:
-        return batches.decode_batch(payloads, images.rgb)
+        return batches.decode_batch(payloads, images.ppm)
 
     result = to_pixels(F.col("_payload")).alias("_result")
     return df.select(*keep, result).select(

@@ -363,7 +363,7 @@ def oracle_sql() -> dict[str, str]:
         "linear_rate_by_label": f"""WITH {_VECTORS}
             SELECT label, {_summary("vectors", "score > 0")}
             GROUP BY label ORDER BY rate_pct DESC, label NULLS FIRST LIMIT 10""",
-        "image_pixels": """SELECT doc_id, CAST(128 * 128 * 3 AS INTEGER) AS n_bytes,
+        "image_pixels": """SELECT doc_id, CAST(128 * 128 * 3 + 15 AS INTEGER) AS n_bytes,
             CAST(NULL AS VARCHAR) AS decode_error FROM documents""",
         "replicate_counts": """SELECT lang, CAST(c AS INTEGER) AS dup_batch, COUNT(*) AS total,
             CAST(SUM(n_chars) AS BIGINT) AS chars

@@ -96,6 +96,16 @@ class IdentityTables:
             top=top,
         )
 
+    def questions(self) -> dict[str, DataFrame]:
+        """All four, by name."""
+        asked = (
+            self.fraud_predicted,
+            self.fraud_ground_truth,
+            self.fraud_pattern_ethnicity_wise,
+            self.fraud_rate_by_veteran_status,
+        )
+        return {question.__name__: question() for question in asked}
+
     def views(self, suffix: str = "") -> None:
         """Name the tables in the session: idimage, idlabel and idmeta plus the suffix."""
         for name, df in (("idimage", self.images), ("idlabel", self.labels), ("idmeta", self.attributes)):
