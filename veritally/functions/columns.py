@@ -28,4 +28,4 @@ def payload_bytes(payload: Column | str) -> Column:
     """Base64 text to bytes. NULL for text that is NULL, empty or not base64."""
     column = F.col(payload) if isinstance(payload, str) else payload
     decoded = F.try_to_binary(F.btrim(column, F.lit(WHITE_SPACE)), F.lit("base64"))
-    return F.when(F.octet_length(decoded) > 0, decoded)
+    return F.nullif(decoded, F.lit(b""))
