@@ -253,9 +253,9 @@ def score(
 
 def _sql_result(scorer: SqlScorer) -> Column:
     value = F.expr(scorer.score_sql.format(x="_payload"))
-    error = F.when(F.col("_payload").isNull(), F.lit(batches.NO_PAYLOAD)).when(
-        value.isNull(), F.lit(batches.NO_SCORE)
-    )
+    reason = F.when(F.col("_payload").isNull(), F.lit(batches.NO_PAYLOAD)).otherwise(F.lit(batches.NO_SCORE))
+    # Asking for the score first lets the generated code share its evaluation with the other columns.
+    error = F.when(value.isNull(), reason)
     return F.struct(value.alias("score"), error.alias("error"))
 
 
