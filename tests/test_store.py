@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from conftest import plan, rows
@@ -108,3 +110,14 @@ def test_an_empty_table(store, payloads):
 
 def test_the_shared_folder_is_the_sessions(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_without_a_named_folder_a_cluster_is_refused(tmp_path):
+    def session(master):
+        context = SimpleNamespace(master=master, applicationId=f"app-{master}")
+        return SimpleNamespace(conf={}, sparkContext=context)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session("yarn"))
+    local = session("local[2]")
+    assert shared_folder(local) == shared_folder(local)

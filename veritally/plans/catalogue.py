@@ -374,7 +374,8 @@ def oracle_sql() -> dict[str, str]:
                   SELECT source, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
             GROUP BY source""",
         "score_summary_scales": f"""WITH {_SCORED}, f AS (SELECT unnest([{factors}]) AS factor)
-            SELECT CAST(factor AS INTEGER) AS factor, {_summary("scored JOIN f ON TRUE JOIN (SELECT unnest(range(100)) AS c) ON c < factor")}
+            SELECT CAST(factor AS INTEGER) AS factor,
+            {_summary("scored JOIN f ON TRUE JOIN (SELECT unnest(range(100)) AS c) ON c < factor")}
             GROUP BY factor""",
         "label_summary_scales": f"""WITH f AS (SELECT unnest([{factors}]) AS factor)
             SELECT CAST(factor AS INTEGER) AS factor, {_LABELS}
