@@ -157,3 +157,15 @@ def test_random_tables_against_nested_loops(spark):
             "g",
         )
         assert {g: (total, hits) for g, total, hits, _ in rows(result)} == groups
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_a_count_beyond_bigint_is_an_error(spark, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        table = spark.range(3_000_000).select(F.lit(1).alias("id"), F.lit(True).alias("pred"), F.lit("g").alias("g"))
+        with pytest.raises(Exception, match="OVERFLOW|beyond BIGINT"):
+            rate_by(table, table, table, "g").collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)

@@ -131,6 +131,11 @@ def _sums_of_counts(scored: DataFrame, labels: DataFrame, attributes: DataFrame,
     per_attribute = attributes.groupBy(*keys, "_by").agg(rows.alias("_copies"))
     joined = per_key.join(per_label, keys).join(per_attribute, keys)
     times = F.col("_labels") * F.col("_copies")
-    return joined.groupBy("_by").agg(
-        F.sum(F.col("_rows") * times).alias("_total"), F.sum(F.col("_hits") * times).alias("_positive")
+    sums = joined.groupBy("_by").agg(
+        F.sum(F.col("_rows") * times).alias("_total"),
+        F.sum(F.col("_hits") * times).alias("_positive"),
+        F.sum(F.col("_rows").cast("double") * F.col("_labels") * F.col("_copies")).alias("_size"),
     )
+    # Products of counts outgrow BIGINT sooner than any join could; outside ANSI mode they would wrap.
+    fits = F.when(F.col("_size") < 2.0**63, F.col("_total")).otherwise(F.raise_error(F.lit("count beyond BIGINT")))
+    return sums.withColumn("_total", fits)
