@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritally.llm import quality_ledger
+from veritally.llm import quality_ledger, source_mix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op8_quality_ledger": quality_ledger.query,
+        "op9_source_mix": source_mix.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op8_quality_ledger": quality_ledger.ORACLE_SQL,
+        "op9_source_mix": source_mix.ORACLE_SQL,
     }
