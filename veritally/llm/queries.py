@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritally.llm import decontamination, quality_ledger, source_mix
+from veritally.llm import decontamination, language_id, quality_ledger, source_mix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_language_id": language_id.query,
         "op8_quality_ledger": quality_ledger.query,
         "op9_source_mix": source_mix.query,
         "op10_decontamination": decontamination.query,
