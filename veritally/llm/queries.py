@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritally.llm import decontamination, language_id, quality_ledger, source_mix
+from veritally.llm import decontamination, language_id, license_digests, quality_ledger, source_mix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_license_digests": license_digests.query,
         "op6_language_id": language_id.query,
         "op8_quality_ledger": quality_ledger.query,
         "op9_source_mix": source_mix.query,
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_license_digests": license_digests.ORACLE_SQL,
         "op8_quality_ledger": quality_ledger.ORACLE_SQL,
         "op9_source_mix": source_mix.ORACLE_SQL,
     }
