@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritally.llm import decontamination, language_id, license_digests, quality_ledger, source_mix
+from veritally.llm import decontamination, language_id, license_digests, minhash_hamming, quality_ledger, source_mix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_license_digests": license_digests.query,
+        "op5_minhash_hamming": minhash_hamming.query,
         "op6_language_id": language_id.query,
         "op8_quality_ledger": quality_ledger.query,
         "op9_source_mix": source_mix.query,
