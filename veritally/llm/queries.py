@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritally.llm import decontamination, language_id, license_digests, minhash_hamming, quality_ledger, source_mix
+from veritally.llm import decontamination, language_id, license_digests, minhash_hamming, quality_ledger, run_index_dedup, source_mix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_run_index_dedup": run_index_dedup.query,
         "op4_license_digests": license_digests.query,
         "op5_minhash_hamming": minhash_hamming.query,
         "op6_language_id": language_id.query,
