@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritally.llm import decontamination, language_id, license_digests, line_dedup, minhash_hamming, quality_ledger, run_index_dedup, source_mix
+from veritally.llm import decontamination, language_id, license_digests, line_dedup, lm_scoring, minhash_hamming, quality_ledger, run_index_dedup, source_mix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": lm_scoring.query,
         "op2_line_dedup": line_dedup.query,
         "op3_run_index_dedup": run_index_dedup.query,
         "op4_license_digests": license_digests.query,
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_lm_scoring": lm_scoring.ORACLE_SQL,
         "op2_line_dedup": line_dedup.ORACLE_SQL,
         "op4_license_digests": license_digests.ORACLE_SQL,
         "op8_quality_ledger": quality_ledger.ORACLE_SQL,
