@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritally.llm import decontamination, language_id, license_digests, line_dedup, lm_scoring, minhash_hamming, quality_ledger, run_index_dedup, source_mix
+from veritally.llm import decontamination, language_id, license_digests, line_dedup, lm_scoring, minhash_hamming, quality_ledger, run_index_dedup, source_mix, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_license_digests": license_digests.query,
         "op5_minhash_hamming": minhash_hamming.query,
         "op6_language_id": language_id.query,
+        "op7_toxicity": toxicity.query,
         "op8_quality_ledger": quality_ledger.query,
         "op9_source_mix": source_mix.query,
         "op10_decontamination": decontamination.query,
