@@ -11,6 +11,7 @@ same way, so the shuffle moves few rows and no row is larger than a unit or a bu
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from veritally.session import checkpointed, shared_folder, ship_package
 NULL_ID = np.iinfo(np.int64).max  # stands for a missing doc_id inside packed rows: last in every order
 UNIT_BYTES = 4 << 20  # text in a unit; a longer document is a unit of its own
 PIECE_BYTES = 1 << 18  # text handled at once, so that the arrays stay in the cache
-UNIT_SCHEMA = "unit long, n_docs long, n_bytes long, ids binary, ends binary, blob binary"
+UNIT_SCHEMA = "unit long, n_docs long, n_bytes long, ids binary, ends binary, blob binary, rest binary"
 
 WORD = np.ones(256, bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -45,8 +46,13 @@ def prepare(spark: SparkSession) -> None:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """`df`, computed now and kept in the shared folder."""
-    return checkpointed(df)
+    """`df`, computed now and kept in the shared folder. Shuffle files that only led to it go when
+    the driver's garbage is collected; on disks of bounded size that should not be left to chance."""
+    kept = checkpointed(df)
+    del df
+    gc.collect()
+    kept.sparkSession.sparkContext._jvm.System.gc()
+    return kept
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -181,28 +187,45 @@ def _unit(number: int, held: list) -> pa.RecordBatch:
     text = np.concatenate([x[2] for x in held])
     ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     blob = pa.compress(text.tobytes(), codec="zstd", asbytes=True) if len(text) else b""
-    row = [[number], [len(ids)], [len(text)], [ids.tobytes()], [ends.tobytes()], [blob]]
-    kinds = [pa.int64()] * 3 + [pa.binary()] * 3
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=["unit", "n_docs", "n_bytes", "ids", "ends", "blob"])
+    rest = None
+    if held[0][3] is not None:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0][3].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for x in held:
+                out.write_batch(x[3])
+        rest = sink.getvalue().to_pybytes()
+    row = [[number], [len(ids)], [len(text)], [ids.tobytes()], [ends.tobytes()], [blob], [rest]]
+    kinds = [pa.int64()] * 3 + [pa.binary()] * 4
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x, k) for x, k in zip(row, kinds)], names=["unit", "n_docs", "n_bytes", "ids", "ends", "blob", "rest"]
+    )
 
 
 def _to_units(batches):
     from pyspark import TaskContext
 
-    part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
+    part, n, held, size, rows = TaskContext.get().partitionId(), 0, [], 0, 0
     for batch, i, j, text, ends in text_pieces(batches):
-        if held and (size + len(text) > UNIT_BYTES or sum(len(x[0]) for x in held) > 1 << 20):
+        if held and (size + len(text) > UNIT_BYTES or rows > 1 << 20):
             yield _unit(part << 32 | n, held)
-            n, held, size = n + 1, [], 0
-        held.append((ids_of(batch.column(0))[i:j].copy(), np.diff(ends), text.copy()))
-        size += len(text)
+            n, held, size, rows = n + 1, [], 0, 0
+        carried = batch.slice(i, j - i).select(range(2, batch.num_columns)) if batch.num_columns > 2 else None
+        held.append((ids_of(batch.column(0))[i:j].copy(), np.diff(ends), text.copy(), carried))
+        size, rows = size + len(text), rows + j - i
     if held:
         yield _unit(part << 32 | n, held)
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """The documents packed into units, kept in the shared folder so that a unit never changes."""
-    return settled(id_and_text(docs).mapInArrow(_to_units, UNIT_SCHEMA))
+def units(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """The documents packed into units, kept in the shared folder so that a unit never changes.
+    With `carry`, all columns of `docs` but its text go along, under the names `carried_0`, ..."""
+    others = [F.col(f"`{c}`").alias(f"carried_{k}") for k, c in enumerate(docs.columns) if c != "text"] if carry else []
+    return settled(id_and_text(docs, *others).mapInArrow(_to_units, UNIT_SCHEMA))
+
+
+def carried_rows(row: dict) -> pa.Table:
+    with pa.ipc.open_stream(row["rest"]) as stream:
+        return stream.read_all()
 
 
 def open_unit(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -42,7 +42,7 @@ from veritally.llm import kit
 MATCH = 50
 ANCHOR = 20
 HOT = 2048  # phrases of one anchor, counted by unit, from which its windows are dealt alone
-BUCKET_BYTES = 16 << 20  # text per bucket
+BUCKET_BYTES = 4 << 20  # text per bucket: its suffixes are sorted in memory
 SPLIT = 0, 1, 2, 3  # codes of an anchor: in one document only, one phrase, several, very many
 RECORD = np.dtype([("a_low", "<u4"), ("a_high", "<u2"), ("c_low", "<u4"), ("c_high", "<u2"), ("n", "u1")])
 KNOWN = np.dtype([("a_low", "<u4"), ("a_high", "<u2"), ("doc", "<i8")])
