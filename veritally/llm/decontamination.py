@@ -177,33 +177,70 @@ def judge(doc: np.ndarray, hits: np.ndarray, seeds: np.ndarray, items: Items) ->
     return covered, best, longest
 
 
+def _piece_results(text: np.ndarray, ends: np.ndarray, items: Items) -> dict[int, tuple]:
+    """What `judge` finds for each row of some texts that has any tile."""
+    h, word_ends = word_hashes(text, ends)
+    seeds = seed_hashes(h)
+    if not len(items.known) or not len(seeds):
+        return {}
+    at = np.minimum(np.searchsorted(items.known, seeds), len(items.known) - 1)
+    hit = np.flatnonzero(items.known[at] == seeds)
+    row = kit.rows_of(hit, word_ends)
+    inside = hit + SEED <= word_ends[row + 1]  # seeds do not cross documents
+    hit, row = hit[inside], row[inside]
+    results = {}
+    for r in np.unique(row):
+        a, b = word_ends[r], word_ends[r + 1]
+        mine = hit[row == r]
+        result = judge(h[a:b], mine - a, seeds[mine], items)
+        if result[2]:
+            results[int(r)] = result
+    return results
+
+
 def _matcher(shared):
     def run(batches):
-        items = shared.value
         for batch, i, j, text, ends in kit.text_pieces(batches):
-            h, word_ends = word_hashes(text, ends)
-            seeds = seed_hashes(h)
-            at = np.searchsorted(items.known, seeds)
-            hit = np.flatnonzero(items.known[np.minimum(at, len(items.known) - 1)] == seeds) if len(items.known) else np.zeros(0, np.int64)
-            row = kit.rows_of(hit, word_ends)
-            inside = hit + SEED <= word_ends[row + 1]  # seeds do not cross documents
-            hit, row = hit[inside], row[inside]
-            results = {}
-            for r in np.unique(row):
-                a, b = word_ends[r], word_ends[r + 1]
-                mine = hit[row == r]
-                result = judge(h[a:b], mine - a, seeds[mine], items)
-                if result[2]:
-                    results[int(r)] = result
+            results = _piece_results(text, ends, shared.value)
             if results:
                 rows = pa.array([i + r for r in results])
                 covered, best, longest = zip(*results.values())
-                columns = [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(covered, pa.list_(pa.int64())), pa.array(best, pa.float64()), pa.array(longest, pa.int64())]
+                columns = [
+                    batch.column(0).take(rows), batch.column(2).take(rows), pa.array(covered, pa.list_(pa.int64())),
+                    pa.array(best, pa.float64()), pa.array(longest, pa.int64()),
+                ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "items", "best_coverage", "longest_tile"])
 
     return run
 
 
+def _filter(shared, at: int):
+    """Rows, with all columns, whose text in column `at` covers no item of the block."""
+
+    def run(batches):
+        for batch in batches:
+            text, ends = kit.flat(batch.column(at))
+            keep = np.ones(batch.num_rows, bool)
+            for i, j in kit.pieces(ends):
+                results = _piece_results(text[ends[i] : ends[j]], ends[i : j + 1] - ends[i], shared.value)
+                for r, (covered, _, _) in results.items():
+                    keep[i + r] = not covered
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs` that cover no item, with all their columns, in one scan."""
+    spark = docs.sparkSession
+    kit.prepare(spark)
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"carried_{k}") for k, c in enumerate(docs.columns)])
+    for ids, texts in item_blocks(benchmark):
+        shared = spark.sparkContext.broadcast(Items(ids, texts))
+        rows = rows.mapInArrow(_filter(shared, docs.columns.index("text")), rows.schema)
+    return rows.select(*[F.col(f"carried_{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
 def item_blocks(benchmark: DataFrame) -> list[tuple[list[int], list[str]]]:
     """The items in blocks of at most BLOCK_WORDS bytes' worth of words, an item at least."""
     held, size, blocks = ([], []), 0, []

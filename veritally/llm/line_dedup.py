@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from veritally.llm import kit
 
@@ -44,7 +45,9 @@ SENT_SCHEMA = "bucket long, unit long, n long, payload binary"
 JUDGED_SCHEMA = (
     "kind int, unit long, line long, x_unit long, x_line long, far int, token long, doc long, size int, pos int, bits long, payload binary"
 )
-RESULT_SCHEMA = "doc_id long, n_lines long, n_removed long, kept string"
+RESULT_SCHEMA = (
+    StructType().add("doc_id", "long").add("n_lines", "long").add("n_removed", "long").add("kept", "string")
+)
 REPEATED, PAIR, IN_HOT_LIST = 0, 1, 2
 
 
@@ -329,10 +332,15 @@ def _cut(key, unit_table: pa.Table, reply: pa.Table) -> pa.Table:
     kept_ends = ends - np.concatenate([[0], np.cumsum(drop)])[ends]
     kept = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(kept_ends.astype(np.int64).tobytes()), pa.py_buffer(text[~drop].tobytes()))
     n = len(ids)
-    return pa.table({
+    out = pa.table({
         "doc_id": kit.ids_back(ids), "n_lines": pa.array(np.bincount(lines.row[worded], minlength=n).astype(np.int64)),
         "n_removed": pa.array(np.bincount(lines.row[gone], minlength=n).astype(np.int64)), "kept": kept.cast(pa.string()),
     })
+    if row["rest"] is not None:
+        rest = kit.carried_rows(row)
+        for name in rest.column_names:
+            out = out.append_column(name, rest[name])
+    return out
 
 
 def _same(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -379,16 +387,33 @@ def matched_lines(units: DataFrame, n_bytes: int) -> tuple[DataFrame, DataFrame]
     return judged.where(F.col("kind") == REPEATED).select("unit", "payload"), done.union(_same(late, sets))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed and the kept text of every row of `docs`; the lines
-    counted are those with a word."""
+def dedup_lines(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, n_lines, n_removed and the kept text of every row of `docs`; the lines counted are
+    those with a word. With `carry`, the other columns of `docs` as well (see kit.units)."""
     kit.prepare(docs.sparkSession)
-    units = kit.units(docs)
+    units = kit.units(docs, carry)
     n_bytes = units.agg(F.sum("n_bytes")).first()[0] or 0
     repeated, matched = matched_lines(units, n_bytes)
     none = F.lit(None)
     replies = repeated.select("unit", none.cast("long").alias("line"), "payload").union(matched.select("unit", "line", none.cast("binary")))
-    return units.groupBy("unit").cogroup(replies.groupBy("unit")).applyInArrow(_cut, RESULT_SCHEMA)
+    schema = StructType(list(RESULT_SCHEMA.fields))
+    for k, field in enumerate(docs.schema.fields if carry else []):
+        if field.name != "text":
+            schema.add(f"carried_{k}", field.dataType)
+    return units.groupBy("unit").cogroup(replies.groupBy("unit")).applyInArrow(_cut, schema)
+
+
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
+    """`docs` without the lines that repeat earlier ones, and without documents of which nothing is
+    left; n_chars, where there is such a column, is counted anew."""
+    rows = dedup_lines(docs, carry=True).where("n_lines = 0 OR n_removed < n_lines")
+    columns = []
+    for k, c in enumerate(docs.columns):
+        value = F.col("kept") if c == "text" else F.col(f"carried_{k}")
+        if c == "n_chars":
+            value = F.length("kept").cast(docs.schema[c].dataType)
+        columns.append(value.alias(c))
+    return rows.select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from veritally.llm import kit
 
@@ -99,14 +100,18 @@ def mask_of(rules: tuple[str, ...]) -> int:
     return sum(1 << RULES.index(r) for r in rules)
 
 
+def fail_bits() -> Column:
+    bits = F.lit(0).cast("long")
+    for k, (_, fails) in enumerate(_rules()):
+        bits = bits.bitwiseOR(F.when(fails, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
+    return bits
+
+
 def ledger(docs: DataFrame) -> DataFrame:
     """doc_id, the measurements and `fail_bits` of every row of `docs`."""
     kit.prepare(docs.sparkSession)
     measured = kit.id_and_text(docs).mapInArrow(_measure, LEDGER_SCHEMA)
-    bits = F.lit(0).cast("long")
-    for k, (_, fails) in enumerate(_rules()):
-        bits = bits.bitwiseOR(F.when(fails, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
-    return measured.withColumn("fail_bits", bits)
+    return measured.withColumn("fail_bits", fail_bits())
 
 
 def apply_policy(ledger_rows: DataFrame, policy: str = POLICY) -> DataFrame:
@@ -142,6 +147,29 @@ def ablations(ledger_rows: DataFrame, policy: str = POLICY) -> DataFrame:
     )
 
 
+def passing(docs: DataFrame, policy: str = POLICY) -> DataFrame:
+    """The rows of `docs` that a policy keeps, with all their columns, in one scan."""
+    kit.prepare(docs.sparkSession)
+    carried = [F.col(f"`{c}`").alias(f"carried_{k}") for k, c in enumerate(docs.columns)]
+    schema = StructType()
+    for k, field in enumerate(docs.schema.fields):
+        schema.add(f"carried_{k}", field.dataType)
+    for m in MEASURES:
+        schema.add(m, "long")
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            text, ends = kit.flat(batch.column(at))
+            for i, j in kit.pieces(ends):
+                found = [pa.array(x.astype(np.int64)) for x in measure_piece(text[ends[i] : ends[j]], ends[i : j + 1] - ends[i])]
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns, *found], names=schema.names)
+
+    measured = docs.select(*carried).mapInArrow(run, schema).withColumn("fail_bits", fail_bits())
+    return apply_policy(measured, policy).where("kept").select(*[F.col(f"carried_{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = apply_policy(ledger(kit.read_table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
