@@ -361,8 +361,10 @@ def matched_lines(units: DataFrame, n_bytes: int) -> tuple[DataFrame, DataFrame]
     spark = units.sparkSession
     n_buckets = kit.bucket_count(n_bytes, BUCKET_BYTES)
     rarity = spark.sparkContext.broadcast(sketch(units))
-    sent = units.mapInArrow(_send(rarity, n_buckets), SENT_SCHEMA)
-    judged = kit.settled(sent.groupBy("bucket").applyInArrow(_judge(n_buckets), JUDGED_SCHEMA))
+    # Not named in between: what a name still refers to is not released.
+    judged = kit.settled(
+        units.mapInArrow(_send(rarity, n_buckets), SENT_SCHEMA).groupBy("bucket").applyInArrow(_judge(n_buckets), JUDGED_SCHEMA)
+    )
     y, x = ["unit", "line"], ["x_unit", "x_line"]
     pairs = kit.settled(judged.where(F.col("kind") == PAIR).groupBy(*y, *x).agg(F.min("far").alias("far")))
     hot = judged.where(F.col("kind") == IN_HOT_LIST)

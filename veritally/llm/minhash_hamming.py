@@ -9,14 +9,16 @@ A document's set is its distinct 5-word shingles (A-Z lower-cased). Documents wi
    most 2 * CHUNKS - 1 of those slots have, by pigeonhole, a chunk with at most one error, so every
    chunk is indexed under the three ways to leave one slot out: such pairs always share a key. At
    the threshold similarity a pair exceeds that distance with a probability below 1e-6.
-   In a key with more than `HOT` classes left to compare, the same bound on two chunks is used:
-   its classes are indexed again under each second chunk, and only pairs that share both meet.
 3. Stars first: in each key, every class is compared with one centre (the class with most copies),
    a row per class and key. Components of these links leave most keys with one component. Only
-   classes of one key that are still in different components are then compared with one another,
-   if the 2-bit values of all slots differ in at most `MAX_FAR` slots. So large groups of copies
-   and of near copies make links in proportion to their size.
-4. Each candidate pair is confirmed on the full shingle sets before it becomes a link.
+   classes of one key that are still in different components are then compared with one another.
+   In both steps a pair must pass three tests inside the join: the sizes allow the threshold, the
+   2-bit values of all slots differ in at most `MAX_FAR` slots, and the `PARITY` parity bits of
+   the sets differ in no more places than the sets may differ in shingles (an exact bound, sharp
+   for sets up to about that size). What passes is close to the threshold or above it, so large
+   groups of copies and near copies leave rows in proportion to their size.
+4. Each candidate pair is confirmed on the full shingle sets before it becomes a link. Between two
+   components the nearest pair is confirmed first, the others only if that did not join them.
 
 Links, components and sets stay distributed; intermediate tables are checkpoints.
 
@@ -39,9 +41,9 @@ SHINGLE = 5
 PERCENT = 75
 SLOTS = 64
 CHUNKS = 12
-HOT = 64
+PARITY = 1024  # parity bits of a set
 MAX_FAR = 29  # of 64 slots; at the threshold 12 are expected, more than 29 have a chance of 1e-7
-MARKS = "doc_id long, n_shingles long, k1 long, k2 long, sig binary, low array<long>"
+MARKS = "doc_id long, n_shingles long, k1 long, k2 long, sig binary, low array<long>, parity array<long>"
 
 _rng = np.random.default_rng(75)
 _MULTIPLY = _rng.integers(1, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,8 +99,26 @@ def _packed_low(sig: np.ndarray) -> np.ndarray:
     return np.stack([(two[:, a : a + 32] << shift).sum(1, dtype=np.uint64) for a in range(0, SLOTS, 32)], 1)
 
 
+def _parity(h: np.ndarray, row_ends: np.ndarray) -> np.ndarray:
+    """Per row, PARITY bits: how often a shingle falls on the bit, odd or even."""
+    n = len(row_ends) - 1
+    out = np.zeros((n, PARITY // 64), np.int64)
+    for a in range(0, n, 512):
+        b = min(a + 512, n)
+        part = h[row_ends[a] : row_ends[b]]
+        row = np.repeat(np.arange(b - a), np.diff(row_ends[a : b + 1]))
+        odd = np.bincount(row * PARITY + (kit.mix(part) & np.uint64(PARITY - 1)).astype(np.int64), minlength=(b - a) * PARITY) & 1
+        out[a:b] = np.packbits(odd.astype(bool).reshape(b - a, PARITY), axis=1).view(np.int64)
+    return out
+
+
+def _longs(values: np.ndarray) -> pa.Array:
+    ends = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.reshape(-1).view(np.int64)))
+
+
 def _mark(batches):
-    names = ["doc_id", "n_shingles", "k1", "k2", "sig", "low"]
+    names = ["doc_id", "n_shingles", "k1", "k2", "sig", "low", "parity"]
     for batch, i, j, text, ends in kit.text_pieces(batches):
         n = j - i
         h, row = shingles(text, ends)
@@ -109,11 +129,10 @@ def _mark(batches):
         full = np.flatnonzero(sizes)
         if len(full):
             sig[full] = signatures(h, row_ends[full])
-        low = _packed_low(sig)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0).slice(i, n), pa.array(sizes.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]),
-                pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(low.view(np.int64).tolist(), pa.list_(pa.int64())),
+                pa.array([x.tobytes() for x in sig], pa.binary()), _longs(_packed_low(sig)), _longs(_parity(h, row_ends)),
             ],
             names=names,
         )
@@ -144,18 +163,6 @@ def _index(batches):
         )
 
 
-def _second_index(batches):
-    """(key, cid, comp): a hot key's classes under each of their keys of other chunks as well."""
-    for batch in batches:
-        keys = _chunk_keys(_signature_column(batch, "sig"))
-        first = batch.column(0).to_numpy().view(np.uint64)
-        own = (keys == first[:, None]).argmax(1) // 3
-        other = np.arange(CHUNKS * 3)[None, :] // 3 != own[:, None]
-        both = kit.mix(keys ^ kit.mix(first)[:, None])[other].view(np.int64)
-        repeat = pa.array(np.repeat(np.arange(batch.num_rows), CHUNKS * 3 - 3))
-        yield pa.RecordBatch.from_arrays([pa.array(both), batch.column(1).take(repeat), batch.column(2).take(repeat)], names=["key", "cid", "comp"])
-
-
 def _set_keys(h: np.ndarray, row_ends: np.ndarray) -> list[np.ndarray]:
     """Two 64-bit digests of each row's set; the order of the set does not matter."""
     keys = []
@@ -190,24 +197,39 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def far_slots(a: Column, b: Column) -> Column:
-    """Slots whose 2-bit values differ."""
-    odd = F.lit(0x5555555555555555).cast("long")
-    total = None
-    for k in range(SLOTS // 32):
-        d = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
-        n = F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(odd))
+LOWS = tuple(f"low{k}" for k in range(SLOTS // 32))
+PARITIES = tuple(f"parity{k}" for k in range(PARITY // 64))
+
+
+def far_bits(side_a: str, side_b: str, names: tuple[str, ...], pairs: bool = False) -> Column:
+    """Bits, or pairs of bits, in which the longs of two classes differ. The longs are columns of
+    their own: a join that looks at very many pairs reads them without going through an array."""
+    odd, total = F.lit(0x5555555555555555).cast("long"), None
+    for name in names:
+        d = F.col(f"{name}_{side_a}").bitwiseXOR(F.col(f"{name}_{side_b}"))
+        n = F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(odd)) if pairs else F.bit_count(d)
         total = n if total is None else total + n
     return total
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def may_link(a: str, b: str) -> Column:
+    """Whether the traits of two classes leave the threshold open."""
+    x, y = F.col(f"n_{a}"), F.col(f"n_{b}")
+    # (100 - PERCENT) (x + y) / (100 + PERCENT) shingles may be in one of the sets only.
+    return (
+        (100 * F.least(x, y) >= PERCENT * F.greatest(x, y))
+        & (far_bits(a, b, LOWS, pairs=True) <= MAX_FAR)
+        & ((100 + PERCENT) * far_bits(a, b, PARITIES) <= (100 - PERCENT) * (x + y))
+    )
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, *more: str) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     of = lambda side: sets.select(F.col("cid").alias(side), F.col("shingles").alias(f"set_{side}"))
-    joined = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+    joined = pairs.select("a", "b", *more).join(of("a"), "a").join(of("b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
-    both = joined.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
-    return both.where(100 * F.col("common") >= PERCENT * (F.col("sizes") - F.col("common"))).select("a", "b")
+    both = joined.select("a", "b", *more, common.alias("common"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
+    return both.where(100 * F.col("common") >= PERCENT * (F.col("sizes") - F.col("common"))).select("a", "b", *more)
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -217,19 +239,22 @@ def groups(docs: DataFrame) -> DataFrame:
     marks = kit.settled(texts.mapInArrow(_mark, MARKS))
     classes = kit.settled(
         marks.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("k1", "k2", "n_shingles")
-        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("low").alias("low"))
+        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("low").alias("low"), F.first("parity").alias("parity"))
         .withColumn("cid", F.monotonically_increasing_id())
     )
     keys = classes.select("cid", "copies", "sig").mapInArrow(_index, "key long, cid long, copies long")
     centres = keys.groupBy("key").agg(F.max(F.struct("copies", (-F.col("cid")).alias("minus"))).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = kit.settled(keys.join(centres.select("key", (-F.col("top.minus")).alias("centre")), "key").select("key", "cid", "centre"))
 
-    traits = classes.select("cid", "low", "n_shingles")
-    side = lambda c: traits.select(F.col("cid").alias(c), F.col("low").alias(f"low_{c}"), F.col("n_shingles").alias(f"n_{c}"))
-    may_link = (far_slots(F.col("low_a"), F.col("low_b")) <= MAX_FAR) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    traits = classes.select(
+        "cid", F.col("n_shingles").alias("n"), *[F.get("low", F.lit(k)).alias(c) for k, c in enumerate(LOWS)],
+        *[F.get("parity", F.lit(k)).alias(c) for k, c in enumerate(PARITIES)],
+    )
+    named = ("n", *LOWS, *PARITIES)
+    side = lambda c, rows=traits, *more: rows.select(*more, F.col("cid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in named])
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     star = shared.where("cid <> centre").select(*ordered("cid", "centre")).distinct()
-    star = kit.settled(star.join(side("a"), "a").join(side("b"), "b").where(may_link).select("a", "b"))
+    star = kit.settled(star.join(side("a"), "a").join(side("b"), "b").where(may_link("a", "b")).select("a", "b"))
 
     # Full sets of the classes that meet another one, from the texts of their first documents.
     wanted = classes.join(shared.select("cid").distinct(), "cid", "left_semi").select("cid", F.col("rep").alias("doc_id"), "k1", "k2")
@@ -238,16 +263,17 @@ def groups(docs: DataFrame) -> DataFrame:
     links = kit.settled(confirmed(star, sets))
     comp = components(links)
     placed = shared.select("key", "cid").join(comp, shared["cid"] == comp["node"], "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-    open_rows = kit.settled(placed.join(open_keys.select("key", "n"), "key").select("key", "cid", "comp", "n"))
-    hot = open_rows.where(F.col("n") > HOT).join(classes.select("cid", "sig"), "cid").select("key", "cid", "comp", "sig")
-    rows = open_rows.where(F.col("n") <= HOT).select("key", "cid", "comp").union(hot.mapInArrow(_second_index, "key long, cid long, comp long"))
-    rows = rows.join(traits, "cid")
-    left = rows.select("key", F.col("cid").alias("a"), F.col("comp").alias("comp_a"), F.col("low").alias("low_a"), F.col("n_shingles").alias("n_a"))
-    right = rows.select("key", F.col("cid").alias("b"), F.col("comp").alias("comp_b"), F.col("low").alias("low_b"), F.col("n_shingles").alias("n_b"))
-    cross = left.join(right, (left["key"] == right["key"]) & (F.col("comp_a") < F.col("comp_b")) & may_link).select(*ordered("a", "b")).distinct()
-    cross = kit.settled(cross.join(star, ["a", "b"], "left_anti"))
-    links = links.union(confirmed(cross, sets))
+    open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    rows = kit.settled(placed.join(open_keys, "key", "left_semi").join(traits, "cid"))
+    left, right = (side(x, rows, "key", F.col("comp").alias(f"comp_{x}")) for x in "ab")
+    apart = (left["key"] == right["key"]) & (F.col("comp_a") < F.col("comp_b")) & may_link("a", "b")
+    far = far_bits("a", "b", PARITIES)
+    cross = left.join(right, apart).select("a", "b", "comp_a", "comp_b", far.alias("far"))
+    cross = kit.settled(cross.groupBy("a", "b", "comp_a", "comp_b").agg(F.min("far").alias("far")))
+    nearest = cross.groupBy("comp_a", "comp_b").agg(F.min(F.struct("far", "a", "b")).alias("n")).select("comp_a", "comp_b", "n.a", "n.b")
+    joined = kit.settled(confirmed(nearest, sets, "comp_a", "comp_b"))
+    rest = cross.join(joined, ["comp_a", "comp_b"], "left_anti").join(nearest, ["a", "b"], "left_anti")
+    links = links.union(joined.select("a", "b")).union(confirmed(rest, sets))
     comp = components(links)
 
     of_class = classes.join(comp, classes["cid"] == comp["node"], "left").select("k1", "k2", "rep", F.coalesce("comp", "cid").alias("comp"))
@@ -259,5 +285,11 @@ def groups(docs: DataFrame) -> DataFrame:
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that stay when each group keeps its smallest doc_id, with all columns."""
+    gone = groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(kit.read_table(spark, sf_dir, "documents"))

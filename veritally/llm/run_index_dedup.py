@@ -439,8 +439,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     by_bucket = lambda sent, judge: sent.groupBy("bucket").applyInArrow(judge, REPLY_SCHEMA)
     codes = kit.settled(by_bucket(units.mapInArrow(_send_anchors(n_buckets), kit.PACKED_SCHEMA), _judge_anchors))
     with_units = lambda replies, run, schema: units.groupBy("unit").cogroup(replies.groupBy("unit")).applyInArrow(run, schema)
-    phrases = with_units(codes, _send_phrases(n_buckets), kit.PACKED_SCHEMA)
-    replies = kit.settled(by_bucket(phrases, _judge_phrases))
+    replies = kit.settled(by_bucket(with_units(codes, _send_phrases(n_buckets), kit.PACKED_SCHEMA), _judge_phrases))
     return with_units(codes.union(replies), _cut(n_buckets), RESULT_SCHEMA)
 
 
