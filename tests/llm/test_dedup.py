@@ -1,0 +1,245 @@
+"""Line dedup, passage removal, near-duplicates and tiling against plain versions."""
+
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+
+from veritally.llm import decontamination, kit, line_dedup, minhash_hamming, run_index_dedup
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def rank(i):
+    return float("inf") if i is None else i
+
+
+def plain_lines(rows):
+    """(id, kept text) by comparing every line with all earlier ones."""
+    ordered = sorted(range(len(rows)), key=lambda k: rank(rows[k][0]))
+    seen, out = [], [None] * len(rows)
+    for k in ordered:
+        kept = []
+        for line in (rows[k][1] or "").split("\n"):
+            words = set(WORD.findall(line.translate(LOWER)))
+            again = words and any(100 * len(words & s) >= 80 * len(words | s) for s in seen)
+            if words:
+                seen.append(words)
+            if not again:
+                kept.append(line)
+        out[k] = (rows[k][0], "\n".join(kept))
+    return sorted(out, key=str)
+
+
+def test_line_dedup_equals_the_plain_version(docs, corpus):
+    result = sorted(((r["doc_id"], r["kept"]) for r in line_dedup.dedup_lines(docs).collect()), key=str)
+    assert result == plain_lines(corpus)
+
+
+def test_line_dedup_in_lists_that_are_hot(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 2)
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(20)]
+    rows = []
+    for i in range(40):
+        words = list(base)
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(20)] = f"z{rng.randrange(9)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    result = sorted(((r["doc_id"], r["kept"]) for r in line_dedup.dedup_lines(df).collect()), key=str)
+    assert result == plain_lines(rows)
+
+
+def test_line_dedup_passes_other_columns_on(odd_docs):
+    result = line_dedup.without_repeated_lines(odd_docs)
+    assert result.columns == odd_docs.columns and result.dtypes == odd_docs.dtypes
+    assert {r["n_words"] for r in result.where("kept = 'kept'").collect()} <= {r["n_words"] for r in odd_docs.collect()}
+    assert line_dedup.dedup_lines(odd_docs).count() == odd_docs.count()
+    assert line_dedup.dedup_lines(odd_docs.limit(0)).count() == 0
+
+
+def plain_passages(rows, size=50):
+    texts = [(rank(i), (t or "").encode()) for i, t in rows]
+    first = {}
+    for i, b in texts:
+        for k in range(len(b) - size + 1):
+            first[b[k : k + size]] = min(i, first.get(b[k : k + size], i))
+    out = []
+    for (i, _), (order, b) in zip(rows, texts):
+        gone = bytearray(len(b))
+        for k in range(len(b) - size + 1):
+            if first[b[k : k + size]] < order:
+                gone[k : k + size] = b"\1" * size
+        spans = [(m.start(), m.end()) for m in re.finditer(b"\1+", bytes(gone))]
+        out.append((i, len(b), spans, bytes(x for x, g in zip(b, gone) if not g)))
+    return sorted(out, key=str)
+
+
+def passages(df):
+    rows = run_index_dedup.cut_repeats(df).collect()
+    return sorted(((r["doc_id"], r["n_bytes"], list(zip(r["starts"], r["ends"])), bytes(r["kept"])) for r in rows), key=str)
+
+
+def test_passages_equal_the_plain_version(docs, odd_docs, corpus):
+    assert passages(docs) == plain_passages(corpus)
+    rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
+    assert passages(odd_docs) == plain_passages(rows)
+    assert passages(docs.limit(0)) == []
+
+
+def test_passages_of_hot_anchors(spark, monkeypatch):
+    monkeypatch.setattr(run_index_dedup, "HOT", 3)
+    rng = random.Random(2)
+    passage = "a passage that many documents share word for word, and more of it"
+    noise = lambda: "".join(rng.choices("abcdefgh ", k=rng.randint(0, 60)))
+    rows = [(i, noise() + passage[: rng.randint(40, 65)] + noise()) for i in range(40)] + [(50, "ab" * 200), (51, "ba" * 100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert passages(df) == plain_passages(rows)
+
+
+def test_the_index_finds_older_windows():
+    strings = [b"x" * 60, b"y" + b"x" * 55, b"abc" * 25]
+    docs = np.array([1, 2, 3])
+    sizes = np.array([len(s) for s in strings])
+    index = run_index_dedup.RunIndex(np.frombuffer(b"".join(strings), np.uint8), sizes, docs)
+    assert len(index.run_start) < index.n
+    assert index.older_windows(sizes, docs).tolist() == [0, 0b1111110, 0]
+
+
+def shingle_set(text):
+    words = WORD.findall((text or "").translate(LOWER))
+    if 0 < len(words) < 5:
+        return frozenset([tuple(words)])
+    return frozenset(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+
+
+def plain_groups(rows):
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    for (i, a), (j, b) in itertools.combinations(sets, 2):
+        if a and b and 100 * len(a & b) >= 75 * len(a | b):
+            x, y = find(i), find(j)
+            root[max(x, y)] = min(x, y)
+    return sorted((i, len(s), find(i), find(i) == i) for i, s in sets)
+
+
+def test_groups_equal_the_plain_version(docs, corpus):
+    result = sorted(tuple(r) for r in minhash_hamming.groups(docs).collect())
+    assert result == plain_groups(corpus)
+
+
+def test_groups_of_near_copies_whose_centre_is_not_near_all(spark):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(80)] = f"z{rng.randrange(99)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in minhash_hamming.groups(df).collect()) == plain_groups(rows)
+
+
+def test_groups_of_odd_rows(odd_docs):
+    result = minhash_hamming.groups(odd_docs)
+    assert result.count() == odd_docs.count()
+    nameless = result.where("doc_id IS NULL").collect()
+    assert nameless and all(r["component_id"] is None and r["kept"] for r in nameless)
+    stay = minhash_hamming.representatives(odd_docs)
+    assert stay.columns == odd_docs.columns and 0 < stay.count() < odd_docs.count()
+    assert minhash_hamming.groups(odd_docs.limit(0)).count() == 0
+
+
+def test_signature_keys_are_shared_within_the_distance():
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 1 << 16, (200, minhash_hamming.SLOTS), dtype=np.uint16)
+    b = a.copy()
+    used = minhash_hamming.CHUNKS * 3
+    for row in b:
+        row[rng.choice(used, 2 * minhash_hamming.CHUNKS - 1, replace=False)] ^= 1
+    x, y = minhash_hamming._chunk_keys(a), minhash_hamming._chunk_keys(b)
+    assert all(set(p.tolist()) & set(q.tolist()) for p, q in zip(x, y))
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 70), (70, 50)]
+    found = {r["node"]: r["comp"] for r in minhash_hamming.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {i: 1 for i in range(1, 41)} | {50: 50, 60: 50, 70: 50}
+
+
+def plain_tiles(item, doc, shortest):
+    a, b, tiles = [False] * len(item), [False] * len(doc), []
+    while True:
+        best, found = shortest - 1, []
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                k = 0
+                while i + k < len(item) and j + k < len(doc) and item[i + k] == doc[j + k] and not a[i + k] and not b[j + k]:
+                    k += 1
+                if k > best:
+                    best, found = k, []
+                if k == best and k >= shortest:
+                    found.append((i, j))
+        if not found:
+            return tiles
+        for i, j in found:
+            if not any(a[i : i + best]) and not any(b[j : j + best]):
+                a[i : i + best] = b[j : j + best] = [True] * best
+                tiles.append((i, j, best))
+
+
+def test_tiles_equal_the_plain_version():
+    rng = random.Random(6)
+    for _ in range(150):
+        item, doc = ([rng.randint(0, 3) for _ in range(rng.randint(0, 25))] for _ in range(2))
+        assert decontamination.tile(np.array(item, np.uint64), np.array(doc, np.uint64), 3) == plain_tiles(item, doc, 3)
+
+
+@pytest.fixture
+def benchmark(spark):
+    items = [(1, " ".join(f"q{i}" for i in range(30))), (2, " ".join(f"r{i}" for i in range(12))), (3, "too short"), (4, None), (5, " ".join(f"q{i}" for i in range(30)))]
+    return spark.createDataFrame(items, "item_id long, text string")
+
+
+def test_contamination(spark, benchmark, monkeypatch):
+    q = [f"q{i}" for i in range(30)]
+    rows = [
+        (1, "before " + " ".join(q) + " after"), (2, " ".join(q[20:] + ["x"] + q[10:20] + ["y"] + q[:10])), (3, " ".join(q[:10])),
+        (4, " ".join(q).upper().replace(" ", ", ")), (5, "too short"), (6, None), (7, ""), (8, "clean words only " * 40),
+        (None, " ".join(q)), (1, "before " + " ".join(q) + " after"), (9, " ".join(f"r{i}" for i in range(12)) + " " + " ".join(q)),
+    ]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, items string")
+    expected = sorted([(1, (1, 5)), (2, (1, 5)), (3, ()), (4, (1, 5)), (5, ()), (6, ()), (7, ()), (8, ()), (None, (1, 5)), (1, (1, 5)), (9, (1, 2, 5))], key=str)
+    for block in (decontamination.BLOCK_WORDS, 10):  # in one block and item by item
+        monkeypatch.setattr(decontamination, "BLOCK_WORDS", block)
+        result = decontamination.contamination(df, benchmark).collect()
+        assert sorted(((r["doc_id"], tuple(r["items"])) for r in result), key=str) == expected
+        clean = decontamination.uncontaminated(df, benchmark)
+        assert clean.columns == df.columns
+        assert sorted(r["doc_id"] for r in clean.collect()) == [3, 5, 6, 7, 8]
+    assert decontamination.contamination(df, benchmark.limit(0)).where("size(items) > 0").count() == 0
+    assert decontamination.contamination(df.limit(0), benchmark).count() == 0
+
+
+def test_units_keep_everything(odd_docs):
+    kit.prepare(odd_docs.sparkSession)
+    units = kit.units(odd_docs, carry=True)
+    rows = units.collect()
+    assert sum(r["n_docs"] for r in rows) == odd_docs.count()
+    texts = []
+    for r in rows:
+        ids, ends, text = kit.open_unit(r.asDict())
+        assert kit.carried_rows(r.asDict()).num_rows == len(ids)
+        texts += [(None if i == kit.NULL_ID else int(i), text[a:b].tobytes().decode()) for i, a, b in zip(ids, ends[:-1], ends[1:])]
+    assert sorted(texts, key=str) == sorted(((r["doc_id"], r["text"] or "") for r in odd_docs.collect()), key=str)
