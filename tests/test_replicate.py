@@ -3,7 +3,6 @@ from conftest import plan, rows
 from pyspark.sql import functions as F
 
 from veritally import label_summary, register_views, replicate, scale_family, union_by_name
-from veritally.operators.rates import summary_by_scale
 from veritally.operators.replicate import replicate_each
 
 
@@ -62,16 +61,6 @@ def test_family_in_one_scan_equals_single_replications(small):
         assert sorted(map(str, rows(part))) == sorted(map(str, rows(replicate(small, factor))))
 
 
-def test_summary_by_scale_equals_summaries_of_replicated_tables(spark):
-    labels = spark.createDataFrame([(True,), (False,), (None,)], "flag boolean")
-    quick = summary_by_scale(label_summary(labels, "flag"), (1, 5, 10), ["total", "positive", "negative"])
-    slow = union_by_name(
-        [label_summary(replicate(labels, n), "flag").withColumn("factor", F.lit(n)) for n in (1, 5, 10)]
-    )
-    assert quick.columns == slow.columns
-    assert sorted(rows(quick)) == sorted(rows(slow))
-
-
 def test_views(spark, small):
     register_views({"one": small})
     assert spark.table("one").count() == 3

@@ -1,25 +1,20 @@
-import base64
-import random
-
 import numpy as np
 import pytest
 from conftest import plan, rows
 from pyspark.sql import functions as F
 
 from veritally import get_scorer, rate_by, register_scorer, register_sql, replicate, score, score_summary
-from veritally.functions.batches import base64_bytes
 from veritally.functions.columns import label_flag, payload_bytes
-from veritally.operators import scoring
-from veritally.operators.scoring import ModelScorer, SqlScorer, partitions_for
+from veritally.operators.scoring import ModelScorer, SqlScorer, linear_file_scorer, partitions_for
 
 
 def length_scorer(counter=None, threshold=2.0, rows_per_pass=2, name="length", load=lambda: 1.0):
     """Score of a text: its length; the text 'bad' has none."""
 
-    def decode(text):
-        if text == "bad":
+    def decode(texts):
+        if "bad" in texts:
             raise ValueError("bad text")
-        return np.array([len(text)], dtype=float)
+        return np.array([[len(text)] for text in texts], dtype=float)
 
     def forward(model, lengths):
         if counter is not None:
@@ -80,7 +75,7 @@ def test_a_missing_model_fails_on_the_driver_unless_told_otherwise(payloads):
     def load():
         raise FileNotFoundError("weights")
 
-    scorer = length_scorer(load=load)
+    scorer = length_scorer(load=load, name="absent")
     with pytest.raises(FileNotFoundError):
         score(payloads, "payload", scorer)
     result = score(payloads, "payload", scorer, on_missing_model="false")
@@ -107,9 +102,14 @@ def test_rows_without_a_needed_key_are_not_scored(spark, payloads):
     assert counter.value == 1
 
 
-def test_a_key_table_beyond_the_broadcast_limit_leaves_all_rows(spark, payloads, no_broadcast):
+@pytest.mark.parametrize("limit", ["10m", "-1"])
+def test_the_keys_decide_whatever_the_broadcast_limit(spark, payloads, limit):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     keys = spark.createDataFrame([("b",)], "name string")
-    assert score(payloads, "payload", length_scorer(), only_keys=keys).count() == 5
+    result = rows(score(payloads, "payload", length_scorer(), only_keys=keys))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert result == [("b", 4.0, True, None)]
 
 
 def test_the_model_is_called_on_batches_and_once_per_query(spark, payloads):
@@ -120,19 +120,38 @@ def test_the_model_is_called_on_batches_and_once_per_query(spark, payloads):
     assert counter.value == 3
 
 
-def test_a_large_model_is_loaded_once_per_worker(spark, payloads, monkeypatch):
-    monkeypatch.setattr(scoring, "MAX_BROADCAST_MODEL", 0)
-    loads = spark.sparkContext.accumulator(0)
+def test_a_model_is_loaded_once_per_name_and_version(spark, payloads):
+    loads = []
 
     def load():
-        loads.add(1)
+        loads.append(1)
         return 10.0
 
-    scorer = length_scorer(load=load)
     for _ in range(3):
-        result = score(payloads.repartition(8), "payload", scorer)
+        result = score(payloads.repartition(8), "payload", length_scorer(name="loaded_once", load=lambda: load()))
         assert {n: s for n, s, _, _ in rows(result)}["b"] == 40.0
-    assert 2 <= loads.value <= 1 + 8  # the driver, and each worker that got rows
+    assert len(loads) == 1
+
+
+def test_weights_come_from_a_table(spark, tmp_path):
+    path = str(tmp_path / "weights")
+    spark.range(64).select(F.col("id").alias("position"), F.lit(0.5).alias("weight")).write.parquet(path)
+    df = spark.createDataFrame([(0, [2.0] * 64), (1, [1.0])], "id int, v array<float>")
+    result = {i: (s, e) for i, s, _, e in rows(score(df, "v", linear_file_scorer(spark, path, version=path)))}
+    assert result[0] == (64.0, None) and result[1][1].startswith("ValueError")
+    spark.range(3).select(F.col("id").alias("position"), F.lit(0.5).alias("weight")).write.parquet(path + "2")
+    with pytest.raises(ValueError):
+        score(df, "v", linear_file_scorer(spark, path + "2", version=path + "2"))
+
+
+def test_a_sql_score_that_is_not_finite_is_an_error(spark):
+    odd = SqlScorer("odd", "1", "CASE {x} WHEN 'a' THEN double('NaN') WHEN 'b' THEN double('Infinity') ELSE 1D END", "STRING")
+    df = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "p string")
+    result = {p: (s, f, e) for p, s, f, e in rows(score(df.withColumn("k", F.col("p")), "p", odd))}
+    assert result["a"] == result["b"] == (None, False, "no finite score")
+    assert result["c"] == (1.0, True, None)
+    register_sql(spark, "odd_flag", odd)
+    assert {r[0]: r[1] for r in rows(spark.sql("SELECT p, odd_flag(p) FROM {t}", t=df))}["a"] is False
 
 
 def test_a_kept_column_must_not_clash(payloads):
@@ -222,10 +241,16 @@ def test_base64_payloads(spark):
     assert decoded == [b"xx", None, b"\x69\xb7", None, None]
 
 
-def test_workers_and_plans_decode_alike(spark):
-    rng = random.Random(1)
-    texts = ["".join(rng.choices("AQz9+/==%- \t\n", k=rng.randint(0, 9))) for _ in range(5000)]
-    texts += [base64.b64encode(rng.randbytes(n)).decode() for n in range(60)]
+def test_one_base64_rule_in_plans_and_in_sql(spark):
+    texts = ["eHg=", " eHg=\n", "\u00a0eHg=", "eHg\u00a0=", "eH g=", "%%%", "", None]
     df = spark.createDataFrame([(t,) for t in texts], "p string")
-    decoded = rows(df.select("p", payload_bytes("p")))
-    assert [(t, base64_bytes(t)) for t in texts] == [(t, None if b is None else bytes(b)) for t, b in decoded]
+
+    def decode(values):
+        return np.array([[len(v)] for v in values], dtype=float)
+
+    of_bytes = ModelScorer("of_bytes", "1", load=lambda: 0, decode=decode, forward=lambda m, x: x[:, 0], base64_text=True)
+    register_sql(spark, "of_payload", of_bytes)
+    by_sql = {r[0]: r[1] for r in rows(spark.sql("SELECT p, of_payload(p) FROM {t}", t=df))}
+    by_operator = {r[0]: r[2] for r in rows(score(df.withColumn("k", F.col("p")), "p", of_bytes))}
+    assert by_sql == by_operator
+    assert by_sql["eHg="] and by_sql[" eHg=\n"] and not by_sql["\u00a0eHg="] and not by_sql["%%%"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Callable
 from typing import Any
 
@@ -13,53 +12,30 @@ NO_PAYLOAD = "no payload"
 NO_MODEL = "no model"
 NO_SCORE = "no finite score"
 
-WHITE_SPACE = " \t\r\n"
-
-
-_models: dict[str, Any] = {}
-
-
-def loaded_once(name: str, load: Callable[[], Any]) -> Any:
-    """A model this worker process keeps between tasks; only the latest one is kept."""
-    if name not in _models:
-        _models.clear()
-        _models[name] = load()
-    return _models[name]
-
-
 def score_batch(
     payloads: pd.Series,
     model: Any,
-    decode: Callable[[Any], np.ndarray],
+    decode: Callable[[list], np.ndarray],
     forward: Callable[[Any, np.ndarray], np.ndarray],
     rows_per_pass: int,
 ) -> pd.DataFrame:
-    """One forward pass per `rows_per_pass` decodable rows; a bad row only fails itself."""
+    """One decoding and one forward pass per `rows_per_pass` rows; a bad row only fails itself."""
     values = payloads.to_numpy(dtype=object)
+    missing = payloads.isna().to_numpy()
     scores = np.full(len(values), np.nan)
     errors = np.full(len(values), None, dtype=object)
-    for start in range(0, len(values), rows_per_pass):
-        rows, inputs = [], []
-        for row in range(start, min(start + rows_per_pass, len(values))):
-            if values[row] is None:
-                errors[row] = NO_PAYLOAD
-                continue
-            try:
-                inputs.append(decode(values[row]))
-                rows.append(row)
-            except MemoryError:
-                raise
-            except Exception as problem:
-                errors[row] = f"{type(problem).__name__}: {problem}"
-        if rows:
-            _forward(rows, inputs, model, forward, scores, errors)
+    errors[missing] = NO_PAYLOAD
+    present = np.flatnonzero(~missing)
+    for start in range(0, len(present), rows_per_pass):
+        _score_rows(present[start : start + rows_per_pass], values, model, decode, forward, scores, errors)
     errors[np.isnan(scores) & pd.isnull(errors)] = NO_SCORE
     return pd.DataFrame({"score": scores, "error": errors})
 
 
-def _forward(rows, inputs, model, forward, scores, errors) -> None:
+def _score_rows(rows, values, model, decode, forward, scores, errors) -> None:
+    """All rows at once; if that fails, in halves, down to the rows that are to blame."""
     try:
-        result = np.asarray(forward(model, np.stack(inputs)), dtype=np.float64)
+        result = np.asarray(forward(model, decode(list(values[rows]))), dtype=np.float64)
         scores[rows] = np.where(np.isfinite(result), result, np.nan)
     except MemoryError:
         raise
@@ -67,47 +43,11 @@ def _forward(rows, inputs, model, forward, scores, errors) -> None:
         if len(rows) == 1:
             errors[rows[0]] = f"{type(problem).__name__}: {problem}"
             return
-        for row, one in zip(rows, inputs):
-            _forward([row], [one], model, forward, scores, errors)
+        half = len(rows) // 2
+        for part in (rows[:half], rows[half:]):
+            _score_rows(part, values, model, decode, forward, scores, errors)
 
 
 def unscored_batch(payloads: pd.Series) -> pd.DataFrame:
     """Batch result when there is no model and the caller chose to go on without one."""
     return pd.DataFrame({"score": np.full(len(payloads), np.nan), "error": [NO_MODEL] * len(payloads)})
-
-
-def decode_batch(payloads: pd.Series, decode: Callable[[Any], bytes]) -> pd.DataFrame:
-    """Decoded payloads, with the reason where that fails."""
-    decoded, errors = [], []
-    for value in payloads:
-        result, error = None, NO_PAYLOAD if value is None else None
-        if value is not None:
-            try:
-                result = decode(value)
-            except MemoryError:
-                raise
-            except Exception as problem:
-                error = f"{type(problem).__name__}: {problem}"
-        decoded.append(result)
-        errors.append(error)
-    return pd.DataFrame({"pixels": pd.Series(decoded, dtype=object), "error": pd.Series(errors, dtype=object)})
-
-
-def base64_bytes(payload: str | bytes | None) -> bytes | None:
-    """Same rule as the column expression: None for text that is missing, empty or not base64.
-
-    White space may stand anywhere but inside the padding; padding may be left out, but not
-    be wrong.
-    """
-    if payload is None or isinstance(payload, bytes):
-        return payload or None
-    digits, mark, rest = payload.strip(WHITE_SPACE).partition("=")
-    text = "".join(digits.split()) + mark + rest
-    if not mark:
-        text += "=" * (-len(text) % 4)
-    if len(text) % 4:
-        return None
-    try:
-        return base64.b64decode(text, validate=True) or None
-    except ValueError:
-        return None

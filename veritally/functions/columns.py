@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veritally.functions.batches import WHITE_SPACE
-
 
 def label_flag(label: Column | str) -> Column:
     """Label text to boolean. Text that is no boolean becomes NULL, not an error."""
@@ -24,8 +22,10 @@ def rate_pct(part: Column, whole: Column) -> Column:
     return (F.lit(100.0) * part).cast("double") / whole
 
 
-def payload_bytes(payload: Column | str) -> Column:
-    """Base64 text to bytes. NULL for text that is NULL, empty or not base64."""
-    column = F.col(payload) if isinstance(payload, str) else payload
-    decoded = F.try_to_binary(F.btrim(column, F.lit(WHITE_SPACE)), F.lit("base64"))
-    return F.nullif(decoded, F.lit(b""))
+#: Base64 text to bytes, as SQL over `{x}`: NULL for text that is NULL, empty or not base64.
+PAYLOAD_BYTES_SQL = "nullif(try_to_binary(btrim({x}, ' \t\r\n'), 'base64'), X'')"
+
+
+def payload_bytes(payload: str) -> Column:
+    """Base64 text of a column to bytes, by PAYLOAD_BYTES_SQL: the one rule, in the plan."""
+    return F.expr(PAYLOAD_BYTES_SQL.format(x=f"`{payload}`"))

@@ -1,40 +1,16 @@
-"""Key filters whose small side is measured before it is broadcast."""
+"""Key filters."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-# Room one row takes in a hash table besides its values.
-ROW_OVERHEAD = 64
-
-_UNITS = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
-
-
-def broadcast_limit(df: DataFrame) -> int:
-    """The session's own broadcast limit, in bytes."""
-    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower()
-    number = text.rstrip("bkmg")
-    return int(number) * _UNITS.get(text[len(number) :] or "b", 1)
-
-
-def key_size(columns: Sequence[str]) -> Column:
-    """Aggregate: bytes the rows of a key table take in a hash table."""
-    values = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in columns]
-    return F.coalesce(F.sum(sum(values, F.lit(ROW_OVERHEAD))), F.lit(0))
+from pyspark.sql import DataFrame
 
 
 def restrict_to_keys(df: DataFrame, keys: DataFrame) -> DataFrame:
-    """Leave out rows whose key is not in `keys`, where that costs no shuffle of `df`.
+    """The rows of `df` whose key is in `keys`, whatever the size of either.
 
-    The filter only spares work: where `keys` is too large to broadcast, `df` is returned
-    whole and the caller's own join does the restricting.
+    A plain left-semi join: Spark broadcasts the keys if they turn out to be few and shuffles
+    both sides otherwise.
     """
     columns = keys.columns
-    distinct = keys.where(" AND ".join(f"`{c}` IS NOT NULL" for c in columns)).distinct()
-    size = distinct.agg(key_size(columns)).first()[0]
-    if size > broadcast_limit(df):
-        return df
-    return df.join(F.broadcast(distinct), columns, "left_semi")
+    present = keys.where(" AND ".join(f"`{c}` IS NOT NULL" for c in columns))
+    return df.join(present, columns, "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,15 +27,6 @@ def score_summary(
     )
 
 
-def summary_by_scale(
-    summary: DataFrame, factors: Iterable[int], counts: Sequence[str], scale: str = "factor"
-) -> DataFrame:
-    """A one-row summary at every scale: n copies of each row make every count n times as
-    large and leave rates as they are, so the table is read, and scored, once."""
-    scaled = summary.select("*", F.explode(F.array(*[F.lit(f) for f in factors])).alias(scale))
-    return scaled.withColumns({name: F.col(name) * F.col(scale) for name in counts})
-
-
 def label_summary(
     labels: DataFrame,
     flag: str,
@@ -87,10 +78,12 @@ def rate_by(
 
     The labels take part as a join side only: they restrict and multiply rows.
 
-    count_first  True: every table is counted per key before the joins and the counts are
-                 multiplied. The result is that of the plain join for any number of copies
-                 of a key, but a key shared by a third of all rows meets the joins as one
-                 row, and n copies of each table cost n times, not n**3 times, the work.
+    count_first  True: the labels are counted per key, and the attributes of labelled keys are
+                 summed up to one weight per key and group; the scored rows then meet these
+                 weights in one join and are never grouped by key. The result is that of the
+                 plain join for any number of copies of a key, but n copies of each table cost
+                 n times, not n**3 times, the work, and a hot key of the scored table meets
+                 one row per group, so that Spark may split it.
                  False: the plain join.
     """
     keys = _names(on)
@@ -122,20 +115,14 @@ def _sums_of_rows(scored: DataFrame, labels: DataFrame, attributes: DataFrame, k
 
 
 def _sums_of_counts(scored: DataFrame, labels: DataFrame, attributes: DataFrame, keys: list[str]) -> DataFrame:
-    rows = F.count(F.lit(1))
-    per_key = scored.groupBy(*keys).agg(rows.alias("_rows"), count_true(F.col("_flag")).alias("_hits"))
-    per_label = labels.groupBy(*keys).agg(rows.alias("_labels"))
-    # One key has at most as many rows here as there are groups in the result. That takes a
-    # second shuffle of narrow rows (by key and group, then by key); without it, all attribute
-    # rows of a hot key would meet in one task.
-    per_attribute = attributes.groupBy(*keys, "_by").agg(rows.alias("_copies"))
-    joined = per_key.join(per_label, keys).join(per_attribute, keys)
-    times = F.col("_labels") * F.col("_copies")
-    sums = joined.groupBy("_by").agg(
-        F.sum(F.col("_rows") * times).alias("_total"),
-        F.sum(F.col("_hits") * times).alias("_positive"),
-        F.sum(F.col("_rows").cast("double") * F.col("_labels") * F.col("_copies")).alias("_size"),
+    per_label = labels.groupBy(*keys).agg(F.count(F.lit(1)).alias("_labels"))
+    # Joined before they are grouped: only attributes of labelled keys are.
+    weights = attributes.join(per_label, keys).groupBy(*keys, "_by").agg(F.sum("_labels").alias("_weight"))
+    sums = scored.join(weights, keys).groupBy("_by").agg(
+        F.sum("_weight").alias("_total"),
+        F.sum(F.when(F.col("_flag"), F.col("_weight")).otherwise(F.lit(0).cast("long"))).alias("_positive"),
+        F.sum(F.col("_weight").cast("double")).alias("_size"),
     )
-    # Products of counts outgrow BIGINT sooner than any join could; outside ANSI mode they would wrap.
+    # Sums of weights outgrow BIGINT sooner than any join could; outside ANSI mode they would wrap.
     fits = F.when(F.col("_size") < 2.0**63, F.col("_total")).otherwise(F.raise_error(F.lit("count beyond BIGINT")))
     return sums.withColumn("_total", fits)

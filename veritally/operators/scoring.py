@@ -7,9 +7,6 @@ of model calls is the number of payload rows, whatever the joins multiply.
 
 from __future__ import annotations
 
-import hashlib
-import pickle
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -21,15 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veritally.functions import batches, images
-from veritally.functions.columns import payload_bytes
+from veritally.functions import batches
+from veritally.functions.columns import PAYLOAD_BYTES_SQL, payload_bytes
 from veritally.operators.joins import restrict_to_keys
 from veritally.session import ship_package
 
-# Models up to this size travel as a broadcast; a larger one is loaded by each worker, from
-# wherever the scorer's `load` finds it.
-MAX_BROADCAST_MODEL = 256 << 20
-
 RESULT = "score double, error string"
 
 
@@ -48,16 +41,17 @@ class SqlScorer:
 class ModelScorer:
     """A score computed by a model on batches of rows.
 
-    load           gives the model; called on the driver, and by the workers for a large model
-    decode         one payload to one array; what it raises is that row's error
-    forward        (model, stacked arrays) to one score per row
-    rows_per_pass  rows stacked for one forward pass
+    load           gives the model; called on the driver, once per name and version, and broadcast
+    decode         a list of payloads to one array with a row for each; if it raises, the payloads
+                   are tried one by one, and what one raises is that row's error
+    forward        (model, array) to one score per row
+    rows_per_pass  rows of one forward pass
     """
 
     name: str
     version: str
     load: Callable[[], Any]
-    decode: Callable[[Any], np.ndarray]
+    decode: Callable[[list], np.ndarray]
     forward: Callable[[Any, np.ndarray], np.ndarray]
     threshold: float = 0.0
     rows_per_pass: int = 256
@@ -83,51 +77,31 @@ def _linear_weights() -> np.ndarray:
     return ((np.arange(VECTOR_LENGTH) * 7) % 11 - 5).astype(np.float64)
 
 
-def _vector(values: Any) -> np.ndarray:
-    vector = np.asarray(values, dtype=np.float64)
-    if vector.shape != (VECTOR_LENGTH,):
-        raise ValueError(f"expected {VECTOR_LENGTH} values, found shape {vector.shape}")
-    return vector
+def _vectors(values: list) -> np.ndarray:
+    vectors = np.array(list(values), dtype=np.float64)
+    if vectors.ndim != 2 or vectors.shape[1] != VECTOR_LENGTH:
+        raise ValueError(f"expected {VECTOR_LENGTH} values, found shape {vectors.shape[1:]}")
+    return vectors
 
 
 def _dot(weights: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return vectors @ weights
 
 
-LINEAR = ModelScorer("linear", "1", load=_linear_weights, decode=_vector, forward=_dot, rows_per_pass=4096)
+LINEAR = ModelScorer("linear", "1", load=_linear_weights, decode=_vectors, forward=_dot, rows_per_pass=4096)
 
 
-def cnn_scorer(weights: str, *, name: str = "cnn", version: str | None = None) -> ModelScorer:
-    """Image scorer with trained weights from a file the driver can read.
+def linear_file_scorer(spark: SparkSession, path: str, *, name: str = "linear_file", version: str = "1") -> ModelScorer:
+    """The linear model with weights from a Parquet table of `position` and `weight`, wherever
+    Spark can read it. The model has VECTOR_LENGTH weights, whatever the data."""
 
-    Its version comes from the file's content by default, so scores stored for other weights
-    are never taken for its own.
-    """
-    if version is None:
-        try:
-            with open(weights, "rb") as file:
-                version = hashlib.file_digest(file, "sha256").hexdigest()[:16]
-        except FileNotFoundError:
-            version = "missing"  # loading the model decides what that means
-    return _image_scorer(name, version, lambda: images.load_parameters(weights))
-
-
-def seeded_cnn_scorer(seed: int = 9) -> ModelScorer:
-    """The same network with random weights, for trial runs without a trained model."""
-    return _image_scorer("cnn_seeded", str(seed), lambda: images.seeded_parameters(seed))
-
-
-def _image_scorer(name: str, version: str, parameters: Callable[[], dict[str, np.ndarray]]) -> ModelScorer:
-    return ModelScorer(
-        name=name,
-        version=version,
-        load=lambda: images.network(parameters()),
-        decode=images.pixels,
-        forward=images.forward,
-        threshold=0.5,
-        rows_per_pass=256,
-        base64_text=True,
-    )
+    def load() -> np.ndarray:
+        rows = spark.read.parquet(path).orderBy("position").limit(VECTOR_LENGTH + 1).collect()
+        if [r["position"] for r in rows] != list(range(VECTOR_LENGTH)):
+            raise ValueError(f"{path} does not hold the weights of {VECTOR_LENGTH} positions")
+        return np.array([r["weight"] for r in rows], dtype=np.float64)
+
+    return ModelScorer(name, version, load=load, decode=_vectors, forward=_dot, rows_per_pass=4096)
 
 
 _SCORERS: dict[str, Scorer] = {}
@@ -147,25 +121,29 @@ def get_scorer(scorer: str | Scorer) -> Scorer:
     return _SCORERS[scorer]
 
 
-for _scorer in (LINES, LINEAR, seeded_cnn_scorer()):
+for _scorer in (LINES, LINEAR):
     register_scorer(_scorer)
 
 # --- model distribution ---------------------------------------------------------------
 
-_handles: dict[tuple[str, Scorer], Broadcast | str] = {}
+_handles: dict[tuple[str, str, str], Broadcast] = {}
 
 
-def _model_handle(spark: SparkSession, scorer: ModelScorer) -> Broadcast | str:
-    """The broadcast model or, where it is too large, a name its workers keep it under."""
-    key = (spark.sparkContext.applicationId, scorer)
+def _model_handle(spark: SparkSession, scorer: ModelScorer) -> Broadcast:
+    """The broadcast model; one per application, scorer name and version, whatever its size."""
+    key = (spark.sparkContext.applicationId, scorer.name, scorer.version)
     if key not in _handles:
-        model = scorer.load()
-        size = len(pickle.dumps(model, protocol=pickle.HIGHEST_PROTOCOL))
-        fits = size <= MAX_BROADCAST_MODEL
-        _handles[key] = spark.sparkContext.broadcast(model) if fits else uuid.uuid4().hex
+        _handles[key] = spark.sparkContext.broadcast(scorer.load())
     return _handles[key]
 
 
+def release_models() -> None:
+    """Drop the broadcast models of this process; the next use loads them again."""
+    for handle in _handles.values():
+        handle.unpersist()
+    _handles.clear()
+
+
 def _batch_function(spark: SparkSession, scorer: ModelScorer, on_missing_model: str):
     """Batches of payloads to batches of (score, error), as it runs on a worker.
 
@@ -181,10 +159,10 @@ def _batch_function(spark: SparkSession, scorer: ModelScorer, on_missing_model:
             raise
         return lambda series: map(batches.unscored_batch, series)
 
-    load, decode, forward, rows = scorer.load, scorer.decode, scorer.forward, scorer.rows_per_pass
+    decode, forward, rows = scorer.decode, scorer.forward, scorer.rows_per_pass
 
     def scored(series):
-        model = batches.loaded_once(handle, load) if isinstance(handle, str) else handle.value
+        model = handle.value
         for payloads in series:
             yield batches.score_batch(payloads, model, decode, forward, rows)
 
@@ -220,8 +198,7 @@ def score(
     `score` (double), `pred` (score strictly above the threshold, never NULL) and
     `score_error` (why there is no score).
 
-    only_keys   rows whose key is absent from this table are not needed by the caller, and
-                are left out before scoring where the table is small enough to broadcast
+    only_keys   rows whose key is absent from this table are left out before scoring
     partitions  spread the rows over this many partitions first; see `partitions_for`
     """
     scorer = get_scorer(scorer)
@@ -252,7 +229,8 @@ def score(
 
 
 def _sql_result(scorer: SqlScorer) -> Column:
-    value = F.expr(scorer.score_sql.format(x="_payload"))
+    raw = F.expr(scorer.score_sql.format(x="_payload")).cast("double")
+    value = F.when(F.abs(raw) < F.lit(float("inf")), raw)  # neither NaN nor infinite
     reason = F.when(F.col("_payload").isNull(), F.lit(batches.NO_PAYLOAD)).otherwise(F.lit(batches.NO_SCORE))
     # Asking for the score first lets the generated code share its evaluation with the other columns.
     error = F.when(value.isNull(), reason)
@@ -270,30 +248,6 @@ def partitions_for(scan: DataFrame) -> int | None:
     return 2 * cores if scan.rdd.getNumPartitions() < cores else None
 
 
-def decode_images(
-    df: DataFrame, payload: str, keep: Sequence[str] | None = None, *, partitions: int | None = None
-) -> DataFrame:
-    """Preprocessing job: image payload to a `pixels` column (uncompressed PPM of 128 x 128,
-    or NULL) and `decode_error`. Written once, it spares later scoring runs decoding and
-    resizing; bytes take a quarter of the room of the floats the network works on."""
-    ship_package(df.sparkSession)
-    keep = [c for c in df.columns if c != payload] if keep is None else list(keep)
-    df = df.select(*keep, F.col(payload).alias("_payload"))
-    if partitions:
-        df = df.repartition(partitions)
-    if isinstance(df.schema["_payload"].dataType, T.StringType):
-        df = df.withColumn("_payload", payload_bytes("_payload"))
-
-    @F.pandas_udf("pixels binary, error string")
-    def to_pixels(payloads: pd.Series) -> pd.DataFrame:
-        return batches.decode_batch(payloads, images.ppm)
-
-    result = to_pixels(F.col("_payload")).alias("_result")
-    return df.select(*keep, result).select(
-        *keep, F.col("_result.pixels").alias("pixels"), F.col("_result.error").alias("decode_error")
-    )
-
-
 # --- SQL surface ----------------------------------------------------------------------
 
 
@@ -309,20 +263,25 @@ def register_sql(
     scorer = get_scorer(scorer)
     cut = float(scorer.threshold if threshold is None else threshold)
     if isinstance(scorer, SqlScorer):
-        body = scorer.score_sql.format(x="payload")
+        body = f"CAST({scorer.score_sql.format(x='payload')} AS DOUBLE)"
         spark.sql(
             f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(payload {scorer.input_type}) RETURNS BOOLEAN "
-            f"RETURN coalesce({body} > {cut!r}D, false)"
+            f"RETURN coalesce(abs({body}) < double('infinity') AND {body} > {cut!r}D, false)"
         )
         return
     scored = _batch_function(spark, scorer, on_missing_model)
-    base64_text = scorer.base64_text
 
     @F.pandas_udf("boolean")
     def flag(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if base64_text:
-            series = (payloads.map(batches.base64_bytes) for payloads in series)
         for result in scored(series):
             yield result["score"] > cut
 
+    if scorer.base64_text:
+        # Decoded in the plan, by the same rule as in `score`.
+        spark.udf.register(f"{name}_of_bytes", flag)
+        spark.sql(
+            f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(payload STRING) RETURNS BOOLEAN "
+            f"RETURN {name}_of_bytes({PAYLOAD_BYTES_SQL.format(x='payload')})"
+        )
+        return
     spark.udf.register(name, flag)

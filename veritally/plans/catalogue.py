@@ -2,7 +2,7 @@
 
 Stand-ins for the identity tables: `documents.text` is the payload, `labels.toxic` the
 label, `documents.source` and `documents.lang` the attributes; `embeddings` feeds the
-linear model, and a document's whole text read as pixels feeds the image model.
+linear model. The CSV queries write these stand-ins as the three files and read them back.
 """
 
 from __future__ import annotations
@@ -10,17 +10,20 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritally.functions.columns import count_true, label_flag, payload_bytes, rate_pct
-from veritally.operators.rates import label_summary, rate_by, score_summary, summary_by_scale, top_groups
-from veritally.operators.replicate import FACTORS, replicate, replicate_each, union_by_name
-from veritally.operators.scoring import decode_images, partitions_for, register_sql, score
+from veritally.operators.rates import label_summary, rate_by, score_summary, top_groups
+from veritally.operators.replicate import FACTORS, replicate, replicate_each, scale_family, scale_name, union_by_name
+from veritally.operators.scoring import LINES, ModelScorer, SqlScorer, linear_file_scorer, partitions_for, register_sql, score
 from veritally.plans import sql
-from veritally.session import shared_folder
+from veritally.plans.identity import IdentityTables
+from veritally.session import checkpointed, shared_folder
 from veritally.sources.store import ScoreStore
-from veritally.sources.tables import read_parquet
+from veritally.sources.tables import empty_like, read_csv, read_parquet, register_views
+
+LINES_OF_TEXT = LINES.score_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,24 +49,16 @@ def scored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(vectors, "embedding", "linear", keep=["vec_id"], partitions=partitions_for(vectors))
 
 
-def text_as_image(text: Column) -> Column:
-    """The whole text as a base64 PPM image: its bytes in order, three to a pixel, in a
-    square just large enough, the rest black."""
-    data = F.encode(text, "UTF-8")
-    pixels = F.ceil(F.octet_length(data) / 3)
-    width = F.greatest(F.lit(1), F.ceil(F.sqrt(pixels)))
-    height = F.greatest(F.lit(1), F.ceil(pixels / width))
-    header = F.encode(F.concat(F.lit("P6\n"), width, F.lit(" "), height, F.lit("\n255\n")), "UTF-8")
-    body = F.rpad(data, (3 * width * height).cast("int"), F.lit(b"\0"))
-    return F.base64(F.concat(header, body))
-
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-def document_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", text_as_image(F.col("text")).alias("image"))
 
-
-def new_store(spark: SparkSession) -> ScoreStore:
-    return ScoreStore(spark, f"{shared_folder(spark)}/scores-{uuid.uuid4().hex}")
+def stored(spark: SparkSession, use: Callable[[ScoreStore], DataFrame]) -> DataFrame:
+    """What `use` reads from a new store, kept; the store itself is removed again."""
+    store = ScoreStore(spark, new_folder(spark, "scores"))
+    rows = checkpointed(use(store))
+    store.drop()
+    return rows
 
 
 # --- the four questions ---------------------------------------------------------------
@@ -129,20 +124,39 @@ def q_score_column(spark, sf_dir):
 
 
 def q_summary_from_store(spark, sf_dir):
-    stored = new_store(spark).write(documents(spark, sf_dir), "doc_id", "text", "lines")
-    return score_summary(stored)
+    return score_summary(stored(spark, lambda s: s.write(documents(spark, sf_dir), "doc_id", "text")))
 
 
 def q_rate_from_store(spark, sf_dir):
-    stored = new_store(spark).write(documents(spark, sf_dir), "doc_id", "text", "lines")
-    return rate_by(stored, labels(spark, sf_dir), documents(spark, sf_dir), "source", on="doc_id")
+    scores = stored(spark, lambda s: s.write(documents(spark, sf_dir), "doc_id", "text"))
+    return rate_by(scores, labels(spark, sf_dir), documents(spark, sf_dir), "source", on="doc_id")
+
+
+def _twice(spark, first, second):
+    def use(store):
+        store.append_new(first, "doc_id", "text")
+        return store.append_new(second, "doc_id", "text")
+
+    return stored(spark, use)
 
 
 def q_store_append_new(spark, sf_dir):
-    """Labelled documents first, all the others in a second run."""
-    store, docs = new_store(spark), documents(spark, sf_dir)
-    store.write(docs.join(labels(spark, sf_dir), "doc_id", "left_semi"), "doc_id", "text", "lines")
-    return store.append_new(docs, "doc_id", "text", "lines")
+    """Labelled documents first, all of them in a second run."""
+    docs = documents(spark, sf_dir)
+    return _twice(spark, docs.join(labels(spark, sf_dir), "doc_id", "left_semi"), docs)
+
+
+def q_store_changed_payload(spark, sf_dir):
+    """All documents, then the same with line feeds put into the German texts."""
+    docs = documents(spark, sf_dir)
+    broken = F.when(F.col("lang") == "de", F.replace("text", F.lit(" "), F.lit("\n"))).otherwise(F.col("text"))
+    return _twice(spark, docs, docs.withColumn("text", broken))
+
+
+def q_store_other_table(spark, sf_dir):
+    """All documents, then a table of the labelled ones: their scores only."""
+    docs = documents(spark, sf_dir)
+    return _twice(spark, docs, docs.join(labels(spark, sf_dir), "doc_id", "left_semi"))
 
 
 def q_linear_score(spark, sf_dir):
@@ -154,16 +168,46 @@ def q_linear_rate_by_label(spark, sf_dir):
     return rate_by(scored_vectors(spark, sf_dir), vectors, vectors, "label", on="vec_id")
 
 
-def q_image_score(spark, sf_dir):
-    pictures = document_images(spark, sf_dir)
-    scored = score(pictures, "image", "cnn_seeded", partitions=partitions_for(pictures))
-    return scored.withColumn("score", F.round("score", 5))
+def q_linear_file_score(spark, sf_dir):
+    """The linear model with its weights read from an artefact."""
+    path = new_folder(spark, "weights")
+    weights = spark.range(64).select(F.col("id").alias("position"), ((F.col("id") * 7) % 11 - 5).cast("double").alias("weight"))
+    weights.write.parquet(path)
+    scorer = linear_file_scorer(spark, path, version=path)
+    return score(table(spark, sf_dir, "embeddings"), "embedding", scorer, keep=["vec_id"])
+
+
+def q_score_errors(spark, sf_dir):
+    """All vectors, and beside them one cut short, one missing and one without a number for each
+    vector of label 0: every bad row is no fraud, with its reason."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    odd = vectors.where("label = 0")
+    cases = [
+        vectors.withColumn("kind", F.lit("good")),
+        odd.withColumn("embedding", F.slice("embedding", 1, 63)).withColumn("kind", F.lit("short")),
+        odd.withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("kind", F.lit("null")),
+        odd.withColumn("embedding", F.transform("embedding", lambda x: F.lit(float("nan")).cast("float"))).withColumn("kind", F.lit("nan")),
+    ]
+    scored = score(union_by_name(cases), "embedding", "linear", keep=["kind"])
+    return scored.groupBy("kind", "score_error").agg(F.count(F.lit(1)).alias("total"), count_true(F.col("pred")).alias("predicted"))
+
 
+def q_sql_score_errors(spark, sf_dir):
+    """A SQL score that is infinite, or no number, for many texts."""
+    odd = SqlScorer("odd_score", "1", "if(length({x}) > 1000, double('infinity'), if(length({x}) > 500, double('nan'), double(length({x}))))", "STRING")
+    scored = score(documents(spark, sf_dir), "text", odd, keep=["doc_id"])
+    return scored.groupBy("pred", "score_error").agg(F.count(F.lit(1)).alias("total"))
 
-def q_image_pixels(spark, sf_dir):
-    pictures = document_images(spark, sf_dir)
-    decoded = decode_images(pictures, "image", partitions=partitions_for(pictures))
-    return decoded.select("doc_id", F.octet_length("pixels").alias("n_bytes"), "decode_error")
+
+def q_missing_model(spark, sf_dir):
+    """A model that cannot be loaded, where the caller goes on without it."""
+
+    def load():
+        raise FileNotFoundError("no such weights")
+
+    absent = ModelScorer("absent", "1", load=load, decode=list, forward=lambda model, rows: rows)
+    scored = score(table(spark, sf_dir, "embeddings"), "embedding", absent, keep=["vec_id"], on_missing_model="false")
+    return scored.groupBy("pred", "score_error").agg(F.count(F.lit(1)).alias("total"))
 
 
 # --- replication ----------------------------------------------------------------------
@@ -188,20 +232,41 @@ def q_union_by_name(spark, sf_dir):
 
 
 def q_score_summary_scales(spark, sf_dir):
-    """The first question at every scale factor, from one scan and one scoring."""
-    summary = score_summary(scored_documents(spark, sf_dir))
-    return summary_by_scale(summary, FACTORS, ["total", "predicted"])
+    """The first question at every scale factor, over the replicated scored rows."""
+    copies = replicate_each(scored_documents(spark, sf_dir).select("pred"))
+    counts = copies.groupBy("factor").agg(F.count(F.lit(1)).alias("total"), count_true(F.col("pred")).alias("predicted"))
+    return counts.withColumn("rate_pct", rate_pct(F.col("predicted"), F.col("total")))
 
 
 def q_label_summary_scales(spark, sf_dir):
-    summary = label_summary(labels(spark, sf_dir), "flag")
-    return summary_by_scale(summary, FACTORS, ["total", "positive", "negative"])
+    copies = replicate_each(labels(spark, sf_dir).select("flag"))
+    counts = copies.groupBy("factor").agg(
+        F.count(F.lit(1)).alias("total"), count_true(F.col("flag")).alias("positive"), count_true(~F.col("flag")).alias("negative")
+    )
+    return counts.withColumn("rate_pct", rate_pct(F.col("positive"), F.col("total")))
 
 
 def q_scale_family_counts(spark, sf_dir):
-    """All scales of the label table, row by row."""
-    copies = replicate_each(labels(spark, sf_dir).select("flag"))
-    return copies.groupBy("factor", "flag").agg(F.count(F.lit(1)).alias("total"))
+    """All three tables at all scales, row by row."""
+    sources = {"scored": scored_documents(spark, sf_dir), "labels": labels(spark, sf_dir), "documents": documents(spark, sf_dir)}
+    counts = []
+    for name, df in sources.items():
+        copies = replicate_each(df.select("doc_id")).groupBy("factor")
+        counts.append(copies.agg(F.count(F.lit(1)).alias("total"), F.sum(F.col("doc_id") + F.col("dup_batch")).alias("checksum")).withColumn("name", F.lit(name)))
+    return union_by_name(counts)
+
+
+def _rate_scales(spark, sf_dir, by):
+    """The question at every scale factor, each over its own replicated tables."""
+    return union_by_name([_scaled(spark, sf_dir, by, factor, "doc_id").withColumn("factor", F.lit(factor)) for factor in FACTORS])
+
+
+def q_rate_scales_by_source(spark, sf_dir):
+    return _rate_scales(spark, sf_dir, "source")
+
+
+def q_rate_scales_by_lang(spark, sf_dir):
+    return _rate_scales(spark, sf_dir, "lang")
 
 
 def _scaled(spark, sf_dir, by, factor, on, **options):
@@ -246,14 +311,93 @@ def q_label_cast(spark, sf_dir):
 
 
 def q_payload_decode(spark, sf_dir):
+    """Every text as base64, without its padding, and damaged."""
     encoded = F.base64("text")
-    damaged = (
-        F.when(F.col("lang") == "fr", F.concat(F.lit("%"), encoded))
-        .when(F.col("lang") == "de", F.rtrim(encoded, F.lit("=")))
-        .when(F.col("lang") == "en", encoded)
-    )
-    data = documents(spark, sf_dir).select("doc_id", payload_bytes(damaged).alias("data"))
-    return data.select("doc_id", F.octet_length("data").alias("n_bytes"), F.md5("data").alias("digest"))
+    kinds = {
+        "whole": encoded,
+        "unpadded": F.rtrim(encoded, F.lit("=")),
+        "damaged": F.concat(F.lit("%"), encoded),
+        "no-break space": F.concat(F.lit("\u00a0"), encoded),
+    }
+    cases = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("payload")) for k, v in kinds.items()])
+    rows = documents(spark, sf_dir).select("doc_id", F.explode(cases).alias("c")).select("doc_id", "c.kind", "c.payload")
+    data = rows.select("doc_id", "kind", payload_bytes("payload").alias("data"))
+    return data.select("doc_id", "kind", F.octet_length("data").alias("n_bytes"), F.md5("data").alias("digest"))
+
+
+# --- the report from CSV files --------------------------------------------------------
+
+BASE64_LINES = SqlScorer("base64_lines", "1", LINES_OF_TEXT.format(x="decode(unbase64({x}), 'UTF-8')"), "STRING")
+
+
+def csv_files(spark, sf_dir) -> tuple[str, str, str]:
+    """The stand-ins as the three files of the report."""
+    folder = new_folder(spark, "csv")
+    docs = documents(spark, sf_dir)
+    flag = F.when(F.col("toxic") == 1, "True").when(F.col("toxic") == 0, "False")
+    tables = {
+        "idimage": docs.select(F.col("doc_id").alias("name"), F.translate(F.base64("text"), "\r\n", "").alias("imageData")),
+        "idlabel": table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), flag.alias("isfraud")),
+        "idmeta": docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("ethnicity"), F.col("source").alias("is_veteran")),
+    }
+    for name, df in tables.items():
+        df.write.option("header", True).csv(f"{folder}/{name}")
+    return tuple(f"{folder}/{name}" for name in tables)
+
+
+def csv_report(spark, sf_dir) -> IdentityTables:
+    return IdentityTables.from_csv(spark, *csv_files(spark, sf_dir), BASE64_LINES)
+
+
+def q_csv_fraud_predicted(spark, sf_dir):
+    return csv_report(spark, sf_dir).fraud_predicted()
+
+
+def q_csv_fraud_ground_truth(spark, sf_dir):
+    return csv_report(spark, sf_dir).fraud_ground_truth()
+
+
+def q_csv_fraud_by_ethnicity(spark, sf_dir):
+    return csv_report(spark, sf_dir).fraud_pattern_ethnicity_wise()
+
+
+def q_csv_fraud_by_veteran_status(spark, sf_dir):
+    return csv_report(spark, sf_dir).fraud_rate_by_veteran_status()
+
+
+def q_csv_typed_labels(spark, sf_dir):
+    """The label file read with types given beforehand."""
+    _, path, _ = csv_files(spark, sf_dir)
+    return read_csv(spark, path, "id BIGINT, isfraud STRING").withColumn("isfraud", label_flag("isfraud"))
+
+
+def q_schema_probe(spark, sf_dir):
+    """Tables and columns, from tables of which no row is read."""
+    probes = []
+    for name in ("documents", "labels", "embeddings"):
+        empty = empty_like(table(spark, sf_dir, name))
+        columns = F.array(*[F.lit(c) for c in empty.columns])
+        probes.append(empty.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), F.explode(columns).alias("column_name"), "n_rows"))
+    return union_by_name(probes)
+
+
+def q_sql_views(spark, sf_dir):
+    """Named views, and SQL over them that calls the scorer inside the aggregate over the join."""
+    register_sql(spark, "lines_flag", "lines")
+    docs = documents(spark, sf_dir)
+    register_views({"idimage": docs.select(F.col("doc_id").alias("name"), "text"), "idlabel": labels(spark, sf_dir), "idmeta": docs.select("doc_id", "lang")})
+    return spark.sql("""
+        SELECT lang, count(*) AS total, sum(if(lines_flag(i.text), 1, 0)) AS predicted
+        FROM idimage i JOIN idlabel l ON i.name = l.doc_id JOIN idmeta m ON l.doc_id = m.doc_id
+        GROUP BY lang""")
+
+
+def q_sql_scaled_views(spark, sf_dir):
+    """Views of every table at every scale, queried by name."""
+    scale_family({"scored": scored_documents(spark, sf_dir).select("doc_id", "pred"), "marks": labels(spark, sf_dir)}, views=True)
+    parts = [f"SELECT {f} AS factor, 'scored' AS name, count(*) AS total, sum(if(pred, 1, 0)) AS hits FROM scored_{scale_name(f)}" for f in FACTORS]
+    parts += [f"SELECT {f}, 'marks', count(*), sum(if(flag, 1, 0)) FROM marks_{scale_name(f)}" for f in FACTORS]
+    return spark.sql(" UNION ALL ".join(parts))
 
 
 # --- the same as SQL text -------------------------------------------------------------
@@ -332,6 +476,26 @@ def _scaled_sql(aligned: bool) -> str:
         GROUP BY m.lang ORDER BY rate_pct DESC, m.lang LIMIT 10"""
 
 
+def _scales_sql(by: str, factors: tuple[int, ...] = FACTORS, tagged: bool = True) -> str:
+    """The question over replicated tables: copies are counted per key and table, then multiplied as a join does."""
+    parts = [
+        f"""SELECT * FROM (
+        SELECT m.{by}, CAST(SUM(i.n * l.n * m.n) AS BIGINT) AS total, CAST(SUM(CASE WHEN pred THEN i.n * l.n * m.n ELSE 0 END) AS BIGINT) AS predicted,
+               CAST(100.0 * SUM(CASE WHEN pred THEN i.n * l.n * m.n ELSE 0 END) AS DOUBLE) / SUM(i.n * l.n * m.n) AS rate_pct
+               {f", {f} AS factor" if tagged else ""}
+        FROM (SELECT doc_id, pred, count(*) AS n FROM scored, range({f}) GROUP BY doc_id, pred) i
+        JOIN (SELECT doc_id, count(*) AS n FROM labels, range({f}) GROUP BY doc_id) l USING (doc_id)
+        JOIN (SELECT doc_id, {by}, count(*) AS n FROM documents, range({f}) GROUP BY doc_id, {by}) m USING (doc_id)
+        GROUP BY m.{by} ORDER BY rate_pct DESC, m.{by} NULLS FIRST LIMIT 10)"""
+        for f in factors
+    ]
+    return f"WITH {_SCORED} " + " UNION ALL ".join(parts)
+
+
+def _renamed(query: str, **names: str) -> str:
+    return f"SELECT {', '.join(f'{old} AS {new}' for old, new in names.items())} FROM ({query})"
+
+
 _LABELS = """COUNT(*) AS total,
     CAST(SUM(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) AS positive,
     CAST(SUM(CASE WHEN NOT toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) AS negative,
@@ -363,8 +527,19 @@ def oracle_sql() -> dict[str, str]:
         "linear_rate_by_label": f"""WITH {_VECTORS}
             SELECT label, {_summary("vectors", "score > 0")}
             GROUP BY label ORDER BY rate_pct DESC, label NULLS FIRST LIMIT 10""",
-        "image_pixels": """SELECT doc_id, CAST(128 * 128 * 3 + 15 AS INTEGER) AS n_bytes,
-            CAST(NULL AS VARCHAR) AS decode_error FROM documents""",
+        "linear_file_score": f"""WITH {_VECTORS}
+            SELECT vec_id, score, score > 0 AS pred, CAST(NULL AS VARCHAR) AS score_error FROM vectors""",
+        "score_errors": f"""WITH {_VECTORS}, odd AS (SELECT count(*) AS n FROM embeddings WHERE label = 0)
+            SELECT 'good' AS kind, CAST(NULL AS VARCHAR) AS score_error, count(*) AS total,
+                   CAST(sum(CASE WHEN score > 0 THEN 1 ELSE 0 END) AS BIGINT) AS predicted FROM vectors
+            UNION ALL SELECT 'short', 'ValueError: expected 64 values, found shape (63,)', n, 0 FROM odd
+            UNION ALL SELECT 'null', 'no payload', n, 0 FROM odd UNION ALL SELECT 'nan', 'no finite score', n, 0 FROM odd""",
+        "sql_score_errors": """SELECT length(text) <= 500 AND length(text) > 0 AS pred,
+            CASE WHEN length(text) > 500 THEN 'no finite score' END AS score_error, count(*) AS total FROM documents GROUP BY 1, 2""",
+        "missing_model": "SELECT FALSE AS pred, 'no model' AS score_error, count(*) AS total FROM embeddings",
+        "store_changed_payload": f"""WITH documents AS (SELECT doc_id,
+            CASE WHEN lang = 'de' THEN replace(text, ' ', chr(10)) ELSE text END AS text FROM main.documents) {_SCORE_ROWS}""",
+        "store_other_table": f"{_SCORE_ROWS} WHERE doc_id IN (SELECT doc_id FROM labels)",
         "replicate_counts": """SELECT lang, CAST(c AS INTEGER) AS dup_batch, COUNT(*) AS total,
             CAST(SUM(n_chars) AS BIGINT) AS chars
             FROM documents, (SELECT unnest(range(3)) AS c) GROUP BY lang, c""",
@@ -381,23 +556,46 @@ def oracle_sql() -> dict[str, str]:
             SELECT CAST(factor AS INTEGER) AS factor, {_LABELS}
             FROM labels JOIN f ON TRUE JOIN (SELECT unnest(range(100)) AS c) ON c < factor
             GROUP BY factor""",
-        "scale_family_counts": f"""WITH f AS (SELECT unnest([{factors}]) AS factor)
-            SELECT CAST(factor AS INTEGER) AS factor, toxic = 1 AS flag, COUNT(*) AS total
-            FROM labels JOIN f ON TRUE JOIN (SELECT unnest(range(100)) AS c) ON c < factor
-            GROUP BY factor, toxic = 1""",
+        "scale_family_counts": f"""WITH f AS (SELECT unnest([{factors}]) AS factor), c AS (SELECT unnest(range(100)) AS c),
+            t AS (SELECT 'scored' AS name, doc_id FROM documents UNION ALL SELECT 'documents', doc_id FROM documents
+                  UNION ALL SELECT 'labels', doc_id FROM labels)
+            SELECT CAST(factor AS INTEGER) AS factor, name, COUNT(*) AS total, CAST(SUM(doc_id + c) AS BIGINT) AS checksum
+            FROM t JOIN f ON TRUE JOIN c ON c < factor GROUP BY factor, name""",
+        "rate_scales_by_source": _scales_sql("source"),
+        "rate_scales_by_lang": _scales_sql("lang"),
+        "csv_fraud_predicted": _renamed(_SCORE_SUMMARY, total="total_ids", predicted="fraud_predicted", rate_pct="fraud_rate_percentage"),
+        "csv_fraud_ground_truth": _renamed(
+            f"SELECT {_LABELS} FROM labels", total="total_ids", positive="total_fraud", negative="total_nonfraud", rate_pct="fraud_percentage"
+        ),
+        "csv_fraud_by_ethnicity": _renamed(
+            _rate_sql("lang"), lang="ethnicity", total="total_customers", predicted="predicted_fraud", rate_pct="fraud_rate_pct"
+        ),
+        "csv_fraud_by_veteran_status": _renamed(
+            _rate_sql("source"), source="is_veteran", total="total_individuals", predicted="predicted_fraud", rate_pct="fraud_rate_pct"
+        ),
+        "csv_typed_labels": "SELECT doc_id AS id, toxic = 1 AS isfraud FROM labels",
+        "schema_probe": """SELECT table_name, column_name, CAST(0 AS BIGINT) AS n_rows FROM information_schema.columns
+            WHERE table_name IN ('documents', 'labels', 'embeddings')""",
+        "sql_views": f"""WITH {_SCORED}
+            SELECT m.lang, COUNT(*) AS total, CAST(SUM(CASE WHEN i.pred THEN 1 ELSE 0 END) AS BIGINT) AS predicted
+            FROM scored i JOIN labels l USING (doc_id) JOIN documents m USING (doc_id) GROUP BY m.lang""",
+        "sql_scaled_views": f"""WITH {_SCORED}, f AS (SELECT unnest([{factors}]) AS factor), c AS (SELECT unnest(range(100)) AS c),
+            t AS (SELECT 'scored' AS name, pred AS hit FROM scored UNION ALL SELECT 'marks', toxic = 1 FROM labels)
+            SELECT CAST(factor AS INTEGER) AS factor, name, COUNT(*) AS total, CAST(SUM(CASE WHEN hit THEN 1 ELSE 0 END) AS BIGINT) AS hits
+            FROM t JOIN f ON TRUE JOIN c ON c < factor GROUP BY factor, name""",
         "rate_scaled_faithful": _scaled_sql(aligned=False),
         "rate_scaled_rows": _scaled_sql(aligned=False),
         "rate_scaled_aligned": _scaled_sql(aligned=True),
-        "rate_scaled_100x": f"""SELECT source, total * 1000000 AS total, predicted * 1000000 AS predicted, rate_pct
-            FROM ({_rate_sql("source")})""",
+        "rate_scaled_100x": _scales_sql("source", (100,), False),
         "label_cast": """SELECT doc_id, label_text,
             CASE WHEN lower(trim(label_text)) IN ('t', 'true', 'y', 'yes', '1') THEN TRUE
                  WHEN lower(trim(label_text)) IN ('f', 'false', 'n', 'no', '0') THEN FALSE END AS flag
             FROM (SELECT doc_id, CASE WHEN toxic = 1 AND quality = 1 THEN ' True ' WHEN toxic = 1 THEN 'yes'
                                       WHEN quality = 1 THEN 'F' ELSE '1.0' END AS label_text FROM labels)""",
-        "payload_decode": """SELECT doc_id,
-            CASE WHEN lang IN ('de', 'en') THEN CAST(octet_length(encode(text)) AS INTEGER) END AS n_bytes,
-            CASE WHEN lang IN ('de', 'en') THEN md5(text) END AS digest FROM documents""",
+        "payload_decode": """SELECT doc_id, kind,
+            CASE WHEN kind IN ('whole', 'unpadded') AND text <> '' THEN CAST(octet_length(encode(text)) AS INTEGER) END AS n_bytes,
+            CASE WHEN kind IN ('whole', 'unpadded') AND text <> '' THEN md5(text) END AS digest
+            FROM documents, (SELECT unnest(['whole', 'unpadded', 'damaged', 'no-break space']) AS kind)""",
         "sql_score_summary": _SCORE_SUMMARY,
         "sql_label_summary": f"SELECT {_LABELS} FROM labels",
         "sql_rate_by_source": f"SELECT source AS grp, total, predicted, rate_pct FROM ({_rate_sql('source')})",

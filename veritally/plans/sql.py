@@ -18,13 +18,12 @@ FROM (
 """
 
 RATE_BY = """
-WITH images AS (SELECT id, count(*) AS n, sum(if(pred, 1, 0)) AS hits FROM {scored} GROUP BY id),
-     marks AS (SELECT id, count(*) AS n FROM {labels} GROUP BY id),
-     traits AS (SELECT id, grp, count(*) AS n FROM {attributes} GROUP BY id, grp),
+WITH marks AS (SELECT id, count(*) AS n FROM {labels} GROUP BY id),
+     weights AS (SELECT t.id, t.grp, sum(m.n) AS n FROM {attributes} t JOIN marks m ON t.id = m.id GROUP BY t.id, t.grp),
      sums AS (
-       SELECT t.grp, sum(i.n * m.n * t.n) AS total, sum(i.hits * m.n * t.n) AS predicted
-       FROM images i JOIN marks m USING (id) JOIN traits t USING (id)
-       GROUP BY t.grp
+       SELECT w.grp, sum(w.n) AS total, sum(if(i.pred, w.n, 0)) AS predicted
+       FROM {scored} i JOIN weights w ON i.id = w.id
+       GROUP BY w.grp
      )
 SELECT grp, total, predicted, CAST(100.0 * predicted AS DOUBLE) / total AS rate_pct
 FROM sums

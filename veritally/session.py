@@ -17,10 +17,12 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # Payloads are wide (an image is ~50 KB): bound a batch by bytes, not only by rows.
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
-    # The default of 4096 rows would hold 200 MB of images in every task that reads them.
-    "spark.sql.parquet.columnarReaderBatchSize": "256",
 }
 
+# For a session that scans wide payloads (an image is ~50 KB): the default of 4096 rows would hold
+# 200 MB of them in every task. Other scans are better off with the default.
+WIDE_PAYLOADS = {"spark.sql.parquet.columnarReaderBatchSize": "256"}
+
 _shipped: set[str] = set()
 _fallback_dirs: dict[str, str] = {}
 
@@ -40,7 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
     if folder:
         return folder.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     if context.applicationId not in _fallback_dirs:
         _fallback_dirs[context.applicationId] = tempfile.mkdtemp(prefix="veritally-")

@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.operators.joins import broadcast_limit, key_size
 from veritally.operators.scoring import Scorer, get_scorer, score
 from veritally.session import checkpointed
 
+_HASH = "payload_hash"
+
+
+def _folder(text: str) -> str:
+    """A folder name for any text: readable, and different for different texts."""
+    return f"{re.sub(r'[^A-Za-z0-9_.-]', '_', text)[:60]}-{hashlib.sha256(text.encode()).hexdigest()[:12]}"
+
 
 class ScoreStore:
     """Parquet below `root`, one folder per scorer name and version.
 
-    One row per payload row: the key, score, pred and score_error. The payload is not
-    stored. `root` must be a folder every executor can reach. One writer at a time per scorer
-    version; readers need not wait.
+    One row per payload row: the key, score, pred, score_error and a 64-bit hash of the payload,
+    by which a changed payload is noticed. The payload is not stored. `root` must be a folder
+    every executor can reach. One writer at a time per scorer version. A rewritten table is
+    staged beside the old one and then renamed into its place: on a file system whose renames
+    are atomic a reader sees one or the other; elsewhere do not read while it is replaced.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -25,14 +37,15 @@ class ScoreStore:
 
     def path(self, scorer: str | Scorer) -> str:
         scorer = get_scorer(scorer)
-        return f"{self.root}/scorer={scorer.name}/version={scorer.version}"
+        return f"{self.root}/{_folder(scorer.name)}/{_folder(scorer.version)}"
 
     def read(self, scorer: str | Scorer = "lines") -> DataFrame:
-        return self.spark.read.parquet(self.path(scorer))
+        """All that is stored for a scorer version."""
+        return self._rows(scorer).drop(_HASH)
 
     def exists(self, scorer: str | Scorer = "lines") -> bool:
         try:
-            self.read(scorer)
+            self._rows(scorer)
         except AnalysisException as problem:
             if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 return False
@@ -41,57 +54,78 @@ class ScoreStore:
 
     def write(self, df: DataFrame, key: str, payload: str, scorer: str | Scorer = "lines", **options) -> DataFrame:
         """Score every row of `df`, replacing what this scorer version had stored."""
-        self._save(score(df, payload, scorer, keep=[key], **options), scorer, "overwrite", empty=df.isEmpty())
+        if options.get("only_keys") is not None:
+            raise ValueError("write() stores every row; restrict the table instead")
+        self._replace(self._scored(df, key, payload, scorer, options), scorer)
         return self.read(scorer)
 
-    def append_new(
-        self, df: DataFrame, key: str, payload: str, scorer: str | Scorer = "lines", **options
-    ) -> DataFrame:
-        """Score the rows of keys not stored yet and add them.
-
-        A key's rows must arrive together: a stored key that now has another number of rows
-        raises, since skipping the new ones would leave rows out.
+    def append_new(self, df: DataFrame, key: str, payload: str, scorer: str | Scorer = "lines", **options) -> DataFrame:
+        """The scores of the rows of `df`. Keys that are not stored yet are scored and added; keys
+        whose rows or payloads differ from what was scored are scored again. Stored rows of other
+        tables stay stored and are not returned.
         """
         if not self.exists(scorer):
             return self.write(df, key, payload, scorer, **options)
-        new_keys, size = self._new_keys(df, key, scorer)
-        if size:
-            # Too many keys to broadcast: hash them per partition, so that the wide payload
-            # is shuffled but not sorted, and a hot key's payload may still be split.
-            side = new_keys.hint("broadcast" if size <= broadcast_limit(df) else "shuffle_hash")
-            new_rows = df.join(side, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
-            self._save(score(new_rows, payload, scorer, keep=[key], **options), scorer, "append")
-        return self.read(scorer)
-
-    def _new_keys(self, df: DataFrame, key: str, scorer: str | Scorer) -> tuple[DataFrame, int]:
-        """Keys of `df` that are not stored, and the room they take; only keys are read and
-        shuffled here, one row each, and the result is kept for the two jobs that use it."""
-        rows = F.count(F.lit(1))
-        stored = self.read(scorer).groupBy(F.col(key).alias("_stored_key")).agg(rows.alias("_stored"))
-        present = df.groupBy(F.col(key).alias("_key")).agg(rows.alias("_present"))
+        rows = df.select(F.col(key).alias("_key"), F.xxhash64(F.col(payload)).alias(_HASH))
+        present = rows.groupBy("_key").agg(*_contents())
+        stored = self._rows(scorer).select(F.col(key).alias("_stored_key"), _HASH).groupBy("_stored_key").agg(*_contents("_stored"))
         # A NULL key is stored like any other, so here it matches itself.
         status = present.join(stored, F.col("_key").eqNullSafe(F.col("_stored_key")), "left")
-        changed = status.where(F.col("_stored").isNull() | (F.col("_stored") != F.col("_present")))
-        changed = checkpointed(changed.select("_key", F.col("_stored").isNotNull().alias("_conflict")))
-        new_keys = changed.where(~F.col("_conflict")).select("_key")
-        totals = changed.agg(F.count_if("_conflict"), key_size(["_key"])).first()
-        if totals[0]:
-            raise ValueError(f"{totals[0]} stored keys have another number of rows now; write() the table again")
-        return new_keys, totals[1]
-
-    def _save(self, scored: DataFrame, scorer: str | Scorer, mode: str, empty: bool = False) -> None:
-        if empty:
-            scored.write.mode(mode).parquet(self.path(scorer))
-            return
-        scorer = get_scorer(scorer)
-        # A scan of wide payloads has many splits and leaves little from each: regroup the
-        # narrow result into files of the advisory size. Overwriting partition by partition
-        # keeps the old scores until the new ones are complete.
-        (
-            scored.hint("rebalance")
-            .withColumns({"scorer": F.lit(scorer.name), "version": F.lit(scorer.version)})
-            .write.mode(mode)
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("scorer", "version")
-            .parquet(self.root)
-        )
+        same = F.lit(True)
+        for name in ("n", "xor", "sum"):
+            same = same & F.col(f"_{name}").eqNullSafe(F.col(f"_stored_{name}"))
+        stale = checkpointed(status.where(~same).select("_key", F.col("_stored_n").isNotNull().alias("_changed")))
+        counts = stale.agg(F.count(F.lit(1)), F.count_if("_changed")).first()
+        if counts[0]:
+            todo = df.join(stale.select("_key"), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+            scored = self._scored(todo, key, payload, scorer, options)
+            if counts[1]:
+                changed = stale.where("_changed").select("_key")
+                valid = self._rows(scorer).join(changed, F.col(key).eqNullSafe(F.col("_key")), "left_anti")
+                self._replace(valid.unionByName(scored), scorer)
+            else:
+                scored.write.mode("append").parquet(self.path(scorer))
+        mine = df.select(F.col(key).alias("_key"))
+        return self.read(scorer).join(mine, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+
+    def drop(self) -> None:
+        """Remove the whole store."""
+        self._delete(self.root)
+
+    def _rows(self, scorer: str | Scorer) -> DataFrame:
+        return self.spark.read.parquet(self.path(scorer))
+
+    def _scored(self, df: DataFrame, key: str, payload: str, scorer: str | Scorer, options: dict) -> DataFrame:
+        # A scan of wide payloads has many splits and leaves little from each: the narrow result
+        # is regrouped into files of the advisory size.
+        named = df.withColumn(_HASH, F.xxhash64(F.col(payload)))
+        return score(named, payload, scorer, keep=[key, _HASH], **options).hint("rebalance")
+
+    def _replace(self, rows: DataFrame, scorer: str | Scorer) -> None:
+        place = self.path(scorer)
+        staged, old = f"{place}.new-{uuid.uuid4().hex}", f"{place}.old-{uuid.uuid4().hex}"
+        rows.write.parquet(staged)
+        files, path = self._files(place)
+        if files.exists(path(place)):
+            files.rename(path(place), path(old))
+        if not files.rename(path(staged), path(place)):
+            raise OSError(f"could not rename {staged} to {place}")
+        self._delete(old)
+
+    def _files(self, place: str):
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path
+        return path(place).getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _delete(self, place: str) -> None:
+        files, path = self._files(place)
+        files.delete(path(place), True)
+
+
+def _contents(prefix: str = "") -> list[Column]:
+    """The payloads of a key's rows as a multiset, in three numbers that add up map-side."""
+    return [
+        F.count(F.lit(1)).alias(f"{prefix}_n"),
+        F.bit_xor(_HASH).alias(f"{prefix}_xor"),
+        F.sum(F.col(_HASH).cast("decimal(20,0)")).alias(f"{prefix}_sum"),
+    ]
