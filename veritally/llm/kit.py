@@ -11,7 +11,6 @@ same way, so the shuffle moves few rows and no row is larger than a unit or a bu
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +25,8 @@ UNIT_BYTES = 4 << 20  # text in a unit; a longer document is a unit of its own
 PIECE_BYTES = 1 << 18  # text handled at once, so that the arrays stay in the cache
 UNIT_SCHEMA = "unit long, n_docs long, n_bytes long, ids binary, ends binary, blob binary, rest binary"
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 WORD = np.ones(256, bool)
 WORD[[0x20, *range(0x09, 0x0E)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
@@ -46,13 +47,17 @@ def prepare(spark: SparkSession) -> None:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """`df`, computed now and kept in the shared folder. Shuffle files that only led to it go when
-    the driver's garbage is collected; on disks of bounded size that should not be left to chance."""
-    kept = checkpointed(df)
-    del df
-    gc.collect()
-    kept.sparkSession.sparkContext._jvm.System.gc()
-    return kept
+    """`df`, computed now and kept in the shared folder. Spark removes the shuffle files that only
+    led to it as soon as it is written, not when the driver happens to collect its garbage."""
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(SHUFFLE_CLEANUP, None)
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        return checkpointed(df.select("*"))  # planned anew, under the setting
+    finally:
+        if before is None:
+            conf.unset(SHUFFLE_CLEANUP)
+        else:
+            conf.set(SHUFFLE_CLEANUP, before)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -193,7 +193,6 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     target = target_ids.select(F.col("doc_id").cast("long").alias("doc_id"))
     flags = units.select("unit", "ids").mapInArrow(_ids, "unit long, doc_id long").join(target, "doc_id", "left_semi").select("unit", "doc_id")
     with_units = lambda other, run, schema: units.groupBy("unit").cogroup(other.groupBy("unit")).applyInArrow(run, schema)
-    # Not named in between: what a name still refers to is not released.
     replies = kit.settled(with_units(flags, _send(n_buckets), SENT_SCHEMA).groupBy("bucket").applyInArrow(_add_up, REPLY_SCHEMA))
     totals = replies.agg(*[F.sum(c) for c in ("vocabulary", "background", "target")]).first()
     return with_units(replies.select("unit", "bucket", "n", "payload"), _losses(*[x or 0 for x in totals]), SCHEMA)
