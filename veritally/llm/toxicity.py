@@ -43,20 +43,31 @@ class Tokens:
     """Tokens of some texts: row, and number among the distinct ones (keys, chars)."""
 
     def __init__(self, text: np.ndarray, ends: np.ndarray):
+        parts = [self._piece(text[ends[i] : ends[j]], ends[i : j + 1] - ends[i], i) for i, j in kit.pieces(ends, 1 << 20)]
+        if not parts:
+            parts = [self._piece(text, ends, 0)]
+        row, word, keys, chars = zip(*parts)
+        self.row = np.concatenate(row)
+        self.keys, first, number = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        self.chars = np.concatenate(chars)[first]
+        before = np.cumsum([0, *(len(k) for k in keys)])
+        self.word = number[np.concatenate([w + b for w, b in zip(word, before)])]
+
+    @staticmethod
+    def _piece(text: np.ndarray, ends: np.ndarray, first_row: int) -> tuple[np.ndarray, ...]:
+        """Row and distinct-word number of each token, and keys and characters of the distinct words."""
         points, s, e, row = letters_of(text, ends)
         parts = -(-(e - s) // WIDTH)
         if len(s) and parts.max() > 1:
             place = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
             s, e, row = np.repeat(s, parts) + place * WIDTH, np.repeat(e, parts), np.repeat(row, parts)
             e = np.minimum(e, s + WIDTH)
-        self.row = row
-        keys, first, self.word = np.unique(word_keys(points, s, e), return_index=True, return_inverse=True)
-        self.keys = keys
+        keys, first, word = np.unique(word_keys(points, s, e), return_index=True, return_inverse=True)
         s, e = s[first], e[first]
         at = s[:, None] + np.arange(WIDTH)
         inside = at < e[:, None]
         cp = points[np.minimum(at, max(len(points) - 1, 0))] if len(points) else np.zeros(at.shape, np.uint32)
-        self.chars = np.where(inside, np.where(cp < 128, cp, 128 + cp % 64), 0).astype(np.int64)
+        return row + first_row, word, keys, np.where(inside, np.where(cp < 128, cp, 128 + cp % 64), 0).astype(np.uint8)
 
     def windows(self, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
         """(windows of distinct-token numbers, -1: none) and the row of each."""
@@ -68,7 +79,7 @@ class Tokens:
         start = np.maximum(np.minimum(place * STRIDE, counts[row] - WINDOW), 0)
         at = (ends[:-1][row] + start)[:, None] + np.arange(WINDOW)
         inside = at < ends[1:][row][:, None]
-        found = np.full(at.shape, -1, np.int64)
+        found = np.full(at.shape, -1, np.int32)
         found[inside] = self.word[at[inside]]
         return found, row
 
