@@ -25,6 +25,7 @@ UNIT_BYTES = 4 << 20  # text in a unit; a longer document is a unit of its own
 PIECE_BYTES = 1 << 18  # text handled at once, so that the arrays stay in the cache
 UNIT_SCHEMA = "unit long, n_docs long, n_bytes long, ids binary, ends binary, blob binary, rest binary"
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 WORD = np.ones(256, bool)
@@ -40,8 +41,10 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship the package to the workers and name the checkpoint folder."""
+    """Ship the package to the workers, name the checkpoint folder, bound Arrow batches by bytes."""
     ship_package(spark)
+    if spark.conf.get(ARROW_BYTES, None) is None:
+        spark.conf.set(ARROW_BYTES, str(64 << 20))
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 

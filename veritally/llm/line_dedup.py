@@ -38,13 +38,13 @@ PERCENT = 80
 SKETCH_BITS = 20
 SKETCH = 1 << SKETCH_BITS
 SEGMENT = 1 << 14
+HASH_BYTES = 6  # of a word's hash, in the sets that are verified
 HOT = 64
 BUCKET_BYTES = 16 << 20
 FIELDS = (("token", "<u8"), ("key", "<u8"), ("bits", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("size", "<u4"), ("pos", "<u4"))
 SENT_SCHEMA = "bucket long, unit long, n long, payload binary"
-JUDGED_SCHEMA = (
-    "kind int, unit long, line long, x_unit long, x_line long, far int, token long, doc long, size int, pos int, bits long, payload binary"
-)
+JUDGED_SCHEMA = "kind int, unit long, line long, token long, doc long, size int, pos int, bits long, payload binary"
+PAIR_RECORD = np.dtype([("unit", "<i8"), ("x_unit", "<i8"), ("line", "<u4"), ("x_line", "<u4"), ("far", "<u2")])
 RESULT_SCHEMA = (
     StructType().add("doc_id", "long").add("n_lines", "long").add("n_removed", "long").add("kept", "string")
 )
@@ -195,8 +195,7 @@ def _by_bucket(unit: int, bucket: np.ndarray, columns: dict[str, np.ndarray], ba
 
 def _rows(kind: int, n: int, **columns) -> pa.Table:
     schema = {
-        "kind": pa.int32(), "unit": pa.int64(), "line": pa.int64(), "x_unit": pa.int64(), "x_line": pa.int64(), "far": pa.int32(),
-        "token": pa.int64(), "doc": pa.int64(), "size": pa.int32(), "pos": pa.int32(), "bits": pa.int64(), "payload": pa.binary(),
+        "kind": pa.int32(), "unit": pa.int64(), "line": pa.int64(), "token": pa.int64(), "doc": pa.int64(), "size": pa.int32(), "pos": pa.int32(), "bits": pa.int64(), "payload": pa.binary(),
     }
     columns["kind"] = np.full(n, kind)
     return pa.table({
@@ -273,7 +272,11 @@ def _judge(n_buckets: int):
         number = place[x] * (len(place) + 1) + place[y]
         _, once = np.unique(number, return_index=True)
         x, y, far = x[once], y[once], far[once]
-        pairs = _rows(PAIR, len(x), unit=r["unit"][y], line=r["line"][y], x_unit=r["unit"][x], x_line=r["line"][x], far=far)
+        packed = np.zeros(len(x), PAIR_RECORD)
+        for name, value in (("unit", r["unit"][y]), ("x_unit", r["unit"][x]), ("line", r["line"][y]), ("x_line", r["line"][x]), ("far", np.minimum(far, 65535))):
+            packed[name] = value
+        parts = [packed[a : a + (1 << 16)].tobytes() for a in range(0, len(packed), 1 << 16)]
+        pairs = _rows(PAIR, len(parts), payload=[pa.compress(p, codec="zstd", asbytes=True) for p in parts], size=np.array([len(p) for p in parts], np.int64))
         members = _rows(
             IN_HOT_LIST, len(hot), unit=r["unit"][hot], line=r["line"][hot], token=r["token"][hot], doc=r["doc"][hot],
             size=size[hot], pos=pos[hot], bits=bits[hot],
@@ -283,10 +286,18 @@ def _judge(n_buckets: int):
     return run
 
 
+def _open_pairs(batches):
+    for batch in batches:
+        for size, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            packed = np.frombuffer(pa.decompress(payload, size, codec="zstd", asbytes=True), PAIR_RECORD)
+            names = ["unit", "line", "x_unit", "x_line", "far"]
+            yield pa.RecordBatch.from_arrays([pa.array(packed[n].astype(np.int64)) for n in names], names=names)
+
+
 def _read_sets(key, unit_table: pa.Table, wanted: pa.Table) -> pa.Table:
     """Word sets of the wanted lines of a unit."""
     if not wanted.num_rows:
-        return pa.table({"unit": pa.array([], pa.int64()), "line": pa.array([], pa.int64()), "words": pa.array([], pa.list_(pa.int64()))})
+        return pa.table({"unit": pa.array([], pa.int64()), "line": pa.array([], pa.int64()), "words": pa.array([], pa.binary())})
     (row,) = unit_table.to_pylist()
     _, ends, text = kit.open_unit(row)
     lines = Lines(text, ends)
@@ -296,11 +307,11 @@ def _read_sets(key, unit_table: pa.Table, wanted: pa.Table) -> pa.Table:
     laid = text[np.repeat(lines.start[at], np.diff(chosen_ends)) + place]
     s, e, owner = kit.words(laid, chosen_ends)
     h, owner = _distinct(kit.span_hashes(kit.LOWER[laid], s, e), owner)
-    cut = np.searchsorted(owner, np.arange(len(at) + 1)).astype(np.int32)
-    return pa.table({
-        "unit": pa.array(np.full(len(at), row["unit"], np.int64)), "line": pa.array(at.astype(np.int64)),
-        "words": pa.ListArray.from_arrays(pa.array(cut), pa.array(h.view(np.int64))),
-    })
+    order = np.lexsort((h, owner))
+    cut = np.searchsorted(owner[order], np.arange(len(at) + 1)) * HASH_BYTES
+    raw = np.ascontiguousarray(h[order].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES])
+    words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+    return pa.table({"unit": pa.array(np.full(len(at), row["unit"], np.int64)), "line": pa.array(at.astype(np.int64)), "words": words})
 
 
 def _cut(key, unit_table: pa.Table, reply: pa.Table) -> pa.Table:
@@ -343,13 +354,29 @@ def _cut(key, unit_table: pa.Table, reply: pa.Table) -> pa.Table:
     return out
 
 
+def _agree(batches):
+    """(unit, line) of the rows whose two sets reach the threshold."""
+    for batch in batches:
+        keep = np.zeros(batch.num_rows, bool)
+        x, y = batch.column(2), batch.column(3)
+        for k in range(batch.num_rows):
+            a, b = x[k].as_buffer(), y[k].as_buffer()
+            n = (a.size + b.size) // HASH_BYTES
+            wide = np.zeros((n, 8), np.uint8)
+            wide[:, :HASH_BYTES] = np.frombuffer(a.to_pybytes() + b.to_pybytes(), np.uint8).reshape(n, HASH_BYTES)
+            both = np.sort(wide.view(np.uint64).reshape(-1))
+            common = int((both[1:] == both[:-1]).sum())
+            keep[k] = 100 * common >= PERCENT * (n - common)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["unit", "line"]).filter(pa.array(keep))
+
+
 def _same(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(unit, line) of the y lines whose set reaches the threshold with that of x."""
-    x = sets.select(F.col("unit").alias("x_unit"), F.col("line").alias("x_line"), F.col("words").alias("x_words"))
-    both = pairs.select("unit", "line", "x_unit", "x_line").join(x, ["x_unit", "x_line"]).join(sets, ["unit", "line"])
-    common = F.size(F.array_intersect("x_words", "words"))
-    sizes = F.size("x_words") + F.size("words")
-    return both.where(100 * common >= PERCENT * (sizes - common)).select("unit", "line").distinct()
+    # Alike in form, so that both joins read one exchange of the sets.
+    x, y = (sets.select(F.col("unit").alias(f"{s}_unit"), F.col("line").alias(f"{s}_line"), F.col("words").alias(f"{s}_words")) for s in "xy")
+    named = pairs.select(F.col("unit").alias("y_unit"), F.col("line").alias("y_line"), "x_unit", "x_line")
+    both = named.join(x, ["x_unit", "x_line"]).join(y, ["y_unit", "y_line"])
+    return both.select("y_unit", "y_line", "x_words", "y_words").mapInArrow(_agree, "unit long, line long").distinct()
 
 
 def _least(sizes: Column) -> Column:
@@ -361,15 +388,15 @@ def matched_lines(units: DataFrame, n_bytes: int) -> tuple[DataFrame, DataFrame]
     spark = units.sparkSession
     n_buckets = kit.bucket_count(n_bytes, BUCKET_BYTES)
     rarity = spark.sparkContext.broadcast(sketch(units))
-    # Not named in between: what a name still refers to is not released.
     judged = kit.settled(
         units.mapInArrow(_send(rarity, n_buckets), SENT_SCHEMA).groupBy("bucket").applyInArrow(_judge(n_buckets), JUDGED_SCHEMA)
     )
     y, x = ["unit", "line"], ["x_unit", "x_line"]
-    pairs = kit.settled(judged.where(F.col("kind") == PAIR).groupBy(*y, *x).agg(F.min("far").alias("far")))
+    opened = judged.where(F.col("kind") == PAIR).select("size", "payload").mapInArrow(_open_pairs, "unit long, line long, x_unit long, x_line long, far long")
+    pairs = kit.settled(opened.groupBy(*y, *x).agg(F.min("far").alias("far")))
     hot = judged.where(F.col("kind") == IN_HOT_LIST)
     wanted = pairs.select(*y).union(pairs.select(*x)).union(hot.select(*y)).distinct()
-    sets = kit.settled(units.groupBy("unit").cogroup(wanted.groupBy("unit")).applyInArrow(_read_sets, "unit long, line long, words array<long>"))
+    sets = kit.settled(units.groupBy("unit").cogroup(wanted.groupBy("unit")).applyInArrow(_read_sets, "unit long, line long, words binary"))
     best = pairs.groupBy(*y).agg(F.min(F.struct("far", *x)).alias("b")).select(*y, "b.x_unit", "b.x_line")
     done = kit.settled(_same(best, sets))
     rest = pairs.join(done, y, "left_anti").join(best, [*y, *x], "left_anti")
@@ -386,7 +413,8 @@ def matched_lines(units: DataFrame, n_bytes: int) -> tuple[DataFrame, DataFrame]
         & (F.bit_count(F.col("bits").bitwiseXOR(F.col("x_bits"))) <= F.col("size") + F.col("x_size") - 2 * least)
     )
     late = open_y.join(earlier, "token").where(passes).select(*y, *x).distinct().join(pairs, [*y, *x], "left_anti")
-    return judged.where(F.col("kind") == REPEATED).select("unit", "payload"), done.union(_same(late, sets))
+    done = kit.settled(done.union(_same(late, sets)))
+    return judged.where(F.col("kind") == REPEATED).select("unit", "payload"), done
 
 
 def dedup_lines(docs: DataFrame, carry: bool = False) -> DataFrame:
