@@ -54,6 +54,20 @@ def test_line_dedup_in_lists_that_are_hot(spark, monkeypatch):
     assert result == plain_lines(rows)
 
 
+def test_line_dedup_sends_a_repeated_line_once_per_unit(spark):
+    rows = [(i, "one line that all have\nand again\none line that all have\nown%d" % i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kit.prepare(spark)
+    units = kit.units(df)
+    shared = spark.sparkContext.broadcast(line_dedup.sketch(units))
+    sent = units.mapInArrow(line_dedup._send(shared, 1), line_dedup.SENT_SCHEMA).where("bucket >= 0").toArrow()
+    records = line_dedup._open(sent)
+    _, times = np.unique(np.stack([records["unit"].astype(np.uint64), records["key"], records["token"]]), axis=1, return_counts=True)
+    assert len(set(records["unit"])) == 3 and times.max() == 1
+    result = sorted(((r["doc_id"], r["kept"]) for r in line_dedup.dedup_lines(df).collect()), key=str)
+    assert result == plain_lines(rows)
+
+
 def test_line_dedup_passes_other_columns_on(odd_docs):
     result = line_dedup.without_repeated_lines(odd_docs)
     assert result.columns == odd_docs.columns and result.dtypes == odd_docs.dtypes

@@ -7,9 +7,10 @@ outcome does not depend on the order of work.
 
 1. A sketch of `SKETCH` word counters (fixed size, so it may be broadcast) gives one rarity order
    for all words: by counter, then by hash. Any order common to all lines keeps the join exact.
-2. Lines with equal sets are one class. A class goes to the buckets of its prefix, the
-   |x| - ceil(0.8 |x|) + 1 rarest words: two matching sets share a word there. Records hold the
-   size, the word's position in the set and 64 parity bits of the set.
+2. Lines with equal sets are one class. A unit settles its own repeats and sends only its earliest
+   line of a class, to the buckets of its prefix, the |x| - ceil(0.8 |x|) + 1 rarest words: two
+   matching sets share a word there. Records hold the size, the word's position in the set and 64
+   parity bits of the set. The rarest word's bucket tells the units whose line is not the earliest.
 3. Within a word's list, pairs must pass the length filter, the positional filter (words left after
    the shared one can still reach the required overlap) and the parity bits, whose distance
    is at most the symmetric difference. A list of more than `HOT` classes only proposes its
@@ -137,7 +138,8 @@ def _open(table: pa.Table) -> dict[str, np.ndarray]:
 
 
 def _send(shared, n_buckets: int):
-    """Prefix records to word buckets, and every line's class to class buckets (from n_buckets)."""
+    """Prefix records to word buckets, one per unit, class and word, and the lines that repeat an
+    earlier one of their unit to a bucket of the unit (-1 - unit)."""
 
     def run(batches):
         rarity = shared.value
@@ -165,12 +167,6 @@ def _send(shared, n_buckets: int):
                 continue
             classes = {k: np.concatenate(v) for k, v in classes.items()}
             classes["doc"] = ids[lines.row[classes["line"]]]
-            zero = np.zeros(len(classes["key"]), np.int64)
-            out = []
-            # All lines, by class.
-            whole = classes | {"token": zero, "pos": zero}
-            bucket = (classes["key"] % np.uint64(n_buckets)).astype(np.int64)
-            out += _by_bucket(unit, bucket, whole, n_buckets)
             # The first line of each class of this unit, once per prefix word.
             order = np.lexsort((classes["line"], classes["doc"], classes["bits"], classes["key"]))
             first = np.zeros(len(order), bool)
@@ -179,7 +175,10 @@ def _send(shared, n_buckets: int):
             mine = first[owner]
             token, owner, pos = token[mine], owner[mine], pos[mine]
             records = {k: classes[k][owner] for k in ("key", "bits", "doc", "line", "size")} | {"token": token, "pos": pos}
-            out += _by_bucket(unit, (token % np.uint64(n_buckets)).astype(np.int64), records, 0)
+            out = _by_bucket(unit, (token % np.uint64(n_buckets)).astype(np.int64), records)
+            if not first.all():
+                later = classes["line"][~first].astype("<u4")
+                out.append((-1 - unit, unit, len(later), later.tobytes()))
             columns = list(zip(*out))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["bucket", "unit", "n", "payload"])
@@ -187,10 +186,10 @@ def _send(shared, n_buckets: int):
     return run
 
 
-def _by_bucket(unit: int, bucket: np.ndarray, columns: dict[str, np.ndarray], base: int) -> list[tuple]:
+def _by_bucket(unit: int, bucket: np.ndarray, columns: dict[str, np.ndarray]) -> list[tuple]:
     order = np.lexsort((columns["token"], bucket))
     cut = np.append(np.flatnonzero(kit.first_true(bucket[order])), len(order))
-    return [_pack(int(bucket[order[a]]) + base, unit, {k: v[order[a:b]] for k, v in columns.items()}) for a, b in zip(cut[:-1], cut[1:])]
+    return [_pack(int(bucket[order[a]]), unit, {k: v[order[a:b]] for k, v in columns.items()}) for a, b in zip(cut[:-1], cut[1:])]
 
 
 def _rows(kind: int, n: int, **columns) -> pa.Table:
@@ -206,11 +205,8 @@ def _rows(kind: int, n: int, **columns) -> pa.Table:
     })
 
 
-def _repeated_lines(found: dict[str, np.ndarray]) -> pa.Table:
-    """Per unit, its lines whose class has an earlier line."""
-    order = np.lexsort((found["line"], found["unit"], found["doc"], found["bits"], found["key"]))
-    later = order[~(kit.first_true(found["key"][order]) | kit.first_true(found["bits"][order]))]
-    unit, line = found["unit"][later], found["line"][later]
+def _repeated_lines(unit: np.ndarray, line: np.ndarray) -> pa.Table:
+    """These lines, packed by unit."""
     order = np.argsort(unit, kind="stable")
     unit, line = unit[order], line[order]
     cut = np.flatnonzero(kit.first_true(unit))
@@ -218,15 +214,17 @@ def _repeated_lines(found: dict[str, np.ndarray]) -> pa.Table:
     return _rows(REPEATED, len(cut) if len(unit) else 0, unit=unit[cut] if len(unit) else unit, payload=payload)
 
 
-def _judge(n_buckets: int):
+def _judge():
     def run(table: pa.Table) -> pa.Table:
+        if table["bucket"][0].as_py() < 0:
+            return _rows(REPEATED, table.num_rows, unit=table["unit"].to_numpy(), payload=table["payload"].to_pylist())
         found = _open(table)
-        if table["bucket"][0].as_py() >= n_buckets:
-            return _repeated_lines(found)
         # One record per word and class: the earliest line of the class.
         order = np.lexsort((found["line"], found["unit"], found["doc"], found["bits"], found["key"], found["token"]))
         r = {k: v[order] for k, v in found.items()}
         new = kit.first_true(r["token"]) | kit.first_true(r["key"]) | kit.first_true(r["bits"])
+        later = ~new & (r["pos"] == 0)  # every class has one rarest word
+        repeated = _repeated_lines(r["unit"][later], r["line"][later])
         r = {k: v[new] for k, v in r.items()}
         place = np.empty(len(r["doc"]), np.int64)  # in the order of all lines
         place[np.lexsort((r["line"], r["unit"], r["doc"]))] = np.arange(len(place))
@@ -281,7 +279,7 @@ def _judge(n_buckets: int):
             IN_HOT_LIST, len(hot), unit=r["unit"][hot], line=r["line"][hot], token=r["token"][hot], doc=r["doc"][hot],
             size=size[hot], pos=pos[hot], bits=bits[hot],
         )
-        return pa.concat_tables([pairs, members])
+        return pa.concat_tables([repeated, pairs, members])
 
     return run
 
@@ -389,7 +387,7 @@ def matched_lines(units: DataFrame, n_bytes: int) -> tuple[DataFrame, DataFrame]
     n_buckets = kit.bucket_count(n_bytes, BUCKET_BYTES)
     rarity = spark.sparkContext.broadcast(sketch(units))
     judged = kit.settled(
-        units.mapInArrow(_send(rarity, n_buckets), SENT_SCHEMA).groupBy("bucket").applyInArrow(_judge(n_buckets), JUDGED_SCHEMA)
+        units.mapInArrow(_send(rarity, n_buckets), SENT_SCHEMA).groupBy("bucket").applyInArrow(_judge(), JUDGED_SCHEMA)
     )
     y, x = ["unit", "line"], ["x_unit", "x_line"]
     opened = judged.where(F.col("kind") == PAIR).select("size", "payload").mapInArrow(_open_pairs, "unit long, line long, x_unit long, x_line long, far long")
