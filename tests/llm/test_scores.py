@@ -84,6 +84,25 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language_id.predict(df, empty).collect()} == {"und"}
 
 
+def test_a_rare_language_is_learned_from_a_large_table(spark):
+    rng = random.Random(5)
+    make = lambda letters: " ".join("".join(rng.choices(letters, k=4)) for _ in range(30))
+    rows = [(i, make("abcdef"), "hot") for i in range(4000)] + [(5000 + i, make("uvwxyz"), "rare") for i in range(4)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 100)
+    assert model.langs == ["hot", "rare"]
+    test = spark.createDataFrame([(1, make("abcdef")), (2, make("uvwxyz"))], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.predict(test, model).collect()} == {1: "hot", 2: "rare"}
+
+
+def test_a_hot_language_leaves_room_for_the_words_of_others(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_ENTRIES", 8)
+    hot, rare = [" ".join(f"{letter}{x}" for x in "abcdefgh" for letter in letters) for letters in ("pq", "u")]
+    rows = [(i, hot, "hot") for i in range(60)] + [(100 + i, rare, "rare") for i in range(3)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    points, s, e, _ = language_id.letters_of(np.frombuffer(rare.encode(), np.uint8), np.array([0, len(rare)]))
+    assert (model.find(0, language_id.word_keys(points, s, e)) >= 0).any()
+
+
 def test_backoff_takes_the_longest_known_length():
     key = lambda text: language_id._fold(np.array([ord(c) for c in text], np.uint32), np.array([0]), len(text))[0]
     none = (np.zeros(0, np.uint64), np.zeros((0, 2)))

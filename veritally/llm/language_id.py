@@ -7,8 +7,9 @@ frequency of those known is added. A text's language has the highest sum (ties:
 name); the score is its posterior when every language is as likely beforehand.
 
 The model is fitted on a bounded, documented sample: of the rows offered, about `sample_rows` by a
-digest of doc_id, all words of each, and of what occurs `MIN_COUNT` times the `MAX_ENTRIES` most
-frequent words or n-grams per length. So the broadcast model is bounded by those parameters and
+digest of doc_id, all words of each; every language has the same share of them, or all its rows if
+those are fewer (others then have more). Of what occurs `MIN_COUNT` times, the model keeps per length
+`MAX_ENTRIES` words or n-grams, those with the highest frequency within any one language first. So the broadcast model is bounded by those parameters and
 the number of languages. Scoring covers whole texts of all rows.
 
 Defined results: a text that is NULL or has no letter is `und` with score 0; a NULL doc_id counts
@@ -127,7 +128,7 @@ def _counts(batches):
                 found.append((n, g_keys, np.bincount(g_inverse, weights=times[word], minlength=len(g_keys)).astype(np.int64)))
             for n, k, c in found:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(k), n, np.int32)), pa.array(k.view(np.int64)), pa.array([str(name)] * len(k)), pa.array(c.astype(np.int64))],
+                    [pa.array(np.full(len(k), n, np.int32)), pa.array(k.view(np.int64)), pa.array([str(name)] * len(k), pa.string()), pa.array(c.astype(np.int64))],
                     names=["length", "key", "lang", "n"],
                 )
 
@@ -186,10 +187,15 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model of `train` (doc_id, text, lang), from about `sample_rows` of its rows."""
     kit.prepare(train.sparkSession)
     rows = kit.id_and_text(train, F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    n = rows.count()
-    share = 1 << 20
+    n_rows = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    share, left, limits = 1 << 40, sample_rows, []
+    for k, (name, n) in enumerate(sorted(n_rows.items(), key=lambda x: (x[1], x[0]))):
+        quota = min(n, max(left / (len(n_rows) - k), 1))
+        left -= quota
+        limits += [F.lit(name), F.lit(int(share * quota / n))]
+    limit = F.create_map(*limits)[F.col("lang")] if limits else F.lit(0)
     part = F.pmod(F.xxhash64(F.lit(7), F.coalesce("doc_id", F.lit(-1).cast("long"))), F.lit(share))
-    sample = rows.where(part < int(share * min(1.0, sample_rows / max(n, 1))))
+    sample = rows.where(part < limit)
     counted = (
         sample.select("doc_id", "text", "lang").mapInArrow(_counts, "length int, key long, lang string, n long")
         .groupBy("length", "key", "lang").agg(F.sum("n").alias("n"))
@@ -202,7 +208,8 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
         by_key = counted.where(F.col("length") == length).groupBy("key").agg(
             F.sum("n").alias("all"), *[F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)).alias(f"l{c}") for c, name in enumerate(langs)]
         ).where(F.col("all") >= MIN_COUNT)
-        top = by_key.orderBy(F.col("all").desc(), "key").limit(MAX_ENTRIES).toPandas()
+        shares = [F.col(f"l{c}") / F.lit(float(max(total.get((length, name), (0, 0))[0], 1))) for c, name in enumerate(langs)]
+        top = by_key.orderBy(F.greatest(*shares, F.lit(0.0), F.lit(0.0)).desc(), F.col("all").desc(), "key").limit(MAX_ENTRIES).toPandas()
         keys = top["key"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(keys)
         counts = top[[f"l{c}" for c in range(len(langs))]].to_numpy(np.float64)[order] if langs else np.zeros((len(keys), 0))
