@@ -153,6 +153,26 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score(df, None).collect()} == {0.0}
 
 
+def test_toxicity_learns_from_long_texts_and_a_bounded_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: seen.append((texts, labels.tolist())))
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 5)
+    monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 5)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 400)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+
+    def sample(rows):
+        toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+        texts, found = seen.pop()
+        assert all(len(t.encode()) <= 400 for t in texts)
+        return sorted(found), texts
+
+    assert sample([(i, f"\U00020000é{i} " * 200) for i in range(40)])[0] == [0] * 5 + [1] * 5
+    found, texts = sample([(i, f"word{i} " * (200 if i < 30 else 3)) for i in range(40)])
+    assert found == [0] * 5 + [1] * 5 and all(len(t.split()) == 3 for t in texts)
+    assert sample([(i % 2, f"text {i}") for i in range(40)])[0] == [0] * 5 + [1] * 5
+
+
 def test_windows_cover_every_token():
     text = " ".join("abcdefghij"[i % 10] * (1 + i % 20) for i in range(77)).encode()
     tokens = toxicity.Tokens(np.frombuffer(text, np.uint8), np.array([0, 0, len(text)]))

@@ -4,9 +4,11 @@ Tokens are lower-cased runs of letters, in pieces of at most `WIDTH` letters. Ev
 consecutive tokens, `STRIDE` apart, form a window, the last one ends with the text; the network
 (see recurrent.py) gives each window a logit, and a text has the score of its worst window.
 
-The network is trained in NumPy on a bounded, documented sample: of the labelled rows offered, at
-most `SAMPLE_TOXIC` toxic and `SAMPLE_CLEAN` other ids (smallest digests of doc_id), whose texts have
-at most `SAMPLE_BYTES` bytes. So what the driver holds is bounded by these three numbers. Labels
+The network is trained in NumPy on a bounded, documented sample: of the labelled texts offered, at
+most `SAMPLE_TOXIC` toxic and `SAMPLE_CLEAN` others (smallest digests of doc_id), those of at most
+`SAMPLE_BYTES` bytes first. Where they are too few, longer ones follow, each by an excerpt of
+`SAMPLE_BYTES` / 4 characters from a place given by a digest. So what the driver holds is bounded by
+these three numbers. Labels
 belong to documents, not to windows: after a first pass over all windows, toxic documents are
 represented by their worst window (if it stands out among those of clean ones: labels may be
 wrong), others by their worst and random ones. Scoring reads whole
@@ -174,10 +176,20 @@ def fit(train_docs: DataFrame, labels: DataFrame) -> Model | None:
     spark = train_docs.sparkSession
     kit.prepare(spark)
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
-    first = lambda value, n: rows.where(F.col("toxic") == value).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(n)
-    ids = first(1, SAMPLE_TOXIC).union(first(0, SAMPLE_CLEAN))  # so many ids at most: may be broadcast
-    texts = kit.id_and_text(train_docs).where(F.octet_length("text") <= SAMPLE_BYTES)
-    sample = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").dropDuplicates().toPandas()
+    texts = kit.id_and_text(train_docs).where("text IS NOT NULL").withColumn("long", F.octet_length("text") > SAMPLE_BYTES)
+
+    def first(offered: DataFrame, *more: str) -> DataFrame:
+        by_digest = lambda value, n: offered.where(F.col("toxic") == value).orderBy("long", F.xxhash64(F.lit(3), "doc_id"), "doc_id", *more).limit(n)
+        return by_digest(1, SAMPLE_TOXIC).union(by_digest(0, SAMPLE_CLEAN))
+
+    ids = first(texts.groupBy("doc_id").agg(F.min("long").alias("long")).join(rows.distinct(), "doc_id"))
+    ids = F.broadcast(ids.select("doc_id", "toxic"))  # so many at most
+    size = SAMPLE_BYTES // 4  # characters, of at most 4 bytes
+    places = F.greatest(F.length("text") - size + 1, F.lit(1)).cast("long")
+    start = F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), places).cast("int") + 1
+    excerpt = F.when(F.col("long"), F.substring("text", start, F.lit(size))).otherwise(F.col("text"))
+    found = kit.settled(texts.join(ids, "doc_id").select("doc_id", excerpt.alias("text"), "toxic", "long").dropDuplicates())
+    sample = first(found, "text").toPandas()  # an id may have any number of texts
     sample = sample.sort_values(["doc_id", "toxic", "text"])
     return train(sample["text"].tolist(), sample["toxic"].to_numpy())
 
