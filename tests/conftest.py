@@ -46,11 +46,3 @@ def tables(spark):
         "id string, ethnicity string, is_veteran string",
     )
     return scored, labels, attributes
-
-
-def rows(df):
-    return [tuple(row) for row in df.collect()]
-
-
-def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()

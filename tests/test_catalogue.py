@@ -5,7 +5,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from conftest import plan, rows
+from frames import plan, rows
 
 import __spark_entry__ as contract
 from veritally.plans import catalogue

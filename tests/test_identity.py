@@ -2,7 +2,7 @@ import base64
 
 import numpy as np
 import pytest
-from conftest import plan, rows
+from frames import plan, rows
 
 from veritally import IdentityTables, ScoreStore, score
 from veritally.operators.scoring import ModelScorer

@@ -2,7 +2,7 @@ import random
 
 import pandas as pd
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from veritally import label_summary, rate_by, replicate, score_summary, top_groups

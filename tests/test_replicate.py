@@ -1,5 +1,5 @@
 import pytest
-from conftest import plan, rows
+from frames import plan, rows
 from pyspark.sql import functions as F
 
 from veritally import label_summary, register_views, replicate, scale_family, union_by_name

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import plan, rows
+from frames import plan, rows
 from pyspark.sql import functions as F
 
 from veritally import get_scorer, rate_by, register_scorer, register_sql, replicate, score, score_summary

@@ -1,5 +1,5 @@
 import pytest
-from conftest import plan, rows
+from frames import plan, rows
 from pyspark.sql import types as T
 
 from veritally import conform, read_csv, read_parquet

@@ -1,4 +1,4 @@
-from conftest import plan, rows
+from frames import plan, rows
 from pyspark.sql import functions as F
 
 from veritally import label_summary, rate_by, register_sql, register_views, replicate, score_summary

@@ -2,7 +2,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pytest
-from conftest import plan, rows
+from frames import plan, rows
 
 from veritally import ScoreStore, rate_by, score, score_summary
 from veritally.operators.scoring import ModelScorer
