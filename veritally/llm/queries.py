@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritally.llm import decontamination, language_id, license_digests, line_dedup, lm_scoring, minhash_hamming, quality_ledger, run_index_dedup, source_mix, toxicity
+from veritally.llm import (
+    byte_bpe,
+    decontamination,
+    hard_negatives,
+    language_id,
+    license_digests,
+    line_dedup,
+    lm_scoring,
+    minhash_hamming,
+    quality_ledger,
+    run_index_dedup,
+    source_mix,
+    tokenizer_alignment,
+    toxicity,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_ledger": quality_ledger.query,
         "op9_source_mix": source_mix.query,
         "op10_decontamination": decontamination.query,
+        "op11_tokenizer_alignment": tokenizer_alignment.query,
+        "op12_hard_negatives": hard_negatives.query,
+        "op13_byte_bpe": byte_bpe.query,
     }
 
 
@@ -31,4 +48,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_license_digests": license_digests.ORACLE_SQL,
         "op8_quality_ledger": quality_ledger.ORACLE_SQL,
         "op9_source_mix": source_mix.ORACLE_SQL,
+        "op12_hard_negatives": hard_negatives.ORACLE_SQL,
     }
