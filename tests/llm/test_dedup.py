@@ -39,21 +39,49 @@ def test_line_dedup_equals_the_plain_version(docs, corpus):
     assert result == plain_lines(corpus)
 
 
-def test_line_dedup_in_lists_that_are_hot(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "HOT", 2)
-    rng = random.Random(1)
-    base = [f"w{i}" for i in range(20)]
+def unlike_lines(rng, n, base):
+    """Lines of one template with some words changed, whole lines and parts of lines."""
     rows = []
-    for i in range(40):
-        words = list(base)
+    for i in range(n):
+        words = list(base[: rng.choice([len(base), len(base) - 4, len(base) // 2])])
         for _ in range(rng.randint(0, 5)):
-            words[rng.randrange(20)] = f"z{rng.randrange(9)}"
+            words[rng.randrange(len(words))] = f"z{rng.randrange(9)}"
         rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("nearest, split", [(1, 2048), (1, 0), (2, 5), (4, 20)])
+def test_line_dedup_in_lists_that_are_hot(spark, nearest, split):
+    rows = unlike_lines(random.Random(1), 120, [f"w{i}" for i in range(20)]) + [(1000 + i, f"w{i % 7}") for i in range(20)]
+    rows += [(2000 + i, f"w{i % 5} w{i % 3}") for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    result = sorted(((r["doc_id"], r["kept"]) for r in line_dedup.dedup_lines(df).collect()), key=str)
+    result = sorted(((r["doc_id"], r["kept"]) for r in line_dedup.dedup_lines(df, nearest=nearest, split=split).collect()), key=str)
     assert result == plain_lines(rows)
 
 
+def test_line_dedup_waits_for_candidates_beyond_the_nearest(spark):
+    """The lists and the lines that wait are there, so that the last step is tested."""
+    rows = unlike_lines(random.Random(2), 150, [f"w{i}" for i in range(20)])
+    kit.prepare(spark)
+    units = kit.units(spark.createDataFrame(rows, "doc_id long, text string"))
+    shared = spark.sparkContext.broadcast(line_dedup.sketch(units))
+    sent = units.mapInArrow(line_dedup._send(shared, 8), line_dedup.SENT_SCHEMA)
+    judged = sent.groupBy("bucket").applyInArrow(line_dedup._judge(1), line_dedup.JUDGED_SCHEMA)
+    kinds = {r["kind"] for r in judged.select("kind").collect()}
+    assert {line_dedup.PAIR, line_dedup.LIST, line_dedup.OPEN} <= kinds
+
+
+def test_line_dedup_with_lines_longer_than_a_piece(spark):
+    """A line of more than a piece of text, one more unlike it, and a copy with few changes."""
+    long = [f"w{i}" for i in range(60000)]
+    near = long[:59000] + [f"y{i}" for i in range(1000)]
+    rows = [(1, " ".join(long) + "\nshort line here"), (2, "short line here\n" + " ".join(near)), (3, " ".join(long[::3]))]
+    assert len(rows[0][1]) > kit.PIECE_BYTES
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    result = sorted((r["doc_id"], r["kept"]) for r in line_dedup.dedup_lines(df).collect())
+    assert result == [rows[0], (2, ""), rows[2]]
+
+
 def test_line_dedup_sends_a_repeated_line_once_per_unit(spark):
     rows = [(i, "one line that all have\nand again\none line that all have\nown%d" % i) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)

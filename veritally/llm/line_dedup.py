@@ -6,22 +6,28 @@ doc_id, then by place. A line's set is its distinct words, A-Z lower-cased. A li
 outcome does not depend on the order of work.
 
 1. A sketch of `SKETCH` word counters (fixed size, so it may be broadcast) gives one rarity order
-   for all words: by counter, then by hash. Any order common to all lines keeps the join exact.
+   for all words: by counter, then by hash. Any order common to all lines keeps the join exact. A
+   counter never falls short, so a word counted once stands in one line only and is not sent.
 2. Lines with equal sets are one class. A unit settles its own repeats and sends only its earliest
-   line of a class, to the buckets of its prefix, the |x| - ceil(0.8 |x|) + 1 rarest words: two
-   matching sets share a word there. Records hold the size, the word's position in the set and 64
-   parity bits of the set. The rarest word's bucket tells the units whose line is not the earliest.
-3. Within a word's list, pairs must pass the length filter, the positional filter (words left after
-   the shared one can still reach the required overlap) and the parity bits, whose distance
-   is at most the symmetric difference. A list of more than `HOT` classes only proposes its
-   earliest class to the others; those that find no match that way are joined with the rest of the
-   list afterwards, so copies of one line cost rows in proportion to their number.
-4. A line only needs one earlier match. The nearest candidate of each line is verified first, by
-   the Jaccard similarity of the whole sets, then all candidates of the lines left.
+   line of a class: one record to the class, whose bucket tells the units whose line is not the
+   earliest, and one to every word of its prefix, the |x| - ceil(0.8 |x|) + 1 rarest words: two
+   matching sets share a word there. A prefix word counted more than `SPLIT` times is never a list of
+   its own: sets that match share two words at least within prefixes that are longer by one, so the
+   record goes to the pairs of that word and the words after it there. Such lists are parted further
+   by classes of sizes, each with the lines that are just small enough to match its own.
+   Records hold the size, how much of the set can still be shared from there on, and 64 parity bits.
+3. Within a list a pair is taken where it shares its first word (or two), so both must have left
+   what the required overlap still wants (the positional filter); it must pass the length filter and
+   the parity bits, whose distance is at most the symmetric difference. Two lines that reach
+   no line of their own size cannot match, which spares the pairs of long lists of unlike lines.
+4. A line only needs one earlier match. A list proposes the `NEAREST` candidates of each line. Of
+   these the nearest is verified first, by the Jaccard similarity of the whole sets, then the
+   others; lines that had more candidates and found no match then meet all of them. So copies
+   and near copies cost rows in proportion to their number, and no candidate is left out.
 5. Later lines of a class, and first lines with a verified earlier match, are removed.
 
-Defined results: lines without a word stay; a NULL text is an empty one, without lines; rows with a NULL doc_id come last in the order; of repeated rows the lines
-of all but one go; other columns are ignored; an empty table gives an empty result. Whole texts
+Defined results: lines without a word stay; a NULL text is an empty one, without lines; rows with
+a NULL doc_id come last in the order; of repeated rows the lines of all but one go; other columns are ignored; an empty table gives an empty result. Whole texts
 are read, and lines of any length are compared.
 """
 
@@ -29,27 +35,29 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from veritally.llm import kit
 
 PERCENT = 80
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 SKETCH = 1 << SKETCH_BITS
-SEGMENT = 1 << 14
+SEGMENT = 1 << 16
 HASH_BYTES = 6  # of a word's hash, in the sets that are verified
-HOT = 64
+SPLIT = 2048  # a word of more occurrences is only a list together with another
+NEAREST = 4  # candidates of a line that a list proposes at once
 BUCKET_BYTES = 16 << 20
-FIELDS = (("token", "<u8"), ("key", "<u8"), ("bits", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("size", "<u4"), ("pos", "<u4"))
+FIELDS = (("token", "<u8"), ("key", "<u8"), ("bits", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("size", "<u4"), ("reach", "<u4"))
 SENT_SCHEMA = "bucket long, unit long, n long, payload binary"
-JUDGED_SCHEMA = "kind int, unit long, line long, token long, doc long, size int, pos int, bits long, payload binary"
+JUDGED_SCHEMA = "kind int, unit long, line long, token long, size int, payload binary"
+MEMBER_RECORD = np.dtype([("unit", "<i8"), ("doc", "<i8"), ("bits", "<u8"), ("line", "<u4"), ("size", "<u4"), ("reach", "<u4")])
 PAIR_RECORD = np.dtype([("unit", "<i8"), ("x_unit", "<i8"), ("line", "<u4"), ("x_line", "<u4"), ("far", "<u2")])
 RESULT_SCHEMA = (
     StructType().add("doc_id", "long").add("n_lines", "long").add("n_removed", "long").add("kept", "string")
 )
-REPEATED, PAIR, IN_HOT_LIST = 0, 1, 2
+REPEATED, PAIR, LIST, OPEN = range(4)
 
 
 def needed(sizes, percent: int = PERCENT):
@@ -61,6 +69,11 @@ def prefix(sizes, percent: int = PERCENT):
     return sizes - -(-percent * sizes // 100) + 1
 
 
+def size_class(sizes: np.ndarray) -> np.ndarray:
+    """Number of a class of sizes such that sets that may match are in the same or the next one."""
+    return np.floor(np.log(np.maximum(sizes, 1)) / -np.log(PERCENT / 100) * (1 - 1e-9)).astype(np.int64)
+
+
 class Lines:
     """Lines of a unit that have a word: start, end, row; and their words."""
 
@@ -94,7 +107,8 @@ def _count(batches):
     total = np.zeros(SKETCH, np.int64)
     for _, _, ends, text in kit.unit_rows(batches):
         for h, _ in Lines(text, ends).words():
-            np.add.at(total, _counter(h), 1)
+            at, times = np.unique(_counter(h), return_counts=True)
+            total[at] += times
     if total.any():
         parts = [pa.compress(total[a : a + SEGMENT].tobytes(), codec="zstd", asbytes=True) for a in range(0, SKETCH, SEGMENT)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["segment", "payload"])
@@ -113,9 +127,9 @@ def sketch(units: DataFrame) -> np.ndarray:
     """Word counts by hash: always SKETCH counters, so it fits the driver whatever the corpus."""
     kind = "segment int, payload binary"
     rows = units.mapInArrow(_count, kind).groupBy("segment").applyInArrow(_sum_segment, kind).collect()
-    out = np.zeros(SKETCH, np.int64)
+    out = np.zeros(SKETCH, np.uint32)
     for row in rows:
-        out[row["segment"] * SEGMENT :][:SEGMENT] = _segment(row["payload"])
+        out[row["segment"] * SEGMENT :][:SEGMENT] = np.minimum(_segment(row["payload"]), 2**32 - 1)
     return out
 
 
@@ -137,48 +151,79 @@ def _open(table: pa.Table) -> dict[str, np.ndarray]:
     return out
 
 
-def _send(shared, n_buckets: int):
-    """Prefix records to word buckets, one per unit, class and word, and the lines that repeat an
-    earlier one of their unit to a bucket of the unit (-1 - unit)."""
+_CLASS, _PAIRED, _SIZED = np.uint64(0xC1A5), np.uint64(0x9A12), np.uint64(0x512E)
+
+
+def _lists(h: np.ndarray, count: np.ndarray, heads: np.ndarray, size: np.ndarray, split: int):
+    """(list, line, reach) of the records of lines whose words lie in order from `heads` on."""
+    total = np.repeat(size, size)
+    pos = np.arange(len(h)) - np.repeat(heads, size)
+    owner = np.repeat(np.arange(len(heads)), size)
+    in_prefix = pos < prefix(total)
+    at = np.flatnonzero(in_prefix & (count > 1) & (count <= split))
+    out = [(h[at], owner[at], (total - pos)[at])]
+    first = np.flatnonzero(in_prefix & (count > split))
+    more = np.minimum(prefix(total[first]) + 1, total[first]) - 1 - pos[first]  # words after it in the longer prefix
+    second = np.repeat(first + 1, more) + np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+    first = np.repeat(first, more)
+    both = kit.mix(h[first] ^ kit.mix(h[second] + _PAIRED))
+    reach = (total - pos)[second] + 1  # the first word is shared as well
+    own = size_class(total[second])
+    # The largest set that these words still allow: (100 + P) reach / P - size.
+    partner = np.minimum((100 + PERCENT) * reach // PERCENT - total[second], 100 * total[second] // PERCENT)
+    for up in (0, 1):  # its own class, and the next where that holds sets it may match
+        goes = np.flatnonzero(size_class(partner) > own) if up else np.arange(len(both))
+        out.append((kit.mix(both[goes] + (own[goes] + up).astype(np.uint64) * _SIZED), owner[second][goes], reach[goes]))
+    return [np.concatenate(x) for x in zip(*out)]
+
+
+def _send(shared, n_buckets: int, split: int = SPLIT):
+    """Prefix records to the buckets of their lists, class records to that of the class, one per unit
+    and class, and the lines that repeat an earlier one of their unit to a bucket of the unit
+    (-1 - unit)."""
 
     def run(batches):
         rarity = shared.value
         for unit, ids, ends, text in kit.unit_rows(batches):
             lines = Lines(text, ends)
-            kept = []
-            classes = {k: [] for k in ("key", "bits", "line", "size")}
+            kept, n_classes = [], 0
+            classes = {k: [] for k in ("key", "bits", "line", "size", "shared")}
             for h, line in lines.words():
                 h, line = _distinct(h, line)
                 if not len(h):
                     continue
-                order = np.lexsort((h, rarity[_counter(h)], line))
-                h, line = h[order], line[order]
+                count = rarity[_counter(h)]
+                order = np.lexsort((h, count, line))
+                h, line, count = h[order], line[order], count[order]
                 heads = np.flatnonzero(kit.first_true(line))
                 size = np.diff(np.append(heads, len(line)))
+                token, owner, reach = _lists(h, count, heads, size, split)
+                kept.append((token, owner + n_classes, reach))
+                n_classes += len(heads)
                 key = np.add.reduceat(kit.mix(h + np.uint64(0x51ED)), heads)
                 bits = np.bitwise_xor.reduceat(np.uint64(1) << (kit.mix(h) & np.uint64(63)), heads)
-                pos = np.arange(len(h)) - np.repeat(heads, size)
-                at = pos < np.repeat(prefix(size), size)
-                owner = np.repeat(np.arange(len(heads)), size)[at]
-                kept.append((h[at], owner + sum(len(x) for x in classes["key"]), pos[at]))
-                for name, value in (("key", key), ("bits", bits), ("line", line[heads]), ("size", size)):
+                for name, value in (("key", key), ("bits", bits), ("line", line[heads]), ("size", size), ("shared", count[heads] > 1)):
                     classes[name].append(value)
             if not kept:
                 continue
             classes = {k: np.concatenate(v) for k, v in classes.items()}
             classes["doc"] = ids[lines.row[classes["line"]]]
-            # The first line of each class of this unit, once per prefix word.
+            # The first line of each class of this unit, once per list.
             order = np.lexsort((classes["line"], classes["doc"], classes["bits"], classes["key"]))
             first = np.zeros(len(order), bool)
             first[order[kit.first_true(classes["key"][order]) | kit.first_true(classes["bits"][order])]] = True
-            token, owner, pos = (np.concatenate(x) for x in zip(*kept))
+            token, owner, reach = (np.concatenate(x) for x in zip(*kept))
             mine = first[owner]
-            token, owner, pos = token[mine], owner[mine], pos[mine]
-            records = {k: classes[k][owner] for k in ("key", "bits", "doc", "line", "size")} | {"token": token, "pos": pos}
+            whole = np.flatnonzero(first & classes["shared"])  # a line with a word of its own has no equal
+            token = np.concatenate([token[mine], kit.mix(classes["key"][whole] + _CLASS)])
+            owner, reach = np.concatenate([owner[mine], whole]), np.concatenate([reach[mine], np.zeros(len(whole), np.int64)])
+            records = {k: classes[k][owner] for k in ("key", "bits", "doc", "line", "size")} | {"token": token, "reach": reach}
             out = _by_bucket(unit, (token % np.uint64(n_buckets)).astype(np.int64), records)
             if not first.all():
                 later = classes["line"][~first].astype("<u4")
                 out.append((-1 - unit, unit, len(later), later.tobytes()))
+            if not out:
+                continue
             columns = list(zip(*out))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["bucket", "unit", "n", "payload"])
@@ -187,15 +232,15 @@ def _send(shared, n_buckets: int):
 
 
 def _by_bucket(unit: int, bucket: np.ndarray, columns: dict[str, np.ndarray]) -> list[tuple]:
+    if not len(bucket):
+        return []
     order = np.lexsort((columns["token"], bucket))
     cut = np.append(np.flatnonzero(kit.first_true(bucket[order])), len(order))
     return [_pack(int(bucket[order[a]]), unit, {k: v[order[a:b]] for k, v in columns.items()}) for a, b in zip(cut[:-1], cut[1:])]
 
 
 def _rows(kind: int, n: int, **columns) -> pa.Table:
-    schema = {
-        "kind": pa.int32(), "unit": pa.int64(), "line": pa.int64(), "token": pa.int64(), "doc": pa.int64(), "size": pa.int32(), "pos": pa.int32(), "bits": pa.int64(), "payload": pa.binary(),
-    }
+    schema = {"kind": pa.int32(), "unit": pa.int64(), "line": pa.int64(), "token": pa.int64(), "size": pa.int32(), "payload": pa.binary()}
     columns["kind"] = np.full(n, kind)
     return pa.table({
         name: pa.array(columns[name], t) if isinstance(columns.get(name), list)
@@ -214,76 +259,107 @@ def _repeated_lines(unit: np.ndarray, line: np.ndarray) -> pa.Table:
     return _rows(REPEATED, len(cut) if len(unit) else 0, unit=unit[cut] if len(unit) else unit, payload=payload)
 
 
-def _judge():
+def _places(r: dict[str, np.ndarray]) -> np.ndarray:
+    """Numbers in the order of all lines; records of one line get the same."""
+    order = np.lexsort((r["line"], r["unit"], r["doc"]))
+    new = kit.first_true(r["doc"][order]) | kit.first_true(r["unit"][order]) | kit.first_true(r["line"][order])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return place
+
+
+def _candidates(r: dict[str, np.ndarray], place: np.ndarray, heads: np.ndarray, length: np.ndarray, open_y: np.ndarray | None = None):
+    """(x, y, far) of the pairs within lists that pass all filters, x the earlier line; the records of
+    a list lie together, smaller sets first. With `open_y`, only pairs whose y is marked there."""
+    size, reach, bits = r["size"].astype(np.int64), r["reach"].astype(np.int64), r["bits"]
+    stop = np.repeat(heads + length, length)
+    able = (100 + PERCENT) * reach >= 2 * PERCENT * size  # reaches a set of its own size
+    xs, ys, fars = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    live, k = np.arange(len(size)), 1
+    while len(live):
+        live = live[live + k < stop[live]]
+        live = live[100 * size[live] >= PERCENT * size[live + k]]  # sizes grow within a list
+        a = live[able[live] | able[live + k]]
+        b = a + k
+        swap = place[a] > place[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        if open_y is not None:
+            a, b = a[open_y[b]], b[open_y[b]]
+        least = needed(size[a] + size[b])
+        ok = np.minimum(reach[a], reach[b]) >= least
+        a, b, least = a[ok], b[ok], least[ok]
+        far = np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64)
+        ok = (far <= size[a] + size[b] - 2 * least) & (place[a] != place[b])
+        xs.append(a[ok])
+        ys.append(b[ok])
+        fars.append(far[ok])
+        k += 1
+    return np.concatenate(xs), np.concatenate(ys), np.concatenate(fars)
+
+
+def _pair_rows(r: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, far: np.ndarray) -> pa.Table:
+    packed = np.zeros(len(x), PAIR_RECORD)
+    for name, value in (("unit", r["unit"][y]), ("x_unit", r["unit"][x]), ("line", r["line"][y]), ("x_line", r["line"][x]), ("far", np.minimum(far, 65535))):
+        packed[name] = value
+    parts = [packed[a : a + (1 << 16)] for a in range(0, len(packed), 1 << 16)]
+    payload = [pa.compress(p.tobytes(), codec="zstd", asbytes=True) for p in parts]
+    return _rows(PAIR, len(parts), payload=payload, size=np.array([p.nbytes for p in parts], np.int64))
+
+
+def _judge(nearest: int):
     def run(table: pa.Table) -> pa.Table:
         if table["bucket"][0].as_py() < 0:
             return _rows(REPEATED, table.num_rows, unit=table["unit"].to_numpy(), payload=table["payload"].to_pylist())
         found = _open(table)
-        # One record per word and class: the earliest line of the class.
+        # One record per list and class: the earliest line of the class.
         order = np.lexsort((found["line"], found["unit"], found["doc"], found["bits"], found["key"], found["token"]))
         r = {k: v[order] for k, v in found.items()}
         new = kit.first_true(r["token"]) | kit.first_true(r["key"]) | kit.first_true(r["bits"])
-        later = ~new & (r["pos"] == 0)  # every class has one rarest word
+        of_class = r["reach"] == 0
+        later = ~new & of_class
         repeated = _repeated_lines(r["unit"][later], r["line"][later])
-        r = {k: v[new] for k, v in r.items()}
-        place = np.empty(len(r["doc"]), np.int64)  # in the order of all lines
-        place[np.lexsort((r["line"], r["unit"], r["doc"]))] = np.arange(len(place))
-        same_line = np.lexsort((r["line"], r["unit"]))  # records of one line get one place
-        lead = kit.first_true(r["unit"][same_line]) | kit.first_true(r["line"][same_line])
-        place[same_line] = place[same_line[np.flatnonzero(lead)[np.cumsum(lead) - 1]]] if len(place) else place
-        order = np.lexsort((r["size"], r["token"]))
-        r, place = {k: v[order] for k, v in r.items()}, place[order]
+        r = {k: v[new & ~of_class] for k, v in r.items()}
+        r = {k: v[np.lexsort((r["size"], r["token"]))] for k, v in r.items()}
+        place = _places(r)
         heads = np.flatnonzero(kit.first_true(r["token"]))
         length = np.diff(np.append(heads, len(place)))
-        stop = np.repeat(heads + length, length)
-        in_hot = np.repeat(length > HOT, length)
-        size, pos, bits = r["size"].astype(np.int64), r["pos"].astype(np.int64), r["bits"]
-        xs, ys, fars = [], [], []
-
-        def propose(a: np.ndarray, b: np.ndarray) -> None:
-            """Pairs that pass all filters; the earlier line is x."""
-            least = needed(size[a] + size[b])
-            ok = (100 * np.minimum(size[a], size[b]) >= PERCENT * np.maximum(size[a], size[b])) & (np.minimum(size[a] - pos[a], size[b] - pos[b]) >= least)
-            a, b, least = a[ok], b[ok], least[ok]
-            far = np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64)
-            ok = far <= size[a] + size[b] - 2 * least
-            a, b, far = a[ok], b[ok], far[ok]
-            swap = place[a] > place[b]
-            xs.append(np.where(swap, b, a))
-            ys.append(np.where(swap, a, b))
-            fars.append(far)
-
-        live, k = np.flatnonzero(~in_hot), 1
-        while len(live):
-            live = live[live + k < stop[live]]
-            live = live[100 * size[live] >= PERCENT * size[live + k]]  # sizes grow within a list
-            if len(live):
-                propose(live, live + k)
-            k += 1
-        hot = np.flatnonzero(in_hot)
-        if len(hot):
-            lists = np.flatnonzero(length > HOT)
-            earliest = np.array([heads[i] + np.argmin(place[heads[i] : heads[i] + length[i]]) for i in lists])
-            centre = np.repeat(earliest, length[lists])
-            propose(centre[centre != hot], hot[centre != hot])
-        x, y, far = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys, fars))
-        number = place[x] * (len(place) + 1) + place[y]
-        _, once = np.unique(number, return_index=True)
-        x, y, far = x[once], y[once], far[once]
-        packed = np.zeros(len(x), PAIR_RECORD)
-        for name, value in (("unit", r["unit"][y]), ("x_unit", r["unit"][x]), ("line", r["line"][y]), ("x_line", r["line"][x]), ("far", np.minimum(far, 65535))):
-            packed[name] = value
-        parts = [packed[a : a + (1 << 16)].tobytes() for a in range(0, len(packed), 1 << 16)]
-        pairs = _rows(PAIR, len(parts), payload=[pa.compress(p, codec="zstd", asbytes=True) for p in parts], size=np.array([len(p) for p in parts], np.int64))
-        members = _rows(
-            IN_HOT_LIST, len(hot), unit=r["unit"][hot], line=r["line"][hot], token=r["token"][hot], doc=r["doc"][hot],
-            size=size[hot], pos=pos[hot], bits=bits[hot],
+        x, y, far = _candidates(r, place, heads, length)
+        # The nearest of each line and list; a record is a line in a list.
+        order = np.lexsort((place[x], far, y))
+        x, y, far = x[order], y[order], far[order]
+        start = np.flatnonzero(kit.first_true(y))
+        rank = np.arange(len(y)) - np.repeat(start, np.diff(np.append(start, len(y))))
+        more = np.unique(y[rank >= nearest])
+        x, y, far = x[rank < nearest], y[rank < nearest], far[rank < nearest]
+        _, once = np.unique(place[x] * (len(place) + 1) + place[y], return_index=True)
+        pairs = _pair_rows(r, x[once], y[once], far[once])
+        in_list = np.searchsorted(heads, more, "right") - 1
+        members = np.zeros(len(place), MEMBER_RECORD)
+        for name in MEMBER_RECORD.names:
+            members[name] = r[name]
+        wanted = np.unique(in_list)
+        lists = _rows(
+            LIST, len(wanted), token=r["token"][heads[wanted]], size=(length[wanted] * MEMBER_RECORD.itemsize).astype(np.int64),
+            payload=[pa.compress(members[heads[i] : heads[i] + length[i]].tobytes(), codec="zstd", asbytes=True) for i in wanted],
         )
-        return pa.concat_tables([repeated, pairs, members])
+        waiting = _rows(OPEN, len(more), token=r["token"][more], unit=r["unit"][more], line=r["line"][more])
+        return pa.concat_tables([repeated, pairs, lists, waiting])
 
     return run
 
 
+def _late(key, lists: pa.Table, waiting: pa.Table) -> pa.Table:
+    """All candidates of the lines of a list that wait for them."""
+    if not lists.num_rows or not waiting.num_rows:
+        return _rows(PAIR, 0)
+    members = np.frombuffer(pa.decompress(lists["payload"][0].as_py(), lists["size"][0].as_py(), codec="zstd", asbytes=True), MEMBER_RECORD)
+    r = {name: members[name] for name in MEMBER_RECORD.names}
+    at = {(u, n) for u, n in zip(waiting["unit"].to_pylist(), waiting["line"].to_pylist())}
+    is_open = np.array([(u, n) in at for u, n in zip(r["unit"].tolist(), r["line"].tolist())])
+    x, y, far = _candidates(r, _places(r), np.zeros(1, np.int64), np.array([len(members)]), is_open)
+    return _pair_rows(r, x, y, far)
+
+
 def _open_pairs(batches):
     for batch in batches:
         for size, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -377,51 +453,50 @@ def _same(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("y_unit", "y_line", "x_words", "y_words").mapInArrow(_agree, "unit long, line long").distinct()
 
 
-def _least(sizes: Column) -> Column:
-    return F.ceil(PERCENT * sizes / F.lit(100 + PERCENT))
+def _pairs_of(rows: DataFrame) -> DataFrame:
+    columns = "unit long, line long, x_unit long, x_line long, far long"
+    opened = rows.where(F.col("kind") == PAIR).select("size", "payload").mapInArrow(_open_pairs, columns)
+    return opened.groupBy("unit", "line", "x_unit", "x_line").agg(F.min("far").alias("far"))
+
 
+def _sets(units: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The word sets of both lines of all pairs."""
+    wanted = pairs.select("unit", "line").union(pairs.select("x_unit", "x_line")).distinct()
+    return units.groupBy("unit").cogroup(wanted.groupBy("unit")).applyInArrow(_read_sets, "unit long, line long, words binary")
 
-def matched_lines(units: DataFrame, n_bytes: int) -> tuple[DataFrame, DataFrame]:
+
+def matched_lines(units: DataFrame, n_bytes: int, nearest: int = NEAREST, split: int = SPLIT) -> tuple[DataFrame, DataFrame]:
     """Lines that repeat a class, packed by unit, and first lines of a class with an earlier match."""
     spark = units.sparkSession
     n_buckets = kit.bucket_count(n_bytes, BUCKET_BYTES)
     rarity = spark.sparkContext.broadcast(sketch(units))
     judged = kit.settled(
-        units.mapInArrow(_send(rarity, n_buckets), SENT_SCHEMA).groupBy("bucket").applyInArrow(_judge(), JUDGED_SCHEMA)
+        units.mapInArrow(_send(rarity, n_buckets, split), SENT_SCHEMA).groupBy("bucket").applyInArrow(_judge(nearest), JUDGED_SCHEMA)
     )
     y, x = ["unit", "line"], ["x_unit", "x_line"]
-    opened = judged.where(F.col("kind") == PAIR).select("size", "payload").mapInArrow(_open_pairs, "unit long, line long, x_unit long, x_line long, far long")
-    pairs = kit.settled(opened.groupBy(*y, *x).agg(F.min("far").alias("far")))
-    hot = judged.where(F.col("kind") == IN_HOT_LIST)
-    wanted = pairs.select(*y).union(pairs.select(*x)).union(hot.select(*y)).distinct()
-    sets = kit.settled(units.groupBy("unit").cogroup(wanted.groupBy("unit")).applyInArrow(_read_sets, "unit long, line long, words binary"))
+    pairs = kit.settled(_pairs_of(judged))
+    sets = kit.settled(_sets(units, pairs))
     best = pairs.groupBy(*y).agg(F.min(F.struct("far", *x)).alias("b")).select(*y, "b.x_unit", "b.x_line")
     done = kit.settled(_same(best, sets))
     rest = pairs.join(done, y, "left_anti").join(best, [*y, *x], "left_anti")
     done = kit.settled(done.union(_same(rest, sets)))
-    # Hot lists: what has no match yet meets every earlier class of the list.
-    columns = ("unit", "line", "doc", "size", "pos", "bits")
-    open_y = hot.select("token", *columns).join(done, y, "left_anti")
-    earlier = hot.select("token", *[F.col(c).alias(f"x_{c}") for c in columns])
-    least = _least(F.col("size") + F.col("x_size"))
-    passes = (
-        (F.struct("x_doc", "x_unit", "x_line") < F.struct("doc", "unit", "line"))
-        & (100 * F.least("size", "x_size") >= PERCENT * F.greatest("size", "x_size"))
-        & (F.least(F.col("size") - F.col("pos"), F.col("x_size") - F.col("x_pos")) >= least)
-        & (F.bit_count(F.col("bits").bitwiseXOR(F.col("x_bits"))) <= F.col("size") + F.col("x_size") - 2 * least)
-    )
-    late = open_y.join(earlier, "token").where(passes).select(*y, *x).distinct().join(pairs, [*y, *x], "left_anti")
-    done = kit.settled(done.union(_same(late, sets)))
+    waiting = kit.settled(judged.where(F.col("kind") == OPEN).select("token", *y).join(done, y, "left_anti"))
+    if not waiting.isEmpty():
+        lists = judged.where(F.col("kind") == LIST).select("token", "size", "payload")
+        late = lists.groupBy("token").cogroup(waiting.groupBy("token")).applyInArrow(_late, JUDGED_SCHEMA)
+        late = kit.settled(_pairs_of(late).join(pairs, [*y, *x], "left_anti"))
+        done = kit.settled(done.union(_same(late, kit.settled(_sets(units, late)))))
     return judged.where(F.col("kind") == REPEATED).select("unit", "payload"), done
 
 
-def dedup_lines(docs: DataFrame, carry: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, carry: bool = False, nearest: int = NEAREST, split: int = SPLIT) -> DataFrame:
     """doc_id, n_lines, n_removed and the kept text of every row of `docs`; the lines counted are
-    those with a word. With `carry`, the other columns of `docs` as well (see kit.units)."""
+    those with a word. With `carry`, the other columns of `docs` as well (see kit.units). `nearest`
+    and `split` (see above) set the cost, not the result."""
     kit.prepare(docs.sparkSession)
     units = kit.units(docs, carry)
     n_bytes = units.agg(F.sum("n_bytes")).first()[0] or 0
-    repeated, matched = matched_lines(units, n_bytes)
+    repeated, matched = matched_lines(units, n_bytes, nearest, split)
     none = F.lit(None)
     replies = repeated.select("unit", none.cast("long").alias("line"), "payload").union(matched.select("unit", "line", none.cast("binary")))
     schema = StructType(list(RESULT_SCHEMA.fields))
