@@ -225,12 +225,15 @@ def test_quotas_are_the_highest_quotients(spark):
     per_shard = 100
     found = {(r["skey"], r["shard"]): r["quota"] for r in source_mix.quotas(df, per_shard).collect()}
     blocks = round(sum(t for _, _, t in targets) / source_mix.BLOCK)
+    shards = -(-blocks // per_shard)
+    ends = [(s + 1) * blocks // shards for s in range(shards)]
     seats, expected = Counter(), Counter()
     for b in range(blocks):
         best = max((t for t in targets if t[2] > 0), key=lambda t: (t[2] / (2 * seats[t[0]] + 1), -t[1]))[0]
         seats[best] += 1
-        expected[best, b // per_shard] += 1
+        expected[best, next(s for s, end in enumerate(ends) if b < end)] += 1
     assert {k: q for k, q in found.items() if q} == dict(expected)
+    assert {r["shard"] for r in source_mix.quotas(df, per_shard, 3).collect()} == {0, 1, 2}
 
 
 def test_targets_fill_up_by_weight(spark):
@@ -262,3 +265,47 @@ def test_mix(odd_docs):
         assert sum(taken) <= 2 * source_size and abs(sum(taken) - target) <= 4 * source_mix.BLOCK
     assert source_mix.mix(odd_docs.limit(0)).count() == 0
     assert source_mix.mix(odd_docs.withColumn("text", F.lit(None).cast("string"))).where("taken > 0").count() == 0
+
+
+def many_sources(spark):
+    """Documents of all sizes, one longer than a shard's stretch, in sources of unlike weight."""
+    rng = random.Random(7)
+    rows = [(i, "w " * rng.choice([0, 1, 5, 40, 300, 900]), f"s{i % 6}" if i % 6 else None) for i in range(300)]
+    rows += [(1000, "long " * 30000, "s1"), (1001, "long " * 30000, "s1"), (1002, "x", "s9"), (1003, None, "s8")]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+@pytest.mark.parametrize("shard_blocks, shards", [(64, 1024), (64, 7), (1 << 12, 1024), (1 << 20, 1)])
+def test_targets_hold_for_any_number_of_shards(spark, shard_blocks, shards):
+    by_source = {}
+    for r in source_mix.mix(many_sources(spark), "seed", shard_blocks, shards).collect():
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        by_source.setdefault((r["source_size"], r["target"]), []).append(r["taken"])
+    for (_, target), taken in by_source.items():
+        assert abs(sum(taken) - target) <= 4 * source_mix.BLOCK
+
+
+def test_shards_choose_their_words(spark):
+    """Each shard takes its quota from its own stretch of each source: other shards, other words."""
+    docs = many_sources(spark)
+    taken = {n: {r["doc_id"]: r["taken"] for r in source_mix.mix(docs, "seed", 64, n).collect()} for n in (1, 5, 50)}
+    assert taken[1] != taken[5] != taken[50] != taken[1]
+    by_source = source_mix.targets(source_mix.sized(docs, "seed").groupBy("skey").agg(F.sum("size").alias("size")))
+    shares = source_mix.quotas(by_source, 64, 50)
+    rows = source_mix.selection(by_source, shares, "seed").collect()
+    quota = {(r["skey"], r["shard"]): r["quota"] for r in shares.collect()}
+    size = {r["skey"]: r["source_size"] for r in by_source.collect()}
+    for r in rows:
+        around = -(-size[r["skey"]] // source_mix.BLOCK)
+        length = (r["shard"] + 1) * around // 50 - r["shard"] * around // 50
+        blocks = r["rounds"] * length + (r["high"] - r["low"] + r["wrap"]) // source_mix.BLOCK
+        assert blocks <= 2 * length and abs(blocks - quota[r["skey"], r["shard"]]) <= 2
+    short = sum(quota.values()) - sum(r["rounds"] * ((r["shard"] + 1) * -(-size[r["skey"]] // 16) // 50 - r["shard"] * -(-size[r["skey"]] // 16) // 50) + (r["high"] - r["low"] + r["wrap"]) // 16 for r in rows)
+    assert 0 <= short <= 3 * len(size)
+
+
+def test_mix_with_columns_named_like_its_own(spark):
+    docs = many_sources(spark)
+    named = docs.selectExpr("*", "1 AS size", "'x' AS target", "2 AS taken", "'k' AS skey", "'c' AS cell", "3 AS shard", "4 AS start")
+    first, again = (sorted(map(str, source_mix.mix(d).collect())) for d in (docs, named))
+    assert first == again

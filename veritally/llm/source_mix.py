@@ -4,14 +4,18 @@
    all words. A source stops at twice its size and its excess goes to the others by weight. That
    has a closed form: with the sources sorted by cap per weight, those before the first one that
    its share does not fill are full, and the rest share what is left.
-2. `quotas`: the mix is a row of blocks of `BLOCK` words, a shard is `shard_blocks` of them. Seat
-   by seat, the highest quotient target / (2 seats + 1) gets the next block, so the seats at the
-   end of each shard give an integer quota per shard and source. Only the few seats that a divisor
-   leaves open are ranked: of n sources, at most 3 n quotients per shard, however many blocks.
-3. `mix`: the documents of a source stand in the order of a seeded digest of their id, their words
-   are counted through, and the source's blocks are taken in that order, once around and then
-   again. The running count is made in two levels (digest prefix, then within it), so no task
-   holds a source.
+2. `quotas`: the mix is a row of blocks of `BLOCK` words, cut into shards of equal size (`SHARD_BLOCKS`
+   blocks, or more where that would be over `SHARDS` shards). Seat by seat, the highest quotient
+   target / (2 seats + 1) gets the next block, so the seats at the end of each shard give an integer
+   quota per shard and source. Only the few seats that a divisor leaves open are ranked: of n
+   sources, at most 3 n quotients per shard, however many blocks.
+3. `selection`: the documents of a source stand in the order of a seeded digest of their id, and
+   their words are cut into blocks in that order. Every shard draws on its own equal stretch of
+   these blocks: the blocks of its quota run around the stretch from a place given by the seed,
+   the source and the shard. A quota above twice its stretch leaves the excess to the next shard.
+4. `mix`: a document's words lie between two places of its source; what the shards take before each
+   of the two is looked up by shard, and the difference is taken from the document. Words are
+   counted through in two levels (digest prefix, then within it), so no task holds a source.
 
 Defined results: a NULL or empty text has size 0 and is taken 0 times its words; a NULL source is
 a source of its own; NULL ids share a digest and are ordered by size; repeated rows are separate
@@ -21,7 +25,7 @@ Whole words are counted over whole texts. The same table and seed give the same
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritally.session import checkpointed
@@ -31,7 +35,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5  # words of the mix per word of input
 CAP = 2  # times that a document may be taken
 BLOCK = 16  # words in a block
-SHARD_BLOCKS = 1 << 16  # blocks in a shard of the mix
+SHARD_BLOCKS = 1 << 12  # blocks in a shard of the mix, or more
+SHARDS = 1 << 10  # shards of the mix at most
 SEED = "mix-1"
 
 
@@ -70,17 +75,20 @@ def targets(cells: DataFrame) -> DataFrame:
     )
 
 
-def quotas(by_source: DataFrame, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
-    """skey, shard, quota: blocks of each source in each shard of the mix."""
+def quotas(by_source: DataFrame, shard_blocks: int = SHARD_BLOCKS, shards: int = SHARDS) -> DataFrame:
+    """skey, shard, shards, quota and seats (of this and all earlier shards): blocks of each source in
+    each shard of the mix."""
     # In a fixed order: a sum of doubles must not change between runs.
     everything = Window.partitionBy(F.lit(0)).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     votes = by_source.where(F.col("target") > 0).select(
         "skey", "place", "target", F.sum("target").over(everything).alias("votes"), F.count(F.lit(1)).over(everything).alias("n")
     ).withColumn("blocks", F.round(F.col("votes") / BLOCK).cast("long"))
-    last = F.ceil(F.col("blocks") / F.lit(shard_blocks)).cast("long")
-    houses = votes.where(F.col("blocks") > 0).select(
-        "*", F.explode(F.sequence(F.lit(0).cast("long"), last - 1)).alias("shard")
-    ).withColumn("house", F.least((F.col("shard") + 1) * shard_blocks, F.col("blocks")))
+    counted = votes.where(F.col("blocks") > 0).withColumn(
+        "shards", F.least(F.ceil(F.col("blocks") / F.lit(shard_blocks)), F.lit(shards)).cast("long")
+    )
+    houses = counted.select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard")
+    ).withColumn("house", F.expr("(shard + 1) * blocks DIV shards"))
     seats = lambda divided: F.floor(F.col("target") * divided / F.col("votes") + F.lit(0.5)).cast("long")
     # At votes / (house - n) as divisor, at most `house` seats are given; at votes / (house + n), at least.
     bounds = houses.withColumn("low", F.when(F.col("house") > F.col("n"), seats(F.col("house") - F.col("n"))).otherwise(F.lit(0).cast("long")))
@@ -91,38 +99,80 @@ def quotas(by_source: DataFrame, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
         "skey", "shard", "place", "open_seats", "target", F.explode(F.sequence("low", F.col("high") - 1)).alias("seat")
     ).withColumn("nth", F.row_number().over(shard.orderBy((F.col("target") / (2 * F.col("seat") + 1)).desc(), "place")))
     won = ranked.where(F.col("nth") <= F.col("open_seats")).groupBy("skey", "shard").agg(F.count(F.lit(1)).alias("won"))
-    at = bounds.select("skey", "shard", "low").join(won, ["skey", "shard"], "left").select(
-        "skey", "shard", (F.col("low") + F.coalesce("won", F.lit(0))).alias("seats")
+    at = bounds.select("skey", "shard", "shards", "low").join(won, ["skey", "shard"], "left").select(
+        "skey", "shard", "shards", (F.col("low") + F.coalesce("won", F.lit(0))).alias("seats")
     )
     before = F.lag("seats", 1, 0).over(Window.partitionBy("skey").orderBy("shard"))
-    return at.select("skey", "shard", (F.col("seats") - before).alias("quota"))
+    return at.select("skey", "shard", "shards", (F.col("seats") - before).alias("quota"), "seats")
+
+
+def _around(size: Column) -> Column:
+    """Blocks of a source."""
+    return F.greatest(F.ceil(size / F.lit(BLOCK)).cast("long"), F.lit(1).cast("long"))
+
+
+def selection(by_source: DataFrame, shares: DataFrame, seed: str = SEED) -> DataFrame:
+    """What each shard takes of its stretch of a source, in words: skey, shard, `begin` of the stretch,
+    `before` (taken by earlier shards), `rounds` of the whole stretch, and once more what lies in
+    [low, high) and below `wrap`, counted from `begin`. A source has at most `SHARDS` rows."""
+    in_order = Window.partitionBy("skey").orderBy("shard")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    stretch = shares.join(by_source.select("skey", _around(F.col("source_size")).alias("around")), "skey").select(
+        "skey", "shard", "seats", F.expr("shard * around DIV shards").alias("first"), F.expr("(shard + 1) * around DIV shards").alias("end"),
+    )
+    # A queue: seats wait while they are more than the stretches so far can give.
+    room = CAP * F.col("end")
+    given = stretch.withColumn("given", room + F.least(F.lit(0), F.min(F.col("seats") - room).over(so_far)))
+    given = given.withColumn("given_before", F.lag("given", 1, 0).over(in_order))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("skey"), F.lit(":"), F.col("shard").cast("string")))
+    taken = given.select(
+        "skey", "shard", "first", "given_before", (F.col("end") - F.col("first")).alias("length"), (F.col("given") - F.col("given_before")).alias("blocks"),
+        F.conv(F.substring(digest, 1, 8), 16, 10).cast("long").alias("drawn"),
+    ).where("length > 0")
+    start, rest = F.col("drawn") % F.col("length"), F.col("blocks") % F.col("length")
+    return taken.select(
+        "skey", "shard", (BLOCK * F.col("first")).alias("begin"), (BLOCK * F.col("given_before")).alias("before"),
+        F.expr("blocks DIV length").alias("rounds"), (BLOCK * start).alias("low"), (BLOCK * F.least(start + rest, F.col("length"))).alias("high"),
+        (BLOCK * F.greatest(start + rest - F.col("length"), F.lit(0))).alias("wrap"),
+    )
+
+
+def _shard_of(place: Column) -> Column:
+    """The shard on whose stretch a place of a source lies; the end of a source is on the last."""
+    block = F.least(F.floor(place / F.lit(BLOCK)).cast("long"), F.col("around") - 1)
+    return F.floor(((block + 1) * F.col("shards") - 1) / F.col("around")).cast("long")
 
 
-def mix(docs: DataFrame, seed: str = SEED, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+def _taken_before(place: Column, name: str) -> Column:
+    """Words that the mix takes before a place, given the row of its shard."""
+    part = lambda c: F.col(f"{name}.{c}")
+    x = place - part("begin")
+    more = F.greatest(F.least(x, part("high")) - part("low"), F.lit(0)) + F.least(x, part("wrap"))
+    return part("before") + part("rounds") * x + more
+
+
+def mix(docs: DataFrame, seed: str = SEED, shard_blocks: int = SHARD_BLOCKS, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row of `docs`."""
     rows = checkpointed(sized(docs, seed))  # the texts are read once
     cells = rows.groupBy("skey", "cell").agg(F.sum("size").alias("size"))
-    by_source = targets(cells)
-    blocks = quotas(by_source, shard_blocks).groupBy("skey").agg(F.sum("quota").alias("blocks"))
+    by_source = checkpointed(targets(cells))
+    shares = quotas(by_source, shard_blocks, shards)
+    chosen = checkpointed(selection(by_source, shares, seed))
+    n_shards = shares.groupBy("skey").agg(F.first("shards").alias("shards"))
     in_order = Window.partitionBy("skey").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     plan = (
         cells.select("skey", "cell", (F.sum("size").over(in_order) - F.col("size")).alias("cell_start"))
-        .join(by_source.join(blocks, "skey", "left"), "skey")
-        .withColumn("around", F.greatest(F.ceil(F.col("source_size") / F.lit(BLOCK)).cast("long"), F.lit(1).cast("long")))
-        .withColumn("blocks", F.least(F.coalesce("blocks", F.lit(0).cast("long")), CAP * F.col("around")))
-        .select(
-            "skey", "cell", "cell_start", "source_size", "target",
-            F.floor(F.col("blocks") / F.col("around")).cast("long").alias("rounds"),
-            ((F.col("blocks") % F.col("around")) * BLOCK).alias("rest"),
-        )
+        .join(by_source.join(n_shards, "skey", "left"), "skey")
+        .select("skey", "cell", "cell_start", "source_size", "target", "shards", _around(F.col("source_size")).alias("around"))
     )
     within = Window.partitionBy("skey", "cell").orderBy("order_key", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("end_in_cell", F.sum("size").over(within))
-    start = F.col("cell_start") + F.col("end_in_cell") - F.col("size")
-    again = F.greatest(F.lit(0).cast("long"), F.least(F.col("rest") - start, F.col("size")))
-    return placed.join(plan, ["skey", "cell"]).select(
-        "doc_id", "size", "source_size", "target", (F.col("rounds") * F.col("size") + again).alias("taken")
-    )
+    placed = rows.withColumn("end_in_cell", F.sum("size").over(within)).join(plan, ["skey", "cell"])
+    placed = placed.withColumn("end", F.col("cell_start") + F.col("end_in_cell")).withColumn("start", F.col("end") - F.col("size"))
+    for name in ("start", "end"):
+        found = chosen.select(F.col("skey").alias("_skey"), F.col("shard").alias("_shard"), F.struct(*[c for c in chosen.columns if c not in ("skey", "shard")]).alias(f"at_{name}"))
+        placed = placed.join(found, (F.col("skey") == F.col("_skey")) & (_shard_of(F.col(name)) == F.col("_shard")), "left").drop("_skey", "_shard")
+    taken = _taken_before(F.col("end"), "at_end") - _taken_before(F.col("start"), "at_start")
+    return placed.select("doc_id", "size", "source_size", "target", F.coalesce(taken, F.lit(0).cast("long")).alias("taken"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,28 +205,45 @@ t AS (
   FROM l LEFT JOIN stop ON true),
 v AS (
   SELECT *, sum(target) OVER () AS votes, count(*) OVER () AS n,
-         CAST(round(sum(target) OVER () / {BLOCK}) AS BIGINT) AS house
+         CAST(round(sum(target) OVER () / {BLOCK}) AS BIGINT) AS blocks
   FROM t WHERE target > 0),
+c AS (SELECT *, least((blocks + {SHARD_BLOCKS} - 1) // {SHARD_BLOCKS}, {SHARDS}) AS shards FROM v WHERE blocks > 0),
+h AS (SELECT *, (shard + 1) * blocks // shards AS house FROM (SELECT *, unnest(range(shards)) AS shard FROM c)),
 b AS (
   SELECT *, CASE WHEN house > n THEN CAST(floor(target * (house - n) / votes + 0.5) AS BIGINT) ELSE 0 END AS low,
-         CAST(floor(target * (house + n) / votes + 0.5) AS BIGINT) AS high FROM v),
+         CAST(floor(target * (house + n) / votes + 0.5) AS BIGINT) AS high FROM h),
 q AS (
-  SELECT skey, place, target, unnest(range(low, high)) AS seat FROM b),
+  SELECT skey, shard, place, target, unnest(range(low, high)) AS seat FROM b),
+o AS (SELECT shard, max(house) - sum(low) AS open_seats FROM b GROUP BY shard),
 won AS (
-  SELECT skey, count(*) AS won FROM (
-    SELECT skey, row_number() OVER (ORDER BY target / (2 * seat + 1) DESC, place) AS nth FROM q)
-  WHERE nth <= (SELECT max(house) - sum(low) FROM b) GROUP BY skey),
-a AS (
-  SELECT t.skey, t.source_size, t.target, greatest((t.source_size + {BLOCK} - 1) // {BLOCK}, 1) AS around,
-         coalesce(b.low, 0) + coalesce(won.won, 0) AS blocks
-  FROM t LEFT JOIN b USING (skey) LEFT JOIN won USING (skey)),
-p AS (
-  SELECT *, least(blocks, {CAP} * around) // around AS rounds, least(blocks, {CAP} * around) % around * {BLOCK} AS rest FROM a),
-o AS (
-  SELECT *, sum(size) OVER (PARTITION BY skey ORDER BY order_key, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d)
-SELECT o.doc_id, o.size, p.source_size, p.target,
-       CAST(p.rounds * o.size + greatest(0, least(p.rest - o.start, o.size)) AS BIGINT) AS taken
-FROM o JOIN p USING (skey)"""
+  SELECT skey, shard, count(*) AS won FROM (
+    SELECT skey, shard, row_number() OVER (PARTITION BY shard ORDER BY target / (2 * seat + 1) DESC, place) AS nth FROM q)
+  JOIN o USING (shard) WHERE nth <= open_seats GROUP BY skey, shard),
+e AS (
+  SELECT b.skey, b.shard, b.shards, b.low + coalesce(won.won, 0) AS seats,
+         greatest((b.source_size + {BLOCK} - 1) // {BLOCK}, 1) AS around,
+         b.shard * around // b.shards AS first, (b.shard + 1) * around // b.shards AS stop
+  FROM b LEFT JOIN won USING (skey, shard)),
+g AS (
+  SELECT *, {CAP} * stop + least(0, min(seats - {CAP} * stop) OVER (PARTITION BY skey ORDER BY shard)) AS given FROM e),
+k AS (
+  SELECT skey, shard, first, stop - first AS length, coalesce(lag(given) OVER (PARTITION BY skey ORDER BY shard), 0) AS given_before,
+         given - given_before AS taken_blocks,
+         CAST('0x' || substr(md5('{SEED}:' || skey || ':' || shard), 1, 8) AS BIGINT) AS drawn
+  FROM g),
+z AS (  -- the blocks that a shard takes once more than the others of its stretch
+  SELECT skey, shard, first, length, taken_blocks // length AS rounds, drawn % length AS start, taken_blocks % length AS rest
+  FROM k WHERE length > 0),
+x AS (
+  SELECT doc_id, skey, size, sum(size) OVER (PARTITION BY skey ORDER BY order_key, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d),
+y AS (SELECT *, row_number() OVER () AS rid FROM x),
+taken AS (
+  SELECT rid, sum(rounds * greatest(0, least(y.start + size, {BLOCK} * (first + length)) - greatest(y.start, {BLOCK} * first))
+           + greatest(0, least(y.start + size, {BLOCK} * (first + least(z.start + rest, length))) - greatest(y.start, {BLOCK} * (first + z.start)))
+           + greatest(0, least(y.start + size, {BLOCK} * (first + greatest(z.start + rest - length, 0))) - greatest(y.start, {BLOCK} * first))) AS taken
+  FROM y JOIN z ON y.skey = z.skey AND y.start < {BLOCK} * (first + length) AND y.start + size > {BLOCK} * first GROUP BY rid)
+SELECT y.doc_id, y.size, t.source_size, t.target, CAST(coalesce(taken.taken, 0) AS BIGINT) AS taken
+FROM y JOIN t USING (skey) LEFT JOIN taken USING (rid)"""
 
 
 ORACLE_SQL = oracle()
