@@ -2,10 +2,11 @@ import random
 
 import pandas as pd
 import pytest
-from frames import rows
+from frames import plan, rows
 from pyspark.sql import functions as F
 
-from veritally import label_summary, rate_by, replicate, score_summary, top_groups
+from veritally import label_summary, rate_by, rates_by_all, replicate, score_summary, top_groups, weigh_each
+from veritally.operators.replicate import replicate_each
 
 
 def by_ethnicity(tables, **options):
@@ -169,3 +170,59 @@ def test_a_count_beyond_bigint_is_an_error(spark, ansi):
             rate_by(table, table, table, "g").collect()
     finally:
         spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+FAMILY = (1, 2, 5)
+
+
+def scales_one_by_one(tables, by, top):
+    found = []
+    for factor in FAMILY:
+        copies = [replicate(t, factor) for t in tables]
+        found += [(factor, *r) for r in rows(rate_by(*copies, by, on="id", scored_on="name", top=top))]
+    return sorted(found, key=str)
+
+
+@pytest.mark.parametrize("top", [None, 1, 2])
+def test_all_scales_in_one_plan(tables, top):
+    options = {"on": "id", "scored_on": "name", "per": "factor", "top": top}
+    expected = scales_one_by_one(tables, "ethnicity", top)
+    weighed = rate_by(*[weigh_each(t, FAMILY) for t in tables], "ethnicity", copies="copies", **options)
+    assert sorted(rows(weighed), key=str) == expected
+    made = rate_by(*[replicate_each(t, FAMILY) for t in tables], "ethnicity", **options)
+    assert sorted(rows(made), key=str) == expected
+    plain = rate_by(*[replicate_each(t, FAMILY) for t in tables], "ethnicity", count_first=False, **options)
+    assert sorted(rows(plain), key=str) == expected
+
+
+def test_scales_keep_ten_groups_per_task_before_the_exchange(tables):
+    text = plan(rate_by(*[weigh_each(t, FAMILY) for t in tables], "ethnicity", scored_on="name", per="factor", copies="copies", top=2))
+    assert text.count("WindowGroupLimit") == 2
+
+
+def test_copies_want_counting_first(tables):
+    with pytest.raises(ValueError, match="counted first"):
+        rate_by(*[weigh_each(t, FAMILY) for t in tables], "ethnicity", scored_on="name", copies="copies", count_first=False)
+
+
+@pytest.mark.parametrize("top", [None, 1, 10])
+def test_several_attributes_from_one_join(spark, tables, top):
+    scored, labels, attributes = (replicate(t, 2, tag=None) for t in tables)
+    attributes = attributes.union(spark.createDataFrame([("b", None, None), ("a", "E3", None)], attributes.schema))
+    both = rates_by_all(scored, labels, attributes, ["ethnicity", "is_veteran"], scored_on="name", top=top)
+    expected = []
+    for by in ("ethnicity", "is_veteran"):
+        expected += [(by, *r) for r in rows(rate_by(scored, labels, attributes, by, scored_on="name", top=top))]
+    assert both.columns == ["attribute", "value", "total", "predicted", "rate_pct"]
+    assert sorted(rows(both), key=str) == sorted(expected, key=str)
+
+
+def test_several_attributes_cost_one_join(tables, no_broadcast):
+    text = plan(rates_by_all(*tables, ["ethnicity", "is_veteran"], scored_on="name"))
+    assert text.count("SortMergeJoin") == 2 and text.count("Expand") == 1
+
+
+def test_attributes_are_named_once(tables):
+    for by in ([], ["ethnicity", "ethnicity"]):
+        with pytest.raises(ValueError, match="different"):
+            rates_by_all(*tables, by, scored_on="name")

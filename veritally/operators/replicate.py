@@ -35,6 +35,15 @@ def replicate_each(
     return per_factor.select("*", F.explode(F.sequence(F.lit(0), F.col(scale) - 1)).alias(tag))
 
 
+def weigh_each(
+    df: DataFrame, factors: Iterable[int] = FACTORS, scale: str = "factor", copies: str = "copies"
+) -> DataFrame:
+    """The same family with its copies counted instead of made: for every factor one row, with the
+    number of times it is there. `rate_by(..., per=scale, copies=copies)` takes such tables."""
+    per_factor = df.select("*", F.explode(F.array(*[F.lit(f) for f in factors])).alias(scale))
+    return per_factor.withColumn(copies, F.col(scale).cast("long"))
+
+
 def union_by_name(tables: Iterable[DataFrame]) -> DataFrame:
     """Bag union of tables with the same columns in any order."""
     first, *others = tables
