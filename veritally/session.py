@@ -49,6 +49,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _fallback_dirs[context.applicationId]
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, wherever Spark can reach it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Compute now and keep the result in the shared folder, where a lost executor leaves it."""
     spark = df.sparkSession

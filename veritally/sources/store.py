@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritally.operators.scoring import Scorer, get_scorer, score
-from veritally.session import checkpointed
+from veritally.session import checkpointed, remove_folder
+from veritally.sources.generations import BUCKETS, BucketTable
 
 _HASH = "payload_hash"
 
@@ -26,14 +25,15 @@ class ScoreStore:
 
     One row per payload row: the key, score, pred, score_error and a 64-bit hash of the payload,
     by which a changed payload is noticed. The payload is not stored. `root` must be a folder
-    every executor can reach. One writer at a time per scorer version. A rewritten table is
-    staged beside the old one and then renamed into its place: on a file system whose renames
-    are atomic a reader sees one or the other; elsewhere do not read while it is replaced.
+    every executor can reach. Rows lie in hash buckets of the key (see `BucketTable`): new keys are
+    added to their buckets, a changed key rewrites its bucket only, and a write that fails at any
+    point leaves the table as it was. One writer at a time per scorer version.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.buckets = buckets
 
     def path(self, scorer: str | Scorer) -> str:
         scorer = get_scorer(scorer)
@@ -44,19 +44,17 @@ class ScoreStore:
         return self._rows(scorer).drop(_HASH)
 
     def exists(self, scorer: str | Scorer = "lines") -> bool:
-        try:
-            self._rows(scorer)
-        except AnalysisException as problem:
-            if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                return False
-            raise
-        return True
+        return self.table(scorer).exists()
+
+    def table(self, scorer: str | Scorer = "lines") -> BucketTable:
+        """The files of a scorer version."""
+        return BucketTable(self.spark, self.path(scorer), self.buckets)
 
     def write(self, df: DataFrame, key: str, payload: str, scorer: str | Scorer = "lines", **options) -> DataFrame:
         """Score every row of `df`, replacing what this scorer version had stored."""
         if options.get("only_keys") is not None:
             raise ValueError("write() stores every row; restrict the table instead")
-        self._replace(self._scored(df, key, payload, scorer, options), scorer)
+        self.table(scorer).replace(self._scored(df, key, payload, scorer, options), key)
         return self.read(scorer)
 
     def append_new(self, df: DataFrame, key: str, payload: str, scorer: str | Scorer = "lines", **options) -> DataFrame:
@@ -79,47 +77,20 @@ class ScoreStore:
         if counts[0]:
             todo = df.join(stale.select("_key"), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
             scored = self._scored(todo, key, payload, scorer, options)
-            if counts[1]:
-                changed = stale.where("_changed").select("_key")
-                valid = self._rows(scorer).join(changed, F.col(key).eqNullSafe(F.col("_key")), "left_anti")
-                self._replace(valid.unionByName(scored), scorer)
-            else:
-                scored.write.mode("append").parquet(self.path(scorer))
+            self.table(scorer).change(scored, key, stale.where("_changed").select("_key") if counts[1] else None)
         mine = df.select(F.col(key).alias("_key"))
         return self.read(scorer).join(mine, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
 
     def drop(self) -> None:
         """Remove the whole store."""
-        self._delete(self.root)
+        remove_folder(self.spark, self.root)
 
     def _rows(self, scorer: str | Scorer) -> DataFrame:
-        return self.spark.read.parquet(self.path(scorer))
+        return self.table(scorer).read()
 
     def _scored(self, df: DataFrame, key: str, payload: str, scorer: str | Scorer, options: dict) -> DataFrame:
-        # A scan of wide payloads has many splits and leaves little from each: the narrow result
-        # is regrouped into files of the advisory size.
         named = df.withColumn(_HASH, F.xxhash64(F.col(payload)))
-        return score(named, payload, scorer, keep=[key, _HASH], **options).hint("rebalance")
-
-    def _replace(self, rows: DataFrame, scorer: str | Scorer) -> None:
-        place = self.path(scorer)
-        staged, old = f"{place}.new-{uuid.uuid4().hex}", f"{place}.old-{uuid.uuid4().hex}"
-        rows.write.parquet(staged)
-        files, path = self._files(place)
-        if files.exists(path(place)):
-            files.rename(path(place), path(old))
-        if not files.rename(path(staged), path(place)):
-            raise OSError(f"could not rename {staged} to {place}")
-        self._delete(old)
-
-    def _files(self, place: str):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path
-        return path(place).getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def _delete(self, place: str) -> None:
-        files, path = self._files(place)
-        files.delete(path(place), True)
+        return score(named, payload, scorer, keep=[key, _HASH], **options)
 
 
 def _contents(prefix: str = "") -> list[Column]:
