@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from frames import plan, rows
 from pyspark.sql import functions as F
@@ -254,3 +255,25 @@ def test_one_base64_rule_in_plans_and_in_sql(spark):
     by_operator = {r[0]: r[2] for r in rows(score(df.withColumn("k", F.col("p")), "p", of_bytes))}
     assert by_sql == by_operator
     assert by_sql["eHg="] and by_sql[" eHg=\n"] and not by_sql["\u00a0eHg="] and not by_sql["%%%"]
+
+
+def test_arrow_payloads_reach_the_model_without_python_rows(spark):
+    """`decode` gets Arrow slices; rows that fail are found by halves all the same."""
+
+    def decode(lists):
+        assert isinstance(lists, pa.ListArray)
+        if (lists.value_lengths().to_numpy() != 2).any():
+            raise ValueError("not two")
+        return lists.flatten().to_numpy().reshape(-1, 2)
+
+    scorer = ModelScorer("pairs", "1", load=lambda: 0, decode=decode, forward=lambda m, x: x.sum(axis=1), rows_per_pass=3, arrow=True)
+    data = [(i, [float(i), 1.0] if i % 4 else [1.0], ) for i in range(20)] + [(99, None)]
+    df = spark.createDataFrame(data, "id int, payload array<double>").coalesce(1)
+    found = {i: (s, e) for i, s, _, e in rows(score(df, "payload", scorer))}
+    assert found == {99: (None, "no payload")} | {i: (i + 1.0, None) if i % 4 else (None, "ValueError: not two") for i in range(20)}
+
+
+def test_elements_that_are_missing_are_no_number(spark):
+    df = spark.createDataFrame([(1, [1.0] * 64), (2, [None] + [1.0] * 63), (3, [1.0] * 65)], "id int, v array<float>").coalesce(1)
+    found = {i: e for i, _, _, e in rows(score(df, "v", "linear"))}
+    assert found == {1: None, 2: "no finite score", 3: "ValueError: expected 64 values, found shape (65,)"}

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,16 +46,19 @@ class ModelScorer:
                    are tried one by one, and what one raises is that row's error
     forward        (model, array) to one score per row
     rows_per_pass  rows of one forward pass
+    arrow          `decode` takes an Arrow array as Spark sends it instead of a list, so that no row
+                   becomes a Python object
     """
 
     name: str
     version: str
     load: Callable[[], Any]
-    decode: Callable[[list], np.ndarray]
+    decode: Callable[[list | pa.Array], np.ndarray]
     forward: Callable[[Any, np.ndarray], np.ndarray]
     threshold: float = 0.0
     rows_per_pass: int = 256
     base64_text: bool = False
+    arrow: bool = False
 
 
 Scorer = SqlScorer | ModelScorer
@@ -77,18 +80,20 @@ def _linear_weights() -> np.ndarray:
     return ((np.arange(VECTOR_LENGTH) * 7) % 11 - 5).astype(np.float64)
 
 
-def _vectors(values: list) -> np.ndarray:
-    vectors = np.array(list(values), dtype=np.float64)
-    if vectors.ndim != 2 or vectors.shape[1] != VECTOR_LENGTH:
-        raise ValueError(f"expected {VECTOR_LENGTH} values, found shape {vectors.shape[1:]}")
-    return vectors
+def _vectors(lists: pa.Array) -> np.ndarray:
+    """A matrix over the values as they lie in the batch; an element that is missing is no number."""
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    if (wrong := lengths[lengths != VECTOR_LENGTH]).size:
+        raise ValueError(f"expected {VECTOR_LENGTH} values, found shape ({wrong[0]},)")
+    values = lists.flatten().to_numpy(zero_copy_only=False)
+    return values.astype(np.float64, copy=False).reshape(-1, VECTOR_LENGTH)
 
 
 def _dot(weights: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return vectors @ weights
 
 
-LINEAR = ModelScorer("linear", "1", load=_linear_weights, decode=_vectors, forward=_dot, rows_per_pass=4096)
+LINEAR = ModelScorer("linear", "1", load=_linear_weights, decode=_vectors, forward=_dot, rows_per_pass=4096, arrow=True)
 
 
 def linear_file_scorer(spark: SparkSession, path: str, *, name: str = "linear_file", version: str = "1") -> ModelScorer:
@@ -101,7 +106,7 @@ def linear_file_scorer(spark: SparkSession, path: str, *, name: str = "linear_fi
             raise ValueError(f"{path} does not hold the weights of {VECTOR_LENGTH} positions")
         return np.array([r["weight"] for r in rows], dtype=np.float64)
 
-    return ModelScorer(name, version, load=load, decode=_vectors, forward=_dot, rows_per_pass=4096)
+    return ModelScorer(name, version, load=load, decode=_vectors, forward=_dot, rows_per_pass=4096, arrow=True)
 
 
 _SCORERS: dict[str, Scorer] = {}
@@ -157,25 +162,30 @@ def _batch_function(spark: SparkSession, scorer: ModelScorer, on_missing_model:
     except Exception:
         if on_missing_model == "fail":
             raise
-        return lambda series: map(batches.unscored_batch, series)
+        return lambda arrays: map(batches.unscored_batch, arrays)
 
-    decode, forward, rows = scorer.decode, scorer.forward, scorer.rows_per_pass
+    decode = scorer.decode if scorer.arrow else _of_list(scorer.decode)
+    forward, rows = scorer.forward, scorer.rows_per_pass
 
-    def scored(series):
+    def scored(arrays):
         model = handle.value
-        for payloads in series:
+        for payloads in arrays:
             yield batches.score_batch(payloads, model, decode, forward, rows)
 
     return scored
 
 
+def _of_list(decode: Callable[[list], np.ndarray]) -> Callable[[pa.Array], np.ndarray]:
+    return lambda values: decode(values.to_pylist())
+
+
 def model_udf(spark: SparkSession, scorer: ModelScorer, on_missing_model: str = "fail"):
-    """Batch UDF payload -> struct<score, error>."""
+    """Batch UDF payload -> struct<score, error>, Arrow arrays in and out."""
     scored = _batch_function(spark, scorer, on_missing_model)
 
-    @F.pandas_udf(RESULT)
-    def score_and_error(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        yield from scored(series)
+    @F.arrow_udf(RESULT)
+    def score_and_error(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from scored(arrays)
 
     return score_and_error
 
@@ -192,14 +202,17 @@ def score(
     threshold: float | None = None,
     on_missing_model: str = "fail",
     only_keys: DataFrame | None = None,
+    filter_words: int | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
     """Score every row once: `keep` columns (default: all but the payload) plus
     `score` (double), `pred` (score strictly above the threshold, never NULL) and
     `score_error` (why there is no score).
 
-    only_keys   rows whose key is absent from this table are left out before scoring
-    partitions  spread the rows over this many partitions first; see `partitions_for`
+    only_keys     rows whose key is absent from this table are left out before scoring; with many
+                  keys a Bloom filter keeps their payloads out of the exchange (`restrict_to_keys`)
+    filter_words  the size of that filter, None to let Spark's estimate decide
+    partitions    spread the rows over this many partitions first; see `partitions_for`
     """
     scorer = get_scorer(scorer)
     keep = [c for c in df.columns if c != payload] if keep is None else list(keep)
@@ -207,7 +220,7 @@ def score(
         raise ValueError(f"columns {sorted(clash)} would be there twice; name others in `keep`")
     df = df.select(*keep, F.col(payload).alias("_payload"))
     if only_keys is not None:
-        df = restrict_to_keys(df, only_keys)
+        df = restrict_to_keys(df, only_keys, words=filter_words)
 
     if isinstance(scorer, SqlScorer):
         result = _sql_result(scorer)
@@ -271,10 +284,11 @@ def register_sql(
         return
     scored = _batch_function(spark, scorer, on_missing_model)
 
-    @F.pandas_udf("boolean")
-    def flag(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for result in scored(series):
-            yield result["score"] > cut
+    @F.arrow_udf("boolean")
+    def flag(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for result in scored(arrays):
+            above = result.field("score").to_numpy(zero_copy_only=False) > cut  # no score is not above
+            yield pa.array(above)
 
     if scorer.base64_text:
         # Decoded in the plan, by the same rule as in `score`.
