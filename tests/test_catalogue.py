@@ -92,3 +92,12 @@ def test_summaries_read_one_column_once(spark):
     for name in ("score_summary", "score_summary_scales"):
         text = plan(QUERIES[name](spark, str(SMALL)))
         assert text.count("FileScan") == 1 and "ReadSchema: struct<text:string>" in text
+
+
+def test_all_scales_read_each_table_once(spark):
+    text = plan(QUERIES["rate_scales_by_lang"](spark, str(SMALL)))
+    assert text.count("FileScan") == 3 and text.count("octet_length(text") <= 4
+
+
+def test_both_group_questions_share_their_scans(spark):
+    assert plan(QUERIES["rates_by_all"](spark, str(SMALL))).count("FileScan") == 3

@@ -14,14 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritally.functions.columns import count_true, label_flag, payload_bytes, rate_pct
-from veritally.operators.rates import label_summary, rate_by, score_summary, top_groups
-from veritally.operators.replicate import FACTORS, replicate, replicate_each, scale_family, scale_name, union_by_name
+from veritally.operators.quarantine import quarantine
+from veritally.operators.rates import label_summary, rate_by, rates_by_all, score_summary, top_groups
+from veritally.operators.replicate import FACTORS, replicate, replicate_each, scale_family, scale_name, union_by_name, weigh_each
 from veritally.operators.scoring import LINES, ModelScorer, SqlScorer, linear_file_scorer, partitions_for, register_sql, score
 from veritally.plans import sql
 from veritally.plans.identity import IdentityTables
-from veritally.session import checkpointed, shared_folder
+from veritally.session import checkpointed, remove_folder, shared_folder
+from veritally.sources.bucketed import BucketedTables
 from veritally.sources.store import ScoreStore
-from veritally.sources.tables import empty_like, read_csv, read_parquet, register_views
+from veritally.sources.tables import empty_like, lossless_types, read_csv, read_csv_rows, read_parquet, register_views
 
 LINES_OF_TEXT = LINES.score_sql
 
@@ -107,6 +109,20 @@ def q_rate_labelled_only(spark, sf_dir):
     return rate_by(scored, marked, documents(spark, sf_dir), "lang", on="doc_id")
 
 
+def q_rate_labelled_filtered(spark, sf_dir):
+    """The same, with the Bloom filter that many keys would get."""
+    marked = labels(spark, sf_dir)
+    scored = score(
+        documents(spark, sf_dir), "text", "lines", keep=["doc_id"], only_keys=marked.select("doc_id"), filter_words=1 << 16
+    )
+    return rate_by(scored, marked, documents(spark, sf_dir), "lang", on="doc_id")
+
+
+def q_rates_by_all(spark, sf_dir):
+    """Both group questions from one join."""
+    return rates_by_all(scored_documents(spark, sf_dir), labels(spark, sf_dir), documents(spark, sf_dir), ["source", "lang"], on="doc_id")
+
+
 def q_topk_groups(spark, sf_dir):
     scored = score(documents(spark, sf_dir), "text", "lines", keep=["source"])
     groups = scored.groupBy("source").agg(
@@ -159,6 +175,35 @@ def q_store_other_table(spark, sf_dir):
     return _twice(spark, docs, docs.join(labels(spark, sf_dir), "doc_id", "left_semi"))
 
 
+def q_store_one_percent_changed(spark, sf_dir):
+    """All documents, then the same with one text in a hundred doubled: the summary afterwards, and
+    how many buckets the second run left as they were."""
+    docs = documents(spark, sf_dir)
+    doubled = F.when(F.col("doc_id") % 100 == 0, F.concat("text", F.lit("\n"), "text")).otherwise(F.col("text"))
+    store = ScoreStore(spark, new_folder(spark, "scores"), buckets=256)
+    store.append_new(docs, "doc_id", "text")
+    before = store.table().manifest().parts
+    store.append_new(docs.withColumn("text", doubled), "doc_id", "text")
+    after = store.table().manifest().parts
+    kept = sum(before[b] == after[b] for b in before)
+    rows = checkpointed(score_summary(store.read()))
+    store.drop()
+    changed = docs.where("doc_id % 100 = 0 AND text IS NOT NULL").agg(F.count(F.lit(1)).alias("changed"))
+    in_place = (F.lit(len(before) - kept) <= F.col("changed")) & (F.lit(len(before)) == F.lit(len(after)))
+    return rows.crossJoin(changed).withColumn("others_kept", in_place)  # two tables of one row
+
+
+def q_rate_from_bucketed_store(spark, sf_dir):
+    """Scores, labels and attributes stored in buckets of their key, joined bucket by bucket."""
+    tables = BucketedTables(spark, "doc_id")
+    scored = tables.save("scored", scored_documents(spark, sf_dir))
+    marked = tables.save("labels", labels(spark, sf_dir))
+    attributes = tables.save("attributes", documents(spark, sf_dir).select("doc_id", "source"))
+    rows = checkpointed(rate_by(scored, marked, attributes, "source", on="doc_id"))
+    tables.drop()
+    return rows
+
+
 def q_linear_score(spark, sf_dir):
     return scored_vectors(spark, sf_dir)
 
@@ -174,12 +219,14 @@ def q_linear_file_score(spark, sf_dir):
     weights = spark.range(64).select(F.col("id").alias("position"), ((F.col("id") * 7) % 11 - 5).cast("double").alias("weight"))
     weights.write.parquet(path)
     scorer = linear_file_scorer(spark, path, version=path)
-    return score(table(spark, sf_dir, "embeddings"), "embedding", scorer, keep=["vec_id"])
+    scored = score(table(spark, sf_dir, "embeddings"), "embedding", scorer, keep=["vec_id"])
+    remove_folder(spark, path)  # the model is loaded and broadcast by now
+    return scored
 
 
-def q_score_errors(spark, sf_dir):
+def _odd_vectors(spark, sf_dir) -> DataFrame:
     """All vectors, and beside them one cut short, one missing and one without a number for each
-    vector of label 0: every bad row is no fraud, with its reason."""
+    vector of label 0."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     odd = vectors.where("label = 0")
     cases = [
@@ -188,10 +235,26 @@ def q_score_errors(spark, sf_dir):
         odd.withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("kind", F.lit("null")),
         odd.withColumn("embedding", F.transform("embedding", lambda x: F.lit(float("nan")).cast("float"))).withColumn("kind", F.lit("nan")),
     ]
-    scored = score(union_by_name(cases), "embedding", "linear", keep=["kind"])
+    return score(union_by_name(cases), "embedding", "linear", keep=["kind"])
+
+
+def q_score_errors(spark, sf_dir):
+    """Every bad row is no fraud, with its reason."""
+    scored = _odd_vectors(spark, sf_dir)
     return scored.groupBy("kind", "score_error").agg(F.count(F.lit(1)).alias("total"), count_true(F.col("pred")).alias("predicted"))
 
 
+def q_score_quarantine(spark, sf_dir):
+    """The same counts from what one pass wrote: sound rows on one side, failed ones on the other."""
+    folder = new_folder(spark, "quarantine")
+    apart = quarantine(_odd_vectors(spark, sf_dir), folder)
+    measures = F.count(F.lit(1)).alias("total"), count_true(F.col("pred")).alias("predicted")
+    both = [side.groupBy("kind", "score_error").agg(*measures) for side in (apart.scored, apart.failed)]
+    rows = checkpointed(union_by_name(both).select("*", F.lit(apart.n_rows).cast("long").alias("n_rows"), F.lit(apart.n_failed).cast("long").alias("n_failed")))
+    remove_folder(spark, folder)
+    return rows
+
+
 def q_sql_score_errors(spark, sf_dir):
     """A SQL score that is infinite, or no number, for many texts."""
     odd = SqlScorer("odd_score", "1", "if(length({x}) > 1000, double('infinity'), if(length({x}) > 500, double('nan'), double(length({x}))))", "STRING")
@@ -257,8 +320,16 @@ def q_scale_family_counts(spark, sf_dir):
 
 
 def _rate_scales(spark, sf_dir, by):
-    """The question at every scale factor, each over its own replicated tables."""
-    return union_by_name([_scaled(spark, sf_dir, by, factor, "doc_id").withColumn("factor", F.lit(factor)) for factor in FACTORS])
+    """The question at every scale factor, in one plan: scored once, each table read once."""
+    return rate_by(
+        weigh_each(scored_documents(spark, sf_dir)),
+        weigh_each(labels(spark, sf_dir)),
+        weigh_each(documents(spark, sf_dir).select("doc_id", by)),
+        by,
+        on="doc_id",
+        per="factor",
+        copies="copies",
+    )
 
 
 def q_rate_scales_by_source(spark, sf_dir):
@@ -330,45 +401,77 @@ def q_payload_decode(spark, sf_dir):
 BASE64_LINES = SqlScorer("base64_lines", "1", LINES_OF_TEXT.format(x="decode(unbase64({x}), 'UTF-8')"), "STRING")
 
 
-def csv_files(spark, sf_dir) -> tuple[str, str, str]:
-    """The stand-ins as the three files of the report."""
+def from_files(spark, sf_dir, names: tuple[str, ...], ask: Callable[..., DataFrame]) -> DataFrame:
+    """What `ask` reads from some of the files of the report, kept; the files are removed again."""
     folder = new_folder(spark, "csv")
     docs = documents(spark, sf_dir)
     flag = F.when(F.col("toxic") == 1, "True").when(F.col("toxic") == 0, "False")
     tables = {
-        "idimage": docs.select(F.col("doc_id").alias("name"), F.translate(F.base64("text"), "\r\n", "").alias("imageData")),
-        "idlabel": table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), flag.alias("isfraud")),
-        "idmeta": docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("ethnicity"), F.col("source").alias("is_veteran")),
+        "idimage": lambda: docs.select(F.col("doc_id").alias("name"), F.translate(F.base64("text"), "\r\n", "").alias("imageData")),
+        "idlabel": lambda: table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), flag.alias("isfraud")),
+        "idmeta": lambda: docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("ethnicity"), F.col("source").alias("is_veteran")),
     }
-    for name, df in tables.items():
-        df.write.option("header", True).csv(f"{folder}/{name}")
-    return tuple(f"{folder}/{name}" for name in tables)
+    for name in names:
+        tables[name]().write.option("header", True).csv(f"{folder}/{name}")
+    rows = checkpointed(ask(*[f"{folder}/{name}" for name in names]))
+    remove_folder(spark, folder)
+    return rows
+
 
+FILES = ("idimage", "idlabel", "idmeta")
 
-def csv_report(spark, sf_dir) -> IdentityTables:
-    return IdentityTables.from_csv(spark, *csv_files(spark, sf_dir), BASE64_LINES)
+
+def csv_report(spark, sf_dir, ask: Callable[[IdentityTables], DataFrame]) -> DataFrame:
+    return from_files(spark, sf_dir, FILES, lambda *paths: ask(IdentityTables.from_csv(spark, *paths, BASE64_LINES)))
 
 
 def q_csv_fraud_predicted(spark, sf_dir):
-    return csv_report(spark, sf_dir).fraud_predicted()
+    images = lambda path: score(read_csv(spark, path), "imageData", BASE64_LINES, keep=["name"])
+    return from_files(spark, sf_dir, ("idimage",), lambda path: IdentityTables(images(path), None, None).fraud_predicted())
 
 
 def q_csv_fraud_ground_truth(spark, sf_dir):
-    return csv_report(spark, sf_dir).fraud_ground_truth()
+    marks = lambda path: read_csv(spark, path).withColumn("isfraud", label_flag("isfraud"))
+    return from_files(spark, sf_dir, ("idlabel",), lambda path: IdentityTables(None, marks(path), None).fraud_ground_truth())
 
 
 def q_csv_fraud_by_ethnicity(spark, sf_dir):
-    return csv_report(spark, sf_dir).fraud_pattern_ethnicity_wise()
+    return csv_report(spark, sf_dir, IdentityTables.fraud_pattern_ethnicity_wise)
 
 
 def q_csv_fraud_by_veteran_status(spark, sf_dir):
-    return csv_report(spark, sf_dir).fraud_rate_by_veteran_status()
+    return csv_report(spark, sf_dir, IdentityTables.fraud_rate_by_veteran_status)
 
 
 def q_csv_typed_labels(spark, sf_dir):
     """The label file read with types given beforehand."""
-    _, path, _ = csv_files(spark, sf_dir)
-    return read_csv(spark, path, "id BIGINT, isfraud STRING").withColumn("isfraud", label_flag("isfraud"))
+    typed = lambda path: read_csv(spark, path, "id BIGINT, isfraud STRING").withColumn("isfraud", label_flag("isfraud"))
+    return from_files(spark, sf_dir, ("idlabel",), typed)
+
+
+def q_csv_lossless_types(spark, sf_dir):
+    """Which types the columns of the three files could be read as."""
+    report = lambda name, path: lossless_types(read_csv(spark, path)).select(F.lit(name).alias("file"), "*")
+    return from_files(spark, sf_dir, FILES, lambda *paths: union_by_name([report(n, p) for n, p in zip(FILES, paths)]))
+
+
+def q_csv_corrupt_rows(spark, sf_dir):
+    """Texts with their line breaks in quotes, one row in ten with a word for a number, one with a value
+    too many and one with a value too few."""
+    folder = new_folder(spark, "csv")
+    kind = F.col("doc_id") % 10
+    text = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    number = F.when(kind == 1, F.concat(F.lit("x"), F.col("n_chars").cast("string"))).otherwise(F.col("n_chars").cast("string"))
+    line = F.when(kind == 2, F.concat_ws(",", "doc_id", text, number, F.lit("more"))).when(kind == 3, F.concat_ws(",", "doc_id", text))
+    documents(spark, sf_dir).select(line.otherwise(F.concat_ws(",", "doc_id", text, number)).alias("value")).write.text(folder)
+    rows = read_csv_rows(spark, folder, "doc_id BIGINT, text STRING, n_chars BIGINT", header=False)
+    damaged = F.col("corrupt_row").isNotNull()
+    rows = rows.groupBy((F.col("doc_id") % 10).alias("kind"), damaged.alias("damaged")).agg(
+        F.count(F.lit(1)).alias("total"), F.sum(F.when(~damaged, F.col("n_chars"))).alias("chars")
+    )
+    rows = checkpointed(rows)
+    remove_folder(spark, folder)
+    return rows
 
 
 def q_schema_probe(spark, sf_dir):
@@ -503,6 +606,11 @@ _LABELS = """COUNT(*) AS total,
 _SCORE_ROWS = f"""SELECT doc_id, CAST({_LINES} - length(text) AS DOUBLE) AS score,
     COALESCE({_LINES} > length(text), FALSE) AS pred,
     CASE WHEN text IS NULL THEN 'no payload' END AS score_error FROM documents"""
+_SCORE_ERRORS = f"""WITH {_VECTORS}, odd AS (SELECT count(*) AS n FROM embeddings WHERE label = 0)
+            SELECT 'good' AS kind, CAST(NULL AS VARCHAR) AS score_error, count(*) AS total,
+                   CAST(sum(CASE WHEN score > 0 THEN 1 ELSE 0 END) AS BIGINT) AS predicted FROM vectors
+            UNION ALL SELECT 'short', 'ValueError: expected 64 values, found shape (63,)', n, 0 FROM odd
+            UNION ALL SELECT 'null', 'no payload', n, 0 FROM odd UNION ALL SELECT 'nan', 'no finite score', n, 0 FROM odd"""
 _SCORE_SUMMARY = f"WITH {_SCORED} SELECT {_summary('scored')}"
 
 
@@ -516,6 +624,10 @@ def oracle_sql() -> dict[str, str]:
         "rate_plain_join": _rate_sql("source"),
         "rate_preaggregated": _rate_sql("source", None),
         "rate_labelled_only": _rate_sql("lang"),
+        "rate_labelled_filtered": _rate_sql("lang"),
+        "rates_by_all": " UNION ALL ".join(
+            f"SELECT '{by}' AS attribute, {by} AS value, total, predicted, rate_pct FROM ({_rate_sql(by)})" for by in ("source", "lang")
+        ),
         "topk_groups": f"""SELECT source, {_summary("documents", f"{_LINES} > length(text)")}
             GROUP BY source ORDER BY rate_pct DESC, source NULLS FIRST LIMIT 10""",
         "score_column": _SCORE_ROWS,
@@ -529,16 +641,19 @@ def oracle_sql() -> dict[str, str]:
             GROUP BY label ORDER BY rate_pct DESC, label NULLS FIRST LIMIT 10""",
         "linear_file_score": f"""WITH {_VECTORS}
             SELECT vec_id, score, score > 0 AS pred, CAST(NULL AS VARCHAR) AS score_error FROM vectors""",
-        "score_errors": f"""WITH {_VECTORS}, odd AS (SELECT count(*) AS n FROM embeddings WHERE label = 0)
-            SELECT 'good' AS kind, CAST(NULL AS VARCHAR) AS score_error, count(*) AS total,
-                   CAST(sum(CASE WHEN score > 0 THEN 1 ELSE 0 END) AS BIGINT) AS predicted FROM vectors
-            UNION ALL SELECT 'short', 'ValueError: expected 64 values, found shape (63,)', n, 0 FROM odd
-            UNION ALL SELECT 'null', 'no payload', n, 0 FROM odd UNION ALL SELECT 'nan', 'no finite score', n, 0 FROM odd""",
+        "score_errors": _SCORE_ERRORS,
+        "score_quarantine": f"""SELECT *, (SELECT count(*) + 3 * count(*) FILTER (WHERE label = 0) FROM embeddings) AS n_rows,
+            (SELECT 3 * count(*) FROM embeddings WHERE label = 0) AS n_failed FROM ({_SCORE_ERRORS})""",
         "sql_score_errors": """SELECT length(text) <= 500 AND length(text) > 0 AS pred,
             CASE WHEN length(text) > 500 THEN 'no finite score' END AS score_error, count(*) AS total FROM documents GROUP BY 1, 2""",
         "missing_model": "SELECT FALSE AS pred, 'no model' AS score_error, count(*) AS total FROM embeddings",
         "store_changed_payload": f"""WITH documents AS (SELECT doc_id,
             CASE WHEN lang = 'de' THEN replace(text, ' ', chr(10)) ELSE text END AS text FROM main.documents) {_SCORE_ROWS}""",
+        "store_one_percent_changed": f"""WITH documents AS (SELECT doc_id,
+            CASE WHEN doc_id % 100 = 0 THEN text || chr(10) || text ELSE text END AS text FROM main.documents), {_SCORED}
+            SELECT {_summary("scored").replace("FROM scored", "")}, count(*) FILTER (WHERE doc_id % 100 = 0) AS changed, TRUE AS others_kept
+            FROM scored""",
+        "rate_from_bucketed_store": _rate_sql("source"),
         "store_other_table": f"{_SCORE_ROWS} WHERE doc_id IN (SELECT doc_id FROM labels)",
         "replicate_counts": """SELECT lang, CAST(c AS INTEGER) AS dup_batch, COUNT(*) AS total,
             CAST(SUM(n_chars) AS BIGINT) AS chars
@@ -574,6 +689,15 @@ def oracle_sql() -> dict[str, str]:
             _rate_sql("source"), source="is_veteran", total="total_individuals", predicted="predicted_fraud", rate_pct="fraud_rate_pct"
         ),
         "csv_typed_labels": "SELECT doc_id AS id, toxic = 1 AS isfraud FROM labels",
+        "csv_lossless_types": """SELECT 'idimage' AS file, 'name' AS "column", 'int' AS type, count(*) AS n_values, 0 AS n_nulls FROM documents
+            UNION ALL SELECT 'idimage', 'imageData', 'string', count(nullif(text, '')), count(*) - count(nullif(text, '')) FROM documents
+            UNION ALL SELECT 'idlabel', 'id', 'int', count(*), 0 FROM labels
+            UNION ALL SELECT 'idlabel', 'isfraud', 'string', count(toxic), count(*) - count(toxic) FROM labels
+            UNION ALL SELECT 'idmeta', 'id', 'int', count(*), 0 FROM documents
+            UNION ALL SELECT 'idmeta', 'ethnicity', 'string', count(lang), count(*) - count(lang) FROM documents
+            UNION ALL SELECT 'idmeta', 'is_veteran', 'string', count(source), count(*) - count(source) FROM documents""",
+        "csv_corrupt_rows": """SELECT doc_id % 10 AS kind, doc_id % 10 IN (1, 2, 3) AS damaged, count(*) AS total,
+            CAST(sum(n_chars) FILTER (WHERE doc_id % 10 NOT IN (1, 2, 3)) AS BIGINT) AS chars FROM documents GROUP BY 1, 2""",
         "schema_probe": """SELECT table_name, column_name, CAST(0 AS BIGINT) AS n_rows FROM information_schema.columns
             WHERE table_name IN ('documents', 'labels', 'embeddings')""",
         "sql_views": f"""WITH {_SCORED}
