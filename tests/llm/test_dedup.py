@@ -121,11 +121,19 @@ def plain_passages(rows, size=50):
     return sorted(out, key=str)
 
 
-def passages(df):
-    rows = run_index_dedup.cut_repeats(df).collect()
+def passages(df, **options):
+    rows = run_index_dedup.cut_repeats(df, **options).collect()
     return sorted(((r["doc_id"], r["n_bytes"], list(zip(r["starts"], r["ends"])), bytes(r["kept"])) for r in rows), key=str)
 
 
+def anchor_codes(df, hot):
+    """The codes that the anchors of a table get."""
+    kit.prepare(df.sparkSession)
+    sent = kit.units(df).mapInArrow(run_index_dedup._send_anchors(4), kit.PACKED_SCHEMA)
+    judged = sent.groupBy("bucket").applyInArrow(run_index_dedup._judge_anchors(hot), run_index_dedup.REPLY_SCHEMA)
+    return {code for r in judged.collect() for code in bytes(r["payload"])}
+
+
 def test_passages_equal_the_plain_version(docs, odd_docs, corpus):
     assert passages(docs) == plain_passages(corpus)
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
@@ -133,23 +141,50 @@ def test_passages_equal_the_plain_version(docs, odd_docs, corpus):
     assert passages(docs.limit(0)) == []
 
 
-def test_passages_of_hot_anchors(spark, monkeypatch):
-    monkeypatch.setattr(run_index_dedup, "HOT", 3)
+def test_passages_of_hot_anchors(spark):
     rng = random.Random(2)
     passage = "a passage that many documents share word for word, and more of it"
     noise = lambda: "".join(rng.choices("abcdefgh ", k=rng.randint(0, 60)))
     rows = [(i, noise() + passage[: rng.randint(40, 65)] + noise()) for i in range(40)] + [(50, "ab" * 200), (51, "ba" * 100)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert run_index_dedup.MANY in anchor_codes(df, 3) and run_index_dedup.MANY not in anchor_codes(df, 2048)
+    for hot in (3, 2048):
+        assert passages(df, hot=hot) == plain_passages(rows)
+
+
+def test_passages_of_one_phrase_go_through_the_index(spark):
+    """Copies in other units, other orders and within one document: one unit sends the bytes."""
+    rng = random.Random(5)
+    passage = [prose_of(rng, 30) for _ in range(3)]
+    rows = [(i, passage[i % 3]) for i in (9, 4, 7, 1, 8, 2)] + [(20, passage[0] + passage[0]), (None, passage[1]), (None, passage[1]), (3, passage[2][:49])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert {run_index_dedup.ONE, run_index_dedup.LEAD} <= anchor_codes(df, 2048)
     assert passages(df) == plain_passages(rows)
 
 
+def prose_of(rng, n):
+    return " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(n))
+
+
+def test_passages_of_texts_longer_than_a_piece(spark):
+    """More than a piece of text, a passage across the edge of a piece, a copy of the whole."""
+    rng = random.Random(6)
+    long = prose_of(rng, 80000)
+    edge = long[kit.PIECE_BYTES - 100 : kit.PIECE_BYTES + 100]
+    rows = [(5, long), (6, "before " + edge + " after"), (7, long), (1, edge[:60])]
+    assert len(long) > kit.PIECE_BYTES
+    assert passages(spark.createDataFrame(rows, "doc_id long, text string")) == plain_passages(rows)
+
+
 def test_the_index_finds_older_windows():
     strings = [b"x" * 60, b"y" + b"x" * 55, b"abc" * 25]
     docs = np.array([1, 2, 3])
     sizes = np.array([len(s) for s in strings])
     index = run_index_dedup.RunIndex(np.frombuffer(b"".join(strings), np.uint8), sizes, docs)
     assert len(index.run_start) < index.n
-    assert index.older_windows(sizes, docs).tolist() == [0, 0b1111110, 0]
+    bits, oldest = index.older_windows(sizes, docs)
+    assert bits.tolist() == [0, 0b1111110, 0]
+    assert oldest.tolist()[0] == docs[0]
 
 
 def shingle_set(text):

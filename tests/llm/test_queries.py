@@ -36,7 +36,7 @@ def test_query_equals_oracle(spark, name):
 
 def test_every_operator_is_registered():
     names = [n for n in contract.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in contract.queries() and "pipeline" not in contract.oracle_sql()
 
 

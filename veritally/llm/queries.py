@@ -45,7 +45,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_lm_scoring": lm_scoring.ORACLE_SQL,
         "op2_line_dedup": line_dedup.ORACLE_SQL,
+        "op3_run_index_dedup": run_index_dedup.ORACLE_SQL,
         "op4_license_digests": license_digests.ORACLE_SQL,
+        "op5_minhash_hamming": minhash_hamming.ORACLE_SQL,
         "op8_quality_ledger": quality_ledger.ORACLE_SQL,
         "op9_source_mix": source_mix.ORACLE_SQL,
         "op12_hard_negatives": hard_negatives.ORACLE_SQL,
