@@ -22,6 +22,7 @@ from veritally.plans import sql
 from veritally.plans.identity import IdentityTables
 from veritally.session import checkpointed, remove_folder, shared_folder
 from veritally.sources.bucketed import BucketedTables
+from veritally.sources.drift import drift, file_types
 from veritally.sources.store import ScoreStore
 from veritally.sources.tables import empty_like, lossless_types, read_csv, read_csv_rows, read_parquet, register_views
 
@@ -484,6 +485,17 @@ def q_schema_probe(spark, sf_dir):
     return union_by_name(probes)
 
 
+def q_schema_drift(spark, sf_dir):
+    """Documents as three deliveries left them: one with counts as text, one without languages."""
+    folder = new_folder(spark, "deliveries")
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "n_chars")
+    for name, df in {"first": docs, "second": docs.withColumn("n_chars", F.col("n_chars").cast("string")), "third": docs.drop("lang")}.items():
+        df.coalesce(1).write.parquet(f"{folder}/{name}")
+    rows = checkpointed(drift(file_types(spark, folder)).withColumn("types", F.array_join("types", ",")))
+    remove_folder(spark, folder)
+    return rows
+
+
 def q_sql_views(spark, sf_dir):
     """Named views, and SQL over them that calls the scorer inside the aggregate over the join."""
     register_sql(spark, "lines_flag", "lines")
@@ -700,6 +712,8 @@ def oracle_sql() -> dict[str, str]:
             CAST(sum(n_chars) FILTER (WHERE doc_id % 10 NOT IN (1, 2, 3)) AS BIGINT) AS chars FROM documents GROUP BY 1, 2""",
         "schema_probe": """SELECT table_name, column_name, CAST(0 AS BIGINT) AS n_rows FROM information_schema.columns
             WHERE table_name IN ('documents', 'labels', 'embeddings')""",
+        "schema_drift": """SELECT * FROM (VALUES ('doc_id', 'bigint', 3, 0, FALSE), ('lang', 'string', 2, 1, FALSE),
+            ('n_chars', 'bigint,string', 3, 0, TRUE)) t("column", types, n_files, n_without, conflict)""",
         "sql_views": f"""WITH {_SCORED}
             SELECT m.lang, COUNT(*) AS total, CAST(SUM(CASE WHEN i.pred THEN 1 ELSE 0 END) AS BIGINT) AS predicted
             FROM scored i JOIN labels l USING (doc_id) JOIN documents m USING (doc_id) GROUP BY m.lang""",
