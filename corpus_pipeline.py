@@ -2,6 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of `documents`, whatever columns those are. Rows of the result: see `source_mix.mix`.
+
+Defined results: NULL and empty texts, and texts without a word, fail the quality rules; an empty
+`documents` gives an empty mix; an empty benchmark removes nothing. Of repeated rows the first keeps
+its lines and the others go with theirs; rows with a NULL doc_id come last in every order and are
+kept as they are by the near-duplicate stage. Texts of any length pass whole through every stage.
+Further columns, also of names that stages use themselves, are passed on as they are; n_chars, where
+there is such a column, is counted anew when lines go.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from veritally.llm import decontamination, kit, line_dedup, minhash_hamming, quality_ledger, source_mix
-from veritally.session import shared_folder
+from veritally.session import remove_folder, shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,11 +58,6 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`. A stage's table goes when the next one is written."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
@@ -65,6 +67,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if written:
-            _remove(spark, written)
+            remove_folder(spark, written)
         written = path
     return docs
