@@ -246,7 +246,8 @@ def open_unit(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def unit_rows(batches):
     for batch in batches:
-        for row in batch.to_pylist():
+        for k in range(batch.num_rows):  # one at a time: a batch may hold many units
+            (row,) = batch.slice(k, 1).to_pylist()
             yield row["unit"], *open_unit(row)
 
 

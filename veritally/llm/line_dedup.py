@@ -42,13 +42,14 @@ from pyspark.sql.types import StructType
 from veritally.llm import kit
 
 PERCENT = 80
-SKETCH_BITS = 22
+SKETCH_BITS = 21
 SKETCH = 1 << SKETCH_BITS
-SEGMENT = 1 << 16
+SEGMENT = 1 << 15
 HASH_BYTES = 6  # of a word's hash, in the sets that are verified
 SPLIT = 2048  # a word of more occurrences is only a list together with another
+AT_ONCE = 1 << 20  # candidates held before those beyond the nearest are let go
 NEAREST = 4  # candidates of a line that a list proposes at once
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 FIELDS = (("token", "<u8"), ("key", "<u8"), ("bits", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("size", "<u4"), ("reach", "<u4"))
 SENT_SCHEMA = "bucket long, unit long, n long, payload binary"
 JUDGED_SCHEMA = "kind int, unit long, line long, token long, size int, payload binary"
@@ -99,6 +100,28 @@ def _distinct(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[keep], line[keep]
 
 
+def _in_order(h: np.ndarray, count: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct words of each line, rarest first: hash, counter and line."""
+    if not len(h):
+        return h, count, line
+    first = line[0]  # lines of one piece: few enough for the high bits
+    low, bits = np.uint64(0), max(int(line[-1] - first).bit_length(), 1)
+    if bits <= 20:
+        rarity = np.minimum(count, np.uint32((1 << 20) - 1)).astype(np.uint64)
+        low = np.uint64(64 - bits)
+        key = (line - first).astype(np.uint64) << low | rarity << (low - np.uint64(20)) | h >> np.uint64(20 + bits)
+        order = np.argsort(key)
+        key, h, count, line = key[order], h[order], count[order], line[order]
+        again = key[1:] == key[:-1]
+        if (h[1:][again] == h[:-1][again]).all():  # else words that the key does not tell apart
+            keep = np.concatenate([[True], ~again])
+            return h[keep], count[keep], line[keep]
+    order = np.lexsort((h, np.minimum(count, (1 << 20) - 1), line))
+    h, count, line = h[order], count[order], line[order]
+    keep = kit.first_true(line) | kit.first_true(h)
+    return h[keep], count[keep], line[keep]
+
+
 def _counter(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -107,8 +130,7 @@ def _count(batches):
     total = np.zeros(SKETCH, np.int64)
     for _, _, ends, text in kit.unit_rows(batches):
         for h, _ in Lines(text, ends).words():
-            at, times = np.unique(_counter(h), return_counts=True)
-            total[at] += times
+            np.add.at(total, _counter(h), 1)
     if total.any():
         parts = [pa.compress(total[a : a + SEGMENT].tobytes(), codec="zstd", asbytes=True) for a in range(0, SKETCH, SEGMENT)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["segment", "payload"])
@@ -189,12 +211,9 @@ def _send(shared, n_buckets: int, split: int = SPLIT):
             kept, n_classes = [], 0
             classes = {k: [] for k in ("key", "bits", "line", "size", "shared")}
             for h, line in lines.words():
-                h, line = _distinct(h, line)
+                h, count, line = _in_order(h, rarity[_counter(h)], line)
                 if not len(h):
                     continue
-                count = rarity[_counter(h)]
-                order = np.lexsort((h, count, line))
-                h, line, count = h[order], line[order], count[order]
                 heads = np.flatnonzero(kit.first_true(line))
                 size = np.diff(np.append(heads, len(line)))
                 token, owner, reach = _lists(h, count, heads, size, split)
@@ -260,21 +279,46 @@ def _repeated_lines(unit: np.ndarray, line: np.ndarray) -> pa.Table:
 
 
 def _places(r: dict[str, np.ndarray]) -> np.ndarray:
-    """Numbers in the order of all lines; records of one line get the same."""
-    order = np.lexsort((r["line"], r["unit"], r["doc"]))
-    new = kit.first_true(r["doc"][order]) | kit.first_true(r["unit"][order]) | kit.first_true(r["line"][order])
+    """Numbers in the order of all lines (doc, unit, line); records of one line get the same."""
+    _, unit = np.unique(r["unit"], return_inverse=True)
+    within = unit.astype(np.int64) << 32 | r["line"].astype(np.int64)
+    order = np.lexsort((within, r["doc"]))
+    new = kit.first_true(r["doc"][order]) | kit.first_true(within[order])
     place = np.empty(len(order), np.int64)
     place[order] = np.cumsum(new) - 1
     return place
 
 
-def _candidates(r: dict[str, np.ndarray], place: np.ndarray, heads: np.ndarray, length: np.ndarray, open_y: np.ndarray | None = None):
+def _nearest(x: np.ndarray, y: np.ndarray, far: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """The `n` nearest candidates of each line (the earlier one first), and the lines that have more."""
+    order = np.lexsort((place[x], far, y))
+    x, y, far = x[order], y[order], far[order]
+    start = np.flatnonzero(kit.first_true(y))
+    rank = np.arange(len(y)) - np.repeat(start, np.diff(np.append(start, len(y))))
+    near = rank < n
+    return x[near], y[near], far[near], np.unique(y[~near])
+
+
+def _candidates(
+    r: dict[str, np.ndarray], place: np.ndarray, heads: np.ndarray, length: np.ndarray, nearest: int | None = None, open_y: np.ndarray | None = None
+) -> tuple[np.ndarray, ...]:
     """(x, y, far) of the pairs within lists that pass all filters, x the earlier line; the records of
-    a list lie together, smaller sets first. With `open_y`, only pairs whose y is marked there."""
+    a list lie together, smaller sets first. With `nearest`, of each y only so many are held at any
+    time and returned, with the y that have more. With `open_y`, only pairs whose y is marked there."""
     size, reach, bits = r["size"].astype(np.int64), r["reach"].astype(np.int64), r["bits"]
     stop = np.repeat(heads + length, length)
     able = (100 + PERCENT) * reach >= 2 * PERCENT * size  # reaches a set of its own size
-    xs, ys, fars = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    none = np.zeros(0, np.int64)
+    held, parts, n_parts, more = (none, none, none), [], 0, [none]
+
+    def gather() -> tuple[np.ndarray, ...]:
+        x, y, far = (np.concatenate(v) for v in zip(held, *parts))
+        if nearest is None:
+            return x, y, far
+        x, y, far, others = _nearest(x, y, far, place, nearest)
+        more.append(others)
+        return x, y, far
+
     live, k = np.arange(len(size)), 1
     while len(live):
         live = live[live + k < stop[live]]
@@ -290,11 +334,13 @@ def _candidates(r: dict[str, np.ndarray], place: np.ndarray, heads: np.ndarray,
         a, b, least = a[ok], b[ok], least[ok]
         far = np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64)
         ok = (far <= size[a] + size[b] - 2 * least) & (place[a] != place[b])
-        xs.append(a[ok])
-        ys.append(b[ok])
-        fars.append(far[ok])
+        parts.append((a[ok], b[ok], far[ok]))
+        n_parts += len(parts[-1][0])
+        if n_parts > AT_ONCE:
+            held, parts, n_parts = gather(), [], 0
         k += 1
-    return np.concatenate(xs), np.concatenate(ys), np.concatenate(fars)
+    x, y, far = gather()
+    return x, y, far, np.unique(np.concatenate(more))
 
 
 def _pair_rows(r: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, far: np.ndarray) -> pa.Table:
@@ -310,27 +356,21 @@ def _judge(nearest: int):
     def run(table: pa.Table) -> pa.Table:
         if table["bucket"][0].as_py() < 0:
             return _rows(REPEATED, table.num_rows, unit=table["unit"].to_numpy(), payload=table["payload"].to_pylist())
-        found = _open(table)
-        # One record per list and class: the earliest line of the class.
-        order = np.lexsort((found["line"], found["unit"], found["doc"], found["bits"], found["key"], found["token"]))
-        r = {k: v[order] for k, v in found.items()}
-        new = kit.first_true(r["token"]) | kit.first_true(r["key"]) | kit.first_true(r["bits"])
-        of_class = r["reach"] == 0
-        later = ~new & of_class
-        repeated = _repeated_lines(r["unit"][later], r["line"][later])
-        r = {k: v[new & ~of_class] for k, v in r.items()}
-        r = {k: v[np.lexsort((r["size"], r["token"]))] for k, v in r.items()}
+        r = _open(table)
         place = _places(r)
+        # One record per list and class: the earliest line of the class; smaller sets first.
+        kind = kit.mix(r["key"] ^ kit.mix(r["bits"]))  # of the class: tells those of one list apart
+        order = np.lexsort((place, kind, r["size"], r["token"]))
+        token, kind = r["token"][order], kind[order]
+        new = kit.first_true(token) | kit.first_true(kind)
+        of_class = r["reach"][order] == 0
+        later = order[~new & of_class]
+        repeated = _repeated_lines(r["unit"][later], r["line"][later])
+        order = order[new & ~of_class]
+        r, place = {k: v[order] for k, v in r.items()}, place[order]
         heads = np.flatnonzero(kit.first_true(r["token"]))
         length = np.diff(np.append(heads, len(place)))
-        x, y, far = _candidates(r, place, heads, length)
-        # The nearest of each line and list; a record is a line in a list.
-        order = np.lexsort((place[x], far, y))
-        x, y, far = x[order], y[order], far[order]
-        start = np.flatnonzero(kit.first_true(y))
-        rank = np.arange(len(y)) - np.repeat(start, np.diff(np.append(start, len(y))))
-        more = np.unique(y[rank >= nearest])
-        x, y, far = x[rank < nearest], y[rank < nearest], far[rank < nearest]
+        x, y, far, more = _candidates(r, place, heads, length, nearest)  # a record is a line in a list
         _, once = np.unique(place[x] * (len(place) + 1) + place[y], return_index=True)
         pairs = _pair_rows(r, x[once], y[once], far[once])
         in_list = np.searchsorted(heads, more, "right") - 1
@@ -356,7 +396,7 @@ def _late(key, lists: pa.Table, waiting: pa.Table) -> pa.Table:
     r = {name: members[name] for name in MEMBER_RECORD.names}
     at = {(u, n) for u, n in zip(waiting["unit"].to_pylist(), waiting["line"].to_pylist())}
     is_open = np.array([(u, n) in at for u, n in zip(r["unit"].tolist(), r["line"].tolist())])
-    x, y, far = _candidates(r, _places(r), np.zeros(1, np.int64), np.array([len(members)]), is_open)
+    x, y, far, _ = _candidates(r, _places(r), np.zeros(1, np.int64), np.array([len(members)]), open_y=is_open)
     return _pair_rows(r, x, y, far)
 
 
