@@ -4,7 +4,8 @@ The vocabulary is a file of ranks (base64 of the bytes, rank), read once by the
 table has a row for every token and every way to cut its bytes into two tokens; it is as large as
 the vocabulary makes it and is broadcast.
 
-Encoding: the split pattern cuts a text into words. A word that is a token is that token. All other
+Encoding: the split pattern cuts a text into words, with letters, digits and white space as the
+library's engine knows them (`other_classes`). A word that is a token is that token. All other
 different words of some megabytes of text become rows (word, position, token), one per byte, the
 positions counted through all of them. A recursive query joins each position and its right neighbour with the merge table and contracts
 every word's leftmost pair of the least rank, until no word has a pair left. Words that change no
@@ -96,6 +97,29 @@ def merge_table(ranks: dict[bytes, int]) -> np.ndarray:
     return np.array(rows, np.int64).reshape(-1, 3)
 
 
+#: Classes of the split pattern, each with a sign that is in it in every version of Unicode and in no
+#: contraction; a sign of no class stands for all others.
+CLASSES = ((r"\p{L}", "\u00e9"), (r"\p{N}", "5"), (r"\s", "\u00a0"))
+OTHER = "\u00a7"
+
+
+def other_classes() -> dict[int, str]:
+    """Signs that the library's pattern engine has in another class than `regex` has: their versions of
+    Unicode differ. Each with a sign of the class it has there."""
+    import regex
+    import tiktoken
+
+    signs = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    single = {bytes([b]): b for b in range(256)}
+    here, there = {}, {}
+    for pattern, sign in CLASSES:
+        # Text that the pattern does not match has no tokens.
+        engine = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=single, special_tokens={})
+        there |= dict.fromkeys(bytes(engine.encode_ordinary(signs)).decode(), sign)
+        here |= dict.fromkeys(regex.findall(pattern, signs), sign)
+    return {ord(c): there.get(c, OTHER) for c in here.keys() | there.keys() if here.get(c) != there.get(c)}
+
+
 class Codec:
     """One vocabulary in one worker."""
 
@@ -103,7 +127,8 @@ class Codec:
         import duckdb
         import regex
 
-        self.ranks, self.merges, self.find = ranks, merges, regex.compile(pattern).findall
+        self.ranks, self.merges, self.split = ranks, merges, regex.compile(pattern)
+        self.elsewhere = other_classes()
         self.cut = pattern == default_pattern()
         self.of_byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         if (self.of_byte < 0).any():
@@ -168,6 +193,12 @@ class Codec:
         ids = np.frombuffer(tok, np.int64)
         return ids[ids >= 0].astype("<u4").tobytes()
 
+    def _words(self, text: str) -> list[str]:
+        if text.isascii() or not self.elsewhere:
+            return self.split.findall(text)
+        seen = text.translate(self.elsewhere)  # as long as the text
+        return [text[a:b] for a, b in (m.span() for m in self.split.finditer(seen))]
+
     def _learn(self, found: list[list[str]]) -> None:
         """Encode the words not seen so far."""
         if len(self.words) > SEEN:
@@ -197,7 +228,7 @@ class Codec:
         if len(self.chunks) > SEEN:
             self.chunks.clear()
         fresh = [c for c in contents if c not in self.chunks]
-        found = [self.find(c.decode()) for c in fresh]
+        found = [self._words(c.decode()) for c in fresh]
         self._learn(found)
         known = self.words
         self.chunks.update((c, b"".join([known[w] for w in row])) for c, row in zip(fresh, found))
