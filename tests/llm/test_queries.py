@@ -1,6 +1,7 @@
 """Registered queries against their oracles, and the pipeline against a plain version."""
 
 import math
+import re
 import shutil
 from pathlib import Path
 
@@ -9,7 +10,7 @@ import pytest
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from test_dedup import plain_groups, plain_lines
+from test_dedup import plain_groups, plain_lines, plain_tiles
 from test_scores import plain_measures
 from veritally.llm import decontamination, queries, source_mix
 
@@ -40,6 +41,45 @@ def test_every_operator_is_registered():
     assert "pipeline" in contract.queries() and "pipeline" not in contract.oracle_sql()
 
 
+def plain_words(text):
+    """Lower-cased runs of letters, digits and non-ASCII signs."""
+    return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def quick_tiles(item, doc, shortest):
+    """`plain_tiles` over the stretches of a document that share `shortest` words with the item."""
+    seeds = {tuple(item[i : i + shortest]) for i in range(len(item) - shortest + 1)}
+    near = [False] * len(doc)
+    for j in range(len(doc) - shortest + 1):
+        if tuple(doc[j : j + shortest]) in seeds:
+            near[j : j + shortest] = [True] * shortest
+    if not any(near):
+        return []
+    return plain_tiles(item, [w if n else f" {j}" for j, (w, n) in enumerate(zip(doc, near)) if n or (j and near[j - 1])], shortest)
+
+
+def test_contamination_of_the_small_tables_equals_the_plain_version(spark):
+    items = {r["item_id"]: plain_words(r["text"]) for r in spark.read.parquet(str(DATA / "benchmark.parquet")).collect()}
+    expected = {}
+    for r in spark.read.parquet(str(DATA / "documents.parquet")).collect():
+        doc, covered, best, longest = plain_words(r["text"]), [], 0.0, 0
+        for i, item in items.items():
+            tiles = quick_tiles(item, doc, decontamination.SEED)
+            share, long = sum(t[2] for t in tiles) / max(len(item), 1), max((t[2] for t in tiles), default=0)
+            if share >= decontamination.COVERAGE or long >= decontamination.LONG_TILE:
+                covered.append(i)
+                best, longest = max(best, share), max(longest, long)
+        expected[r["doc_id"]] = sorted(covered), best, longest
+    rows = queries.queries()["op10_decontamination"](spark, str(DATA)).collect()
+    assert {r["doc_id"]: r["items"] for r in rows} == {i: e[0] for i, e in expected.items()}
+    assert sum(bool(e[0]) for e in expected.values()) > 0
+    for r in rows:
+        covered, best, longest = expected[r["doc_id"]]
+        assert r["kept"] == (not covered) and r["n_items"] == len(covered)
+        if covered:  # pairs that cannot reach the threshold are not tiled
+            assert r["best_coverage"] == pytest.approx(best) and r["longest_tile"] == longest
+
+
 @pytest.mark.parametrize("name", ["op6_language_id", "op7_toxicity"])
 def test_scores_of_the_small_tables(spark, name):
     rows = queries.queries()[name](spark, str(DATA)).collect()

@@ -11,9 +11,10 @@ the words themselves. The coverage of an item is the share of its words under ti
 item whose sentences were reordered is still covered; a document is contaminated if it covers
 `COVERAGE` of any item, or one tile alone has `LONG_TILE` words of it.
 
-The items are a stated query set. They are read in blocks of at most `BLOCK_WORDS` words; a block
-is broadcast (its size is bounded by that parameter, however many items there are) and the
-documents are scanned once for each block, without a shuffle.
+The items are a stated query set. Spark deals them into blocks of about `BLOCK_WORDS` words by a hash;
+one block at a time is read, broadcast and, when the hits of the documents with it are written,
+released, so the driver and a worker hold one block however many items there are. The documents
+are scanned once for each block, without a shuffle.
 
 Defined results: NULL or empty texts match nothing and are kept; items with fewer than `SEED`
 words, NULL items and empty benchmarks match nothing; items with equal texts are separate items;
@@ -230,42 +231,56 @@ def _filter(shared, at: int):
     return run
 
 
-def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` that cover no item, with all their columns, in one scan."""
+def item_blocks(benchmark: DataFrame, block_words: int | None = None) -> tuple[DataFrame, int]:
+    """item_id, text and block of every item, and the number of blocks."""
+    words = F.coalesce(F.size(F.split("text", r"\s+")), F.lit(0))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    total = items.agg(F.sum(words)).first()[0] or 0
+    n_blocks = max(1, -(-total // (block_words or BLOCK_WORDS)))
+    return items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))), n_blocks
+
+
+def _with_block(spark: SparkSession, items: DataFrame, k: int):
+    rows = items.where(F.col("block") == k).collect()  # one block
+    return spark.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows]))
+
+
+def _hits(texts: DataFrame, items: DataFrame, n_blocks: int) -> DataFrame:
+    """What the blocks find in doc_id, text and digest of the documents."""
+    spark, found = texts.sparkSession, None
+    for k in range(n_blocks):
+        shared = _with_block(spark, items, k)
+        hits = texts.select("doc_id", "text", "digest").mapInArrow(_matcher(shared), SCHEMA)
+        if n_blocks > 1:
+            hits = kit.settled(hits)
+            shared.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, block_words: int | None = None) -> DataFrame:
+    """The rows of `docs` that cover no item, with all their columns; in one scan if the items are one
+    block."""
     spark = docs.sparkSession
     kit.prepare(spark)
     rows = docs.select(*[F.col(f"`{c}`").alias(f"carried_{k}") for k, c in enumerate(docs.columns)])
-    for ids, texts in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Items(ids, texts))
-        rows = rows.mapInArrow(_filter(shared, docs.columns.index("text")), rows.schema)
-    return rows.select(*[F.col(f"carried_{k}").alias(c) for k, c in enumerate(docs.columns)])
-
-
-def item_blocks(benchmark: DataFrame) -> list[tuple[list[int], list[str]]]:
-    """The items in blocks of at most BLOCK_WORDS bytes' worth of words, an item at least."""
-    held, size, blocks = ([], []), 0, []
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    for row in rows.orderBy("item_id", "text").toLocalIterator():
-        n = len((row["text"] or "").split())
-        if held[0] and size + n > BLOCK_WORDS:
-            blocks.append(held)
-            held, size = ([], []), 0
-        held[0].append(row["item_id"])
-        held[1].append(row["text"])
-        size += n
-    return [*blocks, held]
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    back = [F.col(f"carried_{k}").alias(c) for k, c in enumerate(docs.columns)]
+    items, n_blocks = item_blocks(benchmark, block_words)
+    if n_blocks == 1:
+        shared = _with_block(spark, items, 0)
+        return rows.mapInArrow(_filter(shared, docs.columns.index("text")), rows.schema).select(*back)
+    texts = kit.id_and_text(docs).withColumn("digest", F.xxhash64("text"))
+    covered = _hits(texts, items, n_blocks).where(F.size("items") > 0).select(F.col("doc_id").alias("found_id"), F.col("digest").alias("found_digest")).distinct()
+    carried = {c: f"carried_{k}" for k, c in enumerate(docs.columns)}
+    same = F.col(carried["doc_id"]).cast("long").eqNullSafe(F.col("found_id")) & (F.xxhash64(F.col(carried["text"]).cast("string")) == F.col("found_digest"))
+    return rows.join(covered, same, "left_anti").select(*back)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int | None = None) -> DataFrame:
     """doc_id, items (sorted ids of the covered items), best_coverage and longest_tile of every row."""
-    spark = docs.sparkSession
-    kit.prepare(spark)
+    kit.prepare(docs.sparkSession)
     texts = kit.id_and_text(docs).withColumn("digest", F.xxhash64("text"))
-    found = None
-    for ids, item_texts in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Items(ids, item_texts))
-        hits = texts.select("doc_id", "text", "digest").mapInArrow(_matcher(shared), SCHEMA)
-        found = hits if found is None else found.unionByName(hits)
+    found = _hits(texts, *item_blocks(benchmark, block_words))
     # Equal rows have equal matches, so id and digest name them.
     per_text = found.groupBy(F.col("doc_id").alias("found_id"), F.col("digest").alias("found_digest")).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
