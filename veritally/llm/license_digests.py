@@ -45,8 +45,9 @@ def digest(canonical: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession, texts=TEXTS) -> DataFrame:
-    """digest, license_id of known texts."""
-    rows = spark.createDataFrame(list(texts), "license_id string, text string")
+    """digest, license_id of known texts: pairs of license_id and text, or a table of these columns, of
+    any size. Texts of one digest go by the first license_id."""
+    rows = texts if isinstance(texts, DataFrame) else spark.createDataFrame(list(texts), "license_id string, text string")
     whole = digest(F.array_join(canonical_lines(F.col("text")), " "))
     return rows.select(whole.alias("digest"), "license_id").where("digest IS NOT NULL").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 

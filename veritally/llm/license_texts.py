@@ -48,6 +48,64 @@ ISC_TERMS = (
     "provided that the above copyright notice and this permission notice appear in all copies.\n"
 )
 
+UNLICENSE = (
+    "This is free and unencumbered software released into the public domain.\n"
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or "
+    "as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n"
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright "
+    "interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the "
+    "detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all "
+    "present and future rights to this software under copyright law.\n"
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE "
+    "FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+    "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n"
+    "For more information, please refer to <https://unlicense.org>"
+)
+BOOST = (
+    "Boost Software License - Version 1.0 - August 17th, 2003\n"
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+    'documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the '
+    "Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do "
+    "so, all subject to the following:\n"
+    "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the "
+    "following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the "
+    "Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source "
+    "language processor.\n"
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES '
+    "OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR "
+    "ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING "
+    "FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+APACHE_NOTICE = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.\n'
+    "You may obtain a copy of the License at\nhttp://www.apache.org/licenses/LICENSE-2.0\n"
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" '
+    "BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n"
+    "See the License for the specific language governing permissions and limitations under the License."
+)
+MPL_NOTICE = (
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+    "with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+)
+
+
+def gnu_notice(name: str, version: str) -> str:
+    """The notice that the GNU licences ask for in every file."""
+    return (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} General Public "
+        f"License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later "
+        "version.\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+        f"warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} General Public License for more details.\n"
+        f"You should have received a copy of the GNU {name} General Public License along with this program. If not, see "
+        "<https://www.gnu.org/licenses/>."
+    )
+
+
+IDENTIFIERS = (
+    "0BSD", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "Zlib",
+)
+
 TEXTS = (
     ("MIT", "MIT License\n" + MIT_TERMS + NO_WARRANTY_MIT),
     ("MIT", "The MIT License (MIT)\n" + MIT_TERMS + NO_WARRANTY_MIT),
@@ -93,6 +151,16 @@ TEXTS = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
+    ("Unlicense", UNLICENSE),
+    ("BSL-1.0", BOOST),
+    ("Apache-2.0", APACHE_NOTICE),
+    ("MPL-2.0", MPL_NOTICE),
+    ("AGPL-3.0", gnu_notice("Affero", "3")),
+    ("GPL-2.0", gnu_notice("", "2")),
+    ("GPL-3.0", gnu_notice("", "3")),
+    ("LGPL-2.1", gnu_notice("Lesser", "2.1")),
+    ("LGPL-3.0", gnu_notice("Lesser", "3")),
+    *((name, f"SPDX-License-Identifier: {name}") for name in IDENTIFIERS),
 )
 
 #: Spellings that count as one, applied to the canonical words.
