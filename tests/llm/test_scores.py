@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -309,3 +310,91 @@ def test_mix_with_columns_named_like_its_own(spark):
     named = docs.selectExpr("*", "1 AS size", "'x' AS target", "2 AS taken", "'k' AS skey", "'c' AS cell", "3 AS shard", "4 AS start")
     first, again = (sorted(map(str, source_mix.mix(d).collect())) for d in (docs, named))
     assert first == again
+
+
+SF = Path("/root/testdata/sf0.01")
+
+
+@pytest.mark.skipif(not SF.exists(), reason="test tables are not there")
+def test_toxicity_on_held_out_labels(spark):
+    """Labels are noisy and few at this size; these are the figures that must hold at least."""
+    scored = toxicity.query(spark, str(SF)).where("held_out").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
+    found = {(r["toxic"], r["predicted"]): r["count"] for r in scored.groupBy("toxic", "predicted").count().collect()}
+    toxic = found.get((1, 1), 0) + found.get((1, 0), 0)
+    clean = found.get((0, 1), 0) + found.get((0, 0), 0)
+    assert found.get((1, 1), 0) >= 0.5 * toxic and found.get((0, 1), 0) <= 0.05 * clean
+
+
+def letters(text):
+    """Words of letters in lower case, as the module has them."""
+    words, word = [], ""
+    for c in (text or "") + " ":
+        if c.isalpha():
+            word += c.lower()[0]
+        elif word:
+            words.append(word)
+            word = ""
+    return words
+
+
+def parts(word, n):
+    whole = "\1" + word + "\1"
+    return [g for g in (whole[i : i + n] for i in range(len(whole) - n + 1)) if n > 1 or g != "\1"]
+
+
+def plain_languages(rows):
+    """(doc_id, language, score) by dictionaries of words and n-grams."""
+    langs = sorted({lang for _, t, lang in rows if lang and letters(t)})
+    counts = {n: {lang: Counter() for lang in langs} for n in (0, *language_id.LENGTHS)}
+    for _, t, lang in rows:
+        if lang in langs:
+            for word in letters(t):
+                counts[0][lang][word] += 1
+                for n in language_id.LENGTHS:
+                    counts[n][lang].update(parts(word, n))
+    tables = {}
+    for n, by_lang in counts.items():
+        total = sum(by_lang.values(), Counter())
+        kept = [g for g, c in total.items() if c >= language_id.MIN_COUNT]
+        below = {lang: sum(by_lang[lang].values()) + 0.5 * (len(kept) + 1) for lang in langs}
+        tables[n] = {g: [math.log((by_lang[lang][g] + 0.5) / below[lang]) for lang in langs] for g in kept}
+    for i, t, _ in rows:
+        sums = [0.0] * len(langs)
+        for word in letters(t):
+            found = [tables[0][word]] if word in tables[0] else []
+            for n in language_id.LENGTHS:
+                found = found or [tables[n][g] for g in parts(word, n) if g in tables[n]]
+            sums = [s + sum(f[c] for f in found) / max(len(found), 1) for c, s in enumerate(sums)]
+        if not letters(t):
+            yield i, language_id.UNKNOWN, 0.0
+        else:
+            yield i, langs[sums.index(max(sums))], 1 / sum(math.exp(s - max(sums)) for s in sums)
+
+
+def test_languages_equal_a_plain_scorer(spark):
+    rng = random.Random(9)
+    sets = {lang: ["".join(rng.choices(signs, k=rng.randint(1, 8))) for _ in range(60)] for lang, signs in (("a", "abcdé"), ("b", "cdefß"), ("c", "漢字かなc"))}
+    rows = []
+    for i in range(90):
+        lang = rng.choice("abc")
+        rows.append((i, " ".join(rng.choices(sets[lang], k=rng.randint(0, 30)) + rng.choices(sets[rng.choice("abc")], k=2)) + "!9", rng.choice([lang, lang, None])))
+    rows += [(200, None, "a"), (201, "", "b"), (202, "12 34", "c"), (203, "Zzzqx ÉÉ", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(docs, language_id.fit(docs)).collect()}
+    for i, lang, score in plain_languages(rows):
+        assert found[i][1] == pytest.approx(score, abs=1e-9) and (found[i][0] == lang or abs(score - 0.5) < 1e-9)
+
+
+def test_scores_are_those_of_the_model_applied_plainly(spark, docs, corpus):
+    """`score` and `predict` over partitions equal the fitted model on one text at a time."""
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in corpus], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    languages = language_id.fit(docs)
+    predicted = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(docs, languages).collect()}
+    for i, t in corpus:
+        text = np.frombuffer((t or "").encode(), np.uint8)
+        ends = np.array([0, len(text)], np.int64)
+        assert found[i] == pytest.approx(float(model.score(text, ends)[0]), abs=1e-5)
+        lang, score = languages.predict(text, ends)
+        assert predicted[i][0] == lang[0] and predicted[i][1] == pytest.approx(float(score[0]))

@@ -9,8 +9,9 @@ name); the score is its posterior when every language is as likely beforehand.
 The model is fitted on a bounded, documented sample: of the rows offered, about `sample_rows` by a
 digest of doc_id, all words of each; every language has the same share of them, or all its rows if
 those are fewer (others then have more). Of what occurs `MIN_COUNT` times, the model keeps per length
-`MAX_ENTRIES` words or n-grams, those with the highest frequency within any one language first. So the broadcast model is bounded by those parameters and
-the number of languages. Scoring covers whole texts of all rows.
+`MAX_ENTRIES` words or n-grams (fewer where these times the languages are over `MAX_VALUES`), those
+with the highest frequency within any one language first. So the broadcast model is bounded by
+those parameters, whatever the number of languages. Scoring covers whole texts of all rows.
 
 Defined results: a text that is NULL or has no letter is `und` with score 0; a NULL doc_id counts
 as the empty string for the hold-out; repeated rows give repeated results; rows without a language
@@ -32,6 +33,7 @@ LENGTHS = (5, 4, 3, 2, 1)
 SAMPLE_ROWS = 20_000
 MIN_COUNT = 2
 MAX_ENTRIES = 200_000
+MAX_VALUES = 1 << 22  # of one table: entries times languages
 MARK = 1  # stands at both ends of a word; no letter
 SCHEMA = "doc_id long, lang_pred string, score double"
 
@@ -209,7 +211,7 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
             F.sum("n").alias("all"), *[F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)).alias(f"l{c}") for c, name in enumerate(langs)]
         ).where(F.col("all") >= MIN_COUNT)
         shares = [F.col(f"l{c}") / F.lit(float(max(total.get((length, name), (0, 0))[0], 1))) for c, name in enumerate(langs)]
-        top = by_key.orderBy(F.greatest(*shares, F.lit(0.0), F.lit(0.0)).desc(), F.col("all").desc(), "key").limit(MAX_ENTRIES).toPandas()
+        top = by_key.orderBy(F.greatest(*shares, F.lit(0.0), F.lit(0.0)).desc(), F.col("all").desc(), "key").limit(min(MAX_ENTRIES, MAX_VALUES // max(len(langs), 1))).toPandas()
         keys = top["key"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(keys)
         counts = top[[f"l{c}" for c in range(len(langs))]].to_numpy(np.float64)[order] if langs else np.zeros((len(keys), 0))
