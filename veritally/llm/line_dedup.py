@@ -42,12 +42,12 @@ from pyspark.sql.types import StructType
 from veritally.llm import kit
 
 PERCENT = 80
-SKETCH_BITS = 21
+SKETCH_BITS = 20
 SKETCH = 1 << SKETCH_BITS
-SEGMENT = 1 << 15
+SEGMENT = 1 << 14
 HASH_BYTES = 6  # of a word's hash, in the sets that are verified
 SPLIT = 2048  # a word of more occurrences is only a list together with another
-AT_ONCE = 1 << 20  # candidates held before those beyond the nearest are let go
+AT_ONCE = 1 << 18  # candidates held before those beyond the nearest are let go
 NEAREST = 4  # candidates of a line that a list proposes at once
 BUCKET_BYTES = 8 << 20
 FIELDS = (("token", "<u8"), ("key", "<u8"), ("bits", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("size", "<u4"), ("reach", "<u4"))
