@@ -152,13 +152,13 @@ def test_passages_of_hot_anchors(spark):
         assert passages(df, hot=hot) == plain_passages(rows)
 
 
-def test_passages_of_one_phrase_go_through_the_index(spark):
-    """Copies in other units, other orders and within one document: one unit sends the bytes."""
+def test_passages_of_one_phrase(spark):
+    """Copies in other units, other orders and within one document."""
     rng = random.Random(5)
     passage = [prose_of(rng, 30) for _ in range(3)]
     rows = [(i, passage[i % 3]) for i in (9, 4, 7, 1, 8, 2)] + [(20, passage[0] + passage[0]), (None, passage[1]), (None, passage[1]), (3, passage[2][:49])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    assert {run_index_dedup.ONE, run_index_dedup.LEAD} <= anchor_codes(df, 2048)
+    assert run_index_dedup.ONE in anchor_codes(df, 2048)
     assert passages(df) == plain_passages(rows)
 
 
@@ -182,9 +182,7 @@ def test_the_index_finds_older_windows():
     sizes = np.array([len(s) for s in strings])
     index = run_index_dedup.RunIndex(np.frombuffer(b"".join(strings), np.uint8), sizes, docs)
     assert len(index.run_start) < index.n
-    bits, oldest = index.older_windows(sizes, docs)
-    assert bits.tolist() == [0, 0b1111110, 0]
-    assert oldest.tolist()[0] == docs[0]
+    assert index.older_windows(sizes, docs).tolist() == [0, 0b1111110, 0]
 
 
 def shingle_set(text):

@@ -12,15 +12,15 @@ occurrences of their windows, and anchors can be dealt to buckets that know noth
    several documents or with several phrases. A bucket sees which anchors occur in two documents
    and which of those have one phrase everywhere.
 2. Units send the phrases of shared anchors: bytes and smallest doc_id, each distinct phrase once.
-   Where an anchor has one phrase everywhere, one unit sends its bytes and the others only their
-   smallest document. An anchor with very many phrases (`HOT`) is split: its windows are dealt one
-   by one, each by its own hash, so no bucket gathers a frequent passage's surroundings.
+   An anchor with one phrase is one run at each row of the transform; only its documents are sent.
+   An anchor with very many phrases (`HOT`) is split: its windows are dealt one by one, each by its
+   own hash, so no bucket gathers a frequent passage's surroundings.
 3. A bucket sorts the suffixes of its distinct phrases, keeps the transform as runs, with the
    smallest doc_id sampled at the end of each run of suffixes that share MATCH bytes, and streams
    all phrases through it from right to left by LF steps over the runs. At each position this
-   gives the matching statistic that matters: the oldest document that matches MATCH bytes.
+   gives the matching statistic that matters: whether MATCH bytes match an earlier document.
 4. Units get back, per phrase, its smallest doc_id and the windows that are older still, mark the
-   covered bytes and return spans and what is left. All of it is read off the index.
+   covered bytes and return spans and what is left.
 
 All exchanges are packed rows; nothing goes through the driver.
 
@@ -43,7 +43,7 @@ MATCH = 50
 ANCHOR = 20
 HOT = 2048  # phrases of one anchor, counted by unit, from which its windows are dealt alone
 BUCKET_BYTES = 4 << 20  # text per bucket: its suffixes are sorted in memory
-ALONE, ONE, FEW, MANY, LEAD = range(5)  # codes of an anchor: in one document only, one phrase, several, very many; LEAD: one, sent by this unit
+ALONE, ONE, FEW, MANY = range(4)  # codes of an anchor: in one document only, one phrase, several, very many
 RECORD = np.dtype([("a_low", "<u4"), ("a_high", "<u2"), ("c_low", "<u4"), ("c_high", "<u2"), ("n", "u1")])
 KNOWN = np.dtype([("a_low", "<u4"), ("a_high", "<u2"), ("doc", "<i8")])
 REPLY_SCHEMA = "unit long, kind int, bucket long, payload binary"
@@ -161,7 +161,6 @@ def _codes_of(table: pa.Table, hot: int) -> pa.Table:
     code = np.where(~shared, ALONE, np.where(~mixed, ONE, np.where(~many, FEW, MANY))).astype(np.uint8)
     out = np.empty(len(order), np.uint8)
     out[order] = code[np.cumsum(new) - 1]
-    out[order[heads[code == ONE]]] = LEAD  # the first to have sent it
     cut = np.flatnonzero(kit.first_true(sender))
     payload = [x.tobytes() for x in np.split(out, cut[1:])]
     n_rows = table.num_rows
@@ -180,12 +179,12 @@ class Shared:
 
     def __init__(self, parsed: Parsed, code: np.ndarray, ids: np.ndarray, text: np.ndarray, n_buckets: int):
         doc = ids[parsed.row]
-        one = np.flatnonzero((code == ONE) | (code == LEAD))
+        one = np.flatnonzero(code == ONE)
         self.one, heads = one, kit.first_true(parsed.group[one])
         self.one_of = np.cumsum(heads) - 1
         self.anchors = parsed.anchor[one[heads]]
         self.one_doc = np.minimum.reduceat(doc[one], np.flatnonzero(heads)) if len(one) else np.zeros(0, np.int64)
-        few = np.flatnonzero((code == FEW) | (code == LEAD))
+        few = np.flatnonzero(code == FEW)
         hot = np.flatnonzero(code == MANY)
         repeat = parsed.windows[hot]
         inner = np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat)
@@ -209,8 +208,6 @@ class Shared:
         first = order[new]
         self.string_start, self.string_size = self.start[first], self.windows[first] + MATCH - 1
         self.string_doc = np.minimum.reduceat(self.doc[order], np.flatnonzero(new)) if len(order) else np.zeros(0, np.int64)
-        self.string_lead = np.concatenate([code[few] == LEAD, np.zeros(len(inner), bool)])[first]
-        self.string_anchor = deal_by[first]
         self.one_cut = np.searchsorted(bucket_of(self.anchors, n_buckets), np.arange(n_buckets + 1))
         self.string_cut = np.searchsorted(bucket_of(deal_by[first], n_buckets), np.arange(n_buckets + 1))
 
@@ -238,10 +235,8 @@ def _send_phrases(n_buckets: int):
                 known["doc"] = shared.one_doc[i:j]
                 i, j = shared.string_cut[b : b + 2]
                 sizes = shared.string_size[i:j]
-                lead = np.flatnonzero(shared.string_lead[i:j])
                 body = b"".join([
-                    np.array([len(known), j - i, len(lead)], np.int64).tobytes(), known.tobytes(), shared.string_doc[i:j].tobytes(),
-                    lead.astype(np.int64).tobytes(), shared.string_anchor[i:j][lead].tobytes(),
+                    np.array([len(known), j - i], np.int64).tobytes(), known.tobytes(), shared.string_doc[i:j].tobytes(),
                     sizes.astype(np.uint8).tobytes(), _bytes_at(text, shared.string_start[i:j], sizes).tobytes(),
                 ])
                 out["bucket"].append(int(b))
@@ -311,11 +306,10 @@ class RunIndex:
         to[by_byte] = np.concatenate([[0], np.cumsum(length[by_byte])[:-1]])
         self.run_to = to
 
-    def older_windows(self, sizes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per string, bit k set if its window k also stands in a string of a smaller document; and
-        the oldest document of its first window."""
+    def older_windows(self, sizes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Per string, bit k set if its window k also stands in a string of a smaller document."""
         rows = np.arange(len(sizes))  # the rows of the end marks
-        bits, oldest = np.zeros(len(sizes), np.uint32), np.zeros(len(sizes), np.int64)
+        bits = np.zeros(len(sizes), np.uint32)
         left = sizes.copy()
         live = np.arange(len(sizes))
         while len(live):
@@ -327,45 +321,35 @@ class RunIndex:
             sample = self.class_doc[np.searchsorted(self.class_start, rows[at], "right") - 1]
             older = sample < docs[which]
             bits[which[older]] |= np.uint32(1) << left[which[older]].astype(np.uint32)
-            oldest[which] = sample  # the first window is read last
             going = left[live] > 0
             live, rows = live[going], rows[going]
-        return bits, oldest
+        return bits
 
 
 def _judge_phrases(table: pa.Table) -> pa.Table:
-    known, docs, sizes, raw, counts, lead, lead_anchor, before = [], [], [], [], [], [], [], 0
+    known, docs, sizes, raw, counts = [], [], [], [], []
     for size, payload in zip(table["part"].to_pylist(), table["payload"].to_pylist()):
         body = pa.decompress(payload, size, codec="zstd", asbytes=True)
-        n_known, n, n_lead = np.frombuffer(body, np.int64, 3)
-        at = 24
+        n_known, n = np.frombuffer(body, np.int64, 2)
+        at = 16
         known.append(np.frombuffer(body, KNOWN, n_known, at))
         at += n_known * KNOWN.itemsize
         docs.append(np.frombuffer(body, np.int64, n, at))
-        at += 8 * n
-        lead.append(np.frombuffer(body, np.int64, n_lead, at) + before)
-        lead_anchor.append(np.frombuffer(body, np.uint64, n_lead, at + 8 * n_lead))
-        at += 16 * n_lead
-        sizes.append(np.frombuffer(body, np.uint8, n, at).astype(np.int64))
-        raw.append(np.frombuffer(body, np.uint8, offset=int(at + n)))
+        sizes.append(np.frombuffer(body, np.uint8, n, at + 8 * n).astype(np.int64))
+        raw.append(np.frombuffer(body, np.uint8, offset=int(at + 9 * n)))
         counts.append((n_known, n))
-        before += n
     counts = np.array(counts)
-    known, docs, sizes, raw, lead, lead_anchor = (np.concatenate(x) for x in (known, docs, sizes, raw, lead, lead_anchor))
+    known, docs, sizes, raw = (np.concatenate(x) for x in (known, docs, sizes, raw))
 
-    # Anchors of one phrase: their documents all belong to the string that was sent once.
     anchors = _join48(known, "a")
     order = np.argsort(anchors, kind="stable")
     heads = kit.first_true(anchors[order])
-    by_anchor = np.argsort(lead_anchor, kind="stable")
-    lead = lead[by_anchor]  # one for each anchor, in the order of the anchors
+    known_doc = np.empty(len(order), np.int64)
     if len(order):
-        docs[lead] = np.minimum.reduceat(known["doc"][order], np.flatnonzero(heads))
-    known_lead = np.empty(len(order), np.int64)
-    known_lead[order] = lead[np.cumsum(heads) - 1] if len(order) else order
+        known_doc[order] = np.minimum.reduceat(known["doc"][order], np.flatnonzero(heads))[np.cumsum(heads) - 1]
 
     # Distinct strings, in the order of their documents.
-    bits, string_doc, known_doc = np.zeros(len(docs), np.uint32), docs.copy(), np.zeros(len(known), np.int64)
+    bits, string_doc = np.zeros(len(docs), np.uint32), docs.copy()
     if len(docs):
         at = np.cumsum(sizes) - sizes
         strings = np.zeros((len(sizes), int(sizes.max())), np.uint8)
@@ -388,8 +372,8 @@ def _judge_phrases(table: pa.Table) -> pa.Table:
         place[by_doc] = np.arange(len(first))
         number = place[number]
         index = RunIndex(_bytes_at(raw, at[first], sizes[first]), sizes[first], docs[first])
-        bits, oldest = (x[number] for x in index.older_windows(sizes[first], docs[first]))
-        string_doc, known_doc = docs[first][number], oldest[known_lead]
+        bits = index.older_windows(sizes[first], docs[first])[number]
+        string_doc = docs[first][number]
     payload = []
     one_at, string_at = np.concatenate([[0, 0], counts.cumsum(0).reshape(-1)]).reshape(-1, 2).T
     for k in range(table.num_rows):
