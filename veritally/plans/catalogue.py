@@ -181,7 +181,7 @@ def q_store_one_percent_changed(spark, sf_dir):
     how many buckets the second run left as they were."""
     docs = documents(spark, sf_dir)
     doubled = F.when(F.col("doc_id") % 100 == 0, F.concat("text", F.lit("\n"), "text")).otherwise(F.col("text"))
-    store = ScoreStore(spark, new_folder(spark, "scores"), buckets=256)
+    store = ScoreStore(spark, new_folder(spark, "scores"), buckets=64)
     store.append_new(docs, "doc_id", "text")
     before = store.table().manifest().parts
     store.append_new(docs.withColumn("text", doubled), "doc_id", "text")
