@@ -129,6 +129,7 @@ class Codec:
 
         self.ranks, self.merges, self.split = ranks, merges, regex.compile(pattern)
         self.elsewhere = other_classes()
+        self.lowest = chr(min(self.elsewhere, default=0x10FFFF))
         self.cut = pattern == default_pattern()
         self.of_byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         if (self.of_byte < 0).any():
@@ -194,7 +195,7 @@ class Codec:
         return ids[ids >= 0].astype("<u4").tobytes()
 
     def _words(self, text: str) -> list[str]:
-        if text.isascii() or not self.elsewhere:
+        if text.isascii() or max(text) < self.lowest:
             return self.split.findall(text)
         seen = text.translate(self.elsewhere)  # as long as the text
         return [text[a:b] for a, b in (m.span() for m in self.split.finditer(seen))]
