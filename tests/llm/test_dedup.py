@@ -3,8 +3,10 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veritally.llm import decontamination, kit, line_dedup, minhash_hamming, run_index_dedup
@@ -59,6 +61,63 @@ def test_line_dedup_in_lists_that_are_hot(spark, nearest, split):
     assert result == plain_lines(rows)
 
 
+def big_unit():
+    """A unit of 4 MB: its row and its rows as (id, text)."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(5000)]
+    texts = ["\n".join(" ".join(rng.choices(words, k=12)) for _ in range(rng.randint(0, 60))) for _ in range(1600)]
+    raw = "".join(texts).encode()
+    held = [(np.arange(len(texts)), np.array([len(t) for t in texts]), np.frombuffer(raw, np.uint8), None)]
+    return pa.Table.from_batches([kit._unit(5, held)]), texts
+
+
+def test_units_are_read_and_cut_in_little_memory():
+    """Three workers' worth of whole-unit arrays took an executor over its limit."""
+    unit, texts = big_unit()
+    lines = [line for t in texts for line in t.split("\n") if line]
+    gone = np.arange(0, len(lines), 3)
+    tracemalloc.start()
+    line = pa.array(gone[gone % 2 == 1])
+    reply = pa.table({"unit": pa.array([5] * len(line), pa.int64()), "line": line, "payload": pa.nulls(len(line), pa.binary())})
+    packed = pa.table({"unit": [5], "line": pa.nulls(1, pa.int64()), "payload": [gone[gone % 2 == 0].astype("<u4").tobytes()]})
+    cut = line_dedup._cut((5,), unit, pa.concat_tables([reply, packed]))
+    cut_peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    wanted = pa.table({"unit": pa.array(np.full(len(lines), 5)), "line": pa.array(np.arange(len(lines)))})
+    sets = line_dedup._read_sets((5,), unit, wanted)
+    sets_peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert cut_peak < 60e6 and sets_peak < 60e6
+    at, kept = itertools.count(), []
+    for t in texts:
+        kept.append("\n".join(line for line in t.split("\n") if not line or next(at) % 3))
+    assert cut["kept"].to_pylist() == kept
+    assert sum(cut["n_removed"].to_pylist()) == len(gone) and sum(cut["n_lines"].to_pylist()) == len(lines)
+    assert [len(x) // line_dedup.HASH_BYTES for x in sets["words"].to_pylist()] == [len(set(x.split(" "))) for x in lines]
+    one = line_dedup._read_sets((5,), unit, wanted.slice(len(lines) - 7, 1))
+    assert one["words"][0] == sets["words"][len(lines) - 7]
+
+
+def test_no_task_of_line_dedup_holds_two_python_workers(spark, monkeypatch, capsys):
+    """Also where lines wait for candidates beyond the nearest: here all that may."""
+    plans, settled, same = [], kit.settled, line_dedup._same
+
+    def seen(df):
+        capsys.readouterr()
+        df.explain()
+        plans.append(capsys.readouterr().out)
+        return settled(df)
+
+    monkeypatch.setattr(kit, "settled", seen)
+    monkeypatch.setattr(line_dedup, "_same", lambda pairs, sets: same(pairs, sets).where("unit < 0"))
+    rows = unlike_lines(random.Random(2), 150, [f"w{i}" for i in range(20)])
+    line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), nearest=1).count()
+    assert any("_late" in p for p in plans)
+    for plan in plans:
+        for stage in re.split(r"Exchange|Scan", plan):
+            assert len(re.findall(r"(?:MapInArrow|FlatMapGroupsInArrow|FlatMapCoGroupsInArrow) ", stage)) <= 1, plan
+
+
 def test_line_dedup_waits_for_candidates_beyond_the_nearest(spark):
     """The lists and the lines that wait are there, so that the last step is tested."""
     rows = unlike_lines(random.Random(2), 150, [f"w{i}" for i in range(20)])

@@ -55,6 +55,7 @@ SENT_SCHEMA = "bucket long, unit long, n long, payload binary"
 JUDGED_SCHEMA = "kind int, unit long, line long, token long, size int, payload binary"
 MEMBER_RECORD = np.dtype([("unit", "<i8"), ("doc", "<i8"), ("bits", "<u8"), ("line", "<u4"), ("size", "<u4"), ("reach", "<u4")])
 PAIR_RECORD = np.dtype([("unit", "<i8"), ("x_unit", "<i8"), ("line", "<u4"), ("x_line", "<u4"), ("far", "<u2")])
+PAIR_SCHEMA = "unit long, line long, x_unit long, x_line long, far long"
 RESULT_SCHEMA = (
     StructType().add("doc_id", "long").add("n_lines", "long").add("n_removed", "long").add("kept", "string")
 )
@@ -343,10 +344,15 @@ def _candidates(
     return x, y, far, np.unique(np.concatenate(more))
 
 
-def _pair_rows(r: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, far: np.ndarray) -> pa.Table:
+def _pair_records(r: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, far: np.ndarray) -> np.ndarray:
     packed = np.zeros(len(x), PAIR_RECORD)
     for name, value in (("unit", r["unit"][y]), ("x_unit", r["unit"][x]), ("line", r["line"][y]), ("x_line", r["line"][x]), ("far", np.minimum(far, 65535))):
         packed[name] = value
+    return packed
+
+
+def _pair_rows(r: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, far: np.ndarray) -> pa.Table:
+    packed = _pair_records(r, x, y, far)
     parts = [packed[a : a + (1 << 16)] for a in range(0, len(packed), 1 << 16)]
     payload = [pa.compress(p.tobytes(), codec="zstd", asbytes=True) for p in parts]
     return _rows(PAIR, len(parts), payload=payload, size=np.array([p.nbytes for p in parts], np.int64))
@@ -388,24 +394,29 @@ def _judge(nearest: int):
     return run
 
 
+def _opened(packed: np.ndarray) -> pa.RecordBatch:
+    names = ["unit", "line", "x_unit", "x_line", "far"]
+    return pa.RecordBatch.from_arrays([pa.array(packed[n].astype(np.int64)) for n in names], names=names)
+
+
 def _late(key, lists: pa.Table, waiting: pa.Table) -> pa.Table:
-    """All candidates of the lines of a list that wait for them."""
+    """All candidates of the lines of a list that wait for them. They leave as pairs: to open packed
+    ones in the same stage would take a second Python worker per task."""
     if not lists.num_rows or not waiting.num_rows:
-        return _rows(PAIR, 0)
+        return pa.Table.from_batches([_opened(np.zeros(0, PAIR_RECORD))])
     members = np.frombuffer(pa.decompress(lists["payload"][0].as_py(), lists["size"][0].as_py(), codec="zstd", asbytes=True), MEMBER_RECORD)
     r = {name: members[name] for name in MEMBER_RECORD.names}
     at = {(u, n) for u, n in zip(waiting["unit"].to_pylist(), waiting["line"].to_pylist())}
     is_open = np.array([(u, n) in at for u, n in zip(r["unit"].tolist(), r["line"].tolist())])
     x, y, far, _ = _candidates(r, _places(r), np.zeros(1, np.int64), np.array([len(members)]), open_y=is_open)
-    return _pair_rows(r, x, y, far)
+    cut = [slice(a, a + (1 << 16)) for a in range(0, max(len(x), 1), 1 << 16)]
+    return pa.Table.from_batches([_opened(_pair_records(r, x[c], y[c], far[c])) for c in cut])
 
 
 def _open_pairs(batches):
     for batch in batches:
         for size, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            packed = np.frombuffer(pa.decompress(payload, size, codec="zstd", asbytes=True), PAIR_RECORD)
-            names = ["unit", "line", "x_unit", "x_line", "far"]
-            yield pa.RecordBatch.from_arrays([pa.array(packed[n].astype(np.int64)) for n in names], names=names)
+            yield _opened(np.frombuffer(pa.decompress(payload, size, codec="zstd", asbytes=True), PAIR_RECORD))
 
 
 def _read_sets(key, unit_table: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -417,30 +428,27 @@ def _read_sets(key, unit_table: pa.Table, wanted: pa.Table) -> pa.Table:
     lines = Lines(text, ends)
     at = np.unique(wanted["line"].to_numpy())
     chosen_ends = np.concatenate([[0], np.cumsum(lines.end[at] - lines.start[at])])
-    place = np.arange(chosen_ends[-1]) - np.repeat(chosen_ends[:-1], np.diff(chosen_ends))
-    laid = text[np.repeat(lines.start[at], np.diff(chosen_ends)) + place]
-    s, e, owner = kit.words(laid, chosen_ends)
-    h, owner = _distinct(kit.span_hashes(kit.LOWER[laid], s, e), owner)
-    order = np.lexsort((h, owner))
-    cut = np.searchsorted(owner[order], np.arange(len(at) + 1)) * HASH_BYTES
-    raw = np.ascontiguousarray(h[order].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES])
+    sizes, raw = [], []
+    for i, j in kit.pieces(chosen_ends):  # the arrays of a whole unit would stay with the worker
+        here = chosen_ends[i : j + 1] - chosen_ends[i]
+        place = np.arange(here[-1]) - np.repeat(here[:-1], np.diff(here))
+        laid = text[np.repeat(lines.start[at[i:j]], np.diff(here)) + place]
+        s, e, owner = kit.words(laid, here)
+        h, owner = _distinct(kit.span_hashes(kit.LOWER[laid], s, e), owner)
+        order = np.lexsort((h, owner))
+        sizes.append(np.bincount(owner, minlength=j - i))
+        raw.append(h[order].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES])
+    cut = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) * HASH_BYTES
+    raw = np.concatenate(raw)
     words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
     return pa.table({"unit": pa.array(np.full(len(at), row["unit"], np.int64)), "line": pa.array(at.astype(np.int64)), "words": words})
 
 
-def _cut(key, unit_table: pa.Table, reply: pa.Table) -> pa.Table:
-    """The texts of a unit without its removed lines."""
-    (row,) = unit_table.to_pylist()
-    ids, ends, text = kit.open_unit(row)
-    lines = Lines(text, ends)
-    word_starts = kit.runs(kit.WORD[text], ends)[0]
-    worded = np.searchsorted(word_starts, lines.end) > np.searchsorted(word_starts, lines.start)
-    gone = [np.frombuffer(x, "<u4").astype(np.int64) for x in reply["payload"].to_pylist() if x is not None]
-    gone += [reply["line"].drop_null().to_numpy()]
-    gone = np.unique(np.concatenate(gone)).astype(np.int64)
+def _dropped(text: np.ndarray, ends: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which bytes of some documents go with their lines between `start` and `end`."""
     drop = np.zeros(len(text) + 1, np.int32)
-    np.add.at(drop, lines.start[gone], 1)
-    np.add.at(drop, lines.end[gone], -1)
+    np.add.at(drop, start, 1)
+    np.add.at(drop, end, -1)
     drop = np.cumsum(drop)[:-1] > 0
     of_line = drop.copy()
     feed = np.flatnonzero(text == 10)
@@ -454,11 +462,34 @@ def _cut(key, unit_table: pa.Table, reply: pa.Table) -> pa.Table:
     leading = (feed > start) & (before[feed] - before[start] == feed - start)
     leading[leading] = of_line[feed[leading] - 1]
     drop[feed[leading]] = True
-    kept_ends = ends - np.concatenate([[0], np.cumsum(drop)])[ends]
-    kept = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(kept_ends.astype(np.int64).tobytes()), pa.py_buffer(text[~drop].tobytes()))
+    return drop
+
+
+def _cut(key, unit_table: pa.Table, reply: pa.Table) -> pa.Table:
+    """The texts of a unit without its removed lines."""
+    (row,) = unit_table.to_pylist()
+    ids, ends, text = kit.open_unit(row)
+    lines = Lines(text, ends)
+    gone = [np.frombuffer(x, "<u4").astype(np.int64) for x in reply["payload"].to_pylist() if x is not None]
+    gone += [reply["line"].drop_null().to_numpy()]
+    gone = np.unique(np.concatenate(gone)).astype(np.int64)
+    kept, sizes, n_lines = [], [], []
+    for i, j in kit.pieces(ends):  # the arrays of a whole unit would stay with the worker
+        piece, here = text[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
+        of = slice(*np.searchsorted(lines.row, (i, j)))
+        start, end = lines.start[of] - ends[i], lines.end[of] - ends[i]
+        word_starts = kit.runs(kit.WORD[piece], here)[0]
+        worded = np.searchsorted(word_starts, end) > np.searchsorted(word_starts, start)
+        n_lines.append(np.bincount(lines.row[of][worded] - i, minlength=j - i))
+        out = gone[slice(*np.searchsorted(gone, (of.start, of.stop)))] - of.start
+        stays = ~_dropped(piece, here, start[out], end[out])
+        kept.append(piece[stays])
+        sizes.append(kit.row_sums(stays, here))
+    kept_ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+    kept = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(kept_ends.tobytes()), pa.py_buffer(np.concatenate(kept).tobytes()))
     n = len(ids)
     out = pa.table({
-        "doc_id": kit.ids_back(ids), "n_lines": pa.array(np.bincount(lines.row[worded], minlength=n).astype(np.int64)),
+        "doc_id": kit.ids_back(ids), "n_lines": pa.array(np.concatenate(n_lines).astype(np.int64)),
         "n_removed": pa.array(np.bincount(lines.row[gone], minlength=n).astype(np.int64)), "kept": kept.cast(pa.string()),
     })
     if row["rest"] is not None:
@@ -493,10 +524,12 @@ def _same(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("y_unit", "y_line", "x_words", "y_words").mapInArrow(_agree, "unit long, line long").distinct()
 
 
+def _once(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("unit", "line", "x_unit", "x_line").agg(F.min("far").alias("far"))
+
+
 def _pairs_of(rows: DataFrame) -> DataFrame:
-    columns = "unit long, line long, x_unit long, x_line long, far long"
-    opened = rows.where(F.col("kind") == PAIR).select("size", "payload").mapInArrow(_open_pairs, columns)
-    return opened.groupBy("unit", "line", "x_unit", "x_line").agg(F.min("far").alias("far"))
+    return _once(rows.where(F.col("kind") == PAIR).select("size", "payload").mapInArrow(_open_pairs, PAIR_SCHEMA))
 
 
 def _sets(units: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -523,8 +556,8 @@ def matched_lines(units: DataFrame, n_bytes: int, nearest: int = NEAREST, split:
     waiting = kit.settled(judged.where(F.col("kind") == OPEN).select("token", *y).join(done, y, "left_anti"))
     if not waiting.isEmpty():
         lists = judged.where(F.col("kind") == LIST).select("token", "size", "payload")
-        late = lists.groupBy("token").cogroup(waiting.groupBy("token")).applyInArrow(_late, JUDGED_SCHEMA)
-        late = kit.settled(_pairs_of(late).join(pairs, [*y, *x], "left_anti"))
+        late = lists.groupBy("token").cogroup(waiting.groupBy("token")).applyInArrow(_late, PAIR_SCHEMA)
+        late = kit.settled(_once(late).join(pairs, [*y, *x], "left_anti"))
         done = kit.settled(done.union(_same(late, kit.settled(_sets(units, late)))))
     return judged.where(F.col("kind") == REPEATED).select("unit", "payload"), done
 
