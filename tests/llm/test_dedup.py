@@ -211,6 +211,51 @@ def test_passages_of_hot_anchors(spark):
         assert passages(df, hot=hot) == plain_passages(rows)
 
 
+def hot_texts(n):
+    """A passage in many surroundings, whole or in part."""
+    rng = random.Random(12)
+    passage = "a passage that many documents share word for word, and more of it"
+    noise = lambda: "".join(rng.choices("abcdefgh ", k=rng.randint(20, 60)))
+    return [(i, noise() + passage[rng.randint(0, 20) : rng.randint(41, 66)] + noise()) for i in range(n)]
+
+
+def test_a_hot_anchor_costs_little_more_than_others():
+    """Its phrases are split, but not into strings of MATCH bytes per window."""
+    rows = hot_texts(300)
+    text = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    ends = np.concatenate([[0], np.cumsum([len(t) for _, t in rows])])
+    parsed = run_index_dedup.Parsed(ends, text)
+    sent = []
+    for code in (run_index_dedup.FEW, run_index_dedup.MANY):
+        shared = run_index_dedup.Shared(parsed, np.full(len(parsed.start), code), np.arange(len(rows)), text, 4)
+        assert shared.windows.sum() == parsed.windows.sum()  # every window is sent, alone or with others
+        sent.append(shared.string_size.sum())
+    assert sent[0] < sent[1] < 3 * sent[0]
+
+
+def test_passages_of_every_length_of_anchors(spark, monkeypatch):
+    """By longer anchors up to whole windows, and with many buckets to a row."""
+    rows = hot_texts(60) + [(70, "ab" * 200), (71, "ba" * 100), (None, "x" * 300), (None, "x" * 120)]
+    expected = plain_passages(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    top = run_index_dedup.MANY + len(run_index_dedup.LONGER) - 1
+    codes = anchor_codes(df, 0) | anchor_codes(df, 1)
+    assert {run_index_dedup.MANY, run_index_dedup.MANY + 1, top} <= codes and max(codes) == top
+    monkeypatch.setattr(run_index_dedup, "BUCKET_BYTES", 256)
+    for hot, groups in ((0, 128), (0, 4), (1, 4), (2048, 4)):
+        monkeypatch.setattr(run_index_dedup, "GROUPS", groups)
+        assert passages(df, hot=hot) == expected
+
+
+def test_buckets_travel_together():
+    for n in (8, 128, 255, 256, 1000, 2420, 12345):
+        n_groups, together = run_index_dedup._grouped(n)
+        assert 1 <= together <= run_index_dedup.TOGETHER and n <= n_groups * together < n + together
+        assert n < 2 * run_index_dedup.GROUPS or n_groups <= n / 2
+    anchors = np.random.default_rng(1).integers(0, 1 << 48, 1000, dtype=np.uint64)
+    assert (run_index_dedup.bucket_of(anchors, 70 * 8) // 8 == run_index_dedup.bucket_of(anchors, 70)).all()
+
+
 def test_passages_of_one_phrase(spark):
     """Copies in other units, other orders and within one document."""
     rng = random.Random(5)
@@ -244,6 +289,22 @@ def test_the_index_finds_older_windows():
     assert index.older_windows(sizes, docs).tolist() == [0, 0b1111110, 0]
 
 
+def test_suffixes_are_sorted_and_classed():
+    rng = random.Random(9)
+    base = "".join(rng.choices("ab", k=200))
+    strings = [base[k : k + rng.randint(50, 80)].encode() for k in rng.choices(range(120), k=40)] + [b"a" * 80, b"a" * 79, b"z" * 55]
+    sizes = np.array([len(s) for s in strings])
+    ends = np.cumsum(sizes + 1)
+    padded = np.frombuffer(b"".join(bytes(x + 1 for x in s) + b"\0" for s in strings), np.uint8)
+    string = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes + 1)
+    left = (ends[string] - np.arange(len(padded))).astype(np.uint8)
+    suffix, alike = run_index_dedup._sorted_suffixes(padded, left, string)
+    rest = lambda at: padded[at : at + int(left[at])].tobytes()
+    assert suffix.tolist() == sorted(range(len(padded)), key=lambda at: (rest(at), string[at]))
+    for x, y, same in zip(suffix[:-1], suffix[1:], alike[1:]):
+        assert same == (left[x] > 50 and left[y] > 50 and rest(x)[:50] == rest(y)[:50])
+
+
 def shingle_set(text):
     words = WORD.findall((text or "").translate(LOWER))
     if 0 < len(words) < 5:

@@ -13,8 +13,11 @@ occurrences of their windows, and anchors can be dealt to buckets that know noth
    and which of those have one phrase everywhere.
 2. Units send the phrases of shared anchors: bytes and smallest doc_id, each distinct phrase once.
    An anchor with one phrase is one run at each row of the transform; only its documents are sent.
-   An anchor with very many phrases (`HOT`) is split: its windows are dealt one by one, each by its
-   own hash, so no bucket gathers a frequent passage's surroundings.
+   An anchor with very many phrases (`HOT`) is split, so no bucket gathers a frequent passage's
+   surroundings: its phrases are parsed once more by longer anchors (`LONGER`), the longer the more
+   phrases there are, at last by whole windows, and dealt by those. A larger corpus makes more
+   anchors hot; with the next length a phrase becomes about two, where windows alone would be
+   sixteen strings of MATCH bytes.
 3. A bucket sorts the suffixes of its distinct phrases, keeps the transform as runs, with the
    smallest doc_id sampled at the end of each run of suffixes that share MATCH bytes, and streams
    all phrases through it from right to left by LF steps over the runs. At each position this
@@ -41,9 +44,14 @@ from veritally.llm import kit
 
 MATCH = 50
 ANCHOR = 20
-HOT = 2048  # phrases of one anchor, counted by unit, from which its windows are dealt alone
+HOT = 2048  # phrases of one anchor, counted by unit, from which they are parsed by longer anchors
+LONGER = (32, 41, MATCH)  # bytes of these, each for HOT_STEP times as many phrases as the one before
+HOT_STEP = 8
 BUCKET_BYTES = 4 << 20  # text per bucket: its suffixes are sorted in memory
-ALONE, ONE, FEW, MANY = range(4)  # codes of an anchor: in one document only, one phrase, several, very many
+GROUPS = 128  # from here on neighbouring buckets travel as one packed row, up to ...
+TOGETHER = 8  # ... so many: rows are units times groups
+# Codes of an anchor: in one document only, one phrase, several, very many (MANY + k: parsed by LONGER[k]).
+ALONE, ONE, FEW, MANY = range(4)
 RECORD = np.dtype([("a_low", "<u4"), ("a_high", "<u2"), ("c_low", "<u4"), ("c_high", "<u2"), ("n", "u1")])
 KNOWN = np.dtype([("a_low", "<u4"), ("a_high", "<u2"), ("doc", "<i8")])
 REPLY_SCHEMA = "unit long, kind int, bucket long, payload binary"
@@ -69,7 +77,7 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     out, have = values, 1
     while have < width:
         step = min(have, width - have)
-        out = np.minimum(out[: len(out) - step], out[step:])
+        out = np.minimum(out[..., : out.shape[-1] - step], out[..., step:])
         have += step
     return out
 
@@ -98,6 +106,27 @@ def _phrases(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return starts, stop - starts, (low[starts] >> np.uint64(6)) & _48, kit.rows_of(starts, ends)
 
 
+def _parsed_again(text: np.ndarray, start: np.ndarray, windows: np.ndarray, anchor: int) -> tuple[np.ndarray, ...]:
+    """The phrases by anchors of `anchor` bytes in phrases by shorter ones: start, windows, anchor
+    (48 bits), content (48 bits) and number of the phrase that each is from."""
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for a in range(0, len(start), 1 << 12):  # hashed from copies: a window does not need its surroundings
+        s, n = start[a : a + (1 << 12)], windows[a : a + (1 << 12)]
+        width = int(n.max()) + MATCH - 1
+        laid = text[np.minimum(s[:, None] + np.arange(width), len(text) - 1)].reshape(-1)
+        at = (np.arange(len(s)) * width)[:, None] + np.arange(width - anchor + 1)
+        low = _sliding_min(kit.span_hashes(laid, at, at + anchor) >> np.uint64(16), MATCH - anchor + 1)
+        new = np.arange(low.shape[1]) < n[:, None]
+        new[:, 1:] &= low[:, 1:] != low[:, :-1]
+        row, k = np.nonzero(new)
+        stop = np.append(k[1:], 0)
+        last = np.append(row[1:] != row[:-1], True)
+        stop[last] = n[row[last]]
+        begin = row * width + k
+        parts.append((s[row] + k, stop - k, low[row, k], kit.span_hashes(laid, begin, begin + stop - k + MATCH - 1) & _48, row + a))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 class Parsed:
     """The phrases of a unit, sorted by anchor and phrase, and its anchors."""
 
@@ -157,8 +186,9 @@ def _codes_of(table: pa.Table, hot: int) -> pa.Table:
     times = np.diff(np.concatenate([heads, [len(order)]]))
     shared = (times > 1) | (np.maximum.reduceat(n & 1, heads) > 0)
     mixed = (np.minimum.reduceat(content, heads) != np.maximum.reduceat(content, heads)) | (np.maximum.reduceat(n, heads) > 1)
-    many = np.add.reduceat(np.maximum(n >> 1, 1), heads) > hot
-    code = np.where(~shared, ALONE, np.where(~mixed, ONE, np.where(~many, FEW, MANY))).astype(np.uint8)
+    phrases = np.add.reduceat(np.maximum(n >> 1, 1), heads)
+    longer = sum((phrases > hot * HOT_STEP**k).astype(np.uint8) for k in range(len(LONGER)))
+    code = np.where(~shared, ALONE, np.where(~mixed, ONE, FEW + longer)).astype(np.uint8)
     out = np.empty(len(order), np.uint8)
     out[order] = code[np.cumsum(new) - 1]
     cut = np.flatnonzero(kit.first_true(sender))
@@ -177,7 +207,7 @@ def _codes(replies: list[dict], parsed: Parsed) -> np.ndarray:
 class Shared:
     """What a unit sends and gets back: known phrases (one per anchor) and strings."""
 
-    def __init__(self, parsed: Parsed, code: np.ndarray, ids: np.ndarray, text: np.ndarray, n_buckets: int):
+    def __init__(self, parsed: Parsed, code: np.ndarray, ids: np.ndarray, text: np.ndarray, n_groups: int, together: int = 1):
         doc = ids[parsed.row]
         one = np.flatnonzero(code == ONE)
         self.one, heads = one, kit.first_true(parsed.group[one])
@@ -185,22 +215,13 @@ class Shared:
         self.anchors = parsed.anchor[one[heads]]
         self.one_doc = np.minimum.reduceat(doc[one], np.flatnonzero(heads)) if len(one) else np.zeros(0, np.int64)
         few = np.flatnonzero(code == FEW)
-        hot = np.flatnonzero(code == MANY)
-        repeat = parsed.windows[hot]
-        inner = np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-        # Occurrences: phrases as they are, windows of hot anchors alone.
-        self.start = np.concatenate([parsed.start[few], np.repeat(parsed.start[hot], repeat) + inner])
-        self.windows = np.concatenate([parsed.windows[few], np.ones(len(inner), np.int64)])
-        self.doc = np.concatenate([doc[few], np.repeat(doc[hot], repeat)])
-        own = np.empty(len(inner), np.uint64)
-        at = self.start[len(few) :]
-        for a in range(0, len(at), 1 << 14):  # hashed from copies: a window does not need its surroundings
-            part = at[a : a + (1 << 14)]
-            laid = text[part[:, None] + np.arange(MATCH)].reshape(-1)
-            s = np.arange(len(part)) * MATCH
-            own[a : a + (1 << 14)] = kit.span_hashes(laid, s, s + MATCH)
-        deal_by = np.concatenate([parsed.anchor[few], own >> np.uint64(16)])
-        same = np.concatenate([parsed.content[few], own & _48])
+        # Occurrences: phrases as they are, those of hot anchors by longer anchors.
+        strings = [(parsed.start[few], parsed.windows[few], doc[few], parsed.anchor[few], parsed.content[few])]
+        for k, longer in enumerate(LONGER):
+            hot = np.flatnonzero(code == MANY + k)
+            start, windows, anchor, content, of = _parsed_again(text, parsed.start[hot], parsed.windows[hot], longer)
+            strings.append((start, windows, doc[hot][of], anchor, content))
+        self.start, self.windows, self.doc, deal_by, same = (np.concatenate(x) for x in zip(*strings))
         order = np.lexsort((same, deal_by))
         new = kit.first_true(deal_by[order]) | kit.first_true(same[order])
         self.string_of = np.empty(len(order), np.int64)
@@ -208,10 +229,12 @@ class Shared:
         first = order[new]
         self.string_start, self.string_size = self.start[first], self.windows[first] + MATCH - 1
         self.string_doc = np.minimum.reduceat(self.doc[order], np.flatnonzero(new)) if len(order) else np.zeros(0, np.int64)
-        self.one_cut = np.searchsorted(bucket_of(self.anchors, n_buckets), np.arange(n_buckets + 1))
-        self.string_cut = np.searchsorted(bucket_of(deal_by[first], n_buckets), np.arange(n_buckets + 1))
+        n_buckets = n_groups * together
+        self.one_cut = np.searchsorted(bucket_of(self.anchors, n_groups), np.arange(n_groups + 1))
+        self.bucket_cut = np.searchsorted(bucket_of(deal_by[first], n_buckets), np.arange(n_buckets + 1))
+        self.string_cut = self.bucket_cut[::together]
 
-    def buckets(self) -> np.ndarray:
+    def groups(self) -> np.ndarray:
         return np.flatnonzero((np.diff(self.one_cut) > 0) | (np.diff(self.string_cut) > 0))
 
 
@@ -220,26 +243,28 @@ def _bytes_at(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return text[np.repeat(starts, sizes) + place]
 
 
-def _send_phrases(n_buckets: int):
+def _send_phrases(n_groups: int, together: int):
     def run(key, unit_table, reply_table):
         (row,) = unit_table.to_pylist()
         ids, ends, text = kit.open_unit(row)
         parsed = Parsed(ends, text)
         out = {"bucket": [], "unit": [], "part": [], "payload": []}
         if len(parsed.heads):
-            shared = Shared(parsed, _codes(reply_table.to_pylist(), parsed), ids, text, n_buckets)
-            for b in shared.buckets():
-                i, j = shared.one_cut[b : b + 2]
-                known = np.zeros(j - i, KNOWN)
-                _split48(shared.anchors[i:j], known, "a")
-                known["doc"] = shared.one_doc[i:j]
-                i, j = shared.string_cut[b : b + 2]
-                sizes = shared.string_size[i:j]
+            shared = Shared(parsed, _codes(reply_table.to_pylist(), parsed), ids, text, n_groups, together)
+            known = np.zeros(len(shared.anchors), KNOWN)
+            _split48(shared.anchors, known, "a")
+            known["doc"] = shared.one_doc
+            sizes = shared.string_size.astype(np.uint8)
+            raw = _bytes_at(text, shared.string_start, shared.string_size)
+            at = np.concatenate([[0], np.cumsum(shared.string_size)])
+            counts = np.diff(shared.bucket_cut).reshape(-1, together)
+            for g in shared.groups():
+                (a, b), (i, j) = shared.one_cut[g : g + 2], shared.string_cut[g : g + 2]
                 body = b"".join([
-                    np.array([len(known), j - i], np.int64).tobytes(), known.tobytes(), shared.string_doc[i:j].tobytes(),
-                    sizes.astype(np.uint8).tobytes(), _bytes_at(text, shared.string_start[i:j], sizes).tobytes(),
+                    np.array([b - a, *counts[g]], np.int64).tobytes(), known[a:b].tobytes(), shared.string_doc[i:j].tobytes(),
+                    sizes[i:j].tobytes(), raw[at[i] : at[j]].tobytes(),
                 ])
-                out["bucket"].append(int(b))
+                out["bucket"].append(int(g))
                 out["unit"].append(row["unit"])
                 out["part"].append(len(body))
                 out["payload"].append(pa.compress(body, codec="zstd", asbytes=True))
@@ -248,6 +273,50 @@ def _send_phrases(n_buckets: int):
     return run
 
 
+def _sorted_suffixes(padded: np.ndarray, left: np.ndarray, string: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all suffixes in their order, equal ones in the order of their strings; and whether
+    each shares MATCH bytes with the one before it. Sorted by 8 bytes; then those that are still equal
+    to others, by the ranks of what follows, of 16, 32 and 64 bytes, until none are."""
+    n = len(padded)
+    word = padded.astype(np.uint64)
+    for by in (1, 2, 4):
+        after = np.zeros(n, np.uint64)
+        after[: max(n - by, 0)] = word[by:]
+        after[left <= by] = 0
+        word = word << np.uint64(8 * by) | after
+    suffix = np.argsort(word)
+    new = kit.first_true(word[suffix])
+    rank = np.empty(n, np.uint32)  # the row of the first suffix that is equal so far
+    rank[suffix] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    del word
+    rows = np.arange(n)
+    at32 = None
+    for by in (8, 16, 32, 64):
+        if by == 32:
+            at32 = rank.copy()
+        # Rows that are alone are where they belong.
+        alone = new & np.concatenate([new[1:], [True]])
+        rows = rows[~alone]
+        if not len(rows):
+            break
+        at = suffix[rows]
+        own = rank[at]
+        # What has ended within these bytes is equal to the end: then strings decide.
+        follows = np.where(left[at] > by, rank[np.minimum(at + by, n - 1)], string[at])
+        key = own.astype(np.uint64) << np.uint64(32) | follows
+        order = np.argsort(key)
+        at, key = at[order], key[order]
+        new = kit.first_true(key)
+        suffix[rows] = at
+        rank[at] = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
+    at32 = rank if at32 is None else at32
+    alike = np.zeros(n, bool)
+    long = np.flatnonzero(left[suffix] > MATCH)
+    x, y = at32[suffix[long]], at32[suffix[long] + MATCH - 32]
+    alike[long[1:]] = (long[1:] == long[:-1] + 1) & (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+    return suffix, alike
+
+
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform of strings, with samples at run ends.
 
@@ -257,130 +326,117 @@ class RunIndex:
 
     def __init__(self, text: np.ndarray, sizes: np.ndarray, docs: np.ndarray):
         ends = np.cumsum(sizes + 1)
-        self.ends, self.n = ends, int(ends[-1])
-        padded = np.zeros(self.n, np.uint64)  # 0 is the mark; UTF-8 has no byte 0xFF, so 1 can be added
-        string = np.repeat(np.arange(len(sizes)), sizes + 1)
-        inside = np.ones(self.n, bool)
+        self.n = n = int(ends[-1])
+        if n >= 1 << 31:
+            raise ValueError("a bucket's strings must have less than 2 GiB")
+        padded = np.zeros(n, np.uint8)  # 0 is the mark; UTF-8 has no byte 0xFF, so 1 can be added
+        string = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes + 1)
+        inside = np.ones(n, bool)
         inside[ends - 1] = False
-        padded[inside] = np.minimum(text, 254).astype(np.uint64) + np.uint64(1)
-        left = ends[string] - np.arange(self.n)  # bytes up to the end of the string, its mark included
-
-        def shifted(values: np.ndarray, by: int) -> np.ndarray:
-            out = np.zeros(self.n, np.uint64)
-            out[: max(self.n - by, 0)] = values[by:]
-            out[left <= by] = 0
-            return out
-
-        def ranks(keys: np.ndarray) -> np.ndarray:
-            order = np.argsort(keys)
-            out = np.empty(self.n, np.uint64)
-            out[order] = np.cumsum(kit.first_true(keys[order])).astype(np.uint64)
-            return out
-
-        word = padded
-        for by in (1, 2, 4):
-            word = word << np.uint64(8 * by) | shifted(word, by)
-        high, n = np.uint64(32), self.n
-        if n >= 1 << 32:
-            raise ValueError("a bucket's strings must have less than 4 GiB")
-        eight = ranks(word)
-        sixteen = ranks(eight << high | shifted(eight, 8))
-        by32 = ranks(sixteen << high | shifted(sixteen, 16))
-        by64 = ranks(by32 << high | shifted(by32, 32))
-        whole = ranks(by64 << high | shifted(by64, 32))  # 96 bytes: all of a phrase
-        suffix = np.argsort(whole * np.uint64(len(sizes) + 1) + string.astype(np.uint64), kind="stable")
-        # Rows whose suffixes share MATCH bytes are neighbours.
-        tail = shifted(by32, MATCH - 32)
-        x, y = by32[suffix], tail[suffix]
-        start = np.ones(n, bool)
-        start[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-        self.class_start = np.flatnonzero(start)
-        self.class_doc = np.minimum.reduceat(docs[string[suffix]], self.class_start)  # sampled at the run's end
-        before = np.where(np.concatenate([[0], ends])[:-1][string[suffix]] == suffix, 0, padded[suffix - 1].astype(np.int64))
-        run_start = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
+        padded[inside] = np.minimum(text, 254) + np.uint8(1)
+        left = (ends[string] - np.arange(n)).astype(np.uint8)  # bytes up to the end of the string, its mark included
+        suffix, alike = _sorted_suffixes(padded, left, string)
+        before = np.where(left[suffix - 1] > 1, padded[suffix - 1], 0)  # of a string's first byte: its mark
+        run_start = np.concatenate([[0], np.flatnonzero(before[1:] != before[:-1]) + 1])
         self.run_start, self.run_byte = run_start, before[run_start]
         length = np.diff(np.concatenate([run_start, [n]]))
         # LF of a run's first row: rows that start with smaller bytes, and the same byte in earlier runs.
         by_byte = np.argsort(self.run_byte, kind="stable")
         to = np.empty(len(run_start), np.int64)
         to[by_byte] = np.concatenate([[0], np.cumsum(length[by_byte])[:-1]])
-        self.run_to = to
+        self.run_shift = (to - run_start).astype(np.int32)
+        self.run_of = np.repeat(np.arange(len(run_start), dtype=np.int32), length)
+        # Rows whose suffixes share MATCH bytes are neighbours; their oldest document is sampled at the run's end.
+        class_start = np.flatnonzero(~alike)
+        self.class_doc = np.minimum.reduceat(docs[string[suffix]], class_start)
+        self.class_of = np.repeat(np.arange(len(class_start), dtype=np.int32), np.diff(np.concatenate([class_start, [n]])))
 
     def older_windows(self, sizes: np.ndarray, docs: np.ndarray) -> np.ndarray:
         """Per string, bit k set if its window k also stands in a string of a smaller document."""
-        rows = np.arange(len(sizes))  # the rows of the end marks
+        by_size = np.argsort(-sizes, kind="stable")  # so that the strings still read are the first ones
+        rows = by_size.astype(np.int32)  # the rows of the end marks
+        left, docs = sizes[by_size].astype(np.int32), docs[by_size]
         bits = np.zeros(len(sizes), np.uint32)
-        left = sizes.copy()
-        live = np.arange(len(sizes))
-        while len(live):
-            run = np.searchsorted(self.run_start, rows, "right") - 1
-            rows = self.run_to[run] + rows - self.run_start[run]
-            left[live] -= 1
-            at = sizes[live] - left[live] >= MATCH
-            which = live[at]
-            sample = self.class_doc[np.searchsorted(self.class_start, rows[at], "right") - 1]
-            older = sample < docs[which]
-            bits[which[older]] |= np.uint32(1) << left[which[older]].astype(np.uint32)
-            going = left[live] > 0
-            live, rows = live[going], rows[going]
-        return bits
-
-
-def _judge_phrases(table: pa.Table) -> pa.Table:
-    known, docs, sizes, raw, counts = [], [], [], [], []
-    for size, payload in zip(table["part"].to_pylist(), table["payload"].to_pylist()):
-        body = pa.decompress(payload, size, codec="zstd", asbytes=True)
-        n_known, n = np.frombuffer(body, np.int64, 2)
-        at = 16
-        known.append(np.frombuffer(body, KNOWN, n_known, at))
-        at += n_known * KNOWN.itemsize
-        docs.append(np.frombuffer(body, np.int64, n, at))
-        sizes.append(np.frombuffer(body, np.uint8, n, at + 8 * n).astype(np.int64))
-        raw.append(np.frombuffer(body, np.uint8, offset=int(at + 9 * n)))
-        counts.append((n_known, n))
-    counts = np.array(counts)
-    known, docs, sizes, raw = (np.concatenate(x) for x in (known, docs, sizes, raw))
-
-    anchors = _join48(known, "a")
-    order = np.argsort(anchors, kind="stable")
-    heads = kit.first_true(anchors[order])
-    known_doc = np.empty(len(order), np.int64)
-    if len(order):
-        known_doc[order] = np.minimum.reduceat(known["doc"][order], np.flatnonzero(heads))[np.cumsum(heads) - 1]
-
+        for step in range(1, int(left[0]) + 1 if len(left) else 0):
+            live = int(np.searchsorted(-left, -step, "right"))
+            rows = rows[:live]
+            rows = rows + self.run_shift[self.run_of[rows]]
+            if step >= MATCH:
+                older = self.class_doc[self.class_of[rows]] < docs[:live]
+                bits[:live] |= older.astype(np.uint32) << (left[:live] - step).astype(np.uint32)
+        out = np.empty_like(bits)
+        out[by_size] = bits
+        return out
+
+
+def _older_in_bucket(docs: np.ndarray, sizes: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per string of a bucket, its smallest document and the windows that are older still."""
+    at = np.cumsum(sizes) - sizes
+    strings = np.zeros((len(sizes), int(sizes.max())), np.uint8)
+    strings[np.arange(strings.shape[1])[None, :] < sizes[:, None]] = raw
+    strings += 1  # so that padding differs from bytes
+    strings[np.arange(strings.shape[1])[None, :] >= sizes[:, None]] = 0
+    as_bytes = strings.view(f"V{strings.shape[1]}").reshape(-1)
+    laid = np.ascontiguousarray(strings).reshape(-1)
+    s = np.arange(len(sizes)) * strings.shape[1]
+    digest = kit.span_hashes(laid, s, s + sizes)
+    order = np.lexsort((docs, digest))
+    new = kit.first_true(digest[order])
+    new[1:] |= as_bytes[order[1:]] != as_bytes[order[:-1]]
     # Distinct strings, in the order of their documents.
-    bits, string_doc = np.zeros(len(docs), np.uint32), docs.copy()
-    if len(docs):
+    first = order[new]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    by_doc = np.argsort(docs[first], kind="stable")
+    first = first[by_doc]
+    place = np.empty(len(first), np.int64)
+    place[by_doc] = np.arange(len(first))
+    number = place[number]
+    index = RunIndex(_bytes_at(raw, at[first], sizes[first]), sizes[first], docs[first])
+    return docs[first][number], index.older_windows(sizes[first], docs[first])[number]
+
+
+def _judge_phrases(together: int):
+    def run(table: pa.Table) -> pa.Table:
+        known, docs, sizes, raw, counts = [], [], [], [], []
+        for size, payload in zip(table["part"].to_pylist(), table["payload"].to_pylist()):
+            body = pa.decompress(payload, size, codec="zstd", asbytes=True)
+            count = np.frombuffer(body, np.int64, 1 + together)
+            n_known, n = int(count[0]), int(count[1:].sum())
+            at = count.nbytes
+            known.append(np.frombuffer(body, KNOWN, n_known, at))
+            at += n_known * KNOWN.itemsize
+            docs.append(np.frombuffer(body, np.int64, n, at))
+            sizes.append(np.frombuffer(body, np.uint8, n, at + 8 * n).astype(np.int64))
+            raw.append(np.frombuffer(body, np.uint8, offset=at + 9 * n))
+            counts.append(count)
+        counts = np.array(counts)
+        known, docs, sizes, raw = (np.concatenate(x) for x in (known, docs, sizes, raw))
+
+        anchors = _join48(known, "a")
+        order = np.argsort(anchors, kind="stable")
+        heads = kit.first_true(anchors[order])
+        known_doc = np.empty(len(order), np.int64)
+        if len(order):
+            known_doc[order] = np.minimum.reduceat(known["doc"][order], np.flatnonzero(heads))[np.cumsum(heads) - 1]
+
+        bits, string_doc = np.zeros(len(docs), np.uint32), docs.copy()
+        bucket = np.repeat(np.tile(np.arange(together), len(counts)), counts[:, 1:].reshape(-1))
         at = np.cumsum(sizes) - sizes
-        strings = np.zeros((len(sizes), int(sizes.max())), np.uint8)
-        strings[np.arange(strings.shape[1])[None, :] < sizes[:, None]] = raw
-        strings += 1  # so that padding differs from bytes
-        strings[np.arange(strings.shape[1])[None, :] >= sizes[:, None]] = 0
-        as_bytes = strings.view(f"V{strings.shape[1]}").reshape(-1)
-        laid = np.ascontiguousarray(strings).reshape(-1)
-        s = np.arange(len(sizes)) * strings.shape[1]
-        digest = kit.span_hashes(laid, s, s + sizes)
-        order = np.lexsort((docs, digest))
-        new = kit.first_true(digest[order])
-        new[1:] |= as_bytes[order[1:]] != as_bytes[order[:-1]]
-        first = order[new]
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(new) - 1
-        by_doc = np.argsort(docs[first], kind="stable")
-        first = first[by_doc]
-        place = np.empty(len(first), np.int64)
-        place[by_doc] = np.arange(len(first))
-        number = place[number]
-        index = RunIndex(_bytes_at(raw, at[first], sizes[first]), sizes[first], docs[first])
-        bits = index.older_windows(sizes[first], docs[first])[number]
-        string_doc = docs[first][number]
-    payload = []
-    one_at, string_at = np.concatenate([[0, 0], counts.cumsum(0).reshape(-1)]).reshape(-1, 2).T
-    for k in range(table.num_rows):
-        i, j = string_at[k : k + 2]
-        body = known_doc[one_at[k] : one_at[k + 1]].tobytes() + string_doc[i:j].tobytes() + bits[i:j].tobytes()
-        payload.append(np.array([len(body)], np.int64).tobytes() + pa.compress(body, codec="zstd", asbytes=True))
-    return pa.table({"unit": table["unit"], "kind": pa.array(np.ones(table.num_rows, np.int32)), "bucket": table["bucket"], "payload": pa.array(payload, pa.binary())})
+        for b in range(together):
+            own = np.flatnonzero(bucket == b)
+            if len(own):
+                string_doc[own], bits[own] = _older_in_bucket(docs[own], sizes[own], _bytes_at(raw, at[own], sizes[own]))
+        payload = []
+        one_at = np.concatenate([[0], np.cumsum(counts[:, 0])])
+        string_at = np.concatenate([[0], np.cumsum(counts[:, 1:].sum(axis=1))])
+        for k in range(table.num_rows):
+            i, j = string_at[k : k + 2]
+            body = known_doc[one_at[k] : one_at[k + 1]].tobytes() + string_doc[i:j].tobytes() + bits[i:j].tobytes()
+            payload.append(np.array([len(body)], np.int64).tobytes() + pa.compress(body, codec="zstd", asbytes=True))
+        return pa.table({"unit": table["unit"], "kind": pa.array(np.ones(table.num_rows, np.int32)), "bucket": table["bucket"], "payload": pa.array(payload, pa.binary())})
+
+    return run
 
 
 def _marked(parsed: Parsed, shared: Shared, replies: list[dict], ids: np.ndarray, n_bytes: int) -> np.ndarray:
@@ -410,7 +466,7 @@ def _marked(parsed: Parsed, shared: Shared, replies: list[dict], ids: np.ndarray
     return np.cumsum(change)[:-1] > 0
 
 
-def _cut(n_buckets: int):
+def _cut(n_groups: int, together: int):
     def run(key, unit_table, reply_table):
         (row,) = unit_table.to_pylist()
         ids, ends, text = kit.open_unit(row)
@@ -418,7 +474,7 @@ def _cut(n_buckets: int):
         covered = np.zeros(len(text), bool)
         if len(parsed.heads):
             replies = reply_table.to_pylist()
-            shared = Shared(parsed, _codes(replies, parsed), ids, text, n_buckets)
+            shared = Shared(parsed, _codes(replies, parsed), ids, text, n_groups, together)
             covered = _marked(parsed, shared, replies, ids, len(text))
         s, e = kit.runs(covered, ends)
         owner = kit.rows_of(s, ends)
@@ -435,17 +491,23 @@ def _cut(n_buckets: int):
     return run
 
 
+def _grouped(n_buckets: int) -> tuple[int, int]:
+    """Groups of buckets, and buckets in each."""
+    together = min(max(n_buckets // GROUPS, 1), TOGETHER)
+    return -(-n_buckets // together), together
+
+
 def cut_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, starts and ends of the removed byte spans, and the kept bytes of every row.
     `hot` (see above) sets the cost, not the result."""
     kit.prepare(docs.sparkSession)
-    n_buckets = kit.bucket_count(kit.corpus_size(docs)[1], BUCKET_BYTES)
+    n_groups, together = _grouped(kit.bucket_count(kit.corpus_size(docs)[1], BUCKET_BYTES))
     units = kit.units(docs)
     by_bucket = lambda sent, judge: sent.groupBy("bucket").applyInArrow(judge, REPLY_SCHEMA)
-    codes = kit.settled(by_bucket(units.mapInArrow(_send_anchors(n_buckets), kit.PACKED_SCHEMA), _judge_anchors(hot)))
+    codes = kit.settled(by_bucket(units.mapInArrow(_send_anchors(n_groups), kit.PACKED_SCHEMA), _judge_anchors(hot)))
     with_units = lambda replies, run, schema: units.groupBy("unit").cogroup(replies.groupBy("unit")).applyInArrow(run, schema)
-    replies = kit.settled(by_bucket(with_units(codes, _send_phrases(n_buckets), kit.PACKED_SCHEMA), _judge_phrases))
-    return with_units(codes.union(replies), _cut(n_buckets), RESULT_SCHEMA)
+    replies = kit.settled(by_bucket(with_units(codes, _send_phrases(n_groups, together), kit.PACKED_SCHEMA), _judge_phrases(together)))
+    return with_units(codes.union(replies), _cut(n_groups, together), RESULT_SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
