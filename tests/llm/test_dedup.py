@@ -233,6 +233,16 @@ def test_a_hot_anchor_costs_little_more_than_others():
     assert sent[0] < sent[1] < 3 * sent[0]
 
 
+def test_longer_anchors_are_dealt_evenly():
+    text = np.frombuffer(prose_of(random.Random(8), 20000).encode(), np.uint8)
+    start = np.arange(0, len(text) - 80, 31)
+    for longer in run_index_dedup.LONGER:
+        _, windows, anchor, _, of = run_index_dedup._parsed_again(text, start, np.full(len(start), 31), longer)
+        assert (np.bincount(of, windows) == 31).all()
+        times = np.bincount(run_index_dedup.bucket_of(anchor, 8), minlength=8)
+        assert times.max() < 1.3 * times.mean()
+
+
 def test_passages_of_every_length_of_anchors(spark, monkeypatch):
     """By longer anchors up to whole windows, and with many buckets to a row."""
     rows = hot_texts(60) + [(70, "ab" * 200), (71, "ba" * 100), (None, "x" * 300), (None, "x" * 120)]

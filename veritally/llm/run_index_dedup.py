@@ -108,14 +108,15 @@ def _phrases(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _parsed_again(text: np.ndarray, start: np.ndarray, windows: np.ndarray, anchor: int) -> tuple[np.ndarray, ...]:
     """The phrases by anchors of `anchor` bytes in phrases by shorter ones: start, windows, anchor
-    (48 bits), content (48 bits) and number of the phrase that each is from."""
+    (the lower 48 bits: the upper ones of a smallest hash are low), content (48 bits) and number of the
+    phrase that each is from."""
     parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
     for a in range(0, len(start), 1 << 12):  # hashed from copies: a window does not need its surroundings
         s, n = start[a : a + (1 << 12)], windows[a : a + (1 << 12)]
         width = int(n.max()) + MATCH - 1
         laid = text[np.minimum(s[:, None] + np.arange(width), len(text) - 1)].reshape(-1)
         at = (np.arange(len(s)) * width)[:, None] + np.arange(width - anchor + 1)
-        low = _sliding_min(kit.span_hashes(laid, at, at + anchor) >> np.uint64(16), MATCH - anchor + 1)
+        low = _sliding_min(kit.span_hashes(laid, at, at + anchor), MATCH - anchor + 1)
         new = np.arange(low.shape[1]) < n[:, None]
         new[:, 1:] &= low[:, 1:] != low[:, :-1]
         row, k = np.nonzero(new)
@@ -123,7 +124,7 @@ def _parsed_again(text: np.ndarray, start: np.ndarray, windows: np.ndarray, anch
         last = np.append(row[1:] != row[:-1], True)
         stop[last] = n[row[last]]
         begin = row * width + k
-        parts.append((s[row] + k, stop - k, low[row, k], kit.span_hashes(laid, begin, begin + stop - k + MATCH - 1) & _48, row + a))
+        parts.append((s[row] + k, stop - k, low[row, k] & _48, kit.span_hashes(laid, begin, begin + stop - k + MATCH - 1) & _48, row + a))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
